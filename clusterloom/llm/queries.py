@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import bpe_automaton, pii, quality, secrets, token_counts
+from clusterloom.llm import bpe_automaton, licenses, near_dedup, packing, pii, quality, secrets, token_counts, toxicity
 from clusterloom.llm.common import load
 
 
@@ -26,15 +26,33 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, load(spark, sf_dir, "labels")), threshold=0.7)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_toxic", "toxic_spans")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op8_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op4_near_dedup, op5_packing, op7_toxicity, op8_quality, op9_licenses, op10_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle()}
