@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import bpe_automaton, licenses, near_dedup, packing, pii, quality, secrets, token_counts, toxicity
+from clusterloom.llm import bpe_automaton, licenses, near_dedup, packing, pii, quality, secrets, token_counts, toxicity, vector_dedup
 from clusterloom.llm.common import load
 
 
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.fit(documents, load(spark, sf_dir, "labels")), threshold=0.7)
@@ -52,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op4_near_dedup, op5_packing, op7_toxicity, op8_quality, op9_licenses, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op4_near_dedup, op5_packing, op6_vector_dedup, op7_toxicity, op8_quality, op9_licenses, op10_bpe)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle()}
