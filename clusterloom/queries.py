@@ -1,6 +1,799 @@
-"""The library's own queries and their SQL, by name."""
+"""The library's own queries over whole tables, by the inventory id of what they run, and their SQL for DuckDB.
+
+Figures are rounded to six digits on both sides, as sums depend on the order of rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clusterloom.functions.arrays import literal, quantile, safe_name, softmax
+from clusterloom.operators import central, density, graph, metrics, partitioning, privacy, rounds, run_statistics, scaling, schedule, server, tuning
+from clusterloom.plans import experiments
+from clusterloom.plans.request import RunRequest
+from clusterloom.sources import sinks
+from clusterloom.sources.points import class_codes, expect_shape, from_table, read_arff, read_embeddings, read_line_items, stratified_sample
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def customers(spark, d) -> DataFrame:
+    return from_table(spark, f"{d}/customer.parquet", "c_custkey", ["c_acctbal", "c_nationkey"], "c_mktsegment", "c_nationkey")
+
+
+def orders(spark, d) -> DataFrame:
+    return from_table(spark, f"{d}/orders.parquet", "o_orderkey", ["o_totalprice", "o_custkey"], "o_orderpriority", "o_custkey")
+
+
+def embeddings(spark, d) -> DataFrame:
+    return read_embeddings(spark, f"{d}/embeddings.parquet")
+
+
+def dealt(points: DataFrame, clients: int = 5, seed: int = 42, mode: str = "iid") -> DataFrame:
+    return graph.materialise(points.join(partitioning.make_partition(points, mode, clients, seed), "sample_id"), "dealt")
+
+
+#: SQL of the same points.
+CUST = "cust AS (SELECT c_custkey AS sample_id, c_acctbal::DOUBLE AS x0, c_nationkey::DOUBLE AS x1, c_nationkey AS owner, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS label FROM customer)"
+ORD = "ord AS (SELECT o_orderkey AS sample_id, o_totalprice::DOUBLE AS x0, o_custkey::DOUBLE AS x1, o_custkey AS owner, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS label FROM orders)"
+#: A clustering that any engine can work out: by customer number, every seventh order noise.
+RULED = "ruled AS (SELECT sample_id, owner, label, x0, x1, CASE WHEN sample_id % 7 = 0 THEN -1 ELSE owner % 4 END AS cluster, owner % 6 AS client_id FROM ord)"
+IID = "iid AS (SELECT *, row_number() OVER (ORDER BY sha256('42:' || sample_id), sample_id) - 1 AS rk, count(*) OVER () AS n FROM cust), dealt AS (SELECT *, CASE WHEN rk < (n % 5) * (n // 5 + 1) THEN rk // (n // 5 + 1) ELSE (rk - n % 5) // (n // 5) END AS client_id FROM iid)"
+
+
+def ruled(spark, d) -> DataFrame:
+    rows = orders(spark, d)
+    return rows.select("sample_id", "owner", "label", "features", F.when(F.col("sample_id") % 7 == 0, -1).otherwise(F.col("owner") % 4).cast("int").alias("cluster"), (F.col("owner") % 6).cast("int").alias("client_id"))
+
+
+# Sources and preparation
+
+
+@query(f"WITH {CUST} SELECT sample_id, round(x0, 6) AS x0, round(x1, 6) AS x1, label::INT AS label FROM cust")
+def s1_load_points(spark, d):
+    return customers(spark, d).select("sample_id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[1]).alias("x1"), "label")
+
+
+@query("SELECT c_mktsegment AS segment, count(*)::BIGINT AS n, round(sum(c_acctbal), 4) AS balance FROM customer GROUP BY 1")
+def s2_arff(spark, d):
+    """The customers written as an ARFF table and read again."""
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    head = spark.createDataFrame([("@RELATION customers",), ("@ATTRIBUTE key REAL",), ("@ATTRIBUTE balance REAL",), ("@ATTRIBUTE Class {any}",), ("@DATA",)], "value string")
+    path = f"{graph.shared_folder(spark)}/arff-{abs(hash(d))}-{spark.sparkContext.applicationId}"
+    body = rows.select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), "c_mktsegment").alias("value"))
+    head.coalesce(1).unionByName(body).write.mode("overwrite").text(path)
+    points = read_arff(spark, path)
+    names = class_codes(rows, "c_mktsegment").select("label", F.col("c_mktsegment").alias("segment")).distinct()
+    return points.join(names, "label").groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("features")[1]), 4).alias("balance"))
+
+
+@query("SELECT count(*)::BIGINT AS n, min(len(embedding))::BIGINT AS lo, max(len(embedding))::BIGINT AS hi, count(DISTINCT label)::BIGINT AS classes FROM embeddings")
+def s3_expect_shape(spark, d):
+    points = expect_shape(embeddings(spark, d), features=64)
+    return points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).cast("bigint").alias("lo"), F.max(F.size("features")).cast("bigint").alias("hi"), F.count_distinct("label").alias("classes"))
+
+
+@query(f"WITH {CUST} SELECT sample_id, round(x0 / 255.0, 6) AS x0, round(x1 / 255.0, 6) AS x1 FROM cust")
+def s5_scale_unit(spark, d):
+    return scaling.scale_unit(customers(spark, d)).select("sample_id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[1]).alias("x1"))
+
+
+@query(f"""WITH {ORD}, c AS (SELECT label, count(*) AS m, (SELECT count(*) FROM ord) AS n FROM ord GROUP BY label),
+q AS (SELECT label, floor(500 * m / n)::INT AS base, row_number() OVER (ORDER BY 500 * m / n - floor(500 * m / n) DESC, label::VARCHAR) AS rk, 500 - sum(floor(500 * m / n)) OVER () AS more FROM c),
+r AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('3:' || sample_id), sample_id) - 1 AS place FROM ord)
+SELECT sample_id, label::INT AS label FROM r JOIN q USING (label) WHERE place < base + CASE WHEN rk <= more THEN 1 ELSE 0 END""")
+def s6_stratified_sample(spark, d):
+    return stratified_sample(orders(spark, d), 500, 3).select("sample_id", "label")
+
+
+@query(f"WITH {ORD} SELECT count(*)::BIGINT AS row_count, 2::BIGINT AS width, true AS valid FROM ord")
+def p1_validate_points(spark, d):
+    points = orders(spark, d)
+    found = scaling.validate_points(points)
+    return points.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(found["features"]).cast("bigint").alias("width"), (F.col("row_count") == found["rows"]).alias("valid"))
+
+
+@query(f"WITH {ORD}, m AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM ord) SELECT sample_id, round((x0 - m0) / s0, 6) AS x0, round((x1 - m1) / s1, 6) AS x1 FROM ord, m")
+def p3_scale_standard(spark, d):
+    return scaling.scale_standard(orders(spark, d)).select("sample_id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[1]).alias("x1"))
+
+
+@query(f"WITH {ORD}, m AS (SELECT min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1 FROM ord) SELECT sample_id, round((x0 - a0) / (b0 - a0), 6) AS x0, round((x1 - a1) / (b1 - a1), 6) AS x1 FROM ord, m")
+def p4_scale_minmax(spark, d):
+    return scaling.scale_minmax(orders(spark, d)).select("sample_id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[1]).alias("x1"))
+
+
+@query(f"WITH {ORD} SELECT sample_id, round((x0 - 150000.0) / 90000.0, 6) AS x0, round((x1 - 700.0) / 400.0, 6) AS x1 FROM ord")
+def p6_scale_public(spark, d):
+    return scaling.scale_public(orders(spark, d), [150000.0, 700.0], [90000.0, 400.0]).select("sample_id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[1]).alias("x1"))
+
+
+@query(f"WITH {CUST}, c AS (SELECT *, least(1.0, 4000.0 / greatest(sqrt(x0 * x0 + x1 * x1), 1e-12)) AS f FROM cust) SELECT sample_id, round(x0 * f, 5) AS x0, round(x1 * f, 5) AS x1 FROM c")
+def p7_clip_l2(spark, d):
+    return scaling.clip_l2(customers(spark, d), 4000.0).select("sample_id", F.round(F.col("features")[0], 5).alias("x0"), F.round(F.col("features")[1], 5).alias("x1"))
+
+
+@query(f"""WITH {CUST}, n AS (SELECT sqrt(x0 * x0 + x1 * x1) AS v FROM cust) SELECT round(avg((v > 4000)::INT), 6) AS clipped_fraction, round(quantile_cont(v, 0.5), 5) AS median_norm,
+round(quantile_cont(v, 0.95), 5) AS p95_norm, round(avg(greatest(v - 4000, 0)), 5) AS mean_shift FROM n""")
+def p8_clip_report(spark, d):
+    r = scaling.clip_report(customers(spark, d), 4000.0)
+    return r.select(r6("clipped_fraction").alias("clipped_fraction"), *[F.round(c, 5).alias(c) for c in ("median_norm", "p95_norm", "mean_shift")])
+
+
+@query(f"WITH {ORD}, {RULED} SELECT cluster::INT AS cluster, count(*)::BIGINT AS n FROM ruled WHERE cluster <> -1 GROUP BY 1")
+def p9_assigned(spark, d):
+    return scaling.assigned(ruled(spark, d)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Partitions
+
+
+@query(f"WITH {CUST}, {IID} SELECT sample_id, client_id::INT AS client_id FROM dealt")
+def a1_partition_iid(spark, d):
+    return partitioning.partition_iid(customers(spark, d), 5, 42)
+
+
+@query()
+def a2_partition_dirichlet(spark, d):
+    points = orders(spark, d)
+    return partitioning.partition_dirichlet(points, 5, 0.3, 42).join(points.select("sample_id", "label"), "sample_id").groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {CUST}, n AS (SELECT count(*) AS n FROM cust), w AS (SELECT i, 1.0 + 2.0 * i / 4 AS w FROM range(5) t(i)), s AS (SELECT i, n * w / sum(w) OVER () AS share, n FROM w, n),
+q AS (SELECT i, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, i) <= n - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS size FROM s),
+e AS (SELECT i, sum(size) OVER (ORDER BY i) AS hi, sum(size) OVER (ORDER BY i) - size AS lo FROM q),
+r AS (SELECT sample_id, row_number() OVER (ORDER BY sha256('42:' || sample_id), sample_id) - 1 AS rk FROM cust) SELECT sample_id, i::INT AS client_id FROM r JOIN e ON rk >= lo AND rk < hi""")
+def a3_partition_quantity(spark, d):
+    return partitioning.partition_quantity(customers(spark, d), 5, 42)
+
+
+@query()
+def a4_partition_label_limited(spark, d):
+    points = orders(spark, d)
+    return partitioning.partition_label_limited(points, 5, 2, 42).join(points.select("sample_id", "label"), "sample_id").groupBy("client_id").agg(F.count_distinct("label").alias("labels"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ORD}, {RULED} SELECT client_id::INT AS client_id, label::INT AS label, count(*)::BIGINT AS n FROM ruled GROUP BY 1, 2")
+def a6_client_class_counts(spark, d):
+    rows = ruled(spark, d)
+    return partitioning.client_class_counts(rows.select("sample_id", "client_id"), rows).select("client_id", F.explode("class_counts").alias("label", "n"))
+
+
+@query(f"WITH {ORD}, {RULED} SELECT client_id::INT AS client_id, count(*)::BIGINT AS n FROM ruled GROUP BY 1")
+def a7_client_sizes(spark, d):
+    return partitioning.client_sizes(ruled(spark, d))
+
+
+@query("SELECT count(*)::BIGINT AS row_count, count(*)::BIGINT AS assigned, count(DISTINCT c_custkey)::BIGINT AS distinct_assigned, 0::BIGINT AS missing FROM customer")
+def a8_check_cover(spark, d):
+    points = customers(spark, d)
+    return partitioning.check_cover(points, partitioning.partition_iid(points, 7, 1)).withColumnRenamed("rows", "row_count")
+
+
+@query(f"""WITH {ORD}, {RULED}, d AS (SELECT sha256(client_id || ':' || sample_id) AS d FROM ruled), s AS (SELECT d[1:2] AS b, d[3:4] AS s, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM d GROUP BY 1, 2),
+m AS (SELECT b, sha256(string_agg(s || d, ',' ORDER BY s || d)) AS d FROM s GROUP BY 1) SELECT sha256(string_agg(b || d, ',' ORDER BY b || d))[1:16] AS fingerprint FROM m""")
+def a9_partition_fingerprint(spark, d):
+    return partitioning.partition_fingerprint(ruled(spark, d))
+
+
+@query(f"WITH {ORD} SELECT sample_id, (dense_rank() OVER (ORDER BY owner) - 1)::INT AS client_id FROM ord")
+def a10_natural_clients(spark, d):
+    return partitioning.partition_by_column(orders(spark, d), "owner")
+
+
+HET = f"""WITH {ORD}, {RULED}, c AS (SELECT client_id, label, count(*) AS nl FROM ruled GROUP BY 1, 2), s AS (SELECT client_id, sum(nl) AS n, count(*) AS support FROM c GROUP BY 1),
+g AS (SELECT label, sum(nl) / sum(sum(nl)) OVER () AS q FROM c GROUP BY 1),
+p AS (SELECT s.client_id, n, support, q, coalesce(nl, 0) / n AS p FROM s CROSS JOIN g LEFT JOIN c ON c.client_id = s.client_id AND c.label = g.label),
+j AS (SELECT client_id, n, support, greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0) AS js FROM p GROUP BY 1, 2, 3)"""
+
+
+@query(HET + "SELECT round(stddev_pop(n) / avg(n), 6) AS size_cv, min(n)::BIGINT AS min_size, max(n)::BIGINT AS max_size, round(sum(n * js) / sum(n), 6) AS weighted_js, round(max(js), 6) AS max_js, min(support)::BIGINT AS min_support, round(avg(support), 6) AS mean_support FROM j")
+def a11_heterogeneity(spark, d):
+    rows = ruled(spark, d)
+    h = partitioning.heterogeneity(rows.select("sample_id", "client_id"), rows)
+    return h.select(*[(r6(c) if c in ("size_cv", "weighted_js", "max_js", "mean_support") else F.col(c).cast("bigint")).alias(c) for c in h.columns])
+
+
+# Schedules
+
+
+SCHED = """g AS (SELECT r.range::INT AS round, c.client_id FROM range(1, 7) r, (SELECT n_nationkey::INT AS client_id FROM nation) c),
+k AS (SELECT *, sha256('9:' || round || ':' || client_id) AS key, (('0x' || sha256('10:' || round || ':' || client_id)[1:13])::BIGINT / 4503599627370496.0) < 0.4 AS gone FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY key, client_id) AS place FROM k), s AS (SELECT * FROM p WHERE place <= 15),
+sched AS (SELECT round, client_id, CASE WHEN NOT gone OR (place = 1 AND bool_and(gone) OVER (PARTITION BY round)) THEN 'successful' ELSE 'dropped' END AS status FROM s)"""
+
+
+def nation_schedule(spark, d) -> DataFrame:
+    return schedule.make_schedule(spark, spark.read.parquet(f"{d}/nation.parquet").count(), 6, 0.6, 0.4, 9)
+
+
+@query(f"WITH {SCHED} SELECT * FROM sched")
+def e1_schedule(spark, d):
+    return nation_schedule(spark, d)
+
+
+@query(f"WITH {SCHED} SELECT client_id FROM sched WHERE round = 1 AND status = 'successful'")
+def e2_first_round_clients(spark, d):
+    return schedule.first_round_clients(nation_schedule(spark, d))
+
+
+@query(f"""WITH {SCHED}, t AS (SELECT c_nationkey AS client_id, sha256(c_custkey::VARCHAR) AS h FROM customer),
+c AS (SELECT client_id, count(*) AS n, sum(('0x' || h[1:13])::BIGINT)::HUGEINT AS a, sum(('0x' || h[14:26])::BIGINT)::HUGEINT AS b FROM t GROUP BY 1),
+r AS (SELECT round, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM sched JOIN c USING (client_id) WHERE status = 'successful' GROUP BY 1)
+SELECT round, n::BIGINT AS active_rows, sha256(n::VARCHAR || ':' || a::VARCHAR || ':' || b::VARCHAR)[1:16] AS active_hash FROM r""")
+def e3_active_data(spark, d):
+    own = customers(spark, d).select("sample_id", F.col("owner").cast("int").alias("client_id"))
+    return schedule.active_data(own, nation_schedule(spark, d))
+
+
+@query(f"WITH {SCHED} SELECT count(*) FILTER (client_id < 0 OR client_id >= 25)::BIGINT AS unknown_clients, 0::BIGINT AS empty_rounds FROM sched")
+def e5_validate_schedule(spark, d):
+    return schedule.validate_schedule(nation_schedule(spark, d), 25)
+
+
+@query(f"WITH {SCHED} SELECT c_nationkey::INT AS client_id, count(*)::BIGINT AS n FROM customer WHERE c_nationkey IN (SELECT client_id FROM sched WHERE round = 6 AND status = 'successful') GROUP BY 1")
+def p10_active_points(spark, d):
+    """Round 99 is beyond the schedule, so its last round counts."""
+    own = customers(spark, d).withColumn("client_id", F.col("owner").cast("int"))
+    return schedule.active_points(own, nation_schedule(spark, d), 99).groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Starts and rounds
+
+
+@query("SELECT c_custkey AS sample_id, row_number() OVER (ORDER BY sha256('42:' || c_custkey), c_custkey)::INT AS place FROM customer ORDER BY sha256('42:' || c_custkey), c_custkey LIMIT 4")
+def i1_priority_centers(spark, d):
+    """The four rows of least priority; found again as the least of all clients' candidates."""
+    points = customers(spark, d).withColumn("client_id", F.col("owner").cast("int"))
+    best = rounds.priority_candidates(points, 4, 42).orderBy("priority", "sample_id").limit(4)
+    return best.select("sample_id", F.row_number().over(Window.orderBy("priority", "sample_id")).alias("place"))
+
+
+@query("SELECT c_nationkey::INT AS client_id, least(count(*), 4)::BIGINT AS candidates, (least(count(*), 4) * 32)::BIGINT AS bytes FROM customer GROUP BY 1")
+def i2_init_report(spark, d):
+    r = rounds.init_report(customers(spark, d).withColumn("client_id", F.col("owner").cast("int")), 4, 42)
+    return r.select("client_id", "candidates", F.col("bytes").cast("bigint").alias("bytes"))
+
+
+@query(f"WITH {CUST} SELECT 0 AS pos, round(avg(x0 * x0) - avg(x0) * avg(x0), 3) AS variance FROM cust UNION ALL SELECT 1, round(avg(x1 * x1) - avg(x1) * avg(x1), 3) FROM cust")
+def i3_moments_variance(spark, d):
+    v = rounds.moments_variance(customers(spark, d))
+    return spark.createDataFrame([(i, round(float(x), 3)) for i, x in enumerate(v)], "pos int, variance double")
+
+
+START = "start AS (SELECT row_number() OVER (ORDER BY sha256('42:' || sample_id), sample_id) - 1 AS cluster, x0 AS c0, x1 AS c1 FROM (SELECT * FROM cust ORDER BY sha256('42:' || sample_id), sample_id LIMIT 3))"
+NEAR = "{out} AS (SELECT sample_id, x0, x1, cluster FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY (x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1), cluster) AS place FROM cust, {centers}) WHERE place = 1)"
+STEP = NEAR + ", {new} AS (SELECT cluster, avg(x0) AS c0, avg(x1) AS c1 FROM {out} GROUP BY 1)"
+
+
+@query(f"WITH {CUST}, {START}, {NEAR.format(out='near', centers='start')} SELECT sample_id, cluster::INT AS cluster FROM near")
+def c1_assign_nearest(spark, d):
+    points = customers(spark, d)
+    return rounds.assign_nearest(points, rounds.priority_centers(points, 3, 42), keep=["sample_id"]).select("sample_id", "cluster")
+
+
+@query(f"WITH {CUST}, {START}, {STEP.format(out='n1', centers='start', new='s1')}, {STEP.format(out='n2', centers='s1', new='s2')}, {NEAR.format(out='n3', centers='s2')} SELECT cluster::INT AS cluster, count(*)::BIGINT AS n, round(sum(x0), 4) AS total FROM n3 GROUP BY 1")
+def f1_fed_kmeans_two_rounds(spark, d):
+    points = dealt(customers(spark, d))
+    result = rounds.fed_kmeans(points, 3, rounds=2, tol=1e-12, seed=42)
+    return result.predictions.join(points.select("sample_id", "features"), "sample_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("features")[0]), 4).alias("total"))
+
+
+def scores(spark, result, points: DataFrame) -> DataFrame:
+    scored = graph.materialise(result.predictions.select("sample_id", "cluster").join(points, "sample_id"), "scored")
+    return metrics.compute_metrics(scored, ["ari", "nmi", "davies_bouldin", "calinski_harabasz"]).crossJoin(metrics.label_diagnostics(scored, 10)).withColumn("communication_bytes", F.lit(result.communication_bytes)).withColumn("rounds", F.lit(len(result.history)))
+
+
+def flagship(spark, d) -> DataFrame:
+    """Per client: sizes and scores of federated k-means over standardised embeddings."""
+    points = dealt(scaling.scale_standard(embeddings(spark, d)))
+    result = rounds.fed_kmeans(points, 10, rounds=10, seed=42)
+    return metrics.client_metrics(result.predictions).crossJoin(metrics.external(metrics.contingency(result.predictions)).select(F.col("ari").alias("all_ari"), F.col("nmi").alias("all_nmi")))
+
+
+@query()
+def f1_fed_kmeans(spark, d):
+    return flagship(spark, d)
+
+
+@query()
+def f1_fed_kmeans_line_items(spark, d):
+    """Suppliers as clients, on the largest table."""
+    points = graph.materialise(scaling.scale_standard(read_line_items(spark, f"{d}/lineitem.parquet")).withColumn("client_id", F.col("owner").cast("int")), "line-items")
+    result = rounds.fed_kmeans(points, 5, rounds=5, seed=42)
+    return result.predictions.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients"))
+
+
+@query()
+def f2_fed_fuzzy_cmeans(spark, d):
+    points = dealt(scaling.scale_standard(orders(spark, d)))
+    return scores(spark, rounds.fed_fuzzy_cmeans(points, 4, rounds=4), points)
+
+
+@query()
+def f3_fed_gmm_diag(spark, d):
+    points = dealt(scaling.scale_standard(orders(spark, d)))
+    return scores(spark, rounds.fed_gmm_diag(points, 4, rounds=4), points)
+
+
+@query()
+def f4_selected_downlink(spark, d):
+    points = dealt(scaling.scale_standard(customers(spark, d)))
+    plan = graph.materialise(schedule.make_schedule(spark, 5, 4, 0.6, 0.4, 7), "schedule")
+    return scores(spark, rounds.fed_kmeans(points, 3, rounds=4, schedule=plan, early_stop=False, downlink="selected"), points)
+
+
+@query()
+def f5_fed_server_kmeans(spark, d):
+    points = dealt(scaling.scale_standard(embeddings(spark, d)))
+    return scores(spark, server.fed_server_kmeans(points, 10, rounds=3), points)
+
+
+@query()
+def f6_fed_grid_density(spark, d):
+    points = dealt(scaling.scale_minmax(orders(spark, d)))
+    return scores(spark, density.fed_grid_density(points, 0.05, 4), points)
+
+
+@query()
+def f8_fed_snn_peaks(spark, d):
+    points = dealt(scaling.scale_standard(embeddings(spark, d)))
+    return scores(spark, server.fed_snn_peaks(points, 10, 20), points)
+
+
+@query()
+def f9_fed_nn_peaks(spark, d):
+    points = dealt(scaling.scale_standard(embeddings(spark, d)))
+    return scores(spark, server.fed_snn_peaks(points, 10, 2, (3, 50)), points)
+
+
+@query()
+def f10_fed_personalised(spark, d):
+    points = dealt(embeddings(spark, d))
+    return server.fed_personalised(points, 10, 3).model["client_costs"]
+
+
+@query(f"WITH {SCHED}, o AS (SELECT round, count(*) FILTER (status = 'successful') AS ok FROM sched GROUP BY 1) SELECT round, (ok * (8 * (3 * 2 + 3)) + ok * 8 * 3 * 2)::BIGINT AS bytes FROM o")
+def f11_communication_bytes(spark, d):
+    up, down = rounds.message_bytes("kmeans", 3, 2)
+    ok = F.count(F.when(F.col("status") == "successful", 1))
+    return nation_schedule(spark, d).groupBy("round").agg((ok * up + ok * down).cast("bigint").alias("bytes"))
+
+
+@query()
+def c2_kmeans(spark, d):
+    points = scaling.scale_standard(embeddings(spark, d))
+    return scores(spark, rounds.kmeans(points, 10, n_init=2, max_iter=20), points)
+
+
+@query()
+def c3_gmm(spark, d):
+    points = graph.materialise(scaling.scale_standard(orders(spark, d)), "points")
+    return scores(spark, central.gmm(points, 4, max_iter=5), points)
+
+
+@query()
+def c7_agglomerative(spark, d):
+    points = scaling.scale_standard(embeddings(spark, d))
+    return scores(spark, central.agglomerative(points, 10, micro=300), points)
+
+
+# Neighbours and density
+
+
+NORMED = f"{CUST}, m AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM cust), pt AS (SELECT sample_id, (x0 - m0) / s0 AS x0, (x1 - m1) / s1 AS x1 FROM cust, m)"
+
+
+@query(f"WITH {NORMED}, p AS (SELECT a.sample_id AS a, b.sample_id AS b, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d FROM pt a, pt b) SELECT a AS sample_id, count(*)::BIGINT AS n FROM p WHERE d <= 0.05 GROUP BY 1")
+def j2_range_join(spark, d):
+    return density.range_join(scaling.scale_standard(customers(spark, d)), 0.05).groupBy(F.col("a").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NORMED}, p AS (SELECT a.sample_id AS a, greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) AS d FROM pt a, pt b) SELECT a AS sample_id, count(*)::BIGINT AS n FROM p WHERE d <= 0.05 GROUP BY 1")
+def j2_range_join_chebyshev(spark, d):
+    return density.range_join(scaling.scale_standard(customers(spark, d)), 0.05, "chebyshev").groupBy(F.col("a").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NORMED}, p AS (SELECT a.sample_id AS a, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d FROM pt a, pt b), r AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS place FROM p) SELECT a AS sample_id, round(d, 6) AS d FROM r WHERE place = 5")
+def j3_kth_neighbour(spark, d):
+    return density.kth_distances(scaling.scale_standard(customers(spark, d)), 5).select("sample_id", r6("d").alias("d"))
+
+
+@query(f"WITH {NORMED}, p AS (SELECT a.sample_id AS a, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d FROM pt a, pt b), r AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS place FROM p) SELECT round(quantile_cont(d, 0.5), 6) AS eps FROM r WHERE place = 5")
+def c5_kdist_eps(spark, d):
+    return density.kth_distances(scaling.scale_standard(customers(spark, d)), 5).agg(r6(quantile("d", 0.5)).alias("eps"))
+
+
+@query(f"""WITH RECURSIVE {NORMED}, p AS (SELECT a.sample_id AS a, b.sample_id AS b FROM pt a, pt b WHERE sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) <= 0.04),
+core AS (SELECT a FROM p GROUP BY 1 HAVING count(*) >= 5), e AS (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), comp AS (SELECT a, min(b) AS root FROM reach GROUP BY 1),
+lab AS (SELECT p.a, coalesce(min(own.root), min(comp.root)) AS root FROM p LEFT JOIN comp ON p.b = comp.a LEFT JOIN comp own ON own.a = p.a GROUP BY 1), num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM lab WHERE root IS NOT NULL))
+SELECT lab.a AS sample_id, coalesce(cluster, -1)::INT AS cluster FROM lab LEFT JOIN num USING (root)""")
+def c4_dbscan(spark, d):
+    return density.dbscan(scaling.scale_standard(customers(spark, d)), 0.04, 5).predictions.select("sample_id", "cluster")
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS s, 1000000 + min(l_partkey) AS p FROM lineitem GROUP BY l_suppkey, l_linenumber), b AS (SELECT s AS x, p AS y FROM e UNION SELECT p, s FROM e),
+r(x, y) AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x) SELECT x AS node, least(x, min(y)) AS component FROM r GROUP BY x""")
+def j5_components(spark, d):
+    """Suppliers and the least part of each of their line numbers as a graph."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey", "l_linenumber").agg((F.min("l_partkey") + 1000000).alias("dst"))
+    return graph.connected_components(rows.select(F.col("l_suppkey").alias("src"), "dst"))
+
+
+@query(f"WITH {ORD}, c AS (SELECT floor(x0 / 20000.0)::INT AS a, floor(x1 / 100.0)::INT AS b, count(*) AS n FROM ord GROUP BY 1, 2), d AS (SELECT a, b FROM c WHERE n >= 4) SELECT d.a::BIGINT AS a, d.b::BIGINT AS b, count(o.a)::BIGINT AS n FROM d LEFT JOIN d o ON abs(d.a - o.a) + abs(d.b - o.b) = 1 GROUP BY 1, 2")
+def j4_axial_neighbours(spark, d):
+    """Dense cells and how many of their axial neighbours are dense."""
+    points = orders(spark, d).withColumn("features", F.zip_with("features", literal([20000.0, 100.0]), lambda x, s: x / s))
+    dense = density.grid_cells(points, 1.0).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select("cell")
+    hits = density.axial_neighbours(dense).join(dense.withColumnRenamed("cell", "neighbour"), "neighbour").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return dense.join(hits, "cell", "left").select(F.col("cell")[0].cast("bigint").alias("a"), F.col("cell")[1].cast("bigint").alias("b"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# Metrics
+
+
+CONT = f"WITH {ORD}, {RULED}, c AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM ruled GROUP BY 1, 2), a AS (SELECT label, sum(n) AS n FROM c GROUP BY 1), b AS (SELECT cluster, sum(n) AS n FROM c GROUP BY 1), t AS (SELECT sum(n) AS n FROM c)"
+
+
+@query(CONT + "SELECT label::INT AS label, cluster::INT AS cluster, n::BIGINT AS n FROM c")
+def m1_contingency(spark, d):
+    return metrics.contingency(ruled(spark, d))
+
+
+@query(CONT + """, s AS (SELECT (SELECT sum(n * n) FROM c) AS c, (SELECT sum(n * n) FROM a) AS a, (SELECT sum(n * n) FROM b) AS b, (SELECT n FROM t) AS n), q AS (SELECT c - n AS tp, b - c AS fp, a - c AS fn, n * n - a - b + c AS tn FROM s)
+SELECT round(2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)), 6) AS ari FROM q""")
+def m2_ari(spark, d):
+    return metrics.external(metrics.contingency(ruled(spark, d))).select(r6("ari").alias("ari"))
+
+
+@query(CONT + """, mi AS (SELECT sum(c.n / t.n * ln(t.n * c.n / (a.n * b.n))) AS v FROM c JOIN a USING (label) JOIN b USING (cluster), t), h AS (SELECT (SELECT -sum(a.n / t.n * ln(a.n / t.n)) FROM a, t) AS ha, (SELECT -sum(b.n / t.n * ln(b.n / t.n)) FROM b, t) AS hb)
+SELECT round(v / ((ha + hb) / 2), 6) AS nmi FROM mi, h""")
+def m3_nmi(spark, d):
+    return metrics.external(metrics.contingency(ruled(spark, d))).select(r6("nmi").alias("nmi"))
+
+
+@query()
+def m4_ami(spark, d):
+    return metrics.ami(metrics.contingency(ruled(spark, d)))
+
+
+@query(f"""WITH {ORD}, {RULED}, s AS (SELECT * FROM ruled ORDER BY sha256('42:' || sample_id), sample_id LIMIT 400), z AS (SELECT * FROM s WHERE cluster <> -1),
+p AS (SELECT a.sample_id, a.cluster, b.cluster AS oc, sum(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)) AS s, count(*) AS m FROM z a, z b GROUP BY 1, 2, 3),
+q AS (SELECT sample_id, max(CASE WHEN oc = cluster AND m > 1 THEN s / (m - 1) END) AS a, min(CASE WHEN oc <> cluster THEN s / m END) AS b FROM p GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""")
+def m5_silhouette(spark, d):
+    return metrics.silhouette(ruled(spark, d), max_points=400).select(r6("silhouette").alias("silhouette"))
+
+
+GEO = f"WITH {ORD}, {RULED}, z AS (SELECT * FROM ruled WHERE cluster <> -1), k AS (SELECT cluster, avg(x0) AS c0, avg(x1) AS c1, count(*) AS n FROM z GROUP BY 1)"
+
+
+@query(GEO + """, s AS (SELECT cluster, c0, c1, avg(sqrt((x0 - c0) ** 2 + (x1 - c1) ** 2)) AS s FROM z JOIN k USING (cluster) GROUP BY 1, 2, 3),
+p AS (SELECT a.cluster, max((a.s + b.s) / sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2)) AS r FROM s a, s b WHERE a.cluster <> b.cluster GROUP BY 1) SELECT round(avg(r), 4) AS davies_bouldin FROM p""")
+def m6_davies_bouldin(spark, d):
+    return metrics.davies_bouldin(ruled(spark, d)).select(F.round("davies_bouldin", 4).alias("davies_bouldin"))
+
+
+@query(GEO + """, g AS (SELECT avg(x0) AS g0, avg(x1) AS g1, count(*) AS n FROM z), b AS (SELECT sum(k.n * ((c0 - g0) ** 2 + (c1 - g1) ** 2)) AS b, count(*) AS k FROM k, g),
+w AS (SELECT sum((x0 - c0) ** 2 + (x1 - c1) ** 2) AS w FROM z JOIN k USING (cluster)) SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS calinski_harabasz FROM b, w, g""")
+def m7_calinski_harabasz(spark, d):
+    return metrics.calinski_harabasz(ruled(spark, d)).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+@query(f"""WITH {ORD}, {RULED}, s AS (SELECT cluster, count(*) AS n FROM ruled GROUP BY 1) SELECT count(*)::BIGINT AS distinct_labels, count(*) FILTER (cluster <> -1)::BIGINT AS clusters_found, (count(*) FILTER (cluster <> -1) - 5)::BIGINT AS cluster_delta,
+round(1 - sum(n) FILTER (cluster <> -1) / sum(n), 6) AS noise_fraction, round(max(n) FILTER (cluster <> -1) / sum(n) FILTER (cluster <> -1), 6) AS dominant_cluster_fraction, 'ok' AS status FROM s""")
+def m10_label_diagnostics(spark, d):
+    r = metrics.label_diagnostics(ruled(spark, d), 5)
+    return r.select("distinct_labels", "clusters_found", "cluster_delta", r6("noise_fraction").alias("noise_fraction"), r6("dominant_cluster_fraction").alias("dominant_cluster_fraction"), "status")
+
+
+CANON = f"WITH {ORD}, {RULED}, f AS (SELECT cluster, row_number() OVER (ORDER BY min(sample_id)) - 1 AS c FROM ruled WHERE cluster <> -1 GROUP BY 1), canon AS (SELECT sample_id, coalesce(c, -1)::INT AS cluster FROM ruled LEFT JOIN f USING (cluster))"
+
+
+@query(CANON + "SELECT * FROM canon")
+def m12_canonical_labels(spark, d):
+    return metrics.canonical_labels(ruled(spark, d))
+
+
+@query(CANON + """, d AS (SELECT sha256(cluster || ':' || sample_id) AS d FROM canon), s AS (SELECT d[1:2] AS b, d[3:4] AS s, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM d GROUP BY 1, 2),
+m AS (SELECT b, sha256(string_agg(s || d, ',' ORDER BY s || d)) AS d FROM s GROUP BY 1) SELECT sha256(string_agg(b || d, ',' ORDER BY b || d))[1:16] AS fingerprint FROM m""")
+def m13_prediction_fingerprint(spark, d):
+    return metrics.prediction_fingerprint(ruled(spark, d))
+
+
+@query()
+def m14_matrix_fingerprint(spark, d):
+    return metrics.matrix_fingerprint(embeddings(spark, d))
+
+
+CLIENT = f"""WITH {ORD}, {RULED}, c AS (SELECT client_id, label, cluster, count(*)::DOUBLE AS n FROM ruled GROUP BY 1, 2, 3), a AS (SELECT client_id, label, sum(n) AS a FROM c GROUP BY 1, 2), b AS (SELECT client_id, cluster, sum(n) AS b FROM c GROUP BY 1, 2),
+t AS (SELECT client_id, sum(n) AS t, sum(n * n) AS cc FROM c GROUP BY 1), a2 AS (SELECT client_id, sum(a * a) AS aa, count(*) AS classes FROM a GROUP BY 1), b2 AS (SELECT client_id, sum(b * b) AS bb, count(*) FILTER (cluster <> -1) AS clusters FROM b GROUP BY 1),
+q AS (SELECT client_id, t AS n, classes, clusters, cc - t AS tp, bb - cc AS fp, aa - cc AS fn, t * t - aa - bb + cc AS tn FROM t JOIN a2 USING (client_id) JOIN b2 USING (client_id)),
+per AS (SELECT client_id, n, classes, clusters, 2 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) AS ari FROM q)"""
+
+
+@query(CLIENT + "SELECT client_id::INT AS client_id, n::BIGINT AS n, classes::BIGINT AS classes, clusters::BIGINT AS clusters, round(ari, 6) AS ari FROM per")
+def m15_client_metrics(spark, d):
+    return metrics.client_metrics(ruled(spark, d)).select("client_id", "n", "classes", "clusters", r6("ari").alias("ari"))
+
+
+@query(CLIENT + "SELECT round(avg(ari), 6) AS ari_mean, round(sum(n * ari) / sum(n), 6) AS ari_weighted, round(min(ari), 6) AS ari_worst, round(stddev_pop(ari), 6) AS ari_std FROM per")
+def m16_client_summary(spark, d):
+    r = metrics.client_summary(metrics.client_metrics(ruled(spark, d)), ("ari",))
+    return r.select(*[r6(c).alias(c) for c in r.columns])
+
+
+@query()
+def m17_shuffled_ari(spark, d):
+    return metrics.shuffled_ari(orders(spark, d))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM orders WHERE o_totalprice / 100000.0 > 1 + 1e-9 OR o_totalprice / 100000.0 < -1 - 1e-9")
+def m18_check_rows(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_totalprice") / 100000.0).alias("ari"))
+    return metrics.check_rows(rows).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def m19_result_row(spark, d):
+    row = metrics.result_row(ruled(spark, d), "ruled", 5, {"k": 5}, {"mode": "local"}, ["ari", "nmi", "davies_bouldin"])
+    return row.withColumn("parameters", F.to_json("parameters")).withColumn("environment", F.to_json("environment"))
+
+
+# Two real labelings
+
+
+@query("""WITH j AS (SELECT quality AS label, toxic AS cluster FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL) SELECT label::INT AS label, cluster::INT AS cluster, count(*)::BIGINT AS n FROM j GROUP BY 1, 2""")
+def j8_label_join(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("quality is not null and toxic is not null")
+    return metrics.contingency(rows.select(F.col("quality").alias("label"), F.col("toxic").alias("cluster")))
+
+
+# Privacy
+
+
+@query()
+def d2_dp_input(spark, d):
+    """One private release, scored by how many rows it holds and its width."""
+    out = privacy.dp_input(scaling.scale_standard(orders(spark, d)), 5.0, 1e-5, 1.0)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width"))
+
+
+@query()
+def d5_dp_rounds(spark, d):
+    points = dealt(scaling.scale_public(orders(spark, d), [150000.0, 700.0], [90000.0, 400.0]))
+    result = privacy.fed_rounds_dp("kmeans", points, 3, 3, 5.0, 1e-5, 4.0)
+    return result.predictions.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def d6_matched_control(spark, d):
+    points = dealt(scaling.scale_public(orders(spark, d), [150000.0, 700.0], [90000.0, 400.0]))
+    return scores(spark, privacy.fed_rounds_dp("kmeans", points, 3, 3, 5.0, 1e-5, 4.0, enabled=False), points)
+
+
+@query()
+def d9_dp_server(spark, d):
+    points = dealt(scaling.scale_public(orders(spark, d), [150000.0, 700.0], [90000.0, 400.0]))
+    return privacy.fed_server_dp("snn", points, 3, 20.0, 1e-5, 4.0).predictions.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def d10_dp_grid_density(spark, d):
+    points = dealt(scaling.scale_public(orders(spark, d), [150000.0, 700.0], [90000.0, 400.0]))
+    return privacy.fed_grid_density_dp(points, 20.0, 1e-5, 4.0).predictions.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+RUNS = """runs AS (SELECT o_orderstatus AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'iid_full' ELSE 'dirichlet_01_full' END AS scenario, CASE WHEN o_custkey % 3 = 0 THEN 'a' WHEN o_custkey % 3 = 1 THEN 'b' ELSE 'c' END AS algorithm,
+(o_orderkey // 8)::INT AS seed, NULL::VARCHAR AS partition_fingerprint, (o_totalprice / 1000000.0)::DOUBLE AS ari, (o_orderkey % 5)::VARCHAR AS prediction_hash, CASE WHEN o_custkey % 11 = 0 THEN 'degenerate' ELSE 'ok' END AS status,
+CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE (o_custkey % 4)::DOUBLE END AS epsilon, (o_custkey % 7) / 10.0 AS js FROM orders)"""
+
+
+def runs(spark, d) -> DataFrame:
+    """Orders read as stored result rows."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    c = F.col("o_custkey")
+    return o.select(
+        F.col("o_orderstatus").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, "iid_full").otherwise("dirichlet_01_full").alias("scenario"),
+        F.when(c % 3 == 0, "a").when(c % 3 == 1, "b").otherwise("c").alias("algorithm"), F.floor(F.col("o_orderkey") / 8).cast("int").alias("seed"),
+        F.lit(None).cast("string").alias("partition_fingerprint"), (F.col("o_totalprice") / 1000000.0).cast("double").alias("ari"), (F.col("o_orderkey") % 5).cast("string").alias("prediction_hash"),
+        F.when(c % 11 == 0, "degenerate").otherwise("ok").alias("status"), F.when(c % 4 != 0, (c % 4).cast("double")).alias("epsilon"), ((c % 7) / 10.0).alias("js"),
+    )
+
+
+@query(f"WITH {RUNS}, e AS (SELECT dataset AS experiment_id, least(1.0, sum(js)) AS delta, sum(coalesce(epsilon, 0)) AS eps, count(*)::BIGINT AS algorithms FROM runs GROUP BY 1) SELECT experiment_id, round(eps, 6) AS eps, round(delta, 6) AS delta, algorithms, false AS report_is_private FROM e")
+def d11_dp_ledger(spark, d):
+    rows = runs(spark, d).select(F.col("dataset").alias("experiment_id"), F.coalesce("epsilon", F.lit(0.0)).alias("eps"), F.col("js").alias("delta"))
+    return privacy.dp_ledger(rows).withColumn("eps", r6("eps")).withColumn("delta", r6("delta"))
+
+
+# Run statistics
+
+
+@query(f"WITH {RUNS} SELECT dataset, scenario, algorithm, count(ari)::BIGINT AS n, round(avg(ari), 6) AS mean, round(CASE WHEN count(ari) > 1 THEN stddev_samp(ari) END, 6) AS sd, round(min(ari), 6) AS min, round(max(ari), 6) AS max FROM runs GROUP BY 1, 2, 3")
+def t1_summarize_metric(spark, d):
+    s = run_statistics.summarize_metric(runs(spark, d), "ari")
+    return s.select("dataset", "scenario", "algorithm", "n", *[r6(c).alias(c) for c in ("mean", "sd", "min", "max")])
+
+
+@query(f"WITH {RUNS} SELECT a.dataset, a.scenario, a.seed, round(a.ari - b.ari, 6) AS diff FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.scenario = b.scenario AND a.seed = b.seed AND a.partition_fingerprint IS NOT DISTINCT FROM b.partition_fingerprint WHERE a.algorithm = 'a' AND b.algorithm = 'b'")
+def j9_paired_differences(spark, d):
+    return run_statistics.paired_differences(runs(spark, d), "a", "b", "ari").withColumn("diff", r6("diff"))
+
+
+@query()
+def t2_paired_bootstrap(spark, d):
+    return run_statistics.paired_bootstrap(runs(spark, d), "a", "b", draws=1000)
+
+
+@query(f"WITH {RUNS} SELECT a.dataset, a.seed, round(b.ari - a.ari, 6) AS diff FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.seed = b.seed WHERE a.algorithm = 'a' AND b.algorithm = 'a' AND a.scenario = 'iid_full' AND b.scenario = 'dirichlet_01_full'")
+def j10_scenario_differences(spark, d):
+    return run_statistics.scenario_differences(runs(spark, d), "a", "iid_full", "dirichlet_01_full").withColumn("diff", r6("diff"))
+
+
+@query()
+def t3_scenario_delta(spark, d):
+    return run_statistics.scenario_delta(runs(spark, d), "a", "iid_full", "dirichlet_01_full", draws=1000)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_custkey % 2 = 0 THEN 'local_estimated' ELSE 'local_known' END
+ELSE CASE WHEN o_custkey % 3 = 0 THEN 'dirichlet_01' ELSE 'iid' END || CASE WHEN o_custkey % 5 = 0 THEN '_partial' ELSE '_full' END END AS scenario FROM orders""")
+def t4_scenario_of(spark, d):
+    c = F.col("o_custkey")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "local").otherwise("federated").alias("mode"), F.when(c % 2 == 0, "estimated_k").otherwise("known_k").alias("cluster_count_mode"),
+        F.when(c % 3 == 0, "dirichlet").otherwise("iid").alias("partition_mode"), F.lit(0.1).alias("dirichlet_alpha"), F.when(c % 5 == 0, 0.6).otherwise(1.0).alias("participation_rate"),
+    )
+    return run_statistics.scenario_of(rows).select("id", "scenario")
+
+
+@query("SELECT o_custkey::VARCHAR AS experiment_id, 'c' || o_custkey % 9 AS dataset, o_orderpriority AS algorithm, round(o_totalprice / 1000000.0, 6) AS ari FROM orders")
+def t5_rows_from_history(spark, d):
+    """Customers as experiments, their orders as results, nested and flattened again."""
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    result = F.struct(F.col("o_orderpriority").alias("algorithm"), F.round(F.col("o_totalprice") / 1000000.0, 6).alias("ari"))
+    nested = rows.groupBy("o_custkey").agg(F.collect_list(result).alias("results"))
+    reports = nested.select(F.col("o_custkey").cast("string").alias("experiment_id"), F.struct(F.concat(F.lit("c"), (F.col("o_custkey") % 9).cast("string")).alias("dataset")).alias("request"), "results")
+    return run_statistics.rows_from_history(reports).select("experiment_id", "dataset", "algorithm", "ari")
+
+
+@query(f"WITH {RUNS} SELECT dataset, algorithm, count(*) FILTER (status = 'degenerate')::BIGINT AS degenerate, count(*)::BIGINT AS n FROM runs GROUP BY 1, 2")
+def t6_degenerate_counts(spark, d):
+    return run_statistics.degenerate_counts(runs(spark, d))
+
+
+@query(f"WITH {RUNS}, a AS (SELECT * FROM runs WHERE scenario = 'iid_full'), b AS (SELECT * FROM runs WHERE scenario = 'dirichlet_01_full') SELECT dataset, seed, algorithm, abs(a.ari - b.ari) <= 1e-9 * greatest(abs(a.ari), abs(b.ari)) AS same_ari, a.prediction_hash = b.prediction_hash AS same_hash, a.js AS iid_js, b.js AS skew_js FROM a JOIN b USING (dataset, seed, algorithm)")
+def t7_invariance_cases(spark, d):
+    return run_statistics.invariance_cases(runs(spark, d))
+
+
+@query(f"WITH {RUNS}, m AS (SELECT algorithm, epsilon, avg(ari) AS mean FROM runs GROUP BY 1, 2) SELECT m.algorithm, m.epsilon, round(m.mean, 6) AS mean, round(c.mean - m.mean, 6) AS loss FROM m LEFT JOIN m c ON c.algorithm = m.algorithm AND c.epsilon IS NULL")
+def t8_dp_utility(spark, d):
+    return run_statistics.dp_utility(runs(spark, d)).select("algorithm", "epsilon", r6("mean").alias("mean"), r6("loss").alias("loss"))
+
+
+@query(f"WITH {RUNS} SELECT dataset, round(avg(ari) FILTER (algorithm = 'a'), 6) AS local, round(avg(ari) FILTER (algorithm = 'b'), 6) AS federated, round(avg(ari) FILTER (algorithm = 'b') - avg(ari) FILTER (algorithm = 'a'), 6) AS delta FROM runs GROUP BY 1")
+def t9_capacity_table(spark, d):
+    t = run_statistics.capacity_table(runs(spark, d), "a", "b")
+    return t.select("dataset", *[r6(c).alias(c) for c in ("local", "federated", "delta")])
+
+
+@query(f"WITH {RUNS} SELECT status, count(*)::BIGINT AS n FROM runs GROUP BY 1")
+def u6_status_counts(spark, d):
+    return run_statistics.status_counts(runs(spark, d))
+
+
+# Tuning and comparison
+
+
+@query()
+def u1_estimate_k(spark, d):
+    k, tried = tuning.estimate_k(embeddings(spark, d), 2, 12, 3, sample=300, n_init=1)
+    return spark.createDataFrame([(t["k"], t["silhouette"], t["k"] == k) for t in tried], "k int, silhouette double, chosen boolean")
+
+
+@query()
+def u2_tune_dbscan(spark, d):
+    best, tried = tuning.tune_dbscan(scaling.scale_standard(customers(spark, d)), sample=300, min_samples=(5,), quantiles=(0.5, 0.8))
+    return spark.createDataFrame([(t["min_samples"], t["quantile"], float(t["eps"]), t["score"], t["quantile"] == best["quantile"]) for t in tried], "min_samples int, quantile double, eps double, score double, chosen boolean")
+
+
+@query(f"WITH {NORMED}, p AS (SELECT a.sample_id AS a, greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) AS d FROM pt a, pt b), r AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS place FROM p), k AS (SELECT d FROM r WHERE place = 5), q(quantile) AS (VALUES (0.2), (0.35), (0.5), (0.65), (0.8)) SELECT quantile::DOUBLE AS quantile, round(quantile_cont(d, [0.2, 0.35, 0.5, 0.65, 0.8])[list_position([0.2, 0.35, 0.5, 0.65, 0.8], quantile)], 6) AS radius FROM q, k GROUP BY quantile")
+def u3_radius_candidates(spark, d):
+    qs = list(tuning.QUANTILES)
+    radii = density.radius_candidates(scaling.scale_standard(customers(spark, d)), 5, qs, "chebyshev")
+    return spark.createDataFrame([(q, round(r, 6)) for q, r in zip(qs, radii, strict=True)], "quantile double, radius double")
+
+
+@query()
+def u4_density_sensitivity(spark, d):
+    return tuning.density_sensitivity(customers(spark, d), quantiles=(0.5,), modes=("iid",))
+
+
+@query()
+def u5_compatibility_matrix(spark, d):
+    points = dealt(scaling.scale_standard(customers(spark, d)))
+    cases = [{"dataset": "customer", "algorithm": a, "partition": "iid", "k": 5} for a in ("fed_kmeans", "none")]
+    runners = {"fed_kmeans": lambda: rounds.fed_kmeans(points, 5, rounds=2).predictions}
+    return tuning.compatibility_matrix(spark, cases, lambda c: runners[c["algorithm"]]())
+
+
+@query()
+def q3_run_plan(spark, d):
+    plan = experiments.build_plan(spark, ["embeddings"], ["fed_kmeans", "fed_gmm_diag"], [1], clients=[4], modes=["iid"])
+    return experiments.run_plan(plan, lambda _: scaling.scale_standard(embeddings(spark, d)), rounds=2)
+
+
+@query()
+def q4_compare(spark, d):
+    request = RunRequest("federated", "embeddings", ("fed_kmeans", "fed_fuzzy_cmeans"), rounds=2, participation_rate=0.6, dropout_rate=0.2)
+    out = experiments.compare(request, embeddings(spark, d), ["ari", "nmi"])
+    return out.withColumn("parameters", F.to_json("parameters")).withColumn("environment", F.to_json("environment"))
+
+
+# Windows, sets and scalars
+
+
+@query("SELECT c_custkey AS sample_id, c_nationkey::INT AS client_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('42:' || c_custkey), c_custkey)::INT AS place FROM customer QUALIFY place <= 3")
+def w1_rank_within_client(spark, d):
+    points = customers(spark, d).withColumn("client_id", F.col("owner").cast("int"))
+    keyed = rounds.priority_candidates(points, 3, 42)
+    return keyed.select("sample_id", "client_id", F.row_number().over(Window.partitionBy("client_id").orderBy("priority", "sample_id")).alias("place"))
+
+
+@query(f"WITH {ORD} SELECT sample_id, label::INT AS label, (row_number() OVER (PARTITION BY label ORDER BY sha256('5:' || sample_id), sample_id) - 1)::BIGINT AS rank FROM ord")
+def w2_rank_within_class(spark, d):
+    return partitioning.hash_rank(orders(spark, d).select("sample_id", "label"), 5, by=["label"])
+
+
+@query("SELECT n_nationkey::INT AS client_id, coalesce(sum(n) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+def w3_running_offset(spark, d):
+    sizes = partitioning.client_sizes(customers(spark, d).withColumn("client_id", F.col("owner").cast("int")))
+    before = F.sum("n").over(Window.orderBy("client_id").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("client_id", F.coalesce(before, F.lit(0)).alias("before"))
+
+
+@query("SELECT vec_id, round((1 / (1 + exp(embedding[2]::DOUBLE - embedding[1]::DOUBLE))), 6) AS p FROM embeddings")
+def z3_softmax(spark, d):
+    return embeddings(spark, d).select(F.col("sample_id").alias("vec_id"), r6(softmax(F.slice("features", 1, 2))[0]).alias("p"))
+
+
+@query("SELECT round(quantile_cont(o_totalprice, 0.05), 4) AS lo, round(quantile_cont(o_totalprice, 0.5), 4) AS mid, round(quantile_cont(o_totalprice, 0.95), 4) AS hi FROM orders")
+def z5_quantiles(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").agg(*[F.round(quantile("o_totalprice", q), 4).alias(n) for n, q in (("lo", 0.05), ("mid", 0.5), ("hi", 0.95))])
+
+
+@query("SELECT p_partkey AS id, regexp_replace(p_type, '[^A-Za-z0-9_.-]+', '_', 'g') AS name FROM part")
+def z8_safe_name(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), safe_name("p_type").alias("name"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS experiment_id, o_orderstatus AS dataset, o_orderpriority AS algorithm, round(o_totalprice / 1000000.0, 6) AS ari FROM orders")
+def k6_public_report(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("algorithm"), r6(F.col("o_totalprice") / 1000000.0).alias("ari"), F.lit("none").alias("privacy_mode"), F.lit(1).alias("clean_label"))
+    return sinks.public_report(rows)
+
+
+@query("SELECT o_orderkey::VARCHAR AS experiment_id, 'federated' AS mode, CASE WHEN o_custkey % 2 = 0 THEN 5.0 END AS dp_epsilon, 0.6 AS participation_rate FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey::VARCHAR, 'local', CASE WHEN o_custkey % 2 = 0 THEN 5.0 END, NULL FROM orders WHERE o_orderstatus = 'F'")
+def k2_result_rows(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.when(F.col("o_orderstatus") == "F", "local").otherwise("federated").alias("mode"), F.when(F.col("o_custkey") % 2 == 0, "gaussian_dp").otherwise("none").alias("privacy_mode"), F.lit(5.0).alias("dp_epsilon"), F.lit(0.6).alias("participation_rate"))
+    return sinks.result_rows(rows).select("experiment_id", "mode", "dp_epsilon", "participation_rate")
