@@ -307,12 +307,7 @@ def fit(documents: DataFrame, labels: DataFrame, how: Training = Training()) ->
 FIELDS = {"score": "double", "predicted": "int", "n_toxic": "bigint", "toxic_spans": "string"}
 
 
-def score(documents: DataFrame, field: Field, threshold: float = 0.7, keep: tuple[str, ...] | list[str] = ("doc_id",), toxic: bool = True) -> DataFrame:
-    """score, predicted (1 from ``threshold`` on), the number of toxic tokens and their ``start:end`` offsets of each row.
-
-    Offsets count code points, ends are exclusive. A null or empty text has no tokens and the score of no evidence;
-    repeated rows each get their row. ``toxic=False`` leaves only the rows predicted 0.
-    """
+def _score(documents: DataFrame, field: Field, threshold: float):
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
     def make():
@@ -320,19 +315,36 @@ def score(documents: DataFrame, field: Field, threshold: float = 0.7, keep: tupl
         w0, w1, w2 = shared.value.calibration
 
         def of_texts(texts):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in FIELDS]
             for text, p in zip(texts, tagger(texts), strict=True):
                 top, amount = evidence(p)
                 value = float(1 / (1 + np.exp(-np.clip(w0 + w1 * top + w2 * amount, -30, 30))))
                 hits = np.flatnonzero(p >= 0.5)
                 places = [m.span() for m in re.finditer(r"\S+", text)] if len(hits) else []
-                row = (value, int(value >= threshold), len(hits), ",".join(f"{places[i][0]}:{places[i][1]}" for i in hits), value < threshold)
-                for column, x in zip(out, row, strict=True):
+                for column, x in zip(out, (value, int(value >= threshold), len(hits), ",".join(f"{places[i][0]}:{places[i][1]}" for i in hits)), strict=True):
                     column.append(x)
-            return out if not toxic else out[:4]
+            return out
 
         return of_texts
 
-    if toxic:
-        return map_texts(documents, make, FIELDS, keep=keep)
-    return map_texts(documents, make, FIELDS | {"clean": "boolean"}, keep=keep, where="clean")
+    return make
+
+
+def score(documents: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
+    """doc_id, score, predicted (1 from ``threshold`` on), the number of toxic tokens and their ``start:end`` offsets of each row.
+
+    Offsets count code points, ends are exclusive. A null or empty text has no tokens and the score of no evidence;
+    repeated rows each get their row; an empty table gives no rows.
+    """
+    return map_texts(documents, _score(documents, field, threshold), FIELDS)
+
+
+def clean(documents: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``documents`` that are predicted 0, columns as they were."""
+    scorer = _score(documents, field, threshold)
+
+    def make():
+        of_texts = scorer()
+        return lambda texts: [[p == 0 for p in of_texts(texts)[1]]]
+
+    return map_texts(documents, make, {"__clean": "boolean"}, keep=documents.columns, where="__clean").drop("__clean")

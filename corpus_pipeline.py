@@ -19,12 +19,12 @@ from clusterloom.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality(docs, keep=docs.columns, rejected=False).select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return toxicity.score(docs, field, threshold=0.7, keep=docs.columns, toxic=False).select(*docs.columns)
+    return toxicity.clean(docs, field, threshold=0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
