@@ -16,8 +16,10 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clusterloom.llm.common import map_texts, sha256
 
@@ -281,8 +283,6 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
 def decode(documents: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``documents`` with the text of its token ids; a null list gives a null text."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:

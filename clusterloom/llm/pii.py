@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import map_texts, sha256, spans_digest
+from clusterloom.llm.common import map_texts, sha256, spans_digest, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 
@@ -152,7 +152,7 @@ def seed_patterns(documents: DataFrame, how: Bootstrap = Bootstrap()) -> list[st
         seen[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    counts = documents.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = written(documents.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")), "pii-contexts")
     # "" counts all seeds. It stands beside each pattern by a join of one row, so the bound holds before anything is collected.
     total = counts.filter("pattern = ''").select(F.col("n").alias("seeds"))
     least = F.greatest(F.lit(how.min_support), F.ceil(F.col("seeds") * how.min_share))
@@ -192,7 +192,7 @@ def pattern_graph(documents: DataFrame, patterns: list[str], how: Bootstrap = Bo
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(seen.values())], kinds, strict=True)], names=["pattern", "instance", "seed", "n"])
 
     schema = "pattern string, instance string, seed boolean, n bigint"
-    return documents.select("text").mapInArrow(run, schema).groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n"))
+    return written(documents.select("text").mapInArrow(run, schema).groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-graph")
 
 
 def trusted_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> list[str]:
