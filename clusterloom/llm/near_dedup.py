@@ -1,10 +1,11 @@
 """Operator 4: near-duplicate documents by banded MinHash with sequential Bayesian verification.
 
 A document's set is its distinct five-word shingles. Signatures are cut into bands; documents that share a band are
-candidates. A bucket never becomes all its pairs: its members are compared with one hub, what is linked is joined to
-components, and only members of different components are compared further, so a group of copies costs as much as it has
-members. A candidate's signatures are compared batch by batch and it is given up once the posterior chance that its
-similarity reaches the threshold falls below ``miss``; what remains is verified on the full sets.
+candidates. A bucket never becomes all its pairs: its members are compared with one hub (the member that meets most
+others), what is linked is joined to components, and only members of different components are compared further: in small
+buckets outright, in large ones through an exact prefix filter. A group of copies costs as much as it has members. A
+candidate's signatures are compared batch by batch and it is given up once the posterior chance that its similarity
+reaches the threshold falls below ``miss``; what remains is verified on the full sets.
 
 With 72 bands of 7 a pair at similarity 0.75 shares no band with chance 3e-5, one at 0.8 with chance 6e-8.
 """
@@ -18,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import written
@@ -34,14 +35,16 @@ class NearDedup:
     percent: int = 75
     bands: int = 72
     rows: int = 7
-    #: Hashes that the sequential test may look at, how many at a time, and the chance to lose a link that it accepts.
+    #: Hashes (the last of the bands') that the sequential test may look at, how many at a time, and the chance to lose a
+    #: link that it accepts. That candidates share a band only lets more of them pass.
     tests: int = 128
     batch: int = 16
     miss: float = 1e-7
     seed: int = 11
-    #: Pairs that are few enough to be broadcast, and rounds with hubs before the rest is compared outright.
+    #: Pairs or documents that are few enough to be broadcast.
     broadcast_pairs: int = 20_000
-    hub_rounds: int = 2
+    #: Rows of a bucket that are compared with each other after its hub; larger ones go through the prefix filter.
+    small_bucket: int = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ class Shingler:
 @lru_cache(maxsize=4)
 def _functions(how: NearDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(how.seed)
-    n = how.bands * how.rows + how.tests
+    n = how.bands * how.rows
     odd = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     return odd, rng.integers(0, 2**32, n, dtype=np.uint32), rng.integers(0, 2**63, how.rows, dtype=np.uint64) | np.uint64(1)
 
@@ -93,9 +96,9 @@ def signature(shingles: np.ndarray, how: NearDedup) -> tuple[np.ndarray, bytes]:
         part = x[a : a + 4096]
         for f in range(0, len(times), 32):
             np.minimum(least[f : f + 32], (times[f : f + 32, None] * part + plus[f : f + 32, None]).min(axis=1), out=least[f : f + 32])
-    banded = least[: how.bands * how.rows].reshape(how.bands, how.rows).astype(np.uint64)
+    banded = least.reshape(how.bands, how.rows).astype(np.uint64)
     keys = mixed((banded * weights).sum(axis=1, dtype=np.uint64) + np.arange(1, how.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys.view(np.int64), (least[how.bands * how.rows :] >> np.uint32(16)).astype("<u2").tobytes()
+    return keys.view(np.int64), (least[-how.tests :] >> np.uint32(16)).astype("<u2").tobytes()
 
 
 def features(documents: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
@@ -202,34 +205,65 @@ def _links(pairs: DataFrame, feats: DataFrame, documents: DataFrame, how: NearDe
 def components(documents: DataFrame, feats: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     """node, component of all documents that have a link."""
     banded = feats.filter("n_shingles > 0 and doc_id is not null").select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub <> top").select("key", "hub")
-    buckets = written(banded.join(shared, "key"), "near-buckets")
+    shared = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
+    # The more documents a document meets, the nearer it is to the middle of its group; a text that others were made from
+    # meets more than they meet each other. So buckets take their most met member as the hub.
+    met = F.sum("n").over(Window.partitionBy("doc_id"))
+    ranked = written(banded.join(shared, "key").select("key", "doc_id", met.alias("met")), "near-ranked")
+    first = F.max_by("doc_id", F.struct("met", -F.col("doc_id")))
+    buckets = written(ranked.join(ranked.groupBy("key").agg(first.alias("hub")), "key"), "near-buckets")
     pairs = written(buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
     links = _links(pairs, feats, documents, how)
     found = written(connected_components(links, "a", "b"), "near-components")
-    for turn in range(how.hub_rounds + 1):
-        # Buckets that still hold several components, and who is in them.
-        joined = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_keys = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        left = written(joined.join(open_keys, "key").select("key", "doc_id", "component"), "near-open")
-        if turn < how.hub_rounds:
-            heads = left.groupBy("key", "component").agg(F.min("doc_id").alias("head"))
-        else:
-            heads = left.withColumnRenamed("doc_id", "head")
-        heads = heads.withColumnRenamed("component", "own")
-        crossed = left.join(heads, "key").filter("component <> own").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
-        new = written(crossed.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            # Heads were compared with all others: if that leaves no untested pair among them, only the last turn has more to ask.
-            if turn == how.hub_rounds or left.isEmpty():
-                break
-            continue
-        more = _links(new, feats, documents, how)
-        pairs = pairs.unionByName(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = written(connected_components(links, "a", "b"), "near-components")
-    return found
+    # Buckets that still hold several components: small ones compare their members, large ones give theirs to the prefix filter.
+    joined = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+    left = written(joined.join(several, "key").select("key", "doc_id", "component", "size"), "near-open")
+    small = left.filter(F.col("size") <= how.small_bucket).select("key", "doc_id", "component")
+    other = small.withColumnsRenamed({"doc_id": "b", "component": "its"})
+    crossed = small.join(other, (small["key"] == other["key"]) & (small["doc_id"] < F.col("b")) & (F.col("component") != F.col("its"))).select(F.col("doc_id").alias("a"), "b")
+    large = written(left.filter(F.col("size") > how.small_bucket).select("doc_id", "component").distinct(), "near-large")
+    if not large.isEmpty():
+        crossed = crossed.union(prefix_pairs(documents, large, how))
+    asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _links(written(crossed.distinct().join(asked, ["a", "b"], "left_anti"), "near-pairs"), feats, documents, how)
+    if more.isEmpty():
+        return found
+    return written(connected_components(links.unionByName(more), "a", "b"), "near-components")
+
+
+def prefix_pairs(documents: DataFrame, members: DataFrame, how: NearDedup) -> DataFrame:
+    """a, b of all members of different components that may link, by an exact prefix filter.
+
+    Shingles are ordered by how many members hold them, rarest first. Sets of n and m that link share at least
+    t / (1 + t) * (n + m) shingles, so the first one they share has as many left, itself included, in either set. Shingles
+    that one member alone holds find nobody, so a large group of texts that each differ too much in their own way gives no
+    pairs at all.
+    """
+    share = how.percent / 100
+    few = members.count() <= how.broadcast_pairs
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(members) if few else members, "doc_id")
+
+    def run(batches):
+        shingle = Shingler(how.words)
+        for batch in batches:
+            for doc_id, component, text in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = shingle(text or "").view(np.int64)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id)), pa.array(np.full(n, component)), pa.array(np.full(n, n)), pa.array(own)], names=["doc_id", "component", "n", "shingle"])
+
+    rows = written(texts.select("doc_id", "component", "text").mapInArrow(run, "doc_id bigint, component bigint, n bigint, shingle bigint"), "near-shingles")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # Of a document's shingles the unshared ones come first, so the others' places start after them.
+    held = rows.join(shared, "shingle")
+    own = Window.partitionBy("doc_id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
+    prefix = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("shingle", "doc_id", "component", "n", "place")
+    other = prefix.withColumnsRenamed({"shingle": "s", "doc_id": "b", "component": "its", "n": "m", "place": "there"})
+    least = F.ceil((F.col("n") + F.col("m")) * (share / (1 + share)) - 1e-9)  # shared shingles that a link needs
+    room = (F.col("n") - F.col("place") + 1 >= least) & (F.col("m") - F.col("there") + 1 >= least)
+    both = prefix.join(other, (F.col("shingle") == F.col("s")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("its")) & room)
+    return both.select(F.col("doc_id").alias("a"), "b")
 
 
 def near_duplicates(documents: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:

@@ -52,7 +52,7 @@ def test_chains_and_groups(spark):
     texts |= {100: "a b c d", 101: "A b\tc D", 102: "a b c", 103: None, 104: "", 105: " "}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     check(near_dedup.near_duplicates(docs).collect(), texts)
-    for how in (near_dedup.NearDedup(hub_rounds=0), near_dedup.NearDedup(broadcast_pairs=0)):
+    for how in (near_dedup.NearDedup(small_bucket=1), near_dedup.NearDedup(broadcast_pairs=0, small_bucket=4)):
         check(near_dedup.near_duplicates(docs, how).collect(), texts)
 
 
