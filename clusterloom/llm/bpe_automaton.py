@@ -32,7 +32,7 @@ WORD_END = ""
 #: Up to here all editions of Unicode agree on letters, numbers and white space.
 LAST_SETTLED = "\u052f"
 
-#: Distinct pieces that a worker remembers; beyond it, it forgets all and goes on.
+#: Distinct pieces in each half of what a worker remembers.
 CACHE = 250_000
 
 
@@ -70,9 +70,13 @@ class Automaton:
         for s, i in vocabulary.items():
             self.label[i] = bytes(back[c] for c in s if c != WORD_END)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.reach: dict[str, int] = {}
-        for s in self.ids:
-            self.reach[s[:4]] = max(self.reach.get(s[:4], 0), len(s))
+        # The arcs' labels as a tree of symbols; under "" stands the token that ends there.
+        self.tree: dict = {}
+        for s, i in self.ids.items():
+            node = self.tree
+            for symbol in s:
+                node = node.setdefault(symbol, {})
+            node[""] = i
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> bool:
         """Compiles one merge; false if no path reaches its two parts in turn."""
@@ -111,41 +115,46 @@ class Automaton:
 
     def accept(self, symbols: str) -> list[int]:
         """The one accepted path over the symbols; tries the longest arc first, and visits each place at most once."""
-        ids, reach, rows, n = self.ids, self.reach, self.rows, len(symbols)
+        ids, tree, rows, n = self.ids, self.tree, self.rows, len(symbols)
+        if symbols in ids or not n:
+            return [ids[symbols]] if n else []
         path: list[int] = []
-        ends: list[int] = []
-        at, length = 0, reach.get(symbols[:4]) or 3
+        untried: list[list[tuple[int, int]]] = []
+        at, arcs = 0, None
         while at < n:
-            while length:
-                token = ids.get(symbols[at : at + length])
-                if token is not None:
-                    if not path:
+            if arcs is None:
+                arcs, node, end = [], tree, at
+                for symbol in symbols[at : at + 256]:
+                    node = node.get(symbol)
+                    if node is None:
                         break
-                    row = rows[path[-1]]
-                    ok = row.get(token)
-                    if ok is None:
-                        ok = self.arc(path[-1], token)
-                    if ok:
-                        break
-                length -= 1
-            if length:
-                path.append(token)
-                ends.append(length)
-                at += length
-                length = reach.get(symbols[at : at + 4]) or 3
-                if length > n - at:
-                    length = n - at
-            elif path:
-                path.pop()
-                length = ends.pop()
-                at -= length
-                length -= 1
+                    end += 1
+                    token = node.get("")
+                    if token is not None:
+                        arcs.append((end, token))
+            row = rows[path[-1]] if path else None
+            while arcs:
+                end, token = arcs.pop()
+                if row is None:
+                    break
+                ok = row.get(token)
+                if ok if ok is not None else self.arc(path[-1], token):
+                    break
             else:
-                raise ValueError(f"no path over {symbols!r}")
+                if not path:
+                    raise ValueError(f"no path over {symbols!r}")
+                path.pop()
+                arcs = untried.pop()
+                continue
+            path.append(token)
+            untried.append(arcs)
+            at, arcs = end, None
         return path
 
     def encode_piece(self, piece: str) -> list[int]:
         """Of a piece that was split off beforehand."""
+        if piece.isascii() and piece.isalnum():  # these stand for themselves
+            return self.accept(piece + self.word_end)
         return self.accept(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.map) + self.word_end)
 
     def decode(self, ids: list[int]) -> str:
@@ -166,16 +175,19 @@ def automaton(path: str) -> Automaton:
 
 
 class PieceCache(dict):
-    """Piece to what ``value`` makes of it; bounded."""
+    """Piece to what ``value`` makes of it, in bounded memory: when it is full it becomes the older half, in which what is
+    still in use is found again without being worked out anew."""
 
     def __init__(self, value):
         super().__init__()
         self.value = value
+        self.older: dict = {}
 
     def __missing__(self, piece):
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = self.value(piece)
+        found = self[piece] = self.older[piece] if piece in self.older else self.value(piece)
         return found
 
 

@@ -11,6 +11,8 @@ Only the histogram and the plan (of bounded size: rounds times capacity) pass th
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -54,14 +56,23 @@ class WordEncoder:
         self.pattern = regex.compile(WORD_PATTERN)
         self.later = regex.compile(f"[^\x00-{LAST_SETTLED}]")
         self.back = {c: b for b, c in enumerate(byte_characters())}
-        self.pieces = PieceCache(lambda p: np.array(self.machine.encode_piece(p), dtype="<u4").tobytes())
+        self.pieces = PieceCache(lambda p: struct.pack(f"<{len(ids)}I", *ids) if (ids := self.machine.encode_piece(p)) else b"")
         self.chunks = PieceCache(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
-            pieces = self.pattern.findall(chunk.lower())
+            low = chunk.lower()
+            if low.isalpha():
+                return self.pieces[low]
+            if low[:-1].isalpha() and low[-1] in ".,;:!?":
+                return self.pieces[low[:-1]] + self.pieces[low[-1]]
+            pieces = self.pattern.findall(low)
         else:
-            normal = self.library.normalizer.normalize_str(chunk)
+            # The library lowers letters one by one, which differs for the sigma at a word's end alone.
+            plain = not self.later.search(chunk) and "Σ" not in chunk
+            normal = unicodedata.normalize("NFC", chunk).lower() if plain else self.library.normalizer.normalize_str(chunk)
+            if plain and normal.isalpha():
+                return self.pieces[normal]
             if self.later.search(normal):
                 pieces = [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
             else:
@@ -72,7 +83,7 @@ class WordEncoder:
         if "<|" in text and any(m in text for m in self.marks):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get = self.chunks.__getitem__
-        return b"".join([get(c) for c in text.split(" ")])
+        return b"".join([get(c) for c in text.replace("\n", " ").split(" ")])
 
 
 def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> DataFrame:
