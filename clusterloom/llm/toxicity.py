@@ -1,7 +1,8 @@
 """Operator 7: toxicity by a linear-chain conditional random field.
 
-Tokens are tagged 0 or 1. The labelled tokens come from labelled documents: a token counts as toxic if one of its features
-(the word, a beginning of it) stands in toxic documents, in many different contexts, and hardly ever in clean ones. The
+Tokens are tagged 0 or 1. The labelled tokens come from labelled documents: a feature (a word, a beginning of one) is toxic
+if it stands in toxic documents, in many different contexts, and hardly ever in clean ones; of a token's features the
+longest that is frequent enough to tell decides. The
 field is trained on windows of these tokens. Forward-backward marginals over whole texts then give the offending offsets
 and, through a calibrated logistic of the strongest and the expected number of toxic tokens, the document's score.
 
@@ -33,7 +34,7 @@ class Training:
     #: Support that makes a feature toxic: toxic documents, different contexts, and the largest share of clean documents among all.
     min_documents: int = 6
     min_contexts: int = 6
-    max_clean_share: float = 0.01
+    max_clean_share: float = 0.05
     #: Features that go through the driver at most.
     max_features: int = 20_000
     window: int = 16
@@ -75,8 +76,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, how: Training) -> D
     return written(documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id"), "toxicity-sample")
 
 
-def toxic_features(sample: DataFrame, how: Training) -> set[str]:
-    """Features that mark toxic tokens: see the module's text."""
+def told_features(sample: DataFrame, how: Training) -> dict[str, bool]:
+    """Features that tell a token's tag: toxic ones, and those that begin with one but aren't; see the module's text."""
 
     def in_documents(batches):
         seen: dict[str, list[int]] = {}
@@ -95,7 +96,9 @@ def toxic_features(sample: DataFrame, how: Training) -> set[str]:
 
     spread = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
     counts = spread.mapInArrow(in_documents, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    suspects = counts.filter((F.col("toxic") >= how.min_documents) & (F.col("clean") <= how.max_clean_share * (F.col("clean") + F.col("toxic"))))
+    counts = written(counts.filter(F.col("clean") + F.col("toxic") >= how.min_documents), "toxicity-features")
+    rare = F.col("clean") <= how.max_clean_share * (F.col("clean") + F.col("toxic"))
+    suspects = counts.filter((F.col("toxic") >= how.min_documents) & rare)
     names = [r.feature for r in suspects.orderBy(F.desc("toxic"), "feature").limit(how.max_features).collect()]
     wanted = sample.sparkSession.sparkContext.broadcast(frozenset(names))
 
@@ -113,12 +116,23 @@ def toxic_features(sample: DataFrame, how: Training) -> set[str]:
 
     # Copies repeat a word with its neighbours; an insult stands among different ones.
     contexts = spread.filter("toxic = 1").select("text").mapInArrow(in_contexts, "feature string, context bigint").distinct().groupBy("feature").count()
-    return {r.feature for r in contexts.filter(F.col("count") >= how.min_contexts).collect()}
+    toxic = {r.feature for r in contexts.filter(F.col("count") >= how.min_contexts).collect()}
+    beginnings = sorted({f.split(":", 1)[1] for f in toxic})
+    word = F.substring_index("feature", ":", -1)
+    longer = [F.substring(word, 1, n).isin(beginnings) & (F.length(word) > n) for n in (3, 4, 5, 6)]
+    doubts = counts.filter(~rare & (longer[0] | longer[1] | longer[2] | longer[3])).orderBy(F.desc("clean"), "feature").limit(how.max_features)
+    return {r.feature: False for r in doubts.collect()} | dict.fromkeys(toxic, True)
 
 
-def training_windows(sample: DataFrame, toxic: set[str], how: Training) -> tuple[list[list[str]], list[list[int]]]:
+def tag(token: str, told: dict[str, bool]) -> int:
+    """1 if the longest feature that tells says toxic."""
+    word, *parts = token_features(token)
+    return int(next((told[f] for f in (word, *reversed(parts)) if f in told), False))
+
+
+def training_windows(sample: DataFrame, told: dict[str, bool], how: Training) -> tuple[list[list[str]], list[list[int]]]:
     """Token windows and their tags: in each document around its first toxic tokens, and at places drawn by its id."""
-    known = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    known = sample.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
         marks = known.value
@@ -129,7 +143,7 @@ def training_windows(sample: DataFrame, toxic: set[str], how: Training) -> tuple
                 if not tokens:
                     continue
                 draw = np.random.default_rng(abs(doc_id or 0))
-                tags = [int(any(f in marks for f in token_features(t))) for t in tokens]
+                tags = [tag(t, marks) for t in tokens]
                 hits = [i for i, y in enumerate(tags) if y][: how.windows_a_document]
                 starts = [max(0, i - int(draw.integers(how.window))) for i in hits] + [int(draw.integers(len(tokens))) for _ in range(how.windows_a_document - len(hits))]
                 out += [(tokens[s : s + how.window], tags[s : s + how.window]) for s in starts]
@@ -287,8 +301,7 @@ def calibrate(rows: list[tuple[float, float, int]]) -> tuple[float, float, float
 def fit(documents: DataFrame, labels: DataFrame, how: Training = Training()) -> Field:
     """The field and its calibration from labelled rows that aren't held out; without any, one that finds nothing."""
     sample = training_sample(documents, labels, how)
-    features = toxic_features(sample, how)
-    weights, transition, start = train(*training_windows(sample, features, how), how)
+    weights, transition, start = train(*training_windows(sample, told_features(sample, how), how), how)
     field = sample.sparkSession.sparkContext.broadcast(Field(weights, transition, start, (0.0, 0.0, 0.0)))
 
     def make():
