@@ -2,10 +2,12 @@
 
 A neighbour graph (``neighbours`` best known ones of each vector) starts from vectors that stand close in several random
 sign orders, and is refined by joining neighbours of neighbours until little changes. Edges at or above the threshold
-form components. Lists in which all neighbours are over the threshold are saturated; such lists are enlarged to the whole
-component, which is compared in blocks, so links inside a component are exact and never become rows. A component so
-tight that any two members must link needs no comparison. An audit compares a stated set of queries with all rows; below
-the wanted recall the search goes on with more orders.
+form components. Lists in which all neighbours are over the threshold are saturated: they may lack links, inside their
+component and to other saturated ones. Components with such lists are compared with each other in blocks, by middles and
+radii first, and merged where any link is found; links inside a component are then counted in blocks too, so they are
+exact and never become rows. A component so tight that any two members must link needs no comparison. An audit compares
+a stated set of queries with all rows; below the wanted recall the search goes on with more orders, and after the last
+attempt all components and single vectors are compared in blocks.
 
 Equal vectors are searched once. Cosines are in double precision.
 """
@@ -35,6 +37,9 @@ class Descent:
     gain: float = 0.002
     group: int = 16
     block: int = 128
+    #: Middles of blocks that one row holds, and parts into which the rows' pairs are dealt on each side.
+    pack: int = 256
+    parts: int = 32
     audit_queries: int = 256
     wanted_recall: float = 0.98
     attempts: int = 3
@@ -137,6 +142,77 @@ def descend(graph: DataFrame, vectors: DataFrame, turn: int, how: Descent) -> Da
     return _best(graph.union(found), how)
 
 
+def saturated(graph: DataFrame, components: DataFrame, vectors: DataFrame, how: Descent) -> DataFrame:
+    """component, id, v of the components in which some list is full of neighbours over the threshold."""
+    full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).filter((F.col("n") >= how.neighbours) & (F.col("worst") >= how.threshold))
+    named = components.select(F.col("node").alias("id"), "component")
+    wanted = named.join(full.select(F.col("u").alias("id")), "id", "left_semi").select("component").distinct()
+    return vectors.join(named.join(wanted, "component", "left_semi"), "id").select("component", "id", "v")
+
+
+def bridges(members: DataFrame, how: Descent) -> DataFrame:
+    """u, v: a link of every two blocks of different components (component, id, v) that have one, so no two linked components stay apart.
+
+    Blocks are compared where their middles are as close as their radii allow. Middles meet in packs: pairs that are too
+    far apart never become rows.
+    """
+    limit = math.acos(how.threshold)
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = written(placed.groupBy("component", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "vector-blocks")
+
+    def middle(batches):
+        for batch in batches:
+            size, middles, angles = [], [], []
+            for rows in batch.column("rows").to_pylist():
+                x = np.frombuffer(b"".join([r["v"] for r in rows]), dtype=np.float64).reshape(len(rows), -1)
+                c = x.sum(axis=0)
+                c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+                size.append(x.shape[1])
+                middles.append(c.tobytes())
+                angles.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            arrays = [batch.column("component"), batch.column("block"), pa.array(size, pa.int64()), pa.array(middles, pa.binary()), pa.array(angles, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["component", "block", "size", "middle", "angle"])
+
+    middles = written(blocks.mapInArrow(middle, "component bigint, block bigint, size bigint, middle binary, angle double"), "vector-middles")
+    packs = max(1, math.ceil(middles.count() / how.pack))
+    parts = min(packs, how.parts)
+    packed = middles.withColumn("pack", F.pmod(F.xxhash64("component", "block"), F.lit(packs))).groupBy("size", "pack").agg(F.collect_list(F.struct("component", "block", "middle", "angle")).alias("mine"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = packed.select("size", "pack", "mine", (F.col("pack") % parts).cast("int").alias("a"), every.alias("b"))
+    right = packed.select("size", F.col("pack").alias("pack2"), F.col("mine").alias("others"), (F.col("pack") % parts).cast("int").alias("b"), every.alias("a"))
+
+    def close(batches):
+        for batch in batches:
+            out = []
+            for mine, other in zip(batch.column("mine").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                x, y = (np.frombuffer(b"".join([m["middle"] for m in side]), dtype=np.float64).reshape(len(side), -1) for side in (mine, other))
+                wide = np.array([m["angle"] for m in mine])[:, None] + np.array([m["angle"] for m in other])[None, :]
+                apart = np.array([m["component"] for m in mine])[:, None] != np.array([m["component"] for m in other])[None, :]
+                for i, j in zip(*np.nonzero(apart & (np.arccos(np.clip(x @ y.T, -1, 1)) <= wide + limit + 1e-6)), strict=True):
+                    out.append(tuple(m[k] for m in sorted((mine[i], other[j]), key=lambda m: m["component"]) for k in ("component", "block")))
+            columns = [*zip(*set(out))] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["c1", "b1", "c2", "b2"])
+
+    def compare(batches):
+        for batch in batches:
+            us, vs = [], []
+            for mine, other in zip(batch.column("rows").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                x, y = (np.frombuffer(b"".join([r["v"] for r in side]), dtype=np.float64).reshape(len(side), -1) for side in (mine, other))
+                s = x @ y.T
+                i, j = np.unravel_index(s.argmax(), s.shape)
+                if s[i, j] >= how.threshold:
+                    us.append(mine[i]["id"])
+                    vs.append(other[j]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    met = left.join(right, ["size", "a", "b"]).filter("pack <= pack2").select("mine", "others")
+    pairs = met.mapInArrow(close, "c1 bigint, b1 bigint, c2 bigint, b2 bigint").distinct()
+    first = blocks.select(F.col("component").alias("c1"), F.col("block").alias("b1"), "rows")
+    second = blocks.select(F.col("component").alias("c2"), F.col("block").alias("b2"), F.col("rows").alias("others"))
+    return pairs.join(first, ["c1", "b1"]).join(second, ["c2", "b2"]).select("rows", "others").mapInArrow(compare, "u bigint, v bigint")
+
+
 def link_counts(members: DataFrame, how: Descent) -> DataFrame:
     """id, n_links of members (component, id, v, copies): exact inside each component, in blocks."""
     limit = math.acos(how.threshold)
@@ -243,8 +319,15 @@ def near_duplicate_vectors(embeddings: DataFrame, how: Descent = Descent()) -> D
         over = graph.filter(F.col("sim") >= how.threshold).select("u", "v")
         edges = over if edges is None else edges.union(over)
         found = written(connected_components(edges, "u", "v"), "vector-components")
+        more = written(bridges(saturated(graph, found, vectors, how), how), "vector-bridges")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            found = written(connected_components(edges, "u", "v"), "vector-components")
         if audit(vectors, found, how) >= how.wanted_recall:
             break
+    else:
+        every = vectors.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "v")
+        found = written(connected_components(edges.union(written(bridges(every, how), "vector-bridges")), "u", "v"), "vector-components")
     members = same.join(found.withColumnRenamed("node", "id"), "id").select("component", "id", "v", "copies")
     counts = link_counts(members, how)
     of_vector = same.join(found.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").select("v", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

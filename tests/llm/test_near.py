@@ -109,6 +109,32 @@ def test_vector_groups(spark):
     check_vectors(out, vectors)
 
 
+def test_bridged_groups_are_one_component(spark):
+    rng = np.random.default_rng(9)
+    axes = np.eye(64)
+    tilt = np.arccos(0.94)
+    middles = [axes[0], np.cos(tilt) * axes[0] + np.sin(tilt) * axes[1]]
+    vectors = {}
+    for group, middle in enumerate(middles):  # cosine 0.97 inside a group, about 0.91 between: no list of 8 holds a bridge
+        for i in range(60):
+            noise = rng.normal(size=62)
+            vectors[100 * group + i] = (middle + 0.176 * np.concatenate([[0, 0], noise / np.linalg.norm(noise)])).tolist()
+    vectors |= {500 + i: rng.normal(size=64).tolist() for i in range(40)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    out = vector_dedup.near_duplicate_vectors(rows, vector_dedup.Descent(block=16, pack=4, parts=2)).collect()
+    check_vectors(out, vectors)
+    assert {r.component_id for r in out if r.vec_id < 200} == {0}
+
+
+def test_a_search_that_fails_its_audit_ends_in_a_whole_comparison(spark):
+    rng = np.random.default_rng(11)
+    vectors = {i: v.tolist() for i, v in enumerate(rng.normal(size=(300, 32)))}
+    vectors |= {1000 + i: (np.array(vectors[i]) + 0.3 * rng.normal(size=32)).tolist() for i in range(300)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    how = vector_dedup.Descent(orders=1, reach=2, rounds=0, attempts=1, pack=64, parts=3)
+    check_vectors(vector_dedup.near_duplicate_vectors(rows, how).collect(), vectors)
+
+
 def test_no_vectors(spark):
     rows = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert vector_dedup.near_duplicate_vectors(rows).count() == 0
