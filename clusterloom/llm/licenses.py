@@ -64,7 +64,7 @@ def scanned(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         there = F.contains("pad", F.lit(f" {phrase} "))
         n.append(F.when(there, F.regexp_count("pad", F.lit(f"(?<= ){phrase}(?= )"))).otherwise(0))
         first.append(F.when(there, spaces(F.substring_index("pad", f" {phrase} ", 1))))
-        last.append(F.when(there, spaces(F.regexp_extract("pad", f"^(.*) {phrase} ", 1))))
+        last.append(F.when(there, spaces(F.regexp_extract("pad", f"(?s)^(.*) {phrase} ", 1))))
         labels.append(F.when(there, F.lit(label)))
     may = F.lit(False)
     for _, own in sets:

@@ -142,3 +142,12 @@ def test_odd_licenses(spark, odd_documents, no_documents):
     rows = licenses.scan_licenses(odd_documents).collect()
     assert len(rows) == 12 and {r.doc_id: r.base_labels for r in rows}[10] == "apache,mit"
     assert licenses.scan_licenses(no_documents).count() == 0
+
+
+def test_licenses_beside_unusual_line_ends(spark):
+    texts = ["mit license a\u0085b mit license", "x\u2028y mit license", "a\u2029b apache license \u2028 c mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        assert (rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels, rows[i].labels, rows[i].score) == plain_licenses(text)
+    assert (rows[0].first_word, rows[0].last_word) == (0, 3)
