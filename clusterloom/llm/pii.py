@@ -112,6 +112,29 @@ def _context(text: str, start: int) -> str | None:
     return " ".join(pair) if len(pair) == 2 and not any(c.isdigit() for w in pair for c in w) else None
 
 
+def _opens(last: str, first: str) -> bool:
+    """Whether an identifier may start inside a word, between these two characters."""
+    return first == "+" or (first.isdigit() if last.isalpha() else first.isalnum())
+
+
+def _glued(patterns) -> dict[str, dict[int, set[str]]]:
+    """First word to the second words of the patterns, by length."""
+    out: dict[str, dict[int, set[str]]] = {}
+    for pattern in patterns:
+        first, second = pattern.split(" ")
+        out.setdefault(first, {}).setdefault(len(second), set()).add(second)
+    return out
+
+
+def _occurrences(text: str, seconds: dict[str, dict[int, set[str]]]):
+    """Each pattern at each place it ends: at the end of a word, or inside a word where an identifier may start."""
+    words = text.lower().split()
+    for first, word in zip(words, words[1:]):
+        for size, own in seconds.get(first, {}).items():
+            if size <= len(word) and word[:size] in own and (size == len(word) or _opens(word[size - 1], word[size])):
+                yield f"{first} {word[:size]}"
+
+
 def _instances(text: str, base: list[tuple[int, str, int]], min_digits: int) -> list[tuple[int, int]]:
     """Tokens with enough digits that touch no base span."""
     taken = sorted((a, b) for a, _, b in base)
@@ -165,22 +188,24 @@ def pattern_graph(documents: DataFrame, patterns: list[str], how: Bootstrap = Bo
 
     def run(batches):
         wanted = known.value
-        parts = {tuple(p.split(" ")) for p in wanted}
+        seconds = _glued(wanted)
         seen: dict[tuple, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                words = text.lower().split()
-                for pair in [p for p in zip(words, words[1:]) if p in parts]:
-                    key = (" ".join(pair), None, False)
+                for pattern in _occurrences(text, seconds):
+                    key = (pattern, None, False)
                     seen[key] = seen.get(key, 0) + 1
-                base = base_spans(text)
+                base, starts = base_spans(text), set()
                 for start, end, seed in [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in _instances(text, base, how.min_digits)]:
                     context = _context(text, start)
                     if context in wanted:
                         key = (context, sha256(text[start:end])[:32], seed)
                         seen[key] = seen.get(key, 0) + 1
-                        seen[context, None, False] = seen.get((context, None, False), 0) - 1
+                        # Only what was counted as an occurrence is taken off again, once for all instances that start there.
+                        if start not in starts and (text[start - 1].isspace() or _opens(text[start - 1], text[start])):
+                            seen[context, None, False] = seen.get((context, None, False), 0) - 1
+                        starts.add(start)
             if len(seen) > 200_000:
                 yield table(seen)
                 seen = {}
@@ -197,7 +222,8 @@ def pattern_graph(documents: DataFrame, patterns: list[str], how: Bootstrap = Bo
 
 def trusted_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> list[str]:
     """Patterns whose score stays at ``min_score`` or more after the rounds; their number is bounded as the graph's is."""
-    total = graph.groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+    # Never less than the instances: lower case may change a word that an instance cuts.
+    total = graph.groupBy("pattern").agg(F.greatest(F.sum("n"), F.sum(F.when(F.col("instance").isNotNull(), F.col("n")))).alias("occurrences"))
     edges = graph.filter("instance is not null").join(total, "pattern").persist()
     instances = edges.select("pattern", "instance", "n", "occurrences", F.col("seed").cast("double").alias("trust"))
     scores = None

@@ -76,6 +76,20 @@ def test_contexts_that_seeds_rarely_follow_are_no_patterns(spark):
     assert pii.learned_patterns(spark.createDataFrame(rows, "doc_id bigint, text string")) == []
 
 
+def test_contexts_glued_to_their_identifiers(spark):
+    rows = [(i, f"please write to <user{i}@mail.example> soon") for i in range(5)]
+    rows += [(10 + i, f"this is version v10.0.{i}.7 of it") for i in range(5)] + [(20 + i, f"you may call tel:+49 171 23456{i}0 today") for i in range(5)]
+    rows += [(30, "a version vector and version v22")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.learned_patterns(docs) == ["call tel:", "to <", "version v"]
+    # A glued context that mostly other words follow is not trusted, also where it stands spaced.
+    rows = [(i, f"please write to <user{i}@mail.example> soon") for i in range(5)] + [(100 + i, "go to <html> and to < body") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.learned_patterns(docs) == []
+    total = {r.pattern: r.n for r in pii.pattern_graph(docs, ["to <"]).groupBy("pattern").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert total == {"to <": 45}
+
+
 def test_constants_are_propagated():
     literal = lambda t: [t[a:b] for a, _, b in secrets.literal_spans(t)]
     assert literal('API_SECRET = "abcd1234efgh"\nx = API_SECRET') == ["abcd1234efgh"]
