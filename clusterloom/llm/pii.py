@@ -1,8 +1,8 @@
 """Operator 1: personal data by bootstrapped contextual extraction.
 
 Seeds are what the base patterns find: e-mail and IP addresses, card and phone numbers. Their left contexts (the two words
-before) are lexical patterns. Spark builds the graph of patterns and the instances (tokens with a digit) that follow
-them anywhere in the corpus, and scores both in turn: an instance by the trusted patterns it follows, a pattern by the
+before) are lexical patterns. Spark builds the graph of patterns and the instances (tokens with digits, and groups of
+digits) that follow them anywhere in the corpus, and scores both in turn: an instance by the trusted patterns it follows, a pattern by the
 share of all its occurrences that trusted instances follow. Patterns that end with a high score find identifiers that no
 base pattern knows; these become spans of kind ``context``.
 
@@ -29,7 +29,10 @@ _DOTTED = re.compile(r"[0-9][0-9.]*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
+#: Further groups of digits of an identifier, each behind a single space, dot, dash or bracket (or a bracket beside one).
+_GROUPS = re.compile(r"(?:(?:[ .-]?[(\[]|[)\]][ .-]?|[ .-])[0-9]++(?![^\W_]))++")
 _EDGE = re.compile(r"[\s\"'(),;]")
+_FIGURES = frozenset("0123456789")
 _BEFORE = frozenset(" \t\n\r\v\f\u00a0\"'(),;")
 #: Characters before an instance in which its two context words are sought.
 _LEFT = 120
@@ -136,7 +139,7 @@ def _occurrences(text: str, seconds: dict[str, dict[int, set[str]]]):
 
 
 def _instances(text: str, base: list[tuple[int, str, int]], min_digits: int) -> list[tuple[int, int]]:
-    """Tokens with enough digits that touch no base span."""
+    """Tokens with enough digits that touch no base span; a token that ends in a digit goes on over the groups of digits behind it."""
     taken = sorted((a, b) for a, _, b in base)
     out, k = [], 0
     done = 0
@@ -150,10 +153,17 @@ def _instances(text: str, base: list[tuple[int, str, int]], min_digits: int) ->
         done = edge.start() if edge else len(text)
         token = text[start:done].rstrip(".:!?")
         end = start + len(token)
-        if len(token) < min_digits or sum(map(token.count, "0123456789")) < min_digits:
-            continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
+        if token[-1:] in _FIGURES:
+            more = _GROUPS.match(text, end, taken[k][0] if k < len(taken) else len(text))
+            if more:
+                end = more.end()
+                done = max(done, end)
+                start -= text[start - 1 : start] == "(" and ")" in text[start:end]
+                token = text[start:end]
+        if len(token) < min_digits or sum(map(token.count, "0123456789")) < min_digits:
+            continue
         if k == len(taken) or taken[k][0] >= end:
             out.append((start, end))
     return out

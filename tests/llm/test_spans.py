@@ -90,6 +90,20 @@ def test_contexts_glued_to_their_identifiers(spark):
     assert total == {"to <": 45}
 
 
+def test_identifiers_in_groups_are_found_whole(spark):
+    texts = {
+        100: ("contact ip 0171 234 5678 now", "contact ip [CONTEXT] now"), 101: ("contact ip 1234 5678 9012 3456", "contact ip [CONTEXT]"),
+        102: ("contact ip (0171) 234-56.78. Then 12", "contact ip [CONTEXT]. Then 12"), 103: ("contact ip 12 34 56, 78 x", "contact ip [CONTEXT], 78 x"),
+        104: ("contact ip 4711 10.0.0.1 now", "contact ip [CONTEXT] [IP] now"), 105: ("contact ip 4711 3rd door", "contact ip [CONTEXT] 3rd door"),
+    }
+    rows = [(i, f"your reach me {i}: contact ip 10.0.{i}.7 today") for i in range(40)] + [(i, t) for i, (t, _) in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert {i: clean[i] for i in texts} == {i: want for i, (_, want) in texts.items()}
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert found[100] == "context:11:24" and found[101] == "context:11:30"
+
+
 def test_constants_are_propagated():
     literal = lambda t: [t[a:b] for a, _, b in secrets.literal_spans(t)]
     assert literal('API_SECRET = "abcd1234efgh"\nx = API_SECRET') == ["abcd1234efgh"]
