@@ -1,39 +1,55 @@
 """Operator 10: byte-pair encoding as a deterministic automaton.
 
-The automaton reads tokens; its states are the tokens (the last one read) and a start state. It begins with the base
-symbols, each of which may follow any other. The merges are then compiled in their order: the gadget of a merge
-``u v -> w`` adds the state ``w``, lets the arcs into ``w`` be those into ``u`` and the arcs out of ``w`` be those out of
-``v``, and deletes the arc ``u -> v``; where ``u`` is ``v``, the arc ``u -> w`` isn't made, as merges run from the left.
-After the last merge every string has exactly one accepted path, which is its encoding. Arcs are kept by inheritance:
-a state holds the states whose arcs it took over and the time it did so, so that each gadget is compiled in constant
-time; rows of the transition table are filled in as they are read.
+The automaton that the merges are compiled into reads tokens; its states are the tokens (the last one read) and a start
+state. It begins with the base symbols, each of which may follow any other. The gadget of a merge ``u v -> w`` adds the
+state ``w``, lets the arcs into ``w`` be those into ``u`` and the arcs out of ``w`` be those out of ``v``, and deletes the
+arc ``u -> v``; where ``u`` is ``v``, the arc ``u -> w`` isn't made, as merges run from the left. After the last merge
+every string has exactly one accepted path, which is its encoding. A gadget is recorded by what it copies and when, so an
+arc is known from the gadgets that made its ends.
+
+Words are read symbol by symbol from a transition table. A state of the table stands for all that can still become of the
+word: which tokens are begun, each behind the token that it may follow. States that allow the same are one state. Every
+beginning of a word has one path too, so a state names the last token of the beginning's encoding; the encoding of the
+word is read off backwards from these, without search and without going back. Cells of the table are worked out from the
+gadgets when they are first read; words of a batch are read side by side.
 
 Decoding emits the label (the bytes) of each arc.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import map_texts, sha256
+from clusterloom.llm.common import map_batches
+from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, joined, slices
 
 #: Fixed: how byte-level vocabularies split a text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Stands for the mark of a word's end, so that it is one character.
-WORD_END = ""
+#: Stands for the mark of a word's end; no byte of a text has this value.
+WORD_END = 255
 
 #: Up to here all editions of Unicode agree on letters, numbers and white space.
-LAST_SETTLED = "\u052f"
+LAST_SETTLED = "ԯ"
 
-#: Distinct pieces in each half of what a worker remembers.
-CACHE = 250_000
+#: States that the table holds when a batch begins; beyond, it starts anew.
+STATES = 98_304
+#: Pieces that are read side by side.
+PIECES = 200_000
+#: Begun tokens that no more than so many tokens go on from are told apart by which of these may follow.
+LISTED = 32
+#: The last few and longest pieces of a batch are read one by one.
+FEW = 12
 
 
 def byte_characters() -> list[str]:
@@ -44,51 +60,71 @@ def byte_characters() -> list[str]:
     return [place[b] if b in place else chr(next(spare)) for b in range(256)]
 
 
+#: What a token may follow: any state at all, or (a state's number, or a set of tokens) only what that says.
+ANY, NONE = -1, -2
+
+
 class Automaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
-        self.word_end = WORD_END if suffix else ""
-        own = (lambda s: s[: -len(suffix)] + WORD_END if s.endswith(suffix) else s) if suffix else (lambda s: s)
-        vocabulary = {own(s): i for s, i in model["vocab"].items()}
-        size = max(vocabulary.values()) + 1
+        self.end = bytes([WORD_END]) if suffix else b""
+        vocabulary: dict[str, int] = model["vocab"]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = size = max(*vocabulary.values(), *self.special.values()) + 1
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.deleted: dict[int, int] = {}
-        self.rows: list[dict[int, bool]] = [{} for _ in range(size)]
         dead = set()
         for time, pair in enumerate(model["merges"]):
-            u, v = map(own, pair if isinstance(pair, list) else pair.split(" "))
+            u, v = pair if isinstance(pair, list) else pair.split(" ")
             if not self._gadget(time, vocabulary[u], vocabulary[v], vocabulary[u + v]):
                 dead.add(vocabulary[u + v])
-        self.ids = {s: i for s, i in vocabulary.items() if i not in dead}
-        characters = byte_characters()
-        self.map = {b: c for b, c in enumerate(characters)}
-        back = {c: b for b, c in enumerate(characters)}
+        back = {c: b for b, c in enumerate(byte_characters())}
         self.label = [b""] * size
+        self.length = np.zeros(size, dtype=np.int64)
+        # The labels as a tree: a node's children by symbol, and the token that ends there.
+        self.child: list[dict[int, int]] = [{}]
+        self.token = [-1]
         for s, i in vocabulary.items():
-            self.label[i] = bytes(back[c] for c in s if c != WORD_END)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        # The arcs' labels as a tree of symbols; under "" stands the token that ends there.
-        self.tree: dict = {}
-        for s, i in self.ids.items():
-            node = self.tree
-            for symbol in s:
-                node = node.setdefault(symbol, {})
-            node[""] = i
+            if s in self.special:
+                continue
+            ended = bool(suffix) and s.endswith(suffix)
+            self.label[i] = bytes(back[c] for c in (s[: -len(suffix)] if ended else s))
+            symbols = self.label[i] + self.end * ended
+            self.length[i] = len(symbols)
+            if i in dead or (self.end and WORD_END in self.label[i]):
+                continue
+            node = 0
+            for symbol in symbols:
+                if symbol not in self.child[node]:
+                    self.child[node][symbol] = len(self.child)
+                    self.child.append({})
+                    self.token.append(-1)
+                node = self.child[node][symbol]
+            self.token[node] = i
+        # Tokens that end below a node; None where these are many.
+        self.below: list[list[int] | None] = [None] * len(self.child)
+        for node in range(len(self.child) - 1, -1, -1):
+            found: list[int] = []
+            for k in self.child[node].values():
+                more = self.below[k]
+                found = None if found is None or more is None else found + [self.token[k]] * (self.token[k] >= 0) + more
+            self.below[node] = None if found is None or len(found) > LISTED else found
+        self._empty()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> bool:
         """Compiles one merge; false if no path reaches its two parts in turn."""
         live = self._arc_before(u, v, time)
         self.left[w], self.right[w], self.born[w] = u, v, time
-        self.deleted[u << 20 | v] = time
+        self.deleted[u * self.size + v] = time
         return live
 
     def _arc_before(self, x: int, y: int, time: int) -> bool:
-        left, right, born, deleted = self.left, self.right, self.born, self.deleted
+        left, right, born, deleted, size = self.left, self.right, self.born, self.deleted, self.size
         while True:
-            if deleted.get(x << 20 | y, time) < time:
+            if deleted.get(x * size + y, time) < time:
                 return False
             if born[x] < 0 and born[y] < 0:
                 return True
@@ -102,60 +138,113 @@ class Automaton:
                 y, time = left[y], born[y]
 
     def arc(self, x: int, y: int) -> bool:
-        row = self.rows[x]
-        found = row.get(y)
+        """Whether the token ``y`` may follow ``x`` after all merges."""
+        return self._arc_before(x, y, 1 << 60)
+
+    def _empty(self) -> None:
+        """The table with the start state alone."""
+        self.numbers: dict[tuple, int] = {}
+        self.meaning: list[tuple] = []
+        self.known: dict[tuple[int, int], object] = {}
+        self.table = np.full((4096, 256), -1, dtype=np.int32)
+        self.last = np.full(4096, -1, dtype=np.int32)
+        self._state(((ANY, 0),), -1)
+
+    def _state(self, meaning: tuple, last: int) -> int:
+        number = self.numbers.get(meaning)
+        if number is None:
+            number = self.numbers[meaning] = len(self.meaning)
+            self.meaning.append(meaning)
+            if number >= len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+            self.last[number] = last
+        return number
+
+    def _allowed(self, before, node: int):
+        """What is left of ``before`` for tokens that go on below ``node``: ANY, NONE, a set of tokens, or a state."""
+        tokens = self.below[node]
+        if before == ANY or tokens is None:
+            return before
+        if isinstance(before, frozenset):
+            fits = frozenset(y for y in tokens if y in before)
+            return NONE if not fits else ANY if len(fits) == len(tokens) else fits
+        key = (before, node)
+        found = self.known.get(key)
         if found is None:
-            found = row[y] = self._arc_before(x, y, 1 << 60)
+            fits = frozenset(y for y in tokens if self.arc(before, y))
+            found = self.known[key] = NONE if not fits else ANY if len(fits) == len(tokens) else fits
         return found
 
-    def forget(self) -> None:
-        """Empties the rows that were filled in; they come again as they are read."""
-        for row in self.rows:
-            row.clear()
-
-    def accept(self, symbols: str) -> list[int]:
-        """The one accepted path over the symbols; tries the longest arc first, and visits each place at most once."""
-        ids, tree, rows, n = self.ids, self.tree, self.rows, len(symbols)
-        if symbols in ids or not n:
-            return [ids[symbols]] if n else []
-        path: list[int] = []
-        untried: list[list[tuple[int, int]]] = []
-        at, arcs = 0, None
-        while at < n:
-            if arcs is None:
-                arcs, node, end = [], tree, at
-                for symbol in symbols[at : at + 256]:
-                    node = node.get(symbol)
-                    if node is None:
-                        break
-                    end += 1
-                    token = node.get("")
-                    if token is not None:
-                        arcs.append((end, token))
-            row = rows[path[-1]] if path else None
-            while arcs:
-                end, token = arcs.pop()
-                if row is None:
-                    break
-                ok = row.get(token)
-                if ok if ok is not None else self.arc(path[-1], token):
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no path over {symbols!r}")
-                path.pop()
-                arcs = untried.pop()
+    def _fill(self, state: int, symbol: int) -> int:
+        """Works out one cell of the table."""
+        last, begun = -1, []
+        for before, node in self.meaning[state]:
+            node = self.child[node].get(symbol)
+            if node is None:
                 continue
-            path.append(token)
-            untried.append(arcs)
-            at, arcs = end, None
-        return path
+            token = self.token[node]
+            if token >= 0 and (before == ANY or (token in before if isinstance(before, frozenset) else self.arc(before, token))):
+                last = token
+            if self.child[node]:
+                allowed = self._allowed(before, node)
+                if allowed != NONE:
+                    begun.append((allowed, node))
+        if last < 0:
+            raise ValueError(f"no path over the symbol {symbol}")
+        found = self._state((*begun, (last, 0)), last)
+        self.table[state, symbol] = found
+        return found
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pieces (split off beforehand, none empty) in turn, and the number of ids of each."""
+        if len(pieces) > PIECES:
+            parts = [self.encode_pieces(pieces[a : a + PIECES]) for a in range(0, len(pieces), PIECES)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+        if len(self.meaning) > STATES:
+            self._empty()
+        raw = [p.encode("utf-8", "surrogatepass") + self.end for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        symbols = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum(sizes)
+        order = np.argsort(-sizes, kind="stable")
+        begin, longest = (ends - sizes)[order], sizes[order]
+        states = np.zeros(len(symbols), dtype=np.int32)
+        now = np.zeros(len(raw), dtype=np.int32)
+        i, alive = 0, len(raw)
+        while alive > FEW:
+            at = begin[:alive] + i
+            now = states[at] = self._step(now[:alive], symbols[at])
+            i += 1
+            alive = int(np.searchsorted(-longest, -i, side="left"))
+        for k in range(alive):
+            state = int(now[k])
+            for at in range(int(begin[k]) + i, int(begin[k] + longest[k])):
+                symbol = int(symbols[at])
+                state = states[at] = found if (found := self.table.item(state, symbol)) >= 0 else self._fill(state, symbol)
+        last = self.last[states]
+        # From each piece's end back by the last token's length; the places that this meets end the tokens.
+        stops = np.zeros(len(symbols) + 1, dtype=bool)
+        at, low = ends, ends - sizes
+        while len(at):
+            stops[at] = True
+            at = at - self.length[last[at - 1]]
+            on = at > low
+            at, low = at[on], low[on]
+        total = np.cumsum(stops)
+        return last[stops[1:]], total[ends] - total[ends - sizes]
+
+    def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        new = self.table[states, symbols]
+        open_ = np.flatnonzero(new < 0)
+        if len(open_):
+            for cell in np.unique(states[open_].astype(np.int64) * 256 + symbols[open_]).tolist():
+                self._fill(cell >> 8, cell & 255)
+            new = self.table[states, symbols]
+        return new
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Of a piece that was split off beforehand."""
-        if piece.isascii() and piece.isalnum():  # these stand for themselves
-            return self.accept(piece + self.word_end)
-        return self.accept(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.map) + self.word_end)
+        return self.encode_pieces([piece])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         names = {i: s.encode() for s, i in self.special.items()}
@@ -174,123 +263,132 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
-class PieceCache(dict):
-    """Piece to what ``value`` makes of it, in bounded memory: when it is full it becomes the older half, in which what is
-    still in use is found again without being worked out anew."""
-
-    def __init__(self, value):
-        super().__init__()
-        self.value = value
-        self.older: dict = {}
-
-    def __missing__(self, piece):
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        found = self[piece] = self.older[piece] if piece in self.older else self.value(piece)
-        return found
+class Splitter:
+    """Texts and their fragments to pieces, as the vocabulary's pattern has them.
 
-
-class SplitTexts:
-    """Texts to what is remembered of their pieces.
-
-    A text falls into chunks at its spaces. Where the characters on both sides of a space are no white space, the
-    pattern always ends a piece before that space, so a chunk (with its leading space) has the same pieces anywhere and
-    is remembered whole; a text with any other space goes through the pattern itself. ``join`` makes a chunk's value of
-    its pieces' values. Beyond ``LAST_SETTLED``, where editions of Unicode differ in what is a letter, ``library_split``
-    (the vocabulary's own) finds the pieces.
+    Where the characters on both sides of a space are no white space, the pattern always ends a piece before that space,
+    so a fragment has the same pieces anywhere. Beyond ``LAST_SETTLED``, where editions of Unicode differ in what is a
+    letter, the vocabulary's own splitter finds the pieces.
     """
 
-    def __init__(self, piece_value, join, special: list[str], library_split):
+    def __init__(self, path: str):
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.later = regex.compile(f"[^\\x00-{LAST_SETTLED}]")
-        self.library_split = library_split
-        self.blank = regex.compile(r"^\s|\s$")
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.marks = special
-        self.pieces = PieceCache(piece_value)
-        self.join = join
-        self.first = PieceCache(self._whole)
-        self.chunks = PieceCache(lambda c: None if not c or self.blank.search(c) else self._whole(" " + c))
-
-    def _whole(self, text: str):
-        return self.join([self.pieces[p] for p in self._split(text)])
-
-    def _split(self, text: str) -> list[str]:
+        self.library_split = library(path).pre_tokenizer.pre_tokenize_str
+        self.marks = list(automaton(path).special)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")") if self.marks else None
+
+    def pieces(self, text: str) -> list[str]:
         if text.isascii() or not self.later.search(text):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.library_split(text)]
 
-    def _values(self, text: str) -> list:
-        head, *rest = text.split(" ")
-        if head and not self.blank.search(head):
-            found = [self.first[head], *[self.chunks[c] for c in rest]]
-            if None not in found:
-                return found
-        return [self.pieces[p] for p in self._split(text)]
-
-    def __call__(self, text: str) -> list:
-        """The values in order; for special strings their own text stands."""
-        if not text:
-            return []
-        if self.special and any(m in text for m in self.marks):
-            out = []
-            for part in self.special.split(text):
-                out += [part] if part in self.marks else self._values(part) if part else []
-            return out
-        return self._values(text)
+    def of_fragment(self, fragment: str) -> list[str] | None:
+        """None where the fragment's pieces depend on what stands around it."""
+        word = fragment[1:] if fragment[:1] == " " else fragment
+        if word.isascii():
+            if word.isalpha():
+                return [fragment]
+            if word[:-1].isalpha() and word[-1] in ".,;:!?":
+                return [fragment[:-1], word[-1]]
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        return self.pieces(fragment)
+
+    def parts(self, text: str) -> list[str]:
+        """Between special strings, and these themselves."""
+        return [p for p in self.special.split(text) if p] if self.special else [text]
+
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be split as a whole: those with special strings, and those too long for columns."""
+        out = pc.binary_length(texts).to_numpy(zero_copy_only=False) > LONG_TEXT
+        for mark in self.marks:
+            out = out | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return out
+
+
+class TextEncoder:
+    """Whole texts to token ids, special strings as their tokens."""
+
+    def __init__(self, path: str):
+        self.machine, self.splitter = automaton(path), Splitter(path)
+
+    def encode_pieces(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lists' pieces in turn, and where each list's ids end, a 0 in front."""
+        ids, n = self.machine.encode_pieces([p for pieces in lists for p in pieces])
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+
+    def __call__(self, text: str) -> np.ndarray:
+        special, out = self.machine.special, []
+        for part in self.splitter.parts(text):
+            out.append(np.array([special[part]]) if part in special else self.machine.encode_pieces(self.splitter.pieces(part))[0])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def encode_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; one pass, no shuffle.
 
-    An empty or null text has no tokens; repeated rows each get their own row; ids and bytes of a piece come from the
-    worker's cache or the automaton, so a text of any length needs memory in proportion to itself only.
+    An empty or null text has no tokens; repeated rows each get their own row. The ids and the emitted bytes of a fragment
+    are worked out once as long as the worker remembers it, so a text of any length needs memory in proportion to itself.
     """
 
     def make():
-        machine = automaton(vocabulary)
-        names = machine.special
-
-        def value(piece):
-            ids = machine.encode_piece(piece)
-            return ",".join(map(str, ids)), len(ids), b"".join([machine.label[i] for i in ids])
-
-        def join(values):
-            return values[0] if len(values) == 1 else (",".join([v[0] for v in values]), sum([v[1] for v in values]), b"".join([v[2] for v in values]))
-
-        split = SplitTexts(value, join, list(names), library(vocabulary).pre_tokenizer.pre_tokenize_str)
-
-        def of_texts(texts):
-            out = [[], [], []]
-            for text in texts:
-                values = [(str(names[v]), 1, v.encode()) if isinstance(v, str) else v for v in split(text)] if "<|" in text else split(text)
-                out[0].append(sum([v[1] for v in values]))
-                out[1].append(sha256(",".join([v[0] for v in values])))
-                out[2].append(sha256(b"".join([v[2] for v in values]).decode("utf-8", "replace")))
-            if sum(map(len, machine.rows)) > 4_000_000:
-                machine.forget()
-            return out
+        encode = TextEncoder(vocabulary)
+        machine = encode.machine
+        labels = list(machine.label)
+        for name, i in machine.special.items():
+            labels[i] = name.encode()
+        labels, names = pa.array(labels, pa.binary()), pa.array([str(i) for i in range(machine.size)])
+
+        def work(fragments: list[str]) -> list:
+            """(ids with commas between, emitted bytes), or False where the fragment says too little."""
+            split = [encode.splitter.of_fragment(f) for f in fragments]
+            ids, ends = encode.encode_pieces([s or [] for s in split])
+            ends, ids = pa.array(ends, pa.int32()), pa.array(ids)
+            texts = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(ids)), ",").to_pylist()
+            emitted = pc.binary_join(pa.ListArray.from_arrays(ends, labels.take(ids)), b"").to_pylist()
+            return [(t, e) if s else False for s, t, e in zip(split, texts, emitted, strict=True)]
+
+        remembered = Remembered(work)
+
+        def alone(text: str):
+            ids = encode(text)
+            chosen = pa.array(ids)
+            emitted = b"".join(labels.take(chosen).to_pylist()).decode("utf-8", "replace").encode()
+            return len(ids), hashlib.sha256(",".join(names.take(chosen).to_pylist()).encode()).hexdigest(), hashlib.sha256(emitted).hexdigest()
+
+        def of_texts(texts: pa.Array) -> list[list]:
+            whole = encode.splitter.whole(texts)
+            codes, offsets, fragments = cut(pc.if_else(pa.array(whole), "", texts))
+            found = remembered(fragments)
+            says_little = np.array([f is False for f in found])
+            empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+            whole = whole | (np.logical_or.reduceat(says_little[codes], offsets[:-1]) & ~empty)
+            blank = ("", b"")
+            ids = joined(pa.array([(f or blank)[0] for f in found], pa.string()), codes, offsets, ",").cast(pa.binary()).to_pylist()
+            emitted = joined(pa.array([(f or blank)[1] for f in found], pa.binary()), codes, offsets, b"").to_pylist()
+            rows = []
+            for i, (a, b) in enumerate(zip(ids, emitted, strict=True)):
+                if whole[i]:
+                    rows.append(alone(texts[i].as_py()))
+                else:
+                    rows.append((a.count(b",") + 1 if a else 0, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()))
+            return [list(c) for c in zip(*rows, strict=True)]
 
         return of_texts
 
-    return map_texts(documents, make, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})
+    return map_batches(documents, make, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
 def encode(documents: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``documents`` with the token ids of its texts (``array<int>``) as one more column."""
 
     def make():
-        machine = automaton(vocabulary)
-        split = SplitTexts(machine.encode_piece, lambda values: [i for v in values for i in v], list(machine.special), library(vocabulary).pre_tokenizer.pre_tokenize_str)
-
-        def of_texts(texts):
-            return [[[i for v in split(t) for i in ([machine.special[v]] if isinstance(v, str) else v)] for t in texts]]
-
-        return of_texts
+        encoder = TextEncoder(vocabulary)
+        return lambda texts: [[encoder(t).tolist() for t in texts.to_pylist()]]
 
     source = documents if text == "text" else documents.withColumn("text", documents[text])
-    return map_texts(source, make, {ids: "array<int>"}, keep=source.columns)
+    return map_batches(source, make, {ids: "array<int>"}, keep=source.columns)
 
 
 def decode(documents: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:

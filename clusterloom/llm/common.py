@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterloom.llm.fragments import slices
+
 ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
     "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
@@ -77,6 +79,23 @@ def map_texts(
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: dict[str, str], keep: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As :func:`map_texts`, with the texts as an Arrow column, a bounded amount of text at a time."""
+    keep = [c for c in keep if c not in fields]
+    wanted = list(dict.fromkeys([*keep, "text"]))
+    kinds = [ARROW[t] for t in fields.values()]
+
+    def run(batches):
+        of_texts = make()
+        for batch in batches:
+            for part, texts in slices(batch):
+                arrays = [part.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(of_texts(texts), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
+
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in fields.items()])
+    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
+
+
 def spans_digest(spans: list[tuple[int, str, int]]) -> str:
     """``kind:start:end`` by start, the given order holding among equal starts, comma-joined."""
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in sorted(spans, key=lambda s: s[0]))

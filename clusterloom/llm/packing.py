@@ -11,19 +11,20 @@ Only the histogram and the plan (of bounded size: rounds times capacity) pass th
 
 from __future__ import annotations
 
-import struct
 import unicodedata
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.bpe_automaton import LAST_SETTLED, PieceCache, automaton, byte_characters, library
+from clusterloom.llm.bpe_automaton import LAST_SETTLED, automaton, byte_characters, library
 from clusterloom.llm.common import written
+from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, joined, slices
 
 #: Fixed: how the vocabulary with word ends splits a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,34 +57,49 @@ class WordEncoder:
         self.pattern = regex.compile(WORD_PATTERN)
         self.later = regex.compile(f"[^\x00-{LAST_SETTLED}]")
         self.back = {c: b for b, c in enumerate(byte_characters())}
-        self.pieces = PieceCache(lambda p: struct.pack(f"<{len(ids)}I", *ids) if (ids := self.machine.encode_piece(p)) else b"")
-        self.chunks = PieceCache(self._chunk)
+        self.remembered = Remembered(self._ids)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _pieces(self, chunk: str) -> list[str]:
         if chunk.isascii():
             low = chunk.lower()
             if low.isalpha():
-                return self.pieces[low]
+                return [low]
             if low[:-1].isalpha() and low[-1] in ".,;:!?":
-                return self.pieces[low[:-1]] + self.pieces[low[-1]]
-            pieces = self.pattern.findall(low)
-        else:
-            # The library lowers letters one by one, which differs for the sigma at a word's end alone.
-            plain = not self.later.search(chunk) and "Σ" not in chunk
-            normal = unicodedata.normalize("NFC", chunk).lower() if plain else self.library.normalizer.normalize_str(chunk)
-            if plain and normal.isalpha():
-                return self.pieces[normal]
-            if self.later.search(normal):
-                pieces = [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-            else:
-                pieces = self.pattern.findall(normal)
-        return b"".join([self.pieces[p] for p in pieces])
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text and any(m in text for m in self.marks):
+                return [low[:-1], low[-1]]
+            return self.pattern.findall(low)
+        # The library lowers letters one by one, which differs for the sigma at a word's end alone.
+        plain = not self.later.search(chunk) and "Σ" not in chunk
+        normal = unicodedata.normalize("NFC", chunk).lower() if plain else self.library.normalizer.normalize_str(chunk)
+        if plain and normal.isalpha():
+            return [normal]
+        if self.later.search(normal):
+            return [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return self.pattern.findall(normal)
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        lists = [self._pieces(c[1:] if c[:1] == " " else c) for c in chunks]
+        ids, n = self.machine.encode_pieces([p for x in lists for p in x])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, lists)])] * 4
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def alone(self, text: str) -> bytes:
+        """Of one text, whatever is in it."""
+        if any(m in text for m in self.marks):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        get = self.chunks.__getitem__
-        return b"".join([get(c) for c in text.replace("\n", " ").split(" ")])
+        chunks = text.replace("\n", " ").split(" ")
+        known = list(dict.fromkeys(chunks))
+        return b"".join(map(dict(zip(known, self.remembered(known), strict=True)).__getitem__, chunks))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.binary_length(texts).to_numpy(zero_copy_only=False) > LONG_TEXT
+        for mark in self.marks:
+            whole = whole | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        codes, offsets, chunks = cut(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " "))
+        out = joined(pa.array(self.remembered(chunks), pa.binary()), codes, offsets, b"").to_pylist()
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.alone(texts[i].as_py())
+        return out
 
 
 def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> DataFrame:
@@ -94,13 +110,13 @@ def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> D
         end = np.array([how.separator], dtype="<u4").tobytes()
         size = 4 * how.capacity
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                rows += [(doc_id, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
-            columns = [list(c) for c in zip(*rows)] or [[], [], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, texts in slices(batch):
+                rows = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
+                    ids += end
+                    rows += [(doc_id, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

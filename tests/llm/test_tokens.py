@@ -1,11 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clusterloom.llm import bpe_automaton, queries, token_counts
+from clusterloom.llm import bpe_automaton, fragments, queries, token_counts
 from clusterloom.llm.packing import WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -15,9 +16,7 @@ chars = st.text(st.sampled_from(list("abtheAN .,'\n\t  0189<|>é日😀̀")), ma
 
 
 def encode(text):
-    machine = bpe_automaton.automaton(BYTE)
-    split = bpe_automaton.SplitTexts(machine.encode_piece, lambda v: [i for x in v for i in x], list(machine.special), LIBRARY.pre_tokenizer.pre_tokenize_str)
-    return [i for v in split(text) for i in ([machine.special[v]] if isinstance(v, str) else v)]
+    return bpe_automaton.TextEncoder(BYTE)(text).tolist()
 
 
 def test_automaton_on_given_texts():
@@ -37,14 +36,18 @@ def test_automaton_on_any_text(text):
 @given(chars)
 def test_word_encoder_on_any_text(text):
     ids = WORDS.encode(text, add_special_tokens=False).ids
-    assert list(memoryview(WordEncoder(WORD)(text)).cast("I")) == ids
+    encode = WordEncoder(WORD)
+    assert list(memoryview(encode.alone(text)).cast("I")) == ids
+    assert [list(memoryview(x).cast("I")) for x in encode(pa.array(["", text, text + " x"]))][:2] == [[], ids]
 
 
 def test_one_path_a_token():
     machine = bpe_automaton.automaton(BYTE)
     some = [i for i in range(0, 50_000, 97)]
     for i in some:
-        assert machine.accept("".join(machine.map[b] for b in machine.label[i])) == LIBRARY.encode(machine.label[i].decode("utf-8", "replace"), add_special_tokens=False).ids or b"\xef\xbf\xbd" in machine.label[i].decode("utf-8", "replace").encode()
+        text = machine.label[i].decode("utf-8", "replace")
+        if "\ufffd" not in text and len(LIBRARY.pre_tokenizer.pre_tokenize_str(text)) == 1:
+            assert machine.encode_piece(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def check_bpe(rows, texts):
@@ -88,6 +91,31 @@ def test_frequent_table_changes_no_count(spark, sf_dir):
     assert a == b
 
 
+def test_a_table_that_starts_anew_gives_the_same_ids(monkeypatch):
+    text = "the quick brown " + "Überraschungen zusammengesetzter Wörter " * 3 + "ab" * 300
+    machine = bpe_automaton.Automaton(BYTE)
+    pieces = [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+    ids, n = machine.encode_pieces(pieces)
+    assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids and n.sum() == len(ids) and len(n) == len(pieces)
+    monkeypatch.setattr(bpe_automaton, "STATES", 10)
+    monkeypatch.setattr(bpe_automaton, "PIECES", 3)
+    monkeypatch.setattr(bpe_automaton, "FEW", 0)
+    again, _ = machine.encode_pieces(pieces)
+    assert again.tolist() == ids.tolist()
+
+
+def test_small_slices_and_caches_change_nothing(spark, monkeypatch, sf_dir):
+    monkeypatch.setattr(fragments, "SLICE_BYTES", 500)
+    texts = ["".join(t) for t in TEXTS] + ["two  spaces here", "x y\n", " lead", "plain words of a text, again; and again."] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    seen = [t for _, column in fragments.slices(batch) for t in column.to_pylist()]
+    assert seen == texts
+    remembered = fragments.Remembered(lambda keys: [len(k) for k in keys], limit=2000)
+    for at in range(0, 200, 10):
+        keys = [f"k{i}" for i in range(at, at + 20)]
+        assert remembered(keys) == [len(k) for k in keys]
+
+
 def test_ids_round_trip(spark):
     docs = spark.createDataFrame([(1, "Hello <|endoftext|> wörld  x"), (2, "")], "doc_id bigint, text string")
     back = bpe_automaton.decode(bpe_automaton.encode(docs, BYTE), BYTE, text="again").collect()
