@@ -146,8 +146,9 @@ class Automaton:
         self.numbers: dict[tuple, int] = {}
         self.meaning: list[tuple] = []
         self.known: dict[tuple[int, int], object] = {}
-        self.table = np.full((4096, 256), -1, dtype=np.int32)
-        self.last = np.full(4096, -1, dtype=np.int32)
+        # One more than the next state; 0 is not worked out yet. Memory is touched as rows are used.
+        self.table = np.zeros((STATES + STATES // 4, 256), dtype=np.int32)
+        self.last = np.zeros(len(self.table), dtype=np.int32)
         self._state(((ANY, 0),), -1)
 
     def _state(self, meaning: tuple, last: int) -> int:
@@ -156,8 +157,8 @@ class Automaton:
             number = self.numbers[meaning] = len(self.meaning)
             self.meaning.append(meaning)
             if number >= len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
             self.last[number] = last
         return number
 
@@ -193,7 +194,7 @@ class Automaton:
         if last < 0:
             raise ValueError(f"no path over the symbol {symbol}")
         found = self._state((*begun, (last, 0)), last)
-        self.table[state, symbol] = found
+        self.table[state, symbol] = found + 1
         return found
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +222,7 @@ class Automaton:
             state = int(now[k])
             for at in range(int(begin[k]) + i, int(begin[k] + longest[k])):
                 symbol = int(symbols[at])
-                state = states[at] = found if (found := self.table.item(state, symbol)) >= 0 else self._fill(state, symbol)
+                state = states[at] = found - 1 if (found := self.table.item(state, symbol)) else self._fill(state, symbol)
         last = self.last[states]
         # From each piece's end back by the last token's length; the places that this meets end the tokens.
         stops = np.zeros(len(symbols) + 1, dtype=bool)
@@ -235,12 +236,12 @@ class Automaton:
         return last[stops[1:]], total[ends] - total[ends - sizes]
 
     def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        new = self.table[states, symbols]
-        open_ = np.flatnonzero(new < 0)
-        if len(open_):
-            for cell in np.unique(states[open_].astype(np.int64) * 256 + symbols[open_]).tolist():
+        new = self.table[states, symbols] - 1
+        missing = np.flatnonzero(new < 0)
+        if len(missing):
+            for cell in np.unique(states[missing].astype(np.int64) * 256 + symbols[missing]).tolist():
                 self._fill(cell >> 8, cell & 255)
-            new = self.table[states, symbols]
+            new = self.table[states, symbols] - 1
         return new
 
     def encode_piece(self, piece: str) -> list[int]:

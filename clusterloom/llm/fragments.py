@@ -14,11 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut up at a time; one longer text is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 #: A text of more bytes is handled without joining columns, whose offsets have 32 bits.
 LONG_TEXT = 64 << 20
 #: Bytes (by estimate) in each half of what a worker remembers.
-REMEMBERED = 48 << 20
+REMEMBERED = 32 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -2,15 +2,17 @@
 
 Documents become token pieces of at most ``capacity``. The histogram of piece lengths (``capacity`` rows at most) is what
 the program sees: a configuration is a multiset of lengths that fits a sequence, and the fewest sequences cover the
-histogram. Multiplicative weights put a price on each length; dynamic programming over the knapsack finds the
-configuration worth most at these prices, which is used and makes its lengths cheaper. Use is in whole sequences, and
-what is left after the rounds is placed best fit. Every row then finds its place by its rank among the pieces of its length.
+histogram. Multiplicative weights solve the program, priced by dynamic programming over the knapsack, until its fractional
+use is close to the bound that the prices prove. Use is rounded to whole sequences, what is left is placed best fit, and
+where best fit alone needs fewer sequences its plan stands. Every row then finds its place by its rank among the pieces of
+its length.
 
-Only the histogram and the plan (of bounded size: rounds times capacity) pass the driver.
+Only the histogram and the plan (of bounded size: configurations times capacity) pass the driver.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -34,11 +36,14 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Packing:
     capacity: int = 2048
     separator: int = 0
-    #: Configurations that the pricing makes at most.
-    rounds: int = 120
-    #: How fast a price answers to what is uncovered, and the part of what a configuration could cover that one round uses.
-    step: float = 3.0
-    part: float = 0.2
+    #: Turns of pricing and playing at most, steps of a turn, how fast weights answer, and the gap between the plan and the
+    #: bound at which the turns end.
+    rounds: int = 12
+    steps: int = 200
+    rate: float = 0.5
+    gap: float = 0.001
+    #: Configurations that are kept from turn to turn: those used most.
+    columns: int = 12_000
     #: Rank groups of a length: rows of one length are ranked in so many parts.
     parts: int = 256
 
@@ -121,72 +126,195 @@ def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> D
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_configuration(lengths: np.ndarray, limits: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths within the capacity that is worth most: knapsack by dynamic programming.
+@dataclass(frozen=True)
+class Solution:
+    """``plan``: (configuration, how many sequences use it), which covers the histogram exactly. ``bound``: no plan has
+    fewer sequences. ``fractional``: sequences that the program's fractional solution uses; ``rounded``: those of the plan
+    that come from it, the others are placed best fit."""
 
-    A length is taken at most as often as ``limits`` says; its copies enter the table as 1, 2, 4 ... at a time.
-    """
+    plan: list[tuple[dict[int, int], int]]
+    bound: int
+    fractional: float
+    rounded: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """By dynamic programming, what the best multiset of lengths (ascending) within each room is worth, and the place of
+    the length that is added last in each room (-1: the room is as good as one less)."""
     value = np.zeros(capacity + 1)
-    taken: list[tuple[int, int, np.ndarray]] = []
-    for length, limit, price in zip(lengths.tolist(), limits.tolist(), prices.tolist(), strict=True):
-        left, bundle = min(limit, capacity // length), 1
-        while left > 0:
-            bundle = min(bundle, left)
-            weight = bundle * length
-            if weight > capacity:
-                break
-            better = np.zeros(capacity + 1, dtype=bool)
-            offer = value[:-weight] + bundle * price
-            better[weight:] = offer > value[weight:]
-            value[weight:] = np.where(better[weight:], offer, value[weight:])
-            taken.append((length, bundle, better))
-            left -= bundle
-            bundle *= 2
+    added = [-1] * (capacity + 1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for room in range(1, capacity + 1):
+        value[room] = value[room - 1]
+        k = fitting[room]
+        if k:
+            offers = value[room - lengths[:k]] + prices[:k]
+            best = int(offers.argmax())
+            if offers[best] > value[room]:
+                value[room], added[room] = offers[best], best
+    return value, added
+
+
+def contents(added: list[int], lengths: list[int], room: int) -> dict[int, int]:
+    """Place of a length to copies, of the best multiset within ``room``."""
     out: dict[int, int] = {}
-    room = capacity
-    for length, bundle, better in reversed(taken):
-        if better[room]:
-            out[length] = out.get(length, 0) + bundle
-            room -= bundle * length
+    while room > 0:
+        i = added[room]
+        if i < 0:
+            room -= 1
+        else:
+            out[i] = out.get(i, 0) + 1
+            room -= lengths[i]
     return out
 
 
-def solve(histogram: dict[int, int], how: Packing = Packing()) -> list[tuple[dict[int, int], int]]:
-    """(configuration, how many sequences use it); together they cover the histogram exactly.
+class Program:
+    """The covering program over the histogram: as few sequences as possible, each a configuration, so that every length is
+    covered as often as it occurs.
 
-    The program is solved from two starting prices, a length's size and its share of a sequence when alone in it
-    (1 over the copies that fit); the solution with fewer sequences stands.
+    Multiplicative weights play both sides of it: what a length is worth falls where it is covered well, and the use of a
+    configuration grows where its lengths are worth much (with optimistic steps, so that both settle). Pricing is a
+    knapsack at the present worths: its value gives a lower bound, as worths divided by it are a solution of the dual, and
+    for each length the best configuration that holds it enters the program.
     """
+
+    def __init__(self, histogram: dict[int, int], capacity: int, start: list[tuple[dict[int, int], int]]):
+        self.capacity = capacity
+        self.lengths = np.array(sorted(histogram))
+        self.counts = np.array([histogram[n] for n in self.lengths.tolist()], dtype=np.int64)
+        self.place = {n: i for i, n in enumerate(self.lengths.tolist())}
+        self.volume = float(self.lengths @ self.counts) / capacity
+        self.bound = self.volume
+        self.worth = self.lengths * self.counts / (self.lengths @ self.counts)
+        self.index: dict[tuple, int] = {}
+        self.columns: list[dict[int, int]] = []
+        self.use = np.zeros(0)
+        self._enter([({self.place[n]: k for n, k in c.items()}, float(number)) for c, number in start])
+
+    def _enter(self, columns: list[tuple[dict[int, int], float]]) -> None:
+        new = []
+        for column, use in columns:
+            key = tuple(sorted(column.items()))
+            if key not in self.index:
+                self.index[key] = len(self.columns)
+                self.columns.append(column)
+                new.append(use)
+        self.use = np.concatenate([self.use, new])
+        self.at = np.array([i for c in self.columns for i in c], dtype=np.int64)
+        self.of = np.repeat(np.arange(len(self.columns)), [len(c) for c in self.columns])
+        self.copies = np.array([k for c in self.columns for k in c.values()], dtype=float)
+
+    def covered(self, use: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.copies * use[self.of], minlength=len(self.lengths)) / self.counts
+
+    def price(self, share: float = 0.02) -> float:
+        """Enters the best configuration for each length; the lower bound that the worths prove."""
+        prices = self.worth / self.counts
+        value, added = knapsack(self.lengths, prices, self.capacity)
+        lengths = self.lengths.tolist()
+        proven = float(self.worth.sum() / value[self.capacity])
+        new = []
+        for i, n in enumerate(lengths):
+            column = contents(added, lengths, self.capacity - n)
+            column[i] = column.get(i, 0) + 1
+            # No more copies than there are.
+            column = {j: min(k, int(self.counts[j])) for j, k in column.items()}
+            new.append((column, share * float(self.counts[i]) / column[i]))
+        self._enter(new)
+        self.bound = max(self.bound, proven)
+        return proven
+
+    def play(self, steps: int, rate: float) -> None:
+        """Multiplicative steps of both sides; their means become the present worths and uses."""
+        total = self.bound
+        use, worth = self.use / self.use.sum(), self.worth / self.worth.sum()
+        log_use, log_worth = np.log(np.maximum(use, 1e-12)), np.log(np.maximum(worth, 1e-300))
+        sum_use, sum_worth = np.zeros(len(use)), np.zeros(len(worth))
+        last_gain = last_cover = None
+        for _ in range(steps):
+            cover = np.minimum(self.covered(use * total), 4.0)
+            gain = np.bincount(self.of, self.copies * (worth / self.counts * total)[self.at], minlength=len(use))
+            log_worth -= rate * (cover if last_cover is None else 2 * cover - last_cover)
+            log_use += rate * (gain if last_gain is None else 2 * gain - last_gain)
+            last_cover, last_gain = cover, gain
+            worth = np.exp(log_worth - log_worth.max())
+            worth /= worth.sum()
+            use = np.exp(log_use - log_use.max())
+            use /= use.sum()
+            sum_use += use
+            sum_worth += worth
+        self.use, self.worth = sum_use / steps * total, sum_worth / steps
+
+    def drop_unused(self, keep: int) -> None:
+        """Forgets the configurations that are hardly used."""
+        if len(self.columns) > keep:
+            stay = np.sort(np.argsort(-self.use, kind="stable")[:keep])
+            columns = [(self.columns[i], float(self.use[i])) for i in stay.tolist()]
+            self.index, self.columns, self.use = {}, [], np.zeros(0)
+            self._enter(columns)
+
+    def fractional(self) -> float:
+        """Sequences that the present use needs, with what it leaves uncovered in sequences by length."""
+        lack = np.maximum(0.0, 1.0 - self.covered(self.use)) * self.counts
+        return float(self.use.sum() + (lack / (self.capacity // self.lengths)).sum())
+
+    def rounded(self) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+        """Whole sequences by the fractional use, and the lengths that are left.
+
+        Each configuration is used as often as its use is whole; then, the largest fraction first, once more where all its
+        lengths are still there.
+        """
+        left = self.counts.copy()
+        lengths = self.lengths.tolist()
+        number = np.zeros(len(self.columns), dtype=np.int64)
+        order = np.argsort(-self.use, kind="stable").tolist()
+        # A full sequence is worth more than one with room: of rare fractions these come first.
+        filled = [sum(lengths[i] * k for i, k in c.items()) for c in self.columns]
+        later = sorted(range(len(self.columns)), key=lambda c: (-filled[c] // 4, -(self.use[c] % 1.0)))
+        for turn, row in enumerate((order, [c for c in later if self.use[c] % 1.0 > 0.02])):
+            for c in row:
+                wanted = int(self.use[c]) if turn == 0 else 1
+                fits = min(wanted, *(int(left[i]) // k for i, k in self.columns[c].items())) if wanted else 0
+                if fits > 0:
+                    number[c] += fits
+                    for i, k in self.columns[c].items():
+                        left[i] -= k * fits
+        plan = [({lengths[i]: k for i, k in self.columns[c].items()}, int(number[c])) for c in np.flatnonzero(number).tolist()]
+        return plan, {n: int(k) for n, k in zip(lengths, left.tolist(), strict=True) if k}
+
+
+def solve(histogram: dict[int, int], how: Packing = Packing()) -> Solution:
+    """The program is played and priced in turns until its use is within ``how.gap`` of the bound (``how.rounds`` turns at
+    most), rounded, and what is left is placed best fit. Where best fit alone needs fewer sequences, its plan stands."""
     full = histogram.get(how.capacity, 0)
     left = {n: c for n, c in histogram.items() if c and n < how.capacity}
-    out = [({how.capacity: 1}, full)] if full else []
+    whole = [({how.capacity: 1}, full)] if full else []
     if not left:
-        return out
-    lengths = np.array(sorted(left, reverse=True))
-    starts = (lengths / how.capacity, 1.0 / (how.capacity // lengths))
-    return out + min((_cover(left, lengths, prices, how) for prices in starts), key=lambda plan: sum(n for _, n in plan))
-
-
-def _cover(histogram: dict[int, int], lengths: np.ndarray, prices: np.ndarray, how: Packing) -> list[tuple[dict[int, int], int]]:
-    """Multiplicative weights: a length's price is multiplied up the more of it is uncovered, against the whole.
-
-    Each round uses the configuration worth most, in whole sequences, for a part of what it could cover; so the rounding
-    is done on the way, and what no round has covered is placed best fit.
-    """
-    counts = np.array([histogram[n] for n in lengths.tolist()], dtype=np.int64)
-    lack = counts.copy()
-    index = {n: i for i, n in enumerate(lengths.tolist())}
-    out: list[tuple[dict[int, int], int]] = []
-    for _ in range(how.rounds):
-        if not lack.any():
+        return Solution(whole, full, float(full), full)
+    plain = best_fit(left, how.capacity)
+    program = Program(left, how.capacity, plain)
+    best, used, rounded = plain, sum(n for _, n in plain), 0
+    fractional = float(used)
+    for turn in range(how.rounds):
+        program.price()
+        program.play(how.steps, how.rate)
+        fractional = min(fractional, program.fractional())
+        if turn % 4 == 3 or turn == how.rounds - 1:
+            plan, rest = program.rounded()
+            mine = sum(n for _, n in plan)
+            plan += best_fit(rest, how.capacity)
+            total = sum(n for _, n in plan)
+            if total <= used:
+                best, used, rounded = plan, total, mine
+        least = math.ceil(program.bound - 1e-6)
+        if rounded and used - least <= how.gap * least:
             break
-        weights = np.exp(how.step * (lack / counts - lack.sum() / counts.sum()))
-        best = best_configuration(lengths, lack, prices * weights, how.capacity)
-        number = max(1, int(how.part * min(lack[index[n]] // k for n, k in best.items())))
-        out.append((best, number))
-        for n, k in best.items():
-            lack[index[n]] -= k * number
-    return out + best_fit(dict(zip(lengths.tolist(), lack.tolist(), strict=True)), how.capacity)
+        program.drop_unused(how.columns)
+    return Solution(whole + best, full + math.ceil(program.bound - 1e-6), full + fractional, full + rounded)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -244,7 +372,7 @@ def pack(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> Dat
     table = written(pieces(documents, vocabulary, how), "pieces").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(how.parts)).cast("int"))
     counts = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     # One row a length: the capacity bounds them.
-    plan = plan_table(solve({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, how))
+    plan = plan_table(solve({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, how).plan)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = table.withColumn("within", within).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))

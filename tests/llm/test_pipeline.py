@@ -45,33 +45,58 @@ def test_odd_packing(spark, odd_documents, no_documents):
     assert packing.pack(no_documents, path).count() == 0
 
 
-@pytest.mark.parametrize("name", ["uniform", "small", "halves", "one"])
-def test_plans_cover_the_histogram(name):
+def lengths_of(name):
     rng = np.random.default_rng(1)
-    lengths = {"uniform": rng.integers(1, 2049, 3000), "small": rng.integers(1, 60, 5000), "halves": np.full(999, 1024), "one": np.array([7])}[name]
+    return {
+        "uniform": lambda: rng.integers(1, 2049, 3000), "small": lambda: rng.integers(1, 60, 5000), "halves": lambda: np.full(999, 1024), "one": lambda: np.array([7]),
+        "pairs": lambda: rng.integers(1000, 1049, 5000), "triples": lambda: rng.integers(560, 801, 5000), "rare": lambda: rng.integers(1, 2049, 40),
+        "documents": lambda: np.minimum(2048, rng.lognormal(6, 1, 20_000).astype(int) + 1),
+    }[name]()
+
+
+@pytest.mark.parametrize("name", ["uniform", "small", "halves", "one", "pairs", "triples", "rare", "documents"])
+def test_plans_cover_the_histogram(name):
+    lengths = lengths_of(name)
     histogram = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
-    plan = packing.solve(histogram, packing.Packing(rounds=40))
+    solution = packing.solve(histogram)
     covered = {}
-    for configuration, n in plan:
+    for configuration, n in solution.plan:
         assert sum(a * b for a, b in configuration.items()) <= 2048
         for a, b in configuration.items():
             covered[a] = covered.get(a, 0) + b * n
     assert covered == histogram
-    used, bound = sum(n for _, n in plan), -(-int(lengths.sum()) // 2048)
-    assert used <= 1.06 * bound + 1
+    volume = -(-int(lengths.sum()) // 2048)
+    plain = sum(n for _, n in packing.best_fit(histogram, 2048))
+    assert volume <= solution.bound <= solution.sequences <= plain and solution.rounded <= solution.sequences
+    assert solution.sequences <= 1.02 * solution.bound + 1
+
+
+def test_bound_is_below_the_fewest_sequences():
+    """Every way to pack a few pieces, by trying them all."""
+
+    def fewest(pieces, bins=()):
+        if not pieces:
+            return len(bins)
+        n, rest = pieces[0], pieces[1:]
+        return min(fewest(rest, tuple(sorted((*bins[:i], b + n, *bins[i + 1 :])))) if i < len(bins) else fewest(rest, (*bins, n)) for i, b in enumerate((*bins, 0)) if b + n <= 30)
+
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        pieces = sorted(rng.integers(1, 31, 7).tolist(), reverse=True)
+        solution = packing.solve({n: pieces.count(n) for n in pieces}, packing.Packing(capacity=30))
+        assert solution.bound <= fewest(tuple(pieces)) <= solution.sequences
 
 
 def test_pricing_is_the_best_knapsack():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        lengths = np.unique(rng.integers(1, 12, 4))[::-1]
-        limits, prices = rng.integers(0, 4, len(lengths)), rng.random(len(lengths))
-        best = 0.0
-        for code in np.ndindex(*[n + 1 for n in limits]):
-            if np.dot(code, lengths) <= 20:
-                best = max(best, float(np.dot(code, prices)))
-        got = packing.best_configuration(lengths, limits, prices, 20)
-        assert np.isclose(sum(prices[list(lengths).index(n)] * k for n, k in got.items()), best)
+        lengths = np.unique(rng.integers(1, 12, 4))
+        prices = rng.random(len(lengths))
+        value, added = packing.knapsack(lengths, prices, 20)
+        for room in range(21):
+            best = max(float(np.dot(code, prices)) for code in np.ndindex(*[room // n + 1 for n in lengths]) if np.dot(code, lengths) <= room)
+            got = packing.contents(added, lengths.tolist(), room)
+            assert np.isclose(value[room], best) and np.isclose(sum(prices[i] * k for i, k in got.items()), best) and sum(lengths[i] * k for i, k in got.items()) <= room
 
 
 def test_stages_against_a_plain_version(spark):
