@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.llm.fragments import slices
+from clusterloom.operators.graph import materialise as written
+from clusterloom.operators.graph import shared_folder
+
+__all__ = ["ARROW", "ascii_lower", "load", "map_batches", "map_texts", "sha256", "shared_folder", "spans_digest", "written"]
 
 ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
@@ -31,22 +33,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list[list]]],

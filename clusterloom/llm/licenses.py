@@ -1,10 +1,12 @@
 """Operator 9: license scans by an exact set-similarity join, in DataFrame functions alone.
 
-A block is a line. A template matches a block that holds at least ``threshold`` of the template's distinct words. Words
-are ordered by their frequency over all documents, rarest first; a block that matches must hold one of the template's
-first ``size - needed + 1`` words (prefix filter), have enough words (length filter), and have enough of them left from
-the shared word on (positional filter). What passes is verified on the full sets. Templates are a fixed, small list, so
-they are broadcast; texts are read once, and only documents that hold enough words of some template are cut into lines.
+A block is a run of consecutive words of a text, wherever its lines end, a quarter longer than the template. A template
+matches a text with a block that holds at least ``threshold`` of the template's distinct words. Texts are cut into tiles
+that overlap, so that every block lies in one. Words are ordered by their frequency over all documents, rarest first; a
+tile with a block that matches must hold one of the template's first ``size - needed + 1`` words (prefix filter), have
+enough words (length filter), and have enough of them left from the shared word on (positional filter). What passes is
+verified block by block. Templates are a fixed, small list, so they are broadcast; texts are read once, and only documents
+that hold enough words of some template are cut into tiles.
 """
 
 from __future__ import annotations
@@ -51,8 +53,13 @@ def _sets(templates) -> list[tuple[str, list[str]]]:
     return [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
 
 
+def block_words(text: str) -> int:
+    """Words of a block for the template ``text``."""
+    return math.ceil(len(text.split()) * 1.25)
+
+
 def scanned(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One pass: each row's words, base places and template words, with its text where some template may match."""
+    """One pass: each row's words, base places and template words, with all its words where some template may match."""
     sets = _sets(templates)
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, words in sets for w in words})])
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("norm", _normal(F.col("text")))
@@ -78,12 +85,12 @@ def scanned(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         F.greatest(*last).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("base_labels"),
         "hits",
-        F.when(may, F.col("text")).alias("text"),
+        F.when(may, F.col("words")).alias("may"),
     )
 
 
 def matches(found: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, line (from 0), label, containment of every block that meets the threshold."""
+    """doc_id, text_hash, tile (from 0), label, containment of the best block of every tile with one that meets the threshold."""
     spark, sets = found.sparkSession, _sets(templates)
     # Frequencies of template words over all documents: as many rows as there are template words.
     counts = {r.word: r.n for r in found.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -91,22 +98,30 @@ def matches(found: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     rank = {w: i for i, w in enumerate(order)}
     ranks = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     vocabulary = F.array(*[F.lit(w) for w in order])
+    step = max(block_words(text) for _, text in templates)
     rows = []
-    for number, (label, words) in enumerate(sets):
+    for (label, words), (_, text) in zip(sets, templates, strict=True):
         own = sorted(rank[w] for w in words)
         needed = _needed(len(own), threshold)
-        rows += [(number, label, own, needed, place, own[place]) for place in range(len(own) - needed + 1)]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "template int, label string, t_words array<int>, needed int, t_place int, word int"))
-    lines = found.filter("text is not null").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    blocks = lines.select("doc_id", "text_hash", "line", F.array_sort(F.transform(F.array_intersect(F.split(_normal(F.col("block")), " "), vocabulary), lambda w: F.element_at(ranks, w))).alias("b_words"))
-    placed = blocks.select("doc_id", "text_hash", "line", "b_words", F.posexplode("b_words").alias("b_place", "word"))
+        rows += [(label, own, block_words(text), needed, place, own[place]) for place in range(len(own) - needed + 1)]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "label string, t_words array<int>, width int, needed int, t_place int, word int"))
+    # Tiles of two steps, one step apart: a block of one step or less lies in one of them.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("may") - 1, F.lit(0)), F.lit(step))
+    tiles = found.filter("may is not null").select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda s: F.slice("may", s + 1, 2 * step))).alias("tile", "run"))
+    placed = F.filter(F.transform("run", lambda w, i: F.struct(i.alias("at"), F.element_at(ranks, w).alias("w"))), lambda x: x["w"].isNotNull())
+    tiles = tiles.select("doc_id", "text_hash", "tile", placed.alias("placed")).withColumn("b_words", F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["w"]))))
+    met = tiles.select("doc_id", "text_hash", "tile", "placed", "b_words", F.posexplode("b_words").alias("b_place", "word"))
     left = 1 + F.least(F.size("t_words") - F.col("t_place") - 1, F.size("b_words") - F.col("b_place") - 1)
-    candidates = placed.join(prefixes, "word").filter((F.size("b_words") >= F.col("needed")) & (left >= F.col("needed"))).filter(
+    candidates = met.join(prefixes, "word").filter((F.size("b_words") >= F.col("needed")) & (left >= F.col("needed"))).filter(
         # Of several shared prefix words the first one speaks for the pair.
         F.array_min(F.array_intersect("b_words", "t_words")) == F.col("word")
     )
-    shared = F.size(F.array_intersect("b_words", "t_words"))
-    return candidates.filter(shared >= F.col("needed")).select("doc_id", "text_hash", "line", "label", (shared / F.size("t_words")).alias("containment"))
+    candidates = candidates.filter(F.size(F.array_intersect("b_words", "t_words")) >= F.col("needed"))
+    # Every block of use begins with one of the template's words; it holds at most ``width`` of them.
+    own = candidates.withColumn("own", F.filter("placed", lambda x: F.array_contains("t_words", x["w"])))
+    block = lambda first, i: F.filter(F.slice("own", i + 1, F.col("width")), lambda x: x["at"] < first["at"] + F.col("width"))
+    shared = F.array_max(F.transform("own", lambda first, i: F.size(F.array_distinct(F.transform(block(first, i), lambda x: x["w"])))))
+    return own.withColumn("shared", shared).filter(F.col("shared") >= F.col("needed")).select("doc_id", "text_hash", "tile", "label", (F.col("shared") / F.size("t_words")).alias("containment"))
 
 
 def scan_licenses(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,9 +144,9 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES, threshold: float =
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB: every line against every template, without filters."""
+    """The same in DuckDB: every run of words against every template, without filters."""
     normal = "trim(regexp_replace(lower({}), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
-    rows = ", ".join(f"('{label}', {words!r}::VARCHAR[], {_needed(len(words), threshold)})" for label, words in _sets(templates))
+    rows = ", ".join(f"('{label}', {words!r}::VARCHAR[], {_needed(len(words), threshold)}, {block_words(text)})" for (label, words), (_, text) in zip(_sets(templates), templates, strict=True))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {normal.format("coalesce(text, '')")} AS norm FROM documents),
@@ -140,9 +155,10 @@ phrases(phrase, label, size) AS (VALUES {phrases}),
 places AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) JOIN phrases
   ON array_to_string(w[i:i + size - 1], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM places GROUP BY doc_id),
-templates(label, t, needed) AS (VALUES {rows}),
-lines AS (SELECT doc_id, list_distinct(string_split({normal.format("block")}, ' ')) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM docs)),
-more AS (SELECT doc_id, list(DISTINCT label) AS added, max(len(list_intersect(t, b)) / len(t)) AS best FROM lines JOIN templates ON len(list_intersect(t, b)) >= needed GROUP BY doc_id)
+templates(label, t, needed, width) AS (VALUES {rows}),
+runs AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+more AS (SELECT doc_id, list(DISTINCT label) AS added, max(shared / size) AS best FROM
+  (SELECT doc_id, label, needed, len(t) AS size, len(list_intersect(t, w[i:i + width - 1])) AS shared FROM runs CROSS JOIN templates WHERE list_contains(t, w[i])) WHERE shared >= needed GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(added, [])))), ',') AS labels,

@@ -8,7 +8,6 @@ many repeated five-word windows) reject too.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import map_texts
+from clusterloom.llm.common import map_texts, written
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control")
 SYMBOLS = "#*$%&|<>"
@@ -31,10 +30,8 @@ class Rules:
     min_chars: int = 200
     max_word_distance: float = 0.48
     min_word_count: int = 100
-    #: Common words a reference has, and the words each task's summary hands on.
+    #: Common words a reference has.
     common_words: int = 100
-    summary_words: int = 512
-    summary_counters: int = 200_000
     #: A language has a reference if it holds this share of all characters (so there are 1/share at most); all together have one.
     min_language_share: float = 0.005
 
@@ -102,52 +99,52 @@ def repeated_window_words(words: list[bytes], size: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def references(documents: DataFrame, rules: Rules = Rules()) -> list[tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each language (and for all documents together): shares of classes, its common words, their shares and the rest's.
-
-    All documents count. A task hands on the exact class counts and its most common words for each language.
-    """
+def _class_totals(documents: DataFrame) -> DataFrame:
+    """lang and the number of characters of each class, over all documents."""
 
     def run(batches):
-        classes: dict[str, np.ndarray] = {}
-        words: dict[str, Counter] = {}
-        total: Counter = Counter()
         for batch in batches:
+            classes: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                lang, text = lang or "", text or ""
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
-                own = words.setdefault(lang, Counter())
-                split = text.encode("utf-8", "surrogatepass").lower().split()
-                own.update(split)
-                total[lang] += len(split)
-                if len(own) > rules.summary_counters:
-                    words[lang] = Counter(dict(own.most_common(rules.summary_counters // 2)))
-        rows = [(g, "class", str(k).encode(), int(n)) for g, h in classes.items() for k, n in enumerate(h)]
-        rows += [(g, "words", b"", n) for g, n in total.items()]
-        rows += [(g, "word", w, n) for g, c in words.items() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.summary_words]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64()))], names=["lang", "kind", "key", "n"])
-
-    counts = documents.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, kind string, key binary, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    share = F.sum(F.when(F.col("kind") == "class", F.col("n"))).over(Window.partitionBy("lang"))
-    ranked = counts.withColumn("chars", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
-    top = ranked.filter((F.col("kind") != "word") | (F.col("place") <= rules.common_words)).collect()
-    chars = {r.lang: r.chars or 0 for r in top}
-    large = {g for g, n in chars.items() if n and n >= rules.min_language_share * sum(chars.values())}
+            columns = [pa.array(list(classes), pa.string()), *[pa.array([int(h[k]) for h in classes.values()], pa.int64()) for k in range(len(CLASSES))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", *CLASSES])
+
+    rows = documents.mapInArrow(run, "lang string, " + ", ".join(f"`{c}` bigint" for c in CLASSES))
+    return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES])
+
+
+def references(documents: DataFrame, rules: Rules = Rules()) -> list[tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+    """For each large language (and for all documents together, unless one language is all): shares of classes, its
+    common words, their shares and the rest's.
+
+    Counts are exact and over all documents, however rows are dealt. Only languages with ``min_language_share`` of all
+    characters leave the executors, so their number is bounded.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    totals = written(_class_totals(rows).withColumn("chars", sum([F.col(c) for c in CLASSES[1:]], F.col(CLASSES[0]))), "quality-classes")
+    whole = totals.agg(*[F.sum(c).alias(c) for c in (*CLASSES, "chars")]).first()
+    if not whole.chars:
+        return []
+    large = {r.lang: r for r in totals.filter((F.col("chars") > 0) & (F.col("chars") >= rules.min_language_share * whole.chars)).collect()}
+    words = rows.select("lang", F.explode(F.split(F.translate("text", upper, lower), "[ \\t-\\r]+")).alias("word")).filter("word <> ''")
+    counts = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    own = counts.filter(F.col("lang").isin(sorted(large)))
+    tops = own.withColumn("place", place).filter(F.col("place") <= rules.common_words).select("lang", "word", "n").collect()
+    sums = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    groups = [(large[g], [(r.word, r.n) for r in tops if r.lang == g], sums.get(g, 0)) for g in sorted(large)]
+    if len(large) != 1:
+        together = counts.groupBy("word").agg(F.sum("n").alias("n"))
+        groups.append((whole, [(r.word, r.n) for r in together.orderBy(F.desc("n"), "word").limit(rules.common_words).collect()], counts.agg(F.sum("n")).first()[0] or 0))
     out = []
-    groups = [[r for r in top if r.lang == g] for g in sorted(large)] + ([top] if len(large) != 1 else [])
-    for group in groups:
-        classes, words, total = np.zeros(len(CLASSES)), Counter(), 0
-        for r in group:
-            if r.kind == "class":
-                classes[int(r.key)] += r.n
-            elif r.kind == "word":
-                words[bytes(r.key)] += r.n
-            else:
-                total += r.n
-        best = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]
-        if classes.sum() and total:
+    for classes, best, total in groups:
+        histogram = np.array([classes[c] for c in CLASSES], dtype=float)
+        if total:
+            best = sorted(((w.encode(), n) for w, n in best), key=lambda x: (-x[1], x[0]))
             shares = np.array([n / total for _, n in best] + [max(0.0, 1 - sum(n for _, n in best) / total)])
-            out.append((classes / classes.sum(), {w: i for i, (w, _) in enumerate(best)}, shares))
+            out.append((histogram / histogram.sum(), {w: i for i, (w, _) in enumerate(best)}, shares))
     return out
 
 

@@ -53,6 +53,51 @@ def test_quality_agrees_with_labels(spark, sf_dir):
     assert sum(not r.kept for r in low) > 0.6 * len(low)
 
 
+def plain_references(rows, rules):
+    """(class shares, common words, shares) of each large language and of all, by counting one by one."""
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    words_of = lambda t: [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in low(t)).split(" ") if w]
+    by = {}
+    for lang, text in rows:
+        for group in {(lang or "",), ()}:
+            classes, words = by.setdefault(group, (np.zeros(7), Counter()))
+            classes += quality.class_counts(text or "")
+            words.update(words_of(text or ""))
+    whole = by.pop(())
+    out = [by[g] for g in sorted(by) if by[g][0].sum() >= rules.min_language_share * whole[0].sum()]
+    result = []
+    for classes, words in [*out, *([whole] if len(out) != 1 else [])]:
+        best = sorted(((w.encode(), n) for w, n in words.items()), key=lambda x: (-x[1], x[0]))[: rules.common_words]
+        total = sum(words.values())
+        shares = [n / total for _, n in best]
+        result.append((classes / classes.sum(), [w for w, _ in best], [*shares, 1 - sum(shares)]))
+    return result
+
+
+def test_references_are_exact_however_rows_are_dealt(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    rules = quality.Rules()
+    want = plain_references([(r.lang, r.text) for r in docs.collect()], rules)
+    for parts in (1, 13):
+        got = quality.references(docs.repartition(parts), rules)
+        assert len(got) == len(want)
+        for (c, index, s), (wc, ww, ws) in zip(got, want, strict=True):
+            assert np.allclose(c, wc) and list(index) == ww and np.allclose(s, ws)
+    one = {r.doc_id: (r.kept, r.word_distance, r.char_distance) for r in quality.quality(docs.repartition(1)).collect()}
+    assert one == {r.doc_id: (r.kept, r.word_distance, r.char_distance) for r in quality.quality(docs.repartition(9)).collect()}
+    # Distances and verdicts, by hand.
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, (kept, by_word, by_char) in one.items():
+        text, failed = texts[i], plain_quality(texts[i])[-1]
+        words = text.encode().lower().split()
+        near = None
+        if len(words) >= rules.min_word_count:
+            n = Counter(words)
+            near = min(quality.js_distance(np.array([n[w] / len(words) for w in ww] + [1 - sum(n[w] for w in ww) / len(words)]), np.array(ws)) for _, ww, ws in want)
+        assert (by_word is None) == (near is None) and (near is None or abs(by_word - near) < 1e-9)
+        assert kept == (not failed and not (by_word or 0) > rules.max_word_distance and not (by_char or 0) > rules.max_char_distance)
+
+
 def test_odd_quality(spark, odd_documents, no_documents):
     rows = quality.quality(odd_documents).collect()
     assert len(rows) == 12 and not any(r.kept for r in rows if r.doc_id in (1, 2, 3, 8))
@@ -112,13 +157,12 @@ def plain_licenses(text, threshold=licenses.THRESHOLD):
         places += found
         base |= {label} if found else set()
     more, best = set(), 0.0
-    for line in low.split("\n"):
-        own = set("".join(c if c >= "\x80" or c.isdigit() or "a" <= c <= "z" else " " for c in line).split(" "))
-        for label, t in licenses.TEMPLATES:
-            t = set(t.split())
-            if len(own & t) >= licenses._needed(len(t), threshold):
-                more.add(label)
-                best = max(best, len(own & t) / len(t))
+    for label, template in licenses.TEMPLATES:
+        t, width = set(template.split()), math.ceil(1.25 * len(template.split()))
+        shared = max((len(set(words[i : i + width]) & t) for i in range(len(words))), default=0)
+        if shared >= licenses._needed(len(t), threshold):
+            more.add(label)
+            best = max(best, shared / len(t))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else best
 
 
@@ -144,6 +188,18 @@ def test_odd_licenses(spark, odd_documents, no_documents):
     assert licenses.scan_licenses(no_documents).count() == 0
 
 
+def test_wrapped_notices(spark):
+    notice = licenses.TEMPLATES[6][1].split()
+    wrapped = "\n".join(["# " + " ".join(notice[i : i + 5]) for i in range(0, len(notice), 5)])
+    spread = " and also ".join(notice)
+    texts = [wrapped, "some words before it " * 50 + wrapped + " and after it" * 40, spread, wrapped.replace("granted", "given"), " ".join(notice[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        assert (rows[i].n_words, rows[i].labels, rows[i].score) == tuple(plain_licenses(text)[k] for k in (0, 5, 6))
+    assert [rows[i].labels for i in range(5)] == ["mit", "mit", "", "mit", "mit"]
+
+
 def test_licenses_beside_unusual_line_ends(spark):
     texts = ["mit license a\u0085b mit license", "x\u2028y mit license", "a\u2029b apache license \u2028 c mit license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
