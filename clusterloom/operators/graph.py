@@ -1,4 +1,4 @@
-"""Connected components of an edge list."""
+"""Connected components of an edge list (J5), and the shared folder in which tables cut lineage."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset: a temporary folder in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -25,32 +28,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+#: A node with more than this share of all edges (and so many at least) is a hub; there are 2 / HUB_SHARE at most.
+HUB_SHARE, HUB_EDGES = 1 / 1000, 1000
+
+
+def _told(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m, what ``least`` (u, m, n) says of u; hubs' rows stay where they are, as hubs are few."""
+    limit = max(HUB_EDGES, int(total * HUB_SHARE))
+    hubs = least.filter(F.col("n") > limit).select("u", "m")
+    others = least.filter(F.col("n") <= limit).select("u", "m")
+    return edges.join(F.broadcast(hubs), "u").unionByName(edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u"))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge; loops name their node.
 
     Alternating large-star and small-star rounds: each node learns the least of its neighbours, then edges are moved to
-    it. A hot node only meets aggregates and joins that Spark can split; the graph shrinks to stars in a logarithmic
-    number of rounds.
+    it. The number of rounds grows with the logarithm of the graph. It ends when all edges are stars: each node but the
+    least ones hangs on one node, which hangs on none. An error if ``max_rounds`` don't get there.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u is not null and v is not null").distinct()
     pairs = materialise(pairs, "components")
+    loops = materialise(pairs.filter("u = v"), "component-loops")
+    pairs = pairs.filter("u <> v")
     for _ in range(max_rounds):
-        both = pairs.filter("u <> v").select("u", "v").union(pairs.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        total = pairs.count()
+        if _are_stars(pairs):
+            break
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         # Large star: a node's larger neighbours now hang on the least it knows.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(pairs.filter("u = v")).distinct()
+        large = _told(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours hang on the least of them.
-        small_least = large.filter("u <> v").groupBy("u").agg(F.min("v").alias("m"))
-        small = large.filter("u <> v").join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = materialise(small.union(large.filter("u = v")).distinct(), "components")
-        if _signature(new) == _signature(pairs):
-            break
-        pairs = new
-    roots = pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return roots.union(tops).groupBy("node").agg(F.min("component").alias("component"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _told(large, least, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        pairs = materialise(small.distinct(), "components")
+    else:
+        raise RuntimeError(f"components are not whole after {max_rounds} rounds")
+    # A node of a loop alone is its own component; others have their place in the stars.
+    rows = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return rows.unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _signature(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _are_stars(pairs: DataFrame) -> bool:
+    if not pairs.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").isEmpty():
+        return False
+    return pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
