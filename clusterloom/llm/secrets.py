@@ -1,9 +1,9 @@
 """Operator 3: secrets by assignment-aware lexing.
 
 Beside the base patterns, each text is lexed as source code or configuration: names and the literals assigned to them are
-paired, a name that is assigned another name takes over that one's literal (constants are propagated, through several
+paired, a name that is assigned another name takes over that one's literal (constants are propagated, through any number of
 steps and through joined literals), and each literal is scored by what its target name says and how random it looks.
-Literals at or above the threshold become spans of kind ``literal``.
+Literals at or above the threshold become spans of kind ``literal``. What stands in comments is lexed like all else.
 
 One pass over the texts without a shuffle; a text is lexed only if it holds a sensitive stem at all.
 """
@@ -34,11 +34,12 @@ STEMS = {
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "signing")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
-_LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4096}+\"|'(?:[^'\\\n]|\\.){0,4096}+'"
-_LEX = re.compile(
-    rf"""(?P<comment>(?:\#|//)[^\n]*+)|(?P<string>{_LITERAL})|(?P<name>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){{}}\[\]])|(?P<bare>[A-Za-z0-9+/_.=-]{{8,}}+)|(?P<line>\n)""",
-    re.ASCII,
-)
+_LEX = re.compile(rf"""(?P<quote>["'])|(?P<name>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){{}}\[\]])|(?P<bare>[A-Za-z0-9+/_.=-]{{8,}}+)|(?P<line>\n)""", re.ASCII)
+#: The rest of a string on its line, behind the opening quote.
+_REST = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"}
+#: What may stand before a quote that opens a string; letters such as those of r"" and b"" may come between.
+_OPENERS = frozenset("=:,([{+>\n")
+_PREFIXES = frozenset({"r", "b", "f", "u", "rb", "br", "fr", "rf"})
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|<.*>|\$\{.*\}|changeme|example|none|null|true|false|your[-_ ].*)$", re.IGNORECASE)
 
 
@@ -46,7 +47,6 @@ _PLACEHOLDER = re.compile(r"^(?:x+|\*+|<.*>|\$\{.*\}|changeme|example|none|null|
 class Scoring:
     min_length: int = 8
     threshold: float = 0.75
-    steps: int = 8
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -59,22 +59,90 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def _opens(text: str, start: int) -> bool:
+    """Whether a quote at ``start`` opens a string: behind an operator, a bracket, a comma or a line's start."""
+    k = start - 1
+    while k >= 0 and text[k] in " \t":
+        k -= 1
+    return k < 0 or text[k] in _OPENERS
+
+
 def lex(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, value, start, end) of names, strings, bare words, operators and line ends; comments are left out."""
-    out = []
-    for m in _LEX.finditer(text):
-        kind = m.lastgroup
-        if kind == "string":
-            out.append((kind, m[0][1:-1], m.start() + 1, m.end() - 1))
-        elif kind != "comment":
-            out.append((kind, m[0], m.start(), m.end()))
+    """(kind, value, start, end) of names, strings, bare words, operators and line ends.
+
+    Three quotes open a string that goes over lines; an apostrophe inside a sentence is just a mark.
+    """
+    out: list[tuple[str, str, int, int]] = []
+    unclosed: dict[str, int] = {}  # up to here no string of this quote ends
+    at = 0
+    while m := _LEX.search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind != "quote":
+            out.append((kind, m[0], start, at))
+            continue
+        quote, prefix = m[0], out[-1] if out else None
+        if prefix and prefix[0] == "name" and prefix[3] == start and prefix[1].lower() in _PREFIXES and _opens(text, prefix[2]):
+            out.pop()
+        elif not _opens(text, start):
+            continue
+        if text.startswith(quote * 3, start) and quote * 3 not in unclosed:
+            end = text.find(quote * 3, start + 3)
+            if end >= 0:
+                out.append(("string", text[start + 3 : end], start + 3, end))
+                at = end + 3
+                continue
+            unclosed[quote * 3] = len(text)
+        if unclosed.get(quote, -1) <= start:
+            rest = _REST[quote].match(text, at)
+            if rest:
+                out.append(("string", text[at : rest.end() - 1], at, rest.end() - 1))
+                at = rest.end()
+            else:
+                end = text.find("\n", at)
+                unclosed[quote] = end if end >= 0 else len(text)
     return out
 
 
-def pairs(text: str, steps: int = 8) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """(target name, literal, places of its parts), constants propagated through at most ``steps`` assignments."""
+class Literal:
+    """A literal as far as its score needs it: how often each character occurs, its beginning and its last character; and
+    where it was made of. Joining literals costs the same however long they are."""
+
+    __slots__ = ("head", "last", "size", "counts", "places", "parts", "told")
+    HEAD = 64
+
+    def __init__(self, head: str, last: str, size: int, counts: Counter, places: tuple = (), parts: tuple = ()):
+        self.head, self.last, self.size, self.counts, self.places, self.parts, self.told = head, last, size, counts, places, parts, False
+
+    @classmethod
+    def at(cls, value: str, start: int, end: int) -> Literal:
+        return cls(value[: cls.HEAD], value[-1:], len(value), Counter(value), ((start, end),))
+
+    @classmethod
+    def joined(cls, parts: list[Literal]) -> Literal:
+        if len(parts) == 1:
+            return parts[0]
+        counts: Counter = Counter()
+        for p in parts:
+            counts.update(p.counts)
+        head = "".join([p.head for p in parts])[: cls.HEAD]
+        return cls(head, next((p.last for p in reversed(parts) if p.last), ""), sum([p.size for p in parts]), counts, (), tuple(parts))
+
+    def tell(self) -> list[tuple[int, int]]:
+        """The places that no earlier call told."""
+        out, waiting = [], [self]
+        while waiting:
+            one = waiting.pop()
+            if not one.told:
+                one.told = True
+                out += one.places
+                waiting += one.parts
+        return out
+
+
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """(target name, literal) of every assignment, constants propagated."""
     tokens = lex(text)
-    constants: dict[str, tuple[str, tuple[tuple[int, int], ...], int]] = {}
+    constants: dict[str, Literal] = {}
     out = []
     i = 0
     while i + 2 < len(tokens):
@@ -82,19 +150,15 @@ def pairs(text: str, steps: int = 8) -> list[tuple[str, str, tuple[tuple[int, in
         if kind not in ("name", "string") or tokens[i + 1][1] not in ("=", ":", ":=", "=>"):
             i += 1
             continue
-        j, parts, places, depth, known = i + 2, [], (), 0, True
+        j, parts, known = i + 2, [], True
         while j < len(tokens):
             k, v, a, b = tokens[j]
             if k in ("string", "bare"):
-                parts.append(v)
-                places += ((a, b),)
-            elif k == "name" and v in constants and constants[v][2] < steps:
-                parts.append(constants[v][0])
-                places += constants[v][1]
-                depth = max(depth, constants[v][2] + 1)
+                parts.append(Literal.at(v, a, b))
+            elif k == "name" and v in constants:
+                parts.append(constants[v])
             elif k == "name" and not parts and len(v) >= 8 and any(c.isdigit() for c in v):
-                parts.append(v)
-                places += ((a, b),)
+                parts.append(Literal.at(v, a, b))
             else:
                 known = False
             j += 1
@@ -103,28 +167,35 @@ def pairs(text: str, steps: int = 8) -> list[tuple[str, str, tuple[tuple[int, in
                 continue
             break
         if known and parts:
-            literal = "".join(parts)
+            literal = Literal.joined(parts)
             if kind == "name":
-                constants[value] = (literal, places, depth)
-            out.append((value, literal, places))
+                constants[value] = literal
+            out.append((value, literal))
             i = j
         else:
             i += 1
     return out
 
 
-def entropy(literal: str) -> float:
-    n = len(literal)
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
+def entropy(counts: Counter, size: int) -> float:
+    return -sum(c / size * math.log2(c / size) for c in counts.values()) if size else 0.0
+
+
+def _is_placeholder(literal: Literal) -> bool:
+    if literal.size <= Literal.HEAD:
+        return bool(_PLACEHOLDER.match(literal.head))
+    # Of a longer one the characters, the beginning and the end tell.
+    return set(literal.counts) <= {"x", "X"} or set(literal.counts) == {"*"} or bool(_PLACEHOLDER.match(literal.head + literal.last)) and literal.head[0] in "<$yY"
 
 
-def score(name: str, literal: str) -> float:
+def score(name: str, literal: Literal) -> float:
     """0 to 1: by the target name's stems, and the literal's randomness a character."""
-    if _PLACEHOLDER.match(literal) or " " in literal:
+    if literal.counts[" "] or _is_placeholder(literal):
         return 0.0
     spread = re.sub(r"([a-z])([A-Z])", r"\1_\2", name).replace("-", "_").replace(".", "_").lower()
     of_name = max((w for stem, w in STEMS.items() if stem in spread), default=0.0)
-    random = min(1.0, entropy(literal) / 4) * (0.7 + 0.3 * (any(c.isdigit() for c in literal) and any(c.isalpha() for c in literal)))
+    mixed = any(c.isdigit() for c in literal.counts) and any(c.isalpha() for c in literal.counts)
+    random = min(1.0, entropy(literal.counts, literal.size) / 4) * (0.7 + 0.3 * mixed)
     return min(1.0, of_name + 0.4 * random) if of_name else 0.0
 
 
@@ -133,9 +204,9 @@ def literal_spans(text: str, how: Scoring = Scoring()) -> list[tuple[int, str, i
     if not any(h in low for h in _HINTS):
         return []
     found = set()
-    for name, literal, places in pairs(text, how.steps):
-        if len(literal) >= how.min_length and score(name, literal) >= how.threshold:
-            found |= {(a, "literal", b) for a, b in places if b > a}
+    for name, literal in pairs(text):
+        if literal.size >= how.min_length and score(name, literal) >= how.threshold:
+            found |= {(a, "literal", b) for a, b in literal.tell() if b > a}
     return sorted(found)
 
 

@@ -113,6 +113,33 @@ def test_constants_are_propagated():
     assert literal('title = "q8Zr7Tk2Lm9P"\npassword = "changeme"') == []
 
 
+def test_literals_of_any_length_and_kind():
+    literal = lambda t: [t[a:b] for a, _, b in secrets.literal_spans(t)]
+    long = "a1+Bq7Zr" * 2000
+    assert literal(f'private_key = "{long}"') == [long]
+    assert literal('x = "no end\npassphrase = "q8Zr7Tk2Lm9P"') == ["q8Zr7Tk2Lm9P"]
+    assert literal('signing_key = """\nMIIEq8Zr7Tk2Lm9P\nq8Zr7Tk2\n"""') == ["\nMIIEq8Zr7Tk2Lm9P\nq8Zr7Tk2\n"]
+    assert literal("don't set pwd = Xk29fjq8zT when it's late") == ["Xk29fjq8zT"]
+    assert literal("GET https://host/x pwd=Xk29fjq8zT") == ["Xk29fjq8zT"]
+    assert literal("ticket #12: signing_key = Xk29fjq8zTa4") == ["Xk29fjq8zTa4"]
+    assert literal("# old: client_secret = 'Xk29fjq8zTa4'") == ["Xk29fjq8zTa4"]
+    assert literal("api_key = b'Xk29fjq8zTa4'") == ["Xk29fjq8zTa4"]
+    chain = 'A0 = "q8Zr7Tk2Lm9P"\n' + "\n".join(f"A{i + 1} = A{i}" for i in range(50)) + "\nsecret_key = A50"
+    assert literal(chain) == ["q8Zr7Tk2Lm9P"]
+    doubled = 'x = "q8Zr7Tk2"\n' + "x = x + x\n" * 200 + "access_key = x"
+    assert literal(doubled) == ["q8Zr7Tk2"]
+    assert literal('password = "' + "x" * 500 + '"') == [] and literal('password = "<' + "ab1" * 100 + '>"') == []
+
+
+def test_lexing_costs_in_proportion():
+    import time
+
+    for text in ('secret = "' + '\\"' * 200_000, 'secret = """' + '"' * 200_001 + " x", 'token: "a' * 60_000):
+        began = time.perf_counter()
+        secrets.literal_spans(text)
+        assert time.perf_counter() - began < 20
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     rows = {(r.doc_id, r.spans) for r in pii.find_personal_data(odd_documents).collect()}
     assert (1, "") in rows and (2, "") in rows
