@@ -34,8 +34,6 @@ _GROUPS = re.compile(r"(?:(?:[ .-]?[(\[]|[)\]][ .-]?|[ .-])[0-9]++(?![^\W_]))++"
 _EDGE = re.compile(r"[\s\"'(),;]")
 _FIGURES = frozenset("0123456789")
 _BEFORE = frozenset(" \t\n\r\v\f\u00a0\"'(),;")
-#: Characters before an instance in which its two context words are sought.
-_LEFT = 120
 
 
 @dataclass(frozen=True)
@@ -107,11 +105,16 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def _context(text: str, start: int) -> str | None:
-    """The two words before, in lower case; none where one would be cut off or holds a digit."""
-    words = text[max(0, start - _LEFT) : start].lower().split()
-    if start > _LEFT:
-        words = words[1:]
-    pair = words[-2:]
+    """The two words before, however far off, in lower case; none where there are fewer or one holds a digit."""
+    reach = 64
+    while True:
+        low = max(0, start - reach)
+        words = text[low:start].rsplit(None, 2)
+        # Of three parts the last two are whole words.
+        if len(words) == 3 or not low:
+            break
+        reach *= 4
+    pair = [w.lower() for w in words[-2:]]
     return " ".join(pair) if len(pair) == 2 and not any(c.isdigit() for w in pair for c in w) else None
 
 
@@ -182,8 +185,14 @@ def seed_patterns(documents: DataFrame, how: Bootstrap = Bootstrap()) -> list[st
                     context = _context(text, start)
                     if context:
                         seen[context] = seen.get(context, 0) + 1
+            if len(seen) > 200_000:
+                yield rows(seen)
+                seen = {}
         seen[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+        yield rows(seen)
+
+    def rows(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     counts = written(documents.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")), "pii-contexts")
     # "" counts all seeds. It stands beside each pattern by a join of one row, so the bound holds before anything is collected.
