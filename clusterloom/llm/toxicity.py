@@ -35,8 +35,6 @@ class Training:
     min_documents: int = 6
     min_contexts: int = 6
     max_clean_share: float = 0.05
-    #: Features that go through the driver at most.
-    max_features: int = 20_000
     window: int = 16
     windows_a_document: int = 4
     dimensions: int = 1 << 20
@@ -69,8 +67,11 @@ def feature_places(token: str, dimensions: int) -> list[int]:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, how: Training) -> DataFrame:
-    """doc_id, text, toxic of at most ``how.rows`` rows a label; labels that are null or neither 0 nor 1, and held-out rows, are left out."""
-    known = labels.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    """doc_id, text, toxic of at most ``how.rows`` rows a label; labels that are null or neither 0 nor 1, and held-out rows, are left out.
+
+    Of several labels of an id the toxic one stands.
+    """
+    known = labels.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.filter("toxic = 1").orderBy(*order).limit(how.rows).unionByName(known.filter("toxic = 0").orderBy(*order).limit(how.rows))
     return written(documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id"), "toxicity-sample")
@@ -99,7 +100,8 @@ def told_features(sample: DataFrame, how: Training) -> dict[str, bool]:
     counts = written(counts.filter(F.col("clean") + F.col("toxic") >= how.min_documents), "toxicity-features")
     rare = F.col("clean") <= how.max_clean_share * (F.col("clean") + F.col("toxic"))
     suspects = counts.filter((F.col("toxic") >= how.min_documents) & rare)
-    names = [r.feature for r in suspects.orderBy(F.desc("toxic"), "feature").limit(how.max_features).collect()]
+    # The sample is bounded, so its features are.
+    names = [r.feature for r in suspects.collect()]
     wanted = sample.sparkSession.sparkContext.broadcast(frozenset(names))
 
     def in_contexts(batches):
@@ -117,10 +119,10 @@ def told_features(sample: DataFrame, how: Training) -> dict[str, bool]:
     # Copies repeat a word with its neighbours; an insult stands among different ones.
     contexts = spread.filter("toxic = 1").select("text").mapInArrow(in_contexts, "feature string, context bigint").distinct().groupBy("feature").count()
     toxic = {r.feature for r in contexts.filter(F.col("count") >= how.min_contexts).collect()}
-    beginnings = sorted({f.split(":", 1)[1] for f in toxic})
+    beginnings = sample.sparkSession.createDataFrame([(b,) for b in sorted({f.split(":", 1)[1] for f in toxic})], "beginning string")
     word = F.substring_index("feature", ":", -1)
-    longer = [F.substring(word, 1, n).isin(beginnings) & (F.length(word) > n) for n in (3, 4, 5, 6)]
-    doubts = counts.filter(~rare & (longer[0] | longer[1] | longer[2] | longer[3])).orderBy(F.desc("clean"), "feature").limit(how.max_features)
+    longer = counts.filter(~rare).select("feature", F.explode(F.array(*[F.when(F.length(word) > n, F.substring(word, 1, n)) for n in (3, 4, 5, 6)])).alias("beginning"))
+    doubts = longer.join(F.broadcast(beginnings), "beginning").select("feature").distinct()
     return {r.feature: False for r in doubts.collect()} | dict.fromkeys(toxic, True)
 
 
@@ -142,7 +144,7 @@ def training_windows(sample: DataFrame, told: dict[str, bool], how: Training) ->
                 tokens = text.split()
                 if not tokens:
                     continue
-                draw = np.random.default_rng(abs(doc_id or 0))
+                draw = np.random.default_rng(zlib.crc32(str(doc_id).encode()))
                 tags = [tag(t, marks) for t in tokens]
                 hits = [i for i, y in enumerate(tags) if y][: how.windows_a_document]
                 starts = [max(0, i - int(draw.integers(how.window))) for i in hits] + [int(draw.integers(len(tokens))) for _ in range(how.windows_a_document - len(hits))]
@@ -223,7 +225,8 @@ def marginals(unary: np.ndarray, starts: np.ndarray, transition: np.ndarray, sta
     """Chance of tag 1 at every token of texts that lie end to end; ``starts`` holds each text's first place.
 
     The forward and backward ratios of the two tags obey r[t] = f(r[t-1]). They are found for all places at once by
-    repeating f until nothing changes; the chain forgets fast, so a few rounds do.
+    repeating f until nothing changes; the chain forgets fast, so a few rounds do. Where it doesn't, products of the steps'
+    matrices are doubled over all places, in as many rounds as the length has binary digits.
     """
     n = len(unary)
     if not n:
@@ -232,24 +235,34 @@ def marginals(unary: np.ndarray, starts: np.ndarray, transition: np.ndarray, sta
     first = np.zeros(n, dtype=bool)
     first[starts] = True
     last = np.append(first[1:], True)
-    r, b = local.copy(), np.ones(n)
-    opening = np.exp(start)
-    for _ in range(n + 1):
-        before = np.append(0.0, r[:-1])
-        new = local * np.where(first, opening, (move[0, 1] + move[1, 1] * before) / (move[0, 0] + move[1, 0] * before))
-        done = np.abs(new - r).max() <= 1e-9 * (1 + np.abs(new).max()) and np.allclose(new, r, rtol=1e-6, atol=1e-12)
+    after = np.append(local[1:], 1.0)
+    one = np.ones(n)
+    forward = (local * move[1, 1], local * move[0, 1], one * move[1, 0], one * move[0, 0], local * np.exp(start))
+    backward = (after * move[1, 1], one * move[1, 0], after * move[0, 1], one * move[0, 0], one)
+    odds = _ratios(forward, first) * _ratios(tuple(x[::-1] for x in backward), last[::-1])[::-1]
+    return odds / (1 + odds)
+
+
+def _ratios(step: tuple[np.ndarray, ...], anew: np.ndarray, rounds: int = 24) -> np.ndarray:
+    """r[t] = (a r[t-1] + b) / (c r[t-1] + d), and r[t] = e where a text begins ``anew``."""
+    a, b, c, d, e = step
+    r = np.where(anew, e, a / c)
+    for _ in range(rounds):
+        before = np.append(1.0, r[:-1])
+        new = np.where(anew, e, (a * before + b) / (c * before + d))
+        done = np.allclose(new, r, rtol=1e-7, atol=1e-14)
         r = new
         if done:
-            break
-    for _ in range(n + 1):
-        after = np.append((local * b)[1:], 0.0)
-        new = np.where(last, 1.0, (move[1, 0] + move[1, 1] * after) / (move[0, 0] + move[0, 1] * after))
-        done = np.allclose(new, b, rtol=1e-6, atol=1e-12)
-        b = new
-        if done:
-            break
-    odds = r * b
-    return odds / (1 + odds)
+            return r
+    # Products of all steps since a text's beginning; there the matrix gives one ratio whatever comes in.
+    whole = np.stack([np.where(anew, e, a), np.where(anew, e, b), np.where(anew, 1.0, c), np.where(anew, 1.0, d)], axis=1).reshape(-1, 2, 2)
+    whole /= whole.sum(axis=(1, 2), keepdims=True)
+    reach = 1
+    while reach < len(whole):
+        whole[reach:] = whole[reach:] @ whole[:-reach].copy()
+        whole /= whole.sum(axis=(1, 2), keepdims=True)
+        reach *= 2
+    return whole[:, 0].sum(axis=1) / whole[:, 1].sum(axis=1)
 
 
 class Tagger:

@@ -122,6 +122,24 @@ def test_marginals_are_those_of_all_paths():
         assert np.allclose(p[0], ones / total, atol=1e-9)
 
 
+def test_marginals_of_a_chain_that_does_not_forget():
+    rng = np.random.default_rng(6)
+    unary, transition = rng.normal(size=3000) * 0.01, np.array([[9.0, 0.0], [0.0, 9.0]])
+    starts = np.array([0, 700, 701, 1500])
+    found = toxicity.marginals(unary, starts, transition, 0.3)
+    for a, b in zip(starts, [*starts[1:], 3000]):
+        p, _ = toxicity._window_marginals(unary[None, a:b], transition, 0.3, np.ones((1, b - a), dtype=bool))
+        assert np.allclose(found[a:b], p[0], atol=1e-6)
+
+
+def test_clashing_labels_have_one_meaning(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.createDataFrame([(2, 0), (2, 1), (3, 0), (3, 0), (5, 1)], "doc_id bigint, toxic int")
+    for rows in (labels, labels.orderBy("toxic"), labels.orderBy("toxic", ascending=False)):
+        got = {r.doc_id: r.toxic for r in toxicity.training_sample(docs, rows, toxicity.Training()).collect()}
+        assert got == {i: t for i, t in {2: 1, 3: 0, 5: 1}.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
 def test_op7_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     rows = queries.op7_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
