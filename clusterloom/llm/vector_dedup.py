@@ -6,8 +6,8 @@ form components. Lists in which all neighbours are over the threshold are satura
 component and to other saturated ones. Components with such lists are compared with each other in blocks, by middles and
 radii first, and merged where any link is found; links inside a component are then counted in blocks too, so they are
 exact and never become rows. A component so tight that any two members must link needs no comparison. An audit compares
-a stated set of queries with all rows; below the wanted recall the search goes on with more orders, and after the last
-attempt all components and single vectors are compared in blocks.
+all vectors whose id is divisible by 20 with all rows, link by link; below the wanted recall the search goes on with more
+orders, and after the last attempt all components and single vectors are compared in blocks, so that no link is lost.
 
 Equal vectors are searched once. Cosines are in double precision.
 """
@@ -40,7 +40,8 @@ class Descent:
     #: Middles of blocks that one row holds, and parts into which the rows' pairs are dealt on each side.
     pack: int = 256
     parts: int = 32
-    audit_queries: int = 256
+    #: Vectors with an id divisible by this are the audit's queries.
+    audit_every: int = 20
     wanted_recall: float = 0.98
     attempts: int = 3
     seed: int = 5
@@ -150,6 +151,17 @@ def saturated(graph: DataFrame, components: DataFrame, vectors: DataFrame, how:
     return vectors.join(named.join(wanted, "component", "left_semi"), "id").select("component", "id", "v")
 
 
+def _dealt(left: DataFrame, right: DataFrame, key: str, parts: int) -> DataFrame:
+    """mine, others of every row of ``left`` (``key``, number, mine) with every row of ``right`` (``key``, number, others).
+
+    The rows of a key are dealt to ``parts`` by ``parts`` places, so that no place has all of them, whatever the key.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    a = left.select(key, "mine", F.pmod("number", F.lit(parts)).cast("int").alias("a"), every.alias("b"))
+    b = right.select(key, "others", F.pmod("number", F.lit(parts)).cast("int").alias("b"), every.alias("a"))
+    return a.join(b, [key, "a", "b"]).select("mine", "others")
+
+
 def bridges(members: DataFrame, how: Descent) -> DataFrame:
     """u, v: a link of every two blocks of different components (component, id, v) that have one, so no two linked components stay apart.
 
@@ -178,9 +190,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
     packs = max(1, math.ceil(middles.count() / how.pack))
     parts = min(packs, how.parts)
     packed = middles.withColumn("pack", F.pmod(F.xxhash64("component", "block"), F.lit(packs))).groupBy("size", "pack").agg(F.collect_list(F.struct("component", "block", "middle", "angle")).alias("mine"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = packed.select("size", "pack", "mine", (F.col("pack") % parts).cast("int").alias("a"), every.alias("b"))
-    right = packed.select("size", F.col("pack").alias("pack2"), F.col("mine").alias("others"), (F.col("pack") % parts).cast("int").alias("b"), every.alias("a"))
+    packed = packed.withColumnRenamed("pack", "number")
 
     def close(batches):
         for batch in batches:
@@ -206,7 +216,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
                     vs.append(other[j]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    met = left.join(right, ["size", "a", "b"]).filter("pack <= pack2").select("mine", "others")
+    met = _dealt(packed, packed.withColumnRenamed("mine", "others"), "size", parts)
     pairs = met.mapInArrow(close, "c1 bigint, b1 bigint, c2 bigint, b2 bigint").distinct()
     first = blocks.select(F.col("component").alias("c1"), F.col("block").alias("b1"), "rows")
     second = blocks.select(F.col("component").alias("c2"), F.col("block").alias("b2"), F.col("rows").alias("others"))
@@ -247,7 +257,7 @@ def link_counts(members: DataFrame, how: Descent) -> DataFrame:
     def count(batches):
         for batch in batches:
             ids, links = [], []
-            for mine, other in zip(batch.column("rows").to_pylist(), batch.column("others").to_pylist(), strict=True):
+            for mine, other in zip(batch.column("mine").to_pylist(), batch.column("others").to_pylist(), strict=True):
                 x = np.frombuffer(b"".join([r["v"] for r in mine]), dtype=np.float64).reshape(len(mine), -1)
                 y = np.frombuffer(b"".join([r["v"] for r in other]), dtype=np.float64).reshape(len(other), -1)
                 own, its = np.array([r["id"] for r in mine]), np.array([r["id"] for r in other])
@@ -257,39 +267,39 @@ def link_counts(members: DataFrame, how: Descent) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(links), pa.int64())], names=["id", "n"])
 
-    loose = split.filter(~tight).select("component", "rows")
-    crossed = loose.join(loose.withColumnRenamed("rows", "others"), "component").select("rows", "others")
+    # The blocks of a component meet in places of their own: a large component is dealt to many.
+    loose = split.filter(~tight).select("component", F.col("block").alias("number"), "rows")
+    places = min(how.parts, max(1, math.isqrt(loose.groupBy("component").count().agg(F.max("count")).first()[0] or 1)))
+    crossed = _dealt(loose.withColumnRenamed("rows", "mine"), loose.withColumnRenamed("rows", "others"), "component", places)
     exact = crossed.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
     return simple.unionByName(exact)
 
 
 def audit(vectors: DataFrame, components: DataFrame, how: Descent) -> float:
-    """Recall of the links of ``audit_queries`` vectors (smallest hash of the id), each compared with all rows in blocks."""
-    queries = [(r.id, bytes(r.v)) for r in vectors.orderBy(F.xxhash64("id", F.lit(how.seed)), "id").limit(how.audit_queries).collect()]
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+    """Recall, link by link: every vector that ``asked`` marks is compared with all rows, in packs that meet each other; a
+    link is found where both ends are in one component."""
+    named = vectors.join(components.withColumnRenamed("node", "id"), "id", "left").select("asked", "id", F.coalesce("component", "id").alias("component"), "v", F.length("v").alias("size"))
+
+    def packs(rows: DataFrame, name: str) -> DataFrame:
+        n = max(1, math.ceil(rows.count() / how.pack))
+        member = F.struct("id", "component", "v")
+        return rows.withColumn("number", F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(n))).groupBy("size", "number").agg(F.collect_list(member).alias(name))
 
     def run(batches):
-        asked = shared.value
         for batch in batches:
-            ids, raw = batch.column("id").to_pylist(), batch.column("v").to_pylist()
-            q, out = [], []
-            for size in {len(v) for v in raw}:
-                own = [(i, v) for i, v in asked if len(v) == size]
-                rows = [k for k, v in enumerate(raw) if len(v) == size]
-                if not own:
-                    continue
-                x = np.frombuffer(b"".join([raw[k] for k in rows]), dtype=np.float64).reshape(len(rows), -1)
-                y = np.frombuffer(b"".join([v for _, v in own]), dtype=np.float64).reshape(len(own), -1)
-                for a, b in zip(*np.nonzero(x @ y.T >= how.threshold), strict=True):
-                    if ids[rows[a]] != own[b][0]:
-                        q.append(own[b][0])
-                        out.append(ids[rows[a]])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(out, pa.int64())], names=["q", "id"])
-
-    links = vectors.mapInArrow(run, "q bigint, id bigint")
-    named = components.select(F.col("node").alias("id"), "component")
-    both = links.join(named, "id", "left").join(named.withColumnsRenamed({"id": "q", "component": "own"}), "q", "left")
-    total, found = both.agg(F.count(F.lit(1)), F.count(F.when(F.col("own") == F.col("component"), 1))).first()
+            links = found = 0
+            for mine, others in zip(batch.column("mine").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                x, y = (np.frombuffer(b"".join([r["v"] for r in side]), dtype=np.float64).reshape(len(side), -1) for side in (mine, others))
+                ids, own = (np.array([r["id"] for r in side]) for side in (mine, others))
+                near = (x @ y.T >= how.threshold) & (ids[:, None] != own[None, :])
+                one = np.array([r["component"] for r in mine])[:, None] == np.array([r["component"] for r in others])[None, :]
+                links += int(near.sum())
+                found += int((near & one).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([links], pa.int64()), pa.array([found], pa.int64())], names=["links", "found"])
+
+    named = written(named, "vector-audit")
+    met = _dealt(packs(named.filter("asked"), "mine"), packs(named, "others"), "size", how.parts)
+    total, found = met.mapInArrow(run, "links bigint, found bigint").agg(F.sum("links"), F.sum("found")).first()
     return found / total if total else 1.0
 
 
@@ -302,7 +312,8 @@ def near_duplicate_vectors(embeddings: DataFrame, how: Descent = Descent()) -> D
     """
     units = unit_vectors(embeddings)
     units = written(units, "unit-vectors")
-    same = written(units.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    asked = F.max(F.col("vec_id") % how.audit_every == 0).alias("asked")
+    same = written(units.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), asked), "vectors")
     vectors = same.select("id", "v")
     graph, edges, found = None, None, None
     for attempt in range(how.attempts):
@@ -323,7 +334,7 @@ def near_duplicate_vectors(embeddings: DataFrame, how: Descent = Descent()) -> D
         if not more.isEmpty():
             edges = edges.union(more)
             found = written(connected_components(edges, "u", "v"), "vector-components")
-        if audit(vectors, found, how) >= how.wanted_recall:
+        if audit(same, found, how) >= how.wanted_recall:
             break
     else:
         every = vectors.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "v")

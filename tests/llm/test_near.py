@@ -126,6 +126,26 @@ def test_bridged_groups_are_one_component(spark):
     assert {r.component_id for r in out if r.vec_id < 200} == {0}
 
 
+def test_two_tight_groups_of_any_size(spark):
+    rng = np.random.default_rng(21)
+    vectors = {}
+    for at, size in ((0, 12), (1000, 40)):
+        middle = rng.normal(size=48)
+        middle /= np.linalg.norm(middle)
+        side = rng.normal(size=48)
+        side -= middle * (side @ middle)
+        side /= np.linalg.norm(side)
+        for group in (0, 1):
+            centre = np.cos(0.3 * group) * middle + np.sin(0.3 * group) * side  # cosine 0.955 between the centres
+            for i in range(size):
+                noise = rng.normal(size=48)
+                vectors[at + 100 * group + i] = (centre + 0.04 * noise / np.linalg.norm(noise)).tolist()
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r for r in vector_dedup.near_duplicate_vectors(rows).collect()}
+    assert {r.n_links for i, r in out.items() if i < 1000} == {23} and {r.n_links for i, r in out.items() if i >= 1000} == {79}
+    assert {r.component_id for r in out.values()} == {0, 1000}
+
+
 def test_a_search_that_fails_its_audit_ends_in_a_whole_comparison(spark):
     rng = np.random.default_rng(11)
     vectors = {i: v.tolist() for i, v in enumerate(rng.normal(size=(300, 32)))}
