@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import map_batches
-from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, joined, slices
+from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, held, joined
 
 #: Fixed: how byte-level vocabularies split a text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,9 +146,11 @@ class Automaton:
         self.numbers: dict[tuple, int] = {}
         self.meaning: list[tuple] = []
         self.known: dict[tuple[int, int], object] = {}
-        # One more than the next state; 0 is not worked out yet. Memory is touched as rows are used.
-        self.table = np.zeros((STATES + STATES // 4, 256), dtype=np.int32)
-        self.last = np.zeros(len(self.table), dtype=np.int32)
+        # By symbol and state: one more than the next state; 0 is not worked out yet. Symbols and states that never occur
+        # take no memory, as nothing touches their part.
+        self.table = np.zeros((256, STATES + STATES // 4), dtype=np.int32)
+        self.last = np.zeros(self.table.shape[1], dtype=np.int32)
+        self.sets: dict[frozenset, frozenset] = {}
         self._state(((ANY, 0),), -1)
 
     def _state(self, meaning: tuple, last: int) -> int:
@@ -156,8 +158,8 @@ class Automaton:
         if number is None:
             number = self.numbers[meaning] = len(self.meaning)
             self.meaning.append(meaning)
-            if number >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            if number >= len(self.last):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
                 self.last = np.concatenate([self.last, np.zeros_like(self.last)])
             self.last[number] = last
         return number
@@ -169,12 +171,12 @@ class Automaton:
             return before
         if isinstance(before, frozenset):
             fits = frozenset(y for y in tokens if y in before)
-            return NONE if not fits else ANY if len(fits) == len(tokens) else fits
+            return NONE if not fits else ANY if len(fits) == len(tokens) else self.sets.setdefault(fits, fits)
         key = (before, node)
         found = self.known.get(key)
         if found is None:
             fits = frozenset(y for y in tokens if self.arc(before, y))
-            found = self.known[key] = NONE if not fits else ANY if len(fits) == len(tokens) else fits
+            found = self.known[key] = NONE if not fits else ANY if len(fits) == len(tokens) else self.sets.setdefault(fits, fits)
         return found
 
     def _fill(self, state: int, symbol: int) -> int:
@@ -194,7 +196,7 @@ class Automaton:
         if last < 0:
             raise ValueError(f"no path over the symbol {symbol}")
         found = self._state((*begun, (last, 0)), last)
-        self.table[state, symbol] = found + 1
+        self.table[symbol, state] = found + 1
         return found
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +224,7 @@ class Automaton:
             state = int(now[k])
             for at in range(int(begin[k]) + i, int(begin[k] + longest[k])):
                 symbol = int(symbols[at])
-                state = states[at] = found - 1 if (found := self.table.item(state, symbol)) else self._fill(state, symbol)
+                state = states[at] = found - 1 if (found := self.table.item(symbol, state)) else self._fill(state, symbol)
         last = self.last[states]
         # From each piece's end back by the last token's length; the places that this meets end the tokens.
         stops = np.zeros(len(symbols) + 1, dtype=bool)
@@ -236,12 +238,12 @@ class Automaton:
         return last[stops[1:]], total[ends] - total[ends - sizes]
 
     def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        new = self.table[states, symbols] - 1
+        new = self.table[symbols, states] - 1
         missing = np.flatnonzero(new < 0)
         if len(missing):
             for cell in np.unique(states[missing].astype(np.int64) * 256 + symbols[missing]).tolist():
                 self._fill(cell >> 8, cell & 255)
-            new = self.table[states, symbols] - 1
+            new = self.table[symbols, states] - 1
         return new
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -264,6 +266,10 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+held(automaton.cache_clear)
+held(library.cache_clear)
+
+
 class Splitter:
     """Texts and their fragments to pieces, as the vocabulary's pattern has them.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.fragments import slices
+from clusterloom.llm.fragments import give_back, slices, turn_to_other_work
 from clusterloom.operators.graph import materialise as written
 from clusterloom.operators.graph import shared_folder
 
@@ -52,6 +52,7 @@ def map_texts(
     at = list(fields).index(where) if where else None
 
     def run(batches):
+        turn_to_other_work()
         of_texts = make()
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -77,6 +78,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], f
             for part, texts in slices(batch):
                 arrays = [part.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(of_texts(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
+        del of_texts
+        give_back()
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in fields.items()])
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)

@@ -7,6 +7,8 @@ long as its worker remembers it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +16,35 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut up at a time; one longer text is handled alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: A text of more bytes is handled without joining columns, whose offsets have 32 bits.
 LONG_TEXT = 64 << 20
 #: Bytes (by estimate) in each half of what a worker remembers.
-REMEMBERED = 32 << 20
+REMEMBERED = 20 << 20
+
+
+#: What a worker holds for later tasks of its kind, as functions that drop it.
+_HELD: list[Callable[[], None]] = []
+
+
+def held(drop: Callable[[], None]) -> None:
+    _HELD.append(drop)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers outlive their tasks, and an executor's memory is that of all of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def turn_to_other_work() -> None:
+    """For tasks that need nothing of what is held."""
+    for drop in _HELD:
+        drop()
+    give_back()
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

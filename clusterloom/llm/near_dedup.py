@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import written
+from clusterloom.llm.fragments import turn_to_other_work
 from clusterloom.operators.graph import connected_components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -105,6 +106,7 @@ def features(documents: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the whole set), bands, tests of each row; empty sets have no bands."""
 
     def run(batches):
+        turn_to_other_work()
         shingle = Shingler(how.words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.bpe_automaton import LAST_SETTLED, automaton, byte_characters, library
 from clusterloom.llm.common import written
-from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, joined, slices
+from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, give_back, joined, slices
 
 #: Fixed: how the vocabulary with word ends splits a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -122,6 +122,8 @@ def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> D
                     rows += [(doc_id, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encode
+        give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import map_texts, written
+from clusterloom.llm.fragments import turn_to_other_work
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control")
 SYMBOLS = "#*$%&|<>"
@@ -103,6 +104,7 @@ def _class_totals(documents: DataFrame) -> DataFrame:
     """lang and the number of characters of each class, over all documents."""
 
     def run(batches):
+        turn_to_other_work()
         for batch in batches:
             classes: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
