@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import js_term, priority
+from clusterloom.operators.graph import materialise
 
 #: Hex digits of the key that make a bucket: 4096 buckets.
 BUCKET_DIGITS = 3
@@ -151,7 +152,8 @@ def partition_by_column(points: DataFrame, column: str) -> DataFrame:
 def hash_free_rank(rows: DataFrame, key: str) -> DataFrame:
     """Place (from 0) of each distinct key in its own order, by range partitions that are counted and summed up."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id())
+    # Written once: ranges are drawn from a sample, so counts and ranks must see the same ones.
+    ranged = materialise(rows.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()), "ranges")
     bounds = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(F.asc_nulls_first(key)))
     return ranged.withColumn("__within", within).join(F.broadcast(bounds), "__part").withColumn("rank", F.col("__before") + F.col("__within") - 1).drop("__part", "__within", "__before")

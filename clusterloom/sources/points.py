@@ -49,9 +49,12 @@ def from_table(spark: SparkSession, path: str, key: str, features: list[str], la
     return class_codes(rows.select(*columns, F.col(label).alias("__y")), "__y").drop("__y") if label else rows.select(*columns)
 
 
-def row_digest(*columns: str):
-    """A key for rows that have none: the SHA-256 of all their columns."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+def numbered(rows: DataFrame, block: list[str], at: str, name: str = "sample_id") -> DataFrame:
+    """``rows`` with their place (from 0): blocks in their order, rows of a block by ``at``. Only block sizes are summed up in one place."""
+    sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy(at)) - 1
+    return rows.withColumn("__within", within).join(sizes.withColumn("__before", before).drop("__n"), block).withColumn(name, F.col("__before") + F.col("__within")).drop("__before", "__within")
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -59,24 +62,29 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_line_items(spark: SparkSession, path: str) -> DataFrame:
-    """Rows have no key, so sample_id is a 60-bit part of the row's digest."""
+    """Rows have no key, and may repeat: sample_id is a row's place, files by their name."""
     rows = spark.read.parquet(path)
-    digest = F.conv(F.substring(row_digest(*rows.columns), 1, 15), 16, 10).cast("bigint")
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    files = rows.select(*place).groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbers = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return class_codes(rows.select(digest.alias("sample_id"), F.array(*[F.col(c).cast("double") for c in numbers]).alias("features"), F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("__y")), "__y").drop("__y")
+    named = rows.select(F.array(*[F.col(c).cast("double") for c in numbers]).alias("features"), F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("__y"), *place)
+    placed = named.join(files.select("__file", before.alias("__before")), "__file").select((F.col("__before") + F.col("__row")).alias("sample_id"), "features", "owner", "__y")
+    return class_codes(placed, "__y").drop("__y")
 
 
 def read_arff(spark: SparkSession, path: str, target: str = "class") -> DataFrame:
-    """An ARFF table: attribute names from its head, comma-separated data rows; all but the class are numbers, in file order."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '%')")
+    """An ARFF table: attribute names from its head, comma-separated data rows; all but the class are numbers. sample_id is a
+    row's place in the file, so repeated rows stay apart."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line")).filter("v <> '' and not startswith(v, '%')")
     names = [r.n for r in lines.filter(F.lower("v").startswith("@attribute")).select(F.regexp_extract("v", r"(?i)^@attribute\s+['\"]?([^\s'\"]+)", 1).alias("n")).collect()]
     at = next((i for i, n in enumerate(names) if n.lower() == target), None)
     if at is None:
         raise ValueError(f"{path} has no attribute {target!r}; it has {names}")
     # Head lines start with @; data lines never do.
-    cells = lines.filter("not startswith(v, '@')").select(F.split("v", r"\s*,\s*").alias("c"), row_digest("v").alias("d"))
+    cells = numbered(lines.filter("not startswith(v, '@')"), ["__file", "__block"], "__line").select("sample_id", F.split("v", r"\s*,\s*").alias("c"))
     numbers = F.array(*[F.col("c")[i].cast("double") for i in range(len(names)) if i != at])
-    rows = cells.select(F.conv(F.substring("d", 1, 15), 16, 10).cast("bigint").alias("sample_id"), numbers.alias("features"), F.regexp_replace(F.col("c")[at], "^'|'$", "").alias("__y"))
+    rows = cells.select("sample_id", numbers.alias("features"), F.regexp_replace(F.col("c")[at], "^'|'$", "").alias("__y"))
     return class_codes(rows, "__y").drop("__y")
 
 

@@ -40,7 +40,8 @@ def strict_rows(df: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    strict_rows(df).write.mode("errorifexists").option("ignoreNullFields", "false").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").json(path)
+    """One report (a row, however nested) as one JSON document: ``path`` holds a single file, readable as :func:`read_history` does."""
+    strict_rows(df).coalesce(1).write.mode("errorifexists").option("ignoreNullFields", "false").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").json(path)
 
 
 def result_rows(df: DataFrame) -> DataFrame:

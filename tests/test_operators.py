@@ -329,3 +329,23 @@ def test_compare(spark, blobs):
 
 def test_estimate_k(blobs):
     assert tuning.estimate_k(blobs, 2, 4, 3, sample=150, n_init=1)[0] == 3
+
+
+def test_repeated_rows_keep_ids_of_their_own(spark, tmp_path):
+    body = "@RELATION r\n@ATTRIBUTE a REAL\n@ATTRIBUTE Class {x,y}\n@DATA\n" + "1.0,x\n2.0,y\n1.0,x\n" * 40
+    (tmp_path / "r.arff").write_text(body)
+    rows = sources.read_arff(spark, str(tmp_path / "r.arff")).orderBy("sample_id").collect()
+    assert [r.sample_id for r in rows] == list(range(120)) and [r.features[0] for r in rows] == [1.0, 2.0, 1.0] * 40
+    one = spark.createDataFrame([(1.0, 2.0, 0.1, 0.2, 7, "A")] * 50, "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_suppkey bigint, l_returnflag string")
+    one.repartition(3).write.parquet(str(tmp_path / "items"))
+    assert sorted(r.sample_id for r in sources.read_line_items(spark, str(tmp_path / "items")).collect()) == list(range(50))
+
+
+def test_natural_clients_without_exchange_reuse(spark):
+    owners = spark.range(20_000).select((F.col("id") * 7919 % 100_003).alias("owner"), F.col("id").alias("sample_id"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = partitioning.partition_by_column(owners, "owner").join(owners, "sample_id").select("client_id", "owner").orderBy("owner").collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert [r.client_id for r in got] == list(range(20_000))
