@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import finite
@@ -103,3 +103,8 @@ def capacity_table(rows: DataFrame, local: str, federated: str, metric: str = "a
 
 def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_candidates(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """The first row of each group by a composite key (W5); Spark drops what can't be first before it shuffles."""
+    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__place") <= 1).drop("__place")

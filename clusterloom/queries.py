@@ -797,3 +797,7 @@ def k6_public_report(spark, d):
 def k2_result_rows(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.when(F.col("o_orderstatus") == "F", "local").otherwise("federated").alias("mode"), F.when(F.col("o_custkey") % 2 == 0, "gaussian_dp").otherwise("none").alias("privacy_mode"), F.lit(5.0).alias("dp_epsilon"), F.lit(0.6).alias("participation_rate"))
     return sinks.result_rows(rows).select("experiment_id", "mode", "dp_epsilon", "participation_rate")
+
+
+# The smaller parts' queries add themselves to QUERIES.
+from clusterloom import part_queries  # noqa: E402, F401
