@@ -84,9 +84,10 @@ class Automaton:
         back = {c: b for b, c in enumerate(byte_characters())}
         self.label = [b""] * size
         self.length = np.zeros(size, dtype=np.int64)
-        # The labels as a tree: a node's children by symbol, and the token that ends there.
-        self.child: list[dict[int, int]] = [{}]
+        # The labels as a tree: a node's child by node and symbol, and the token that ends there.
+        self.child: dict[int, int] = {}
         self.token = [-1]
+        parent = [0]
         for s, i in vocabulary.items():
             if s in self.special:
                 continue
@@ -98,20 +99,24 @@ class Automaton:
                 continue
             node = 0
             for symbol in symbols:
-                if symbol not in self.child[node]:
-                    self.child[node][symbol] = len(self.child)
-                    self.child.append({})
+                step = node << 8 | symbol
+                node = self.child.get(step, -1)
+                if node < 0:
+                    node = self.child[step] = len(self.token)
                     self.token.append(-1)
-                node = self.child[node][symbol]
+                    parent.append(step >> 8)
             self.token[node] = i
-        # Tokens that end below a node; None where these are many.
-        self.below: list[list[int] | None] = [None] * len(self.child)
-        for node in range(len(self.child) - 1, -1, -1):
-            found: list[int] = []
-            for k in self.child[node].values():
-                more = self.below[k]
-                found = None if found is None or more is None else found + [self.token[k]] * (self.token[k] >= 0) + more
-            self.below[node] = None if found is None or len(found) > LISTED else found
+        # Tokens that end below a node, children being younger than their parents; None where these are many.
+        below: list[list[int] | None] = [[] for _ in self.token]
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.token)
+        for node in range(len(self.token) - 1, -1, -1):
+            own = below.pop()
+            if own is None or len(own) > LISTED:
+                self.below[node] = own = None
+            elif own:
+                self.below[node] = tuple(own)
+            if node and below[parent[node]] is not None:
+                below[parent[node]] = None if own is None else below[parent[node]] + [self.token[node]] * (self.token[node] >= 0) + own
         self._empty()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> bool:
@@ -145,7 +150,7 @@ class Automaton:
         """The table with the start state alone."""
         self.numbers: dict[tuple, int] = {}
         self.meaning: list[tuple] = []
-        self.known: dict[tuple[int, int], object] = {}
+        self.known: dict[int, object] = {}
         # By symbol and state: one more than the next state; 0 is not worked out yet. Symbols and states that never occur
         # take no memory, as nothing touches their part.
         self.table = np.zeros((256, STATES + STATES // 4), dtype=np.int32)
@@ -172,7 +177,7 @@ class Automaton:
         if isinstance(before, frozenset):
             fits = frozenset(y for y in tokens if y in before)
             return NONE if not fits else ANY if len(fits) == len(tokens) else self.sets.setdefault(fits, fits)
-        key = (before, node)
+        key = before * len(self.token) + node
         found = self.known.get(key)
         if found is None:
             fits = frozenset(y for y in tokens if self.arc(before, y))
@@ -183,13 +188,13 @@ class Automaton:
         """Works out one cell of the table."""
         last, begun = -1, []
         for before, node in self.meaning[state]:
-            node = self.child[node].get(symbol)
-            if node is None:
+            node = self.child.get(node << 8 | symbol, -1)
+            if node < 0:
                 continue
             token = self.token[node]
             if token >= 0 and (before == ANY or (token in before if isinstance(before, frozenset) else self.arc(before, token))):
                 last = token
-            if self.child[node]:
+            if self.below[node] != ():
                 allowed = self._allowed(before, node)
                 if allowed != NONE:
                     begun.append((allowed, node))
@@ -281,14 +286,14 @@ class Splitter:
     def __init__(self, path: str):
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.later = regex.compile(f"[^\\x00-{LAST_SETTLED}]")
-        self.library_split = library(path).pre_tokenizer.pre_tokenize_str
+        self.path = path
         self.marks = list(automaton(path).special)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")") if self.marks else None
 
     def pieces(self, text: str) -> list[str]:
         if text.isascii() or not self.later.search(text):
             return self.pattern.findall(text)
-        return [text[a:b] for _, (a, b) in self.library_split(text)]
+        return [text[a:b] for _, (a, b) in library(self.path).pre_tokenizer.pre_tokenize_str(text)]
 
     def of_fragment(self, fragment: str) -> list[str] | None:
         """None where the fragment's pieces depend on what stands around it."""

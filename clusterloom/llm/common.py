@@ -61,6 +61,8 @@ def map_texts(
                 arrays = [part.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 out = pa.RecordBatch.from_arrays(arrays, names=names)
                 yield out.filter(pa.array(columns[at], pa.bool_())) if where else out
+        del of_texts
+        give_back()
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in fields.items()])
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
@@ -78,6 +80,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], f
             for part, texts in slices(batch):
                 arrays = [part.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(of_texts(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
+                del arrays
+                give_back()
         del of_texts
         give_back()
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut up at a time; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A text of more bytes is handled without joining columns, whose offsets have 32 bits.
 LONG_TEXT = 64 << 20
 #: Bytes (by estimate) in each half of what a worker remembers.
@@ -33,7 +33,7 @@ def held(drop: Callable[[], None]) -> None:
 
 def give_back() -> None:
     """Free memory goes back to the system: workers outlive their tasks, and an executor's memory is that of all of them."""
-    gc.collect()
+    gc.collect(0)
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -44,6 +44,7 @@ def turn_to_other_work() -> None:
     """For tasks that need nothing of what is held."""
     for drop in _HELD:
         drop()
+    gc.collect()
     give_back()
 
 

@@ -57,7 +57,7 @@ class WordEncoder:
 
     def __init__(self, vocabulary: str):
         self.machine = automaton(vocabulary)
-        self.library = library(vocabulary)
+        self.vocabulary = vocabulary
         self.marks = list(self.machine.special)
         self.pattern = regex.compile(WORD_PATTERN)
         self.later = regex.compile(f"[^\x00-{LAST_SETTLED}]")
@@ -74,11 +74,11 @@ class WordEncoder:
             return self.pattern.findall(low)
         # The library lowers letters one by one, which differs for the sigma at a word's end alone.
         plain = not self.later.search(chunk) and "Σ" not in chunk
-        normal = unicodedata.normalize("NFC", chunk).lower() if plain else self.library.normalizer.normalize_str(chunk)
+        normal = unicodedata.normalize("NFC", chunk).lower() if plain else library(self.vocabulary).normalizer.normalize_str(chunk)
         if plain and normal.isalpha():
             return [normal]
         if self.later.search(normal):
-            return [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+            return [bytes(self.back[c] for c in p).decode("utf-8", "surrogatepass") for p, _ in library(self.vocabulary).pre_tokenizer.pre_tokenize_str(normal)]
         return self.pattern.findall(normal)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
@@ -91,7 +91,7 @@ class WordEncoder:
     def alone(self, text: str) -> bytes:
         """Of one text, whatever is in it."""
         if any(m in text for m in self.marks):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.array(library(self.vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         chunks = text.replace("\n", " ").split(" ")
         known = list(dict.fromkeys(chunks))
         return b"".join(map(dict(zip(known, self.remembered(known), strict=True)).__getitem__, chunks))
@@ -122,6 +122,8 @@ def pieces(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> D
                     rows += [(doc_id, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])) for k, at in enumerate(range(0, len(ids), size))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                del rows
+                give_back()
         del encode
         give_back()
 
