@@ -42,7 +42,7 @@ class NearDedup:
     batch: int = 16
     miss: float = 1e-7
     seed: int = 11
-    #: Ids of pairs or documents that are few enough to be broadcast.
+    #: Ids of large buckets' members that are few enough to be broadcast.
     broadcast_pairs: int = 20_000
     #: Rows of a bucket that are compared with each other after its hub; larger ones go through the prefix filter.
     small_bucket: int = 32
@@ -177,13 +177,8 @@ def _tested(pairs: DataFrame, feats: DataFrame, how: NearDedup) -> DataFrame:
 def _verified(pairs: DataFrame, documents: DataFrame, how: NearDedup) -> DataFrame:
     """The pairs whose full sets reach the threshold; rows of one hub arrive together, so its set is made once."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    # Only ids are broadcast, and only where they are few: then no text is shuffled but those of the pairs.
-    few = pairs.count() <= how.broadcast_pairs
-
-    def of(name):
-        own = texts.withColumnsRenamed({"doc_id": name, "text": f"{name}_text"})
-        return own.join(F.broadcast(pairs.select(name).distinct()), name, "left_semi") if few else own
-
+    # Nothing is broadcast: the plan is the same at every size, and texts meet their pairs by their ids.
+    of = lambda name: texts.withColumnsRenamed({"doc_id": name, "text": f"{name}_text"})
     both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def run(batches):
