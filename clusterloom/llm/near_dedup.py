@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.llm.common import written
-from clusterloom.llm.fragments import turn_to_other_work
+from clusterloom.llm.fragments import give_back, turn_to_other_work
 from clusterloom.operators.graph import connected_components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -121,6 +121,8 @@ def features(documents: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
                     tests.append(test)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(tests, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "tests"])
+        del shingle
+        give_back()
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, tests binary")
 
@@ -174,6 +176,13 @@ def _tested(pairs: DataFrame, feats: DataFrame, how: NearDedup) -> DataFrame:
     return joined.select("a", "b", "a_key", "b_key", "a_tests", "b_tests").mapInArrow(run, "a bigint, b bigint, same boolean")
 
 
+def _in_parts(batches, rows: int = 128):
+    """Batches a few rows at a time: texts become Python objects, and workers share an executor's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, how: NearDedup) -> DataFrame:
     """The pairs whose full sets reach the threshold; rows of one hub arrive together, so its set is made once."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -184,16 +193,18 @@ def _verified(pairs: DataFrame, documents: DataFrame, how: NearDedup) -> DataFra
     def run(batches):
         shingle = Shingler(how.words)
         hub, hub_set = None, None
-        for batch in batches:
-            ids, linked = (batch.column("a").to_pylist(), batch.column("b").to_pylist()), []
-            for a, a_text, b_text in zip(ids[0], batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
+        for part in _in_parts(batches):
+            linked = []
+            for a, a_text, b_text in zip(part.column("a").to_pylist(), part.column("a_text").to_pylist(), part.column("b_text").to_pylist(), strict=True):
                 if hub is None or hub != (a, a_text):
                     hub, hub_set = (a, a_text), shingle(a_text)
                 other = shingle(b_text)
                 shared = len(np.intersect1d(hub_set, other, assume_unique=True))
                 linked.append(shared > 0 and 100 * shared >= how.percent * (len(hub_set) + len(other) - shared))
             stay = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(stay), batch.column("b").filter(stay)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(stay), part.column("b").filter(stay)], names=["a", "b"])
+        del shingle, hub, hub_set
+        give_back()
 
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
@@ -248,8 +259,8 @@ def prefix_pairs(documents: DataFrame, members: DataFrame, how: NearDedup) -> Da
 
     def run(batches):
         shingle = Shingler(how.words)
-        for batch in batches:
-            for doc_id, component, text in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for part in _in_parts(batches):
+            for doc_id, component, text in zip(part.column("doc_id").to_pylist(), part.column("component").to_pylist(), part.column("text").to_pylist(), strict=True):
                 own = shingle(text or "").view(np.int64)
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id)), pa.array(np.full(n, component)), pa.array(np.full(n, n)), pa.array(own)], names=["doc_id", "component", "n", "shingle"])
