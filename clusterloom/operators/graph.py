@@ -32,45 +32,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 HUB_SHARE, HUB_EDGES = 1 / 1000, 1000
 
 
-def _told(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) with m, what ``least`` (u, m, n) says of u; hubs' rows stay where they are, as hubs are few."""
-    limit = max(HUB_EDGES, int(total * HUB_SHARE))
+def _told(edges: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
+    """``edges`` (u, v) with m, what ``least`` (u, m, n) says of u; rows of hubs (n above ``limit``) stay where they are, as hubs are few."""
+    if limit is None:
+        return edges.join(least.select("u", "m"), "u")
     hubs = least.filter(F.col("n") > limit).select("u", "m")
     others = least.filter(F.col("n") <= limit).select("u", "m")
     return edges.join(F.broadcast(hubs), "u").unionByName(edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u"))
 
 
+def _state(pairs: DataFrame) -> tuple[bool, int | None]:
+    """Whether all edges are stars, and above which degree nodes are hubs (None without any); one aggregation."""
+    ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("m")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(None).cast(pairs.schema["v"].dataType).alias("m")))
+    nodes = ends.groupBy("node").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("m").alias("up"), F.count(F.lit(1)).alias("n"))
+    # A node of a star hangs on one node at most, and nothing hangs on a node that hangs on another.
+    wrong = (F.col("lo") != F.col("hi")) | ((F.col("up") > 0) & (F.col("n") > F.col("up")))
+    r = nodes.agg(F.count_if(wrong).alias("wrong"), F.sum("up").alias("edges"), F.max("n").alias("degree")).first()
+    limit = max(HUB_EDGES, int((r.edges or 0) * HUB_SHARE))
+    return r.wrong == 0, limit if (r.degree or 0) > limit else None
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge; loops name their node.
 
     Alternating large-star and small-star rounds: each node learns the least of its neighbours, then edges are moved to
     it. The number of rounds grows with the logarithm of the graph. It ends when all edges are stars: each node but the
-    least ones hangs on one node, which hangs on none. An error if ``max_rounds`` don't get there.
+    least ones hangs on one node, which hangs on none. An error if ``max_rounds`` don't get there. A round is one
+    aggregation that tests the edges and one written table.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u is not null and v is not null").distinct()
     pairs = materialise(pairs, "components")
-    loops = materialise(pairs.filter("u = v"), "component-loops")
+    loops = pairs.filter("u = v")
     pairs = pairs.filter("u <> v")
     for _ in range(max_rounds):
-        total = pairs.count()
-        if _are_stars(pairs):
+        stars, limit = _state(pairs)
+        if stars:
             break
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        # Large star: a node's larger neighbours now hang on the least it knows.
-        large = _told(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large star: a node's larger neighbours now hang on the least it knows. No node gains edges, so ``limit`` holds.
+        large = _told(both.filter("v > u"), least, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours hang on the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _told(large, least, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = _told(large, least, limit).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
         pairs = materialise(small.distinct(), "components")
     else:
         raise RuntimeError(f"components are not whole after {max_rounds} rounds")
     # A node of a loop alone is its own component; others have their place in the stars.
     rows = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return rows.unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-
-
-def _are_stars(pairs: DataFrame) -> bool:
-    if not pairs.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").isEmpty():
-        return False
-    return pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

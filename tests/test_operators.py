@@ -210,6 +210,12 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 5: 5}
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "src int, dst int")
     assert {r.component for r in graph.connected_components(chain).collect()} == {0}
+    # A hub's edges stay where they are, and whether its leaves come first or last changes nothing.
+    for hub, to in ((0, 0), (5000, 0)):
+        star = [(hub, i) for i in range(1, 3000)] + [(2999, 3001), (3001, 3000), (hub, 0)]
+        rows = graph.connected_components(spark.createDataFrame(star, "src int, dst int")).collect()
+        assert {r.component for r in rows} == {to} and len(rows) == len({x for e in star for x in e})
+    assert graph.connected_components(edges.limit(0)).count() == 0
 
 
 # Metrics
@@ -313,6 +319,8 @@ def test_requests():
     for bad in ({"algorithms": ("a",)}, {"algorithms": ("a", "a")}, {"rounds": 0}, {"tol": 0}, {"participation_rate": 0}, {"dropout_rate": 1}, {"privacy_mode": "x"}, {"dp_delta": 1}, {"num_clients": 1}, {"mode": "x"}, {"mode": "local", "dropout_rate": 0.5}, {"privacy_mode": "gaussian_dp_aggregate", "dp_clip_norm": 21}, {"privacy_mode": "gaussian_dp_aggregate", "partition_mode": "dirichlet"}, {"cluster_count_mode": "estimated_k", "target_clusters": 3}):
         with pytest.raises(ValueError):
             RunRequest(**({"mode": "federated", "dataset": "d", "algorithms": ("a", "b")} | bad)).validate()
+    assert RunRequest("local", "d", ("a", "b"), num_clients=1, partition_mode="x", dirichlet_alpha=0).validate() and RunRequest("local", "d", ("a", "b"), target_clusters=2).validate()
+    assert RunRequest("local", "", ("a", "b"), target_clusters=1, tol=0).problems() == ["target_clusters must be at least 2", "tol must be above 0", "a dataset is needed"]
     assert effective_params({"a": 1}, {"a": 2, "b": 1}, {}, {"b": 3}, {"a": 5}) == {"a": 5, "b": 3}
     assert "dbscan" in algorithm_names("local") and "fed_kmeans" in algorithm_names("federated")
 
