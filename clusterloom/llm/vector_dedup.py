@@ -331,7 +331,7 @@ def near_duplicate_vectors(embeddings: DataFrame, how: Descent = Descent()) -> D
         edges = over if edges is None else edges.union(over)
         found = written(connected_components(edges, "u", "v"), "vector-components")
         more = written(bridges(saturated(graph, found, vectors, how), how), "vector-bridges")
-        if not more.isEmpty():
+        if more.count():
             edges = edges.union(more)
             found = written(connected_components(edges, "u", "v"), "vector-components")
         if audit(same, found, how) >= how.wanted_recall:
