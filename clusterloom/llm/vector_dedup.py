@@ -26,6 +26,10 @@ from clusterloom.llm.common import written
 from clusterloom.operators.graph import connected_components
 
 
+#: A vector with more than this many copies, and more than one in this many of all rows, is common.
+COMMON = 1000
+
+
 @dataclass(frozen=True)
 class Descent:
     threshold: float = 0.9
@@ -40,6 +44,8 @@ class Descent:
     #: Middles of blocks that one row holds, and parts into which the rows' pairs are dealt on each side.
     pack: int = 256
     parts: int = 32
+    #: Places in which the rows of a component meet what is known of it.
+    places: int = 16
     #: Vectors with an id divisible by this are the audit's queries.
     audit_every: int = 20
     wanted_recall: float = 0.98
@@ -143,12 +149,18 @@ def descend(graph: DataFrame, vectors: DataFrame, turn: int, how: Descent) -> Da
     return _best(graph.union(found), how)
 
 
+def _beside(rows: DataFrame, facts: DataFrame, number: str, how: Descent) -> DataFrame:
+    """``rows`` with what ``facts`` (one small row a component) says of their component; a component's rows meet it in many places, dealt by ``number``."""
+    copied = facts.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(how.places - 1))))
+    return rows.withColumn("place", F.pmod(F.xxhash64(number), F.lit(how.places)).cast("int")).join(copied, ["component", "place"]).drop("place")
+
+
 def saturated(graph: DataFrame, components: DataFrame, vectors: DataFrame, how: Descent) -> DataFrame:
     """component, id, v of the components in which some list is full of neighbours over the threshold."""
     full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).filter((F.col("n") >= how.neighbours) & (F.col("worst") >= how.threshold))
     named = components.select(F.col("node").alias("id"), "component")
     wanted = named.join(full.select(F.col("u").alias("id")), "id", "left_semi").select("component").distinct()
-    return vectors.join(named.join(wanted, "component", "left_semi"), "id").select("component", "id", "v")
+    return vectors.join(_beside(named, wanted, "id", how), "id").select("component", "id", "v")
 
 
 def _dealt(left: DataFrame, right: DataFrame, key: str, parts: int) -> DataFrame:
@@ -170,7 +182,7 @@ def bridges(members: DataFrame, how: Descent) -> DataFrame:
     """
     limit = math.acos(how.threshold)
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = _beside(members, sizes, "id", how).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     blocks = written(placed.groupBy("component", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "vector-blocks")
 
     def middle(batches):
@@ -227,7 +239,7 @@ def link_counts(members: DataFrame, how: Descent) -> DataFrame:
     """id, n_links of members (component, id, v, copies): exact inside each component, in blocks."""
     limit = math.acos(how.threshold)
     sizes = members.groupBy("component").agg(F.sum("copies").alias("total"), F.ceil(F.count(F.lit(1)) / how.block).alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = _beside(members, sizes, "id", how).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     blocks = placed.groupBy("component", "total", "block").agg(F.collect_list(F.struct("id", "copies", "v")).alias("rows"))
 
     def middle(batches):
@@ -249,8 +261,8 @@ def link_counts(members: DataFrame, how: Descent) -> DataFrame:
                 widest.append(float(np.arccos(np.clip(x @ c / size, -1, 1)).max()) if size > 0 else math.pi)
             yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(widest, pa.float64())], names=["component", "angle"])
 
-    angles = blocks.join(centres, "component").select("component", "rows", "centre").mapInArrow(width, "component bigint, angle double").groupBy("component").agg(F.max("angle").alias("angle"))
-    split = blocks.join(angles, "component")
+    angles = _beside(blocks, centres, "block", how).select("component", "rows", "centre").mapInArrow(width, "component bigint, angle double").groupBy("component").agg(F.max("angle").alias("angle"))
+    split = _beside(blocks, angles, "block", how)
     tight = F.col("angle") * 2 <= limit - 1e-6
     simple = split.filter(tight).select(F.explode("rows").alias("r"), "total").select("r.id", (F.col("total") - 1).alias("n_links"))
 
@@ -341,8 +353,12 @@ def near_duplicate_vectors(embeddings: DataFrame, how: Descent = Descent()) -> D
         found = written(connected_components(edges.union(written(bridges(every, how), "vector-bridges")), "u", "v"), "vector-components")
     members = same.join(found.withColumnRenamed("node", "id"), "id").select("component", "id", "v", "copies")
     counts = link_counts(members, how)
-    of_vector = same.join(found.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").select("v", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of_id = units.join(of_vector, "v").select("vec_id", "n_links", "component_id")
+    of_vector = same.join(found.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").select("v", "copies", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    of_vector = written(of_vector, "vector-links")
+    # Rows of a vector with very many copies stay where they are: fewer than COMMON vectors hold more than that share of all rows.
+    common = of_vector.filter(F.col("copies") > max(COMMON, units.count() // COMMON))
+    of_id = units.join(F.broadcast(common), "v").unionByName(units.join(F.broadcast(common.select("v")), "v", "left_anti").join(of_vector, "v"))
+    of_id = of_id.select("vec_id", "n_links", "component_id")
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(of_id, "vec_id", "left")
     own = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))

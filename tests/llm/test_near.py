@@ -160,3 +160,9 @@ def test_no_vectors(spark):
     assert vector_dedup.near_duplicate_vectors(rows).count() == 0
     one = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [1.0])], "vec_id bigint, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in vector_dedup.near_duplicate_vectors(one).collect()) == [(0, 0, True), (1, 0, True), (1, 0, True)]
+
+
+def test_a_vector_with_very_many_copies(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(1500)] + [(1500, [0.99, 0.05, 0.0]), (1501, [0.0, 1.0, 0.0]), (1502, [0.0, 1.0, 0.0]), (1503, [0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {i: (1500, 0, i == 0) for i in range(1501)} | {1501: (1, 1501, True), 1502: (1, 1501, False), 1503: (0, 1503, True)}
