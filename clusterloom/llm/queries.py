@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import bpe_automaton, lexical_search, licenses, near_dedup, packing, pii, quality, secrets, token_counts, toxicity, vector_dedup
+from clusterloom.llm import bpe_automaton, collocations, lexical_search, licenses, near_dedup, packing, pii, quality, secrets, token_counts, toxicity, vector_dedup
 from clusterloom.llm.common import load
 
 
@@ -60,7 +60,11 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op4_near_dedup, op5_packing, op6_vector_dedup, op7_toxicity, op8_quality, op9_licenses, op10_bpe, op11_search)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_secrets, op4_near_dedup, op5_packing, op6_vector_dedup, op7_toxicity, op8_quality, op9_licenses, op10_bpe, op11_search, op12_collocations)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle(), "op11_search": lexical_search.oracle(20)}
+ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle(), "op11_search": lexical_search.oracle(20), "op12_collocations": collocations.oracle()}
