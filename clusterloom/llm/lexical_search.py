@@ -98,7 +98,7 @@ class Block:
         self.rows, self.impacts = rows[order], impacts[order]
         names, starts = np.unique(terms[order], return_index=True)
         most = np.maximum.reduceat(self.impacts, starts) if len(starts) else starts
-        self.at = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)], most.tolist(), strict=True), strict=True))
+        self.at = dict(zip(names.tolist(), zip(starts.tolist(), np.append(starts, len(order))[1:].tolist(), most.tolist(), strict=True), strict=True))
 
     def best(self, terms: list[tuple[int, int]], k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores that may be among the k best of a query, given that k scores of ``least`` are known already.
