@@ -21,6 +21,7 @@ candidates has no rows, nor has an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from clusterloom.llm.words import numbered_words, rows_of
 ENDS, BETWEEN, END = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+", "\n"
 #: Bits in each of the tables that are broadcast (16 MB).
 BITS = 1 << 27
+#: Words of the longest runs that are counted to cut pieces.
+LEVELS = 3
 #: Places of one bitmap as Spark's functions make them.
 BITMAP = 32768
 
@@ -58,11 +61,23 @@ class Pieces:
         self.numbers = np.where(numbers == end, -1, numbers)[real]
         self.lang = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)[rows_of(offsets)[real]]
 
-    def hashes(self) -> np.ndarray:
-        """64 bits of each word and its language; 0 at ends."""
-        of_word = np.array([xxhash.xxh64_intdigest(w) for w in self.names.to_pylist()], dtype=np.uint64)
-        of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], dtype=np.uint64)
-        return np.where(self.numbers >= 0, mixed(of_lang[self.lang], of_word[self.numbers]), np.uint64(0))
+    def passing(self, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one word, two words and so on: hash of the run that begins at each place, and whether it may be frequent.
+
+        A table tells which runs are, where there is one for their length; beyond, the runs within them tell.
+        """
+        first = mixed(hashes_of(self.langs, 1)[self.lang], hashes_of(self.names.to_pylist())[self.numbers])
+        hashes, going = first, self.numbers >= 0
+        for k in itertools.count(1):
+            if k <= len(tables):
+                going[going] = has(tables[k - 1], hashes[going])
+            yield hashes, going
+            going = going & np.append(going[1:], False)[: len(going)]
+            hashes = mixed(hashes, np.append(first[k:], np.zeros(min(k, len(first)), dtype=np.uint64)))
+
+
+def hashes_of(texts: list[str], seed: int = 0) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, seed) for x in texts], dtype=np.uint64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,26 +104,35 @@ def _mapped(documents: DataFrame, of_pieces: Callable[[Pieces], tuple[list, list
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """lang, phrase (one word), n, and the hash by which tasks know the word."""
+    """lang, phrase (one word), n."""
 
     def of_pieces(p: Pieces):
         real = p.numbers >= 0
-        keys, first, counts = np.unique(p.lang[real] * len(p.names) + p.numbers[real], return_index=True, return_counts=True)
+        keys, counts = np.unique(p.lang[real] * len(p.names) + p.numbers[real], return_counts=True)
         langs = pa.array(p.langs, pa.string()).take(pa.array(keys // max(1, len(p.names))))
-        hashes = p.hashes()[real][first].view(np.int64)
-        return [langs, p.names.take(pa.array(keys % max(1, len(p.names)))), pa.array(hashes), pa.array(counts, pa.int64())], ["lang", "phrase", "hash", "n"]
+        return [langs, p.names.take(pa.array(keys % max(1, len(p.names)))), pa.array(counts, pa.int64())], ["lang", "phrase", "n"]
+
+    return _mapped(documents, of_pieces, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
 
-    return _mapped(documents, of_pieces, "lang string, phrase string, hash bigint, n bigint").groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+def hashed(words: DataFrame) -> DataFrame:
+    """hash, n of counted words."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = mixed(hashes_of(batch.column("lang").to_pylist(), 1), hashes_of(batch.column("phrase").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("n")], names=["hash", "n"])
+
+    return words.select("lang", "phrase", "n").mapInArrow(run, "hash bigint, n bigint")
 
 
-def pair_counts(documents: DataFrame, words: Broadcast) -> DataFrame:
-    """hash, n of the pairs of neighbours whose words both pass."""
+def run_counts(documents: DataFrame, tables: list[Broadcast]) -> DataFrame:
+    """hash, n of the runs that are a word longer than those of the last table, whose words and shorter runs all pass."""
+    size = len(tables)
 
     def of_pieces(p: Pieces):
-        hashes = p.hashes()
-        known = has(words.value, hashes) & (p.numbers >= 0)
-        both = np.flatnonzero(known[:-1] & known[1:])
-        keys, counts = np.unique(mixed(hashes[both], hashes[both + 1]), return_counts=True)
+        hashes, going = next(itertools.islice(p.passing([t.value for t in tables]), size, None))
+        keys, counts = np.unique(hashes[going], return_counts=True)
         return [pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "n"]
 
     return _mapped(documents, of_pieces, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -126,27 +150,21 @@ def told(counts: DataFrame, least: int, bits: int = BITS) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(table[: bits // 8])
 
 
-def runs(documents: DataFrame, words: Broadcast, pairs: Broadcast, longest: int) -> DataFrame:
+def runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFrame:
     """lang, run (its words, two or more), n: for every place the longest run that begins there."""
 
     def of_pieces(p: Pieces):
-        hashes, size = p.hashes(), len(p.numbers)
-        known = has(words.value, hashes) & (p.numbers >= 0)
-        joined = np.zeros(size + longest, dtype=bool)  # a word and the next one
-        if size:
-            both = known[:-1] & known[1:]
-            both[both] = has(pairs.value, mixed(hashes[:-1][both], hashes[1:][both]))
-            joined[: size - 1] = both
-        starts = np.flatnonzero(joined)
-        numbers = np.concatenate([p.numbers, np.full(longest, -1)])
-        words_of = np.full((len(starts), longest), -1)
-        words_of[:, 0] = numbers[starts]
-        going = np.ones(len(starts), dtype=bool)
-        for k in range(1, longest):
-            going &= joined[starts + k - 1]
-            words_of[going, k] = numbers[starts + k][going]
-        # Equal runs have equal numbers after each word, so no key goes beyond 64 bits.
+        starts, words_of = None, None
+        numbers = np.append(p.numbers, np.full(longest, -1))
+        for k, (_, going) in enumerate(itertools.islice(p.passing([t.value for t in tables]), 1, longest)):
+            if starts is None:
+                starts = np.flatnonzero(going)
+                words_of = np.full((len(starts), longest), -1)
+                words_of[:, 0] = numbers[starts]
+            some = going[starts]
+            words_of[some, k + 1] = numbers[starts[some] + k + 1]
         keys = p.lang[starts]
+        # Equal runs have equal numbers after each word, so no key goes beyond 64 bits.
         for k in range(longest):
             keys = np.unique(keys * (len(p.names) + 1) + words_of[:, k] + 1, return_inverse=True)[1].astype(np.int64)
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -189,7 +207,7 @@ def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame
     return lowest.select("lang", "words", F.array_join("words", " ").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(documents: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, bits: int = BITS) -> DataFrame:
+def collocations(documents: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``first`` phrases of 2 to ``longest`` words.
 
     A phrase that occurs ``a >= least`` times is a candidate; its score is ``floor(1000 a n / (l r))`` at its lowest cut
@@ -198,9 +216,10 @@ def collocations(documents: DataFrame, least: int = 100, longest: int = 5, first
     """
     words = written(word_counts(documents), "words")
     frequent = words.filter(F.col("n") >= least)
-    known = told(words, least, bits)
-    pairs = told(pair_counts(documents, known), least, bits)
-    phrases = written(phrase_counts(runs(documents, known, pairs, longest), least), "phrases")
+    tables = [told(hashed(frequent), least, bits)]
+    for _ in range(1, min(levels, longest)):
+        tables.append(told(run_counts(documents, tables), least, bits))
+    phrases = written(phrase_counts(runs(documents, tables, longest), least), "phrases")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = phrases.join(on_unary_paths(phrases), ["lang", "words"], "left_anti")
     by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

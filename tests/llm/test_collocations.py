@@ -49,12 +49,12 @@ def test_query_against_sql(spark, sf_dir):
     assert found(collocations.collocations(documents, 4, 5, 100)) == sorted(want) and max(r[1] for r in want) == 100
 
 
-@pytest.mark.parametrize("bits", [collocations.BITS, 1 << 15, 64])
-def test_against_all_phrases(spark, sf_dir, bits):
+@pytest.mark.parametrize(("bits", "levels"), [(collocations.BITS, 3), (1 << 15, 2), (64, 5), (1 << 20, 1)])
+def test_against_all_phrases(spark, sf_dir, bits, levels):
     """Also with tables of bits in which everything collides."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.lang, r.text) for r in documents.collect()]
-    assert found(collocations.collocations(documents, 5, 4, 50, bits)) == plain(rows, 5, 4, 50)
+    assert found(collocations.collocations(documents, 5, 4, 50, bits, levels)) == plain(rows, 5, 4, 50)
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
