@@ -42,6 +42,8 @@ ENDS, BETWEEN, END = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+", "\n"
 BITS = 1 << 27
 #: Words of the longest runs that are counted to cut pieces.
 LEVELS = 3
+#: Runs that a task adds up before it hands them on.
+RUNS_HELD = 200_000
 #: Places of one bitmap as Spark's functions make them.
 BITMAP = 32768
 
@@ -151,9 +153,12 @@ def told(counts: DataFrame, least: int, bits: int = BITS) -> Broadcast:
 
 
 def runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFrame:
-    """lang, run (its words, two or more), n: for every place the longest run that begins there."""
+    """lang, run (two words or more, space-joined), n: for every place the longest run that begins there.
 
-    def of_pieces(p: Pieces):
+    A task adds up what it meets, ``RUNS_HELD`` runs at a time.
+    """
+
+    def of_pieces(p: Pieces) -> Iterator[tuple[tuple[str, str], int]]:
         starts, words_of = None, None
         numbers = np.append(p.numbers, np.full(longest, -1))
         for k, (_, going) in enumerate(itertools.islice(p.passing([t.value for t in tables]), 1, longest)):
@@ -168,17 +173,33 @@ def runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFra
         for k in range(longest):
             keys = np.unique(keys * (len(p.names) + 1) + words_of[:, k] + 1, return_inverse=True)[1].astype(np.int64)
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        names, chosen = p.names.to_pylist(), words_of[first]
-        texts = [[names[i] for i in row if i >= 0] for row in chosen.tolist()]
-        langs = [p.langs[i] for i in p.lang[starts[first]].tolist()]
-        return [pa.array(langs, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(counts, pa.int64())], ["lang", "run", "n"]
+        names = p.names.to_pylist()
+        texts = [" ".join([names[i] for i in row if i >= 0]) for row in words_of[first].tolist()]
+        return zip(zip([p.langs[i] for i in p.lang[starts[first]].tolist()], texts, strict=True), counts.tolist(), strict=True)
+
+    def out(seen: dict) -> pa.RecordBatch:
+        langs, texts = zip(*seen, strict=True) if seen else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "run", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen: dict = {}
+        for batch in batches:
+            for part, texts in slices(batch):
+                for key, n in of_pieces(Pieces(part.column("lang"), texts)):
+                    seen[key] = seen.get(key, 0) + n
+                if len(seen) > RUNS_HELD:
+                    yield out(seen)
+                    seen = {}
+            give_back()
+        yield out(seen)
 
-    return _mapped(documents, of_pieces, "lang string, run array<string>, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    return documents.select("lang", "text").mapInArrow(run, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(edges: DataFrame, least: int) -> DataFrame:
     """lang, words, a of all phrases of two words or more: a node's flow and its corrections."""
-    begins = F.explode(F.transform(F.sequence(F.lit(2), F.size("run")), lambda k: F.slice("run", 1, k)))
+    run = F.split("run", " ")
+    begins = F.explode(F.transform(F.sequence(F.lit(2), F.size(run)), lambda k: F.slice(run, 1, k)))
     return edges.select("lang", begins.alias("words"), "n").groupBy("lang", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
 
