@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import chebyshev, euclidean, priority
+from clusterloom.operators.cell_graph import MAX_WIDTH, clusters
 from clusterloom.operators.graph import connected_components, materialise
+from clusterloom.operators.neighbours import knn
+from clusterloom.operators.partitioning import hash_free_rank
 from clusterloom.operators.rounds import ClusterResult
 from clusterloom.operators.schedule import active_points
 
@@ -50,55 +52,6 @@ def range_join(points: DataFrame, eps: float, metric: str = "euclidean", axes: i
     return left.join(right, "cell").select("a", "b", d.alias("d")).filter(F.col("d") <= eps)
 
 
-def knn(points: DataFrame, m: int, metric: str = "euclidean", block: int = 1024) -> DataFrame:
-    """sample_id, neighbour, d, place (from 1) of each row's m nearest, itself included; ties go by id.
-
-    Blocks of rows meet pairwise as matrices; each pair hands on the m best of each row, so what is shuffled is
-    rows times blocks times m, not the pairs.
-    """
-    n = points.count()
-    blocks = max(1, math.ceil(n / block))
-    packed = points.select("sample_id", "features", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("block")).groupBy("block").agg(F.collect_list(F.struct("sample_id", "features")).alias("rows"))
-    packed = materialise(packed, "knn-blocks")
-    pairs = packed.select(F.col("rows").alias("mine")).crossJoin(packed.select(F.col("rows").alias("others"))).repartition(max(1, min(blocks * blocks, 4 * packed.sparkSession.sparkContext.defaultParallelism)))
-
-    def run(batches):
-        for batch in batches:
-            for mine, others in zip(batch.column("mine"), batch.column("others"), strict=True):
-                a, b = mine.as_py(), others.as_py()
-                x, y = (np.array([r["features"] for r in side], dtype=float) for side in (a, b))
-                ids = np.array([r["sample_id"] for r in b])
-                order_by_id = np.argsort(ids, kind="stable")
-                y, ids = y[order_by_id], ids[order_by_id]
-                out = ([], [], [])
-                for at in range(0, len(x), 128):
-                    part = x[at : at + 128]
-                    if metric == "chebyshev":
-                        d = np.abs(part[:, None, :] - y[None, :, :]).max(axis=2)
-                    else:
-                        d = np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if y.shape[1] <= 8 else _by_product(part, y)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :m]
-                    for i, row in enumerate(best):
-                        out[0].append(np.full(len(row), a[at + i]["sample_id"]))
-                        out[1].append(ids[row])
-                        out[2].append(d[i, row])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["sample_id", "neighbour", "d"])
-
-    kind = points.schema["sample_id"].dataType.simpleString()
-    _distance(metric)
-    found = pairs.mapInArrow(run, f"sample_id {kind}, neighbour {kind}, d double")
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("d", "neighbour"))
-    return found.withColumn("place", place).filter(F.col("place") <= m)
-
-
-def _by_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)[None, :]
-    # Where the expanded product has lost its digits, differences are taken.
-    for i, j in zip(*np.nonzero(d2 < 1e-6 * (x * x).sum(axis=1)[:, None]), strict=True):
-        d2[i, j] = ((x[i] - y[j]) ** 2).sum()
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
 def kth_distances(points: DataFrame, m: int, metric: str = "euclidean") -> DataFrame:
     """sample_id, d: distance to the m-th nearest, itself included."""
     return knn(points, m, metric).filter(F.col("place") == m).select("sample_id", "d")
@@ -121,22 +74,37 @@ def kdist_eps(points: DataFrame, m: int = 5, q: float = 0.5, metric: str = "eucl
 def dbscan(points: DataFrame, eps: float | None = None, min_samples: int = 5, metric: str = "euclidean", quantile: float = 0.5, pairs: DataFrame | None = None) -> ClusterResult:
     """Clusters numbered by their least core id; rows within ``eps`` of no core are -1; a border row joins its least component.
 
-    Without ``eps`` the k-distance rule chooses it. ``pairs``: those of a range join at ``eps`` or more.
+    Without ``eps`` the k-distance rule chooses it. Points of few features are clustered by a graph of cells; those of more
+    features, or with ``pairs`` (of a range join at ``eps`` or more), by their pairs.
     """
     strategy = "explicit" if eps is not None else "k_distance_quantile"
     eps = kdist_eps(points, min_samples, quantile, metric) if eps is None else eps
-    near = (range_join(points, eps, metric) if pairs is None else pairs.filter(F.col("d") <= eps)).select("a", "b")
-    near = materialise(near, "range-pairs")
+    _distance(metric)
+    width = points.select(F.max(F.size("features"))).first()[0] or 0
+    if pairs is None and 0 < width <= MAX_WIDTH:
+        root = materialise(clusters(points, eps, min_samples, metric), "density-clusters")
+    else:
+        root = _by_pairs(range_join(points, eps, metric) if pairs is None else pairs.filter(F.col("d") <= eps), min_samples)
+    named = numbered(root, "component").select("sample_id", "cluster")
+    rest = [c for c in points.columns if c != "features"]
+    return ClusterResult(points.select(*rest).join(named, "sample_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), {"eps": eps, "strategy": strategy, "min_samples": min_samples})
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with cluster, the place (from 0) of their ``name`` among all names."""
+    places = hash_free_rank(rows.select(name).distinct(), name).select(name, F.col("rank").cast("int").alias("cluster"))
+    return rows.join(places, name)
+
+
+def _by_pairs(pairs: DataFrame, min_samples: int) -> DataFrame:
+    """sample_id, component from the pairs within the radius."""
+    near = materialise(pairs.select("a", "b"), "range-pairs")
     cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("a")
     core_edges = near.join(cores, "a", "left_semi").join(cores.withColumnRenamed("a", "b"), "b", "left_semi")
     components = connected_components(core_edges.filter("a <= b"), "a", "b")
     reach = near.join(components.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("component"))
     own = components.withColumnsRenamed({"node": "a", "component": "own"})
-    root = reach.join(own, "a", "left").select("a", F.coalesce("own", "component").alias("root"))
-    number = root.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("cluster"))
-    named = root.join(number, "root").select(F.col("a").alias("sample_id"), "cluster")
-    rest = [c for c in points.columns if c != "features"]
-    return ClusterResult(points.select(*rest).join(named, "sample_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), {"eps": eps, "strategy": strategy, "min_samples": min_samples})
+    return reach.join(own, "a", "left").select(F.col("a").alias("sample_id"), F.coalesce("own", "component").alias("component"))
 
 
 def grid_cells(points: DataFrame, size: float) -> DataFrame:
@@ -157,8 +125,7 @@ def dense_components(counts: DataFrame, min_points: float) -> DataFrame:
     edges = axial_neighbours(dense).join(dense.withColumnRenamed("cell", "neighbour"), "neighbour").select(name("cell").alias("a"), name("neighbour").alias("b"))
     loops = dense.select(name("cell").alias("a"), name("cell").alias("b"))
     components = connected_components(edges.union(loops), "a", "b")
-    number = components.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).cast("int").alias("cluster"))
-    return dense.join(components, name("cell") == F.col("node")).join(number, "component").select("cell", "cluster")
+    return dense.join(numbered(components, "component"), name("cell") == F.col("node")).select("cell", "cluster")
 
 
 def staying_clients(clients: int, missing_percent: float) -> int:
