@@ -158,11 +158,11 @@ def first_neighbours(index: PivotIndex, m: int) -> DataFrame:
     return index.parts.mapInArrow(run, f"id {kind}, features array<double>, block int, part int, bound double, near array<{kind}>, d array<double>, targets array<int>")
 
 
-def asked_parts(index: PivotIndex, first: DataFrame) -> DataFrame:
-    """rows of a part, and asking, the rows of another part that have to ask it."""
-    asking = first.select("block", "part", F.struct("id", "features", "bound").alias("row"), F.explode("targets").alias("target"))
+def asked_parts(parts: DataFrame, first: DataFrame, columns: tuple[str, ...] = ("id", "features", "bound")) -> DataFrame:
+    """rows of a part, and asking, the rows (with ``columns``) of another part that have to ask it."""
+    asking = first.select("block", "part", F.struct(*columns).alias("row"), F.explode("targets").alias("target"))
     asking = asking.groupBy("block", "part", "target").agg(F.collect_list("row").alias("asking"))
-    other = index.parts.select(F.col("block").alias("target"), F.col("part").alias("target_part"), "rows")
+    other = parts.select(F.col("block").alias("target"), F.col("part").alias("target_part"), "rows")
     return asking.join(other, "target").filter((F.col("target") != F.col("block")) | (F.col("target_part") != F.col("part"))).select("rows", "asking")
 
 
@@ -185,7 +185,7 @@ def nearest_vectors(rows: DataFrame, m: int, metric: str = "euclidean", part: in
                     i, j = np.nonzero(found <= (bound[s] * (1 + 1e-9) + 1e-12)[:, None])
                     yield pa.RecordBatch.from_arrays([ids[s].take(pa.array(i)), near.take(pa.array(best[i, j])), pa.array(found[i, j])], names=["id", "near", "d"])
 
-    more = asked_parts(index, first).mapInArrow(run, f"id {kind}, near {kind}, d double")
+    more = asked_parts(index.parts, first).mapInArrow(run, f"id {kind}, near {kind}, d double")
     own = first.select("id", F.inline(F.arrays_zip("near", "d"))).select("id", "near", "d")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "near"))
     return own.unionByName(more).withColumn("place", place).filter(F.col("place") <= m).drop("place")

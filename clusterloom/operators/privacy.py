@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.operators.client_models import summary, weighted_kmeans
 from clusterloom.operators.density import axial_neighbours, dense_components
 from clusterloom.operators.graph import materialise
 from clusterloom.operators.rounds import ClusterResult, assign_nearest, batch_features, fed_rounds, project_centers, public_centers
 from clusterloom.operators.scaling import clip_l2
 from clusterloom.operators.schedule import active_points
-from clusterloom.operators.server import snn_peaks, weighted_kmeans
+from clusterloom.operators.shared_neighbours import snn_peaks
 
 
 def gaussian_delta(sigma: float, eps: float, sens: float) -> float:
@@ -135,10 +136,15 @@ def pad_candidates(centers: np.ndarray, weights: np.ndarray, anchors: np.ndarray
     return np.vstack([centers.reshape(-1, anchors.shape[1]), more]), np.concatenate([weights, np.ones(lack)])
 
 
-def _candidates(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise, required: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = dp_prototypes(points, anchors, noise).orderBy("client_id", "weight").collect()
-    centers = np.array([r.center for r in rows]) if rows else np.zeros((0, anchors.shape[1]))
-    return pad_candidates(centers, np.array([r.weight for r in rows]), anchors, required)
+def _candidates(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise, required: int) -> DataFrame:
+    """id, center, weight of all clients' private prototypes, and of anchors where there are fewer than ``required``."""
+    found = dp_prototypes(points, anchors, noise).withColumn("id", F.monotonically_increasing_id()).select("id", "center", "weight")
+    lack, d = required - found.count(), anchors.shape[1]
+    if lack > 0:
+        more = pad_candidates(np.zeros((0, d)), np.zeros(0), anchors, lack)
+        rows = [(-1 - i, c.tolist(), float(w)) for i, (c, w) in enumerate(zip(*more, strict=True))]
+        found = found.unionByName(points.sparkSession.createDataFrame(rows, "id bigint, center array<double>, weight double"))
+    return materialise(found, "candidates")
 
 
 def fed_server_dp(method: str, points: DataFrame, k: int, eps: float, delta: float, clip: float, rounds: int = 5, seed: int = 42, schedule: DataFrame | None = None, enabled: bool = True) -> ClusterResult:
@@ -151,16 +157,15 @@ def fed_server_dp(method: str, points: DataFrame, k: int, eps: float, delta: flo
     history = []
     if method == "server_kmeans":
         for turn in range(1, used + 1):
-            x, w = _candidates(active_points(rows, schedule, turn), anchors, noise, k)
-            centers = weighted_kmeans(x, w, k, seed)
+            centers = weighted_kmeans(*summary(_candidates(active_points(rows, schedule, turn), anchors, noise, k), seed), k, seed)
             history.append({"round": turn, "shift": float(np.linalg.norm(anchors[:k] - centers)), "objective": None})
             anchors = centers
     else:
-        x, w = _candidates(active_points(rows, schedule, 1), anchors, noise, k)
+        sent = _candidates(active_points(rows, schedule, 1), anchors, noise, k)
         if method == "personalised":
-            centers = weighted_kmeans(x, w, k, seed)
+            centers = weighted_kmeans(*summary(sent, seed), k, seed)
         elif method in ("snn", "nn"):
-            centers = snn_peaks(x, k, 20 if method == "snn" else 2)
+            centers = snn_peaks(sent.select("id", F.col("center").alias("features")), k, 20 if method == "snn" else 2)
         else:
             raise ValueError(f"unknown private method {method!r}")
     return ClusterResult(assign_nearest(rows, centers).drop("d2"), {"centers": centers, "eps": eps, "delta": delta}, history)
@@ -183,10 +188,11 @@ def fed_grid_density_dp(points: DataFrame, eps: float, delta: float, clip: float
     rows = clip_l2(points, clip)
     turn = public_projection(d, seed)
     flat = F.array(*[F.aggregate(F.zip_with("features", F.array(*[F.lit(float(v)) for v in turn[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for j in range(turn.shape[1])])
-    celled = rows.withColumn("cell", F.transform(flat, lambda x: F.floor(x / cell_size).cast("int")))
+    cell = F.transform(flat, lambda x: F.floor(x / cell_size).cast("int"))
+    celled = rows.withColumn("cell", cell)
     noise = dp_aggregate_config("kmeans", eps / 2, delta / 2, clip, 1, enabled)
-    x, _ = _candidates(active_points(rows, schedule, 1), public_centers(k, d, seed, clip), noise, k)
-    own = spark.createDataFrame([([int(v) for v in c],) for c in np.unique(np.floor(x @ turn / cell_size).astype(int), axis=0)], "cell array<int>")
+    sent = _candidates(active_points(rows, schedule, 1), public_centers(k, d, seed, clip), noise, k)
+    own = materialise(sent.select(F.col("center").alias("features")).select(cell.alias("cell")).distinct(), "private-cells")
     candidates = own.union(axial_neighbours(own).select("neighbour")).distinct()
     counts = active_points(celled, schedule, 1).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     joined = candidates.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).cast("double").alias("n"))

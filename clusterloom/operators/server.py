@@ -1,208 +1,99 @@
-"""Federated clusterings with a server stage (F5, F8-F10), and their private forms' server stages.
+"""Federated clusterings with a server stage.
 
-Local stages aggregate by (client, cluster) with client-specific centres, so no client's rows are ever grouped into one
-task. Where a published description leaves a detail open, the docstring says what is done.
+Clients' centres are a table, the server sees a bounded summary of it or finds peaks in it by joins. Where a published
+description leaves a detail open, the docstring says what is done.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.functions.arrays import priority
-from clusterloom.operators.rounds import ClusterResult, assign_nearest, batch_features, nearest
+from clusterloom.operators.client_models import by_client, centers_of, client_lloyd, client_packs, client_starts, features_of, starts_from, summary, weighted_kmeans
+from clusterloom.operators.graph import materialise
+from clusterloom.operators.rounds import ClusterResult, assign_nearest, nearest
 from clusterloom.operators.schedule import active_points
+from clusterloom.operators.shared_neighbours import snn_peaks
 
-
-@dataclass(frozen=True)
-class Local:
-    """Centres and sizes of each client: small, as many as clients times clusters."""
-
-    centers: dict[int, np.ndarray]
-    sizes: dict[int, np.ndarray]
-
-
-def client_starts(points: DataFrame, k: int, seed: int, shares: tuple[int, int] | None = None) -> dict[int, np.ndarray]:
-    """Each client's first centres: its k rows of least priority; with ``shares`` (s, most) it has min(rows // s, most)."""
-    keyed = points.withColumn("p", priority(seed, "sample_id"))
-    place = F.row_number().over(Window.partitionBy("client_id").orderBy("p", "sample_id"))
-    sizes = points.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-    if shares:
-        small = [r.client_id for r in sizes.filter(F.col("n") < shares[0]).collect()]
-        if small:
-            raise ValueError(f"clients {sorted(small)} have fewer than {shares[0]} rows")
-    most = F.least(F.floor(F.col("n") / shares[0]), F.lit(shares[1])) if shares else F.lit(k)
-    rows = keyed.withColumn("place", place).filter(F.col("place") <= (shares[1] if shares else k)).join(sizes, "client_id").filter(F.col("place") <= most).orderBy("client_id", "place").select("client_id", "features").collect()
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(r.client_id, []).append(r.features)
-    return {c: np.array(v, dtype=float) for c, v in out.items()}
-
-
-def client_lloyd(points: DataFrame, starts: dict[int, np.ndarray], steps: int, drop_empty: bool = True) -> Local:
-    """Lloyd steps of each client from its own centres, all clients in one aggregation a step."""
-    centers = {c: v.copy() for c, v in starts.items()}
-    sizes = {c: np.zeros(len(v)) for c, v in centers.items()}
-    for _ in range(steps):
-        shared = points.sparkSession.sparkContext.broadcast(centers)
-
-        def run(batches, shared=shared):
-            sums: dict[tuple[int, int], list] = {}
-            for batch in batches:
-                x, client = batch_features(batch), batch.column("client_id").to_numpy(zero_copy_only=False)
-                for c in np.unique(client):
-                    own = shared.value.get(int(c))
-                    if own is None:
-                        continue
-                    rows = x[client == c]
-                    label, _ = nearest(rows, own)
-                    for j in np.unique(label):
-                        part = sums.setdefault((int(c), int(j)), [0, 0.0])
-                        part[0] += int((label == j).sum())
-                        part[1] = part[1] + rows[label == j].sum(axis=0)
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in keys], pa.int32()), pa.array([j for _, j in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1] for k in keys], pa.list_(pa.float64()))],
-                names=["client_id", "cluster", "n", "s"],
-            )
-
-        d = next(iter(centers.values())).shape[1]
-        parts = points.select(F.col("client_id").cast("int").alias("client_id"), "features").mapInArrow(run, "client_id int, cluster int, n bigint, s array<double>")
-        rows = parts.groupBy("client_id", "cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s")).collect()
-        sizes = {c: np.zeros(len(v)) for c, v in centers.items()}
-        for r in rows:
-            centers[r.client_id][r.cluster] = np.array(r.s) / r.n
-            sizes[r.client_id][r.cluster] = r.n
-    if drop_empty:
-        keep = {c: sizes[c] > 0 for c in centers}
-        centers, sizes = {c: v[keep[c]] for c, v in centers.items()}, {c: v[keep[c]] for c, v in sizes.items()}
-    return Local(centers, sizes)
-
-
-def weighted_kmeans(x: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 100) -> np.ndarray:
-    """Lloyd on the server's few weighted centres, started by distance-weighted draws."""
-    if len(x) < k:
-        raise ValueError(f"{len(x)} local centres for {k} clusters")
-    rng = np.random.default_rng(seed)
-    centers = x[[rng.choice(len(x), p=weights / weights.sum())]]
-    while len(centers) < k:
-        d2 = nearest(x, centers)[1] * weights
-        centers = np.vstack([centers, x[rng.choice(len(x), p=d2 / d2.sum()) if d2.sum() > 0 else rng.integers(len(x))]])
-    for _ in range(steps):
-        label, _ = nearest(x, centers)
-        new = np.array([np.average(x[label == j], axis=0, weights=weights[label == j]) if (label == j).any() else centers[j] for j in range(k)])
-        if np.allclose(new, centers, atol=1e-12):
-            break
-        centers = new
-    return centers
+#: More centres than a client can have: they number all clients' centres.
+MOST = 1 << 20
 
 
-def _gather(local: Local, clients) -> tuple[np.ndarray, np.ndarray]:
-    ids = [c for c in sorted(clients) if c in local.centers and len(local.centers[c])]
-    return np.concatenate([local.centers[c] for c in ids]), np.concatenate([local.sizes[c] for c in ids])
+def _weighted(models: DataFrame, weighted: bool = True) -> DataFrame:
+    """id (by client and cluster), center, weight."""
+    weight = F.greatest("n", F.lit(1e-300)) if weighted else F.lit(1.0)
+    return models.select((F.col("client_id").cast("bigint") * MOST + F.col("cluster")).alias("id"), "center", weight.alias("weight"))
 
 
-def _active_ids(points: DataFrame, schedule: DataFrame | None, turn: int) -> list[int]:
-    return sorted(int(r.client_id) for r in active_points(points.select("client_id").distinct(), schedule, turn).collect())
+def _of(rows: DataFrame, clients: DataFrame, how: str = "left_semi") -> DataFrame:
+    return rows.join(clients.select("client_id"), "client_id", how)
 
 
 def fed_server_kmeans(points: DataFrame, k: int, rounds: int = 10, tol: float = 1e-4, seed: int = 42, schedule: DataFrame | None = None, iter_local: int = 1, drop_empty: bool = True, weighted: bool = True) -> ClusterResult:
     """Clients hold local centres and sizes; each round the server clusters those of active clients and they refit from the
     global centres, ``iter_local`` Lloyd steps; inactive clients keep theirs. Labels by the nearest global centre."""
-    active = _active_ids(points, schedule, 1)
-    local = client_lloyd(active_points(points, schedule, 1), client_starts(active_points(points, schedule, 1), k, seed), max(1, iter_local), drop_empty)
-    history, sent, centers = [], 0, None
+    packs, steps = client_packs(points), max(1, iter_local)
+    everyone = materialise(points.select("client_id").distinct(), "clients")
+    models, history, sent, centers = None, [], 0, None
     for turn in range(1, rounds + 1):
-        active = _active_ids(points, schedule, turn)
-        missing = [c for c in active if c not in local.centers]
-        if missing:
-            fresh = points.filter(F.col("client_id").isin(missing))
-            more = client_lloyd(fresh, client_starts(fresh, k, seed), max(1, iter_local), drop_empty)
-            local = Local(local.centers | more.centers, local.sizes | more.sizes)
-        x, w = _gather(local, active)
-        sent += 8 * (x.size + w.size)
-        new = weighted_kmeans(x, w if weighted else np.ones(len(w)), k, seed)
+        active = active_points(everyone, schedule, turn)
+        fresh = active if models is None else _of(active, models, "left_anti")
+        if models is None or fresh.head(1):
+            own = client_lloyd(_of(packs, fresh), client_starts(_of(points, fresh), k, seed), steps, drop_empty)
+            models = own if models is None else materialise(models.unionByName(own), "client-models")
+        taking = materialise(_weighted(_of(models, active), weighted), "server-centres")
+        x, w = summary(taking, seed)
+        sent += 8 * taking.count() * (x.shape[1] + 1)
+        new = weighted_kmeans(x, w, k, seed)
         shift = float("inf") if centers is None else float(np.linalg.norm(new[np.lexsort(new.T)] - centers[np.lexsort(centers.T)]))
         centers = new
         history.append({"round": turn, "shift": None if shift == float("inf") else shift, "objective": None})
-        sent += 8 * centers.size * len(active)
+        sent += 8 * centers.size * active.count()
         if shift < tol:
             break
-        more = client_lloyd(active_points(points, schedule, turn), {c: centers for c in active}, max(1, iter_local), drop_empty)
-        local = Local(local.centers | more.centers, local.sizes | more.sizes)
+        if turn < rounds:
+            refit = client_lloyd(_of(packs, active), starts_from(active, centers), steps, drop_empty)
+            models = refit if schedule is None else materialise(_of(models, active, "left_anti").unionByName(refit), "client-models")
     return ClusterResult(assign_nearest(points, centers).drop("d2"), {"centers": centers}, history, sent)
 
 
-def snn_peaks(x: np.ndarray, k: int, neighbours: int) -> np.ndarray:
-    """Peaks by shared-nearest-neighbour density: rho is the sum of a point's largest similarities, delta the compensated
-    distance to the nearest denser one; the k largest rho * delta, ties by place. On the server's few representatives."""
-    m = len(x)
-    kappa = min(neighbours, m)
-    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
-    near = np.argsort(d, axis=1, kind="stable")[:, :kappa]
-    member = np.zeros((m, m), dtype=bool)
-    member[np.arange(m)[:, None], near] = True
-    shared = member.astype(float) @ member.T
-    # Distances from i and from j to the neighbours both share.
-    spread = (member * d) @ member.T
-    spread = spread + spread.T
-    similar = np.where(member & member.T & (spread > 0), shared**2 / np.maximum(spread, 1e-300), 0.0)
-    np.fill_diagonal(similar, 0.0)
-    rho = np.sort(similar, axis=1)[:, ::-1][:, :kappa].sum(axis=1)
-    reach = (member * d).sum(axis=1)
-    gap = d * (reach[:, None] + reach[None])
-    delta = np.zeros(m)
-    order = np.lexsort((np.arange(m), -rho))
-    for place, i in enumerate(order):
-        delta[i] = gap[i, order[:place]].min() if place else 0.0
-    delta[order[0]] = delta.max() if m > 1 else 1.0
-    return x[np.lexsort((np.arange(m), -(rho * delta)))[:k]]
-
-
 def fed_snn_peaks(points: DataFrame, k: int, neighbours: int = 20, reps: tuple[int, int] = (2, 50), seed: int = 42, schedule: DataFrame | None = None, steps: int = 5) -> ClusterResult:
     """Each client active in round 1 sends min(rows // reps[0], reps[1]) representatives (its own k-means centres); the
     server picks peaks among them; all rows go to the nearest peak."""
     taking = active_points(points, schedule, 1)
-    local = client_lloyd(taking, client_starts(taking, k, seed, reps), steps)
-    x, _ = _gather(local, local.centers)
-    if len(x) < k:
-        raise ValueError(f"{len(x)} representatives for {k} clusters")
-    peaks = snn_peaks(x, k, neighbours)
-    return ClusterResult(assign_nearest(points, peaks).drop("d2"), {"centers": peaks, "representatives": len(x)}, [], 8 * x.size)
+    sent = materialise(_weighted(client_lloyd(client_packs(taking), client_starts(taking, k, seed, reps), steps)), "representatives")
+    n = sent.count()
+    if n < k:
+        raise ValueError(f"{n} representatives for {k} clusters")
+    peaks = snn_peaks(sent.select("id", F.col("center").alias("features")), k, neighbours)
+    return ClusterResult(assign_nearest(points, peaks).drop("d2"), {"centers": peaks, "representatives": n}, [], 8 * n * peaks.shape[1])
 
 
 def fed_personalised(points: DataFrame, k: int, max_iters: int = 10, seed: int = 42, schedule: DataFrame | None = None) -> ClusterResult:
     """Global centres from the active clients' local ones, refined by each active client alone; inactive clients use the
     global ones. The model holds each client's mean distance to its centres, and mean, deviation and maximum over clients."""
-    taking = active_points(points, schedule, 1)
-    sizes = {r.client_id: r.n for r in taking.groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts = {c: v[: min(k, sizes[c])] for c, v in client_starts(taking, k, seed).items()}
-    local = client_lloyd(taking, starts, 5)
-    x, w = _gather(local, local.centers)
-    shared_centers = weighted_kmeans(x, w, k, seed)
-    own = client_lloyd(taking, {c: shared_centers for c in sizes}, max_iters, drop_empty=False).centers
-    table = points.sparkSession.sparkContext.broadcast((own, shared_centers))
+    packs = client_packs(points)
+    active = materialise(active_points(points.select("client_id").distinct(), schedule, 1), "clients")
+    taking = _of(packs, active)
+    local = _weighted(client_lloyd(taking, client_starts(_of(points, active), k, seed), 5))
+    shared = weighted_kmeans(*summary(local, seed), k, seed)
+    own = client_lloyd(taking, starts_from(active, shared), max_iters, drop_empty=False)
     keep = [c for c in points.columns if c != "features"]
+    table = points.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
-        mine, rest = table.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, client = batch_features(batch), batch.column("client_id").to_numpy(zero_copy_only=False)
-            label, d2 = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows))
-            for c in np.unique(client):
-                label[client == c], d2[client == c] = nearest(rows[client == c], mine.get(int(c), rest))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(label), pa.array(np.sqrt(d2))], names=[*keep, "cluster", "distance"])
+            for rows, model in zip(batch.column("rows"), batch.column("model"), strict=True):
+                centers = table.value if model.values is None else centers_of(model.values)[1]
+                label, d2 = nearest(features_of(rows.values), centers)
+                yield pa.RecordBatch.from_arrays([*[rows.values.field(c) for c in keep], pa.array(label.astype(np.int32)), pa.array(np.sqrt(d2))], names=[*keep, "cluster", "distance"])
 
     kinds = ", ".join([f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keep] + ["cluster int", "distance double"])
-    labelled = points.select(*keep, "features").mapInArrow(run, kinds)
+    labelled = packs.join(by_client(own), "client_id", "left").select("rows", "model").mapInArrow(run, kinds)
     costs = labelled.groupBy("client_id").agg(F.avg("distance").alias("cost"))
     total = costs.agg(F.avg("cost").alias("mean"), F.stddev_pop("cost").alias("std"), F.max("cost").alias("max")).first()
-    sent = 8 * (x.size + shared_centers.size * len(sizes))
+    sent = 8 * shared.shape[1] * (local.count() + k * active.count())
     cost = total.asDict()
-    return ClusterResult(labelled.drop("distance"), {"centers": shared_centers, "client_costs": costs, "cost_mean": cost["mean"], "cost_std": cost["std"], "cost_max": cost["max"]}, [], sent)
+    return ClusterResult(labelled.drop("distance"), {"centers": shared, "client_costs": costs, "cost_mean": cost["mean"], "cost_std": cost["std"], "cost_max": cost["max"]}, [], sent)

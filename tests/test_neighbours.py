@@ -43,7 +43,7 @@ def test_few_pairs_are_compared(spark):
     rows = neighbours.materialise(neighbours.vectors(scaling.scale_standard(queries.customers(spark, "/root/testdata/sf0.1")), 5), "vectors").select("id", "features")
     index = neighbours.pivot_index(rows)
     first = neighbours.materialise(neighbours.first_neighbours(index, 5), "first")
-    asked = neighbours.asked_parts(index, first)
+    asked = neighbours.asked_parts(index.parts, first)
     size = lambda c: F.size(c).cast("bigint")
     own = index.parts.agg(F.sum(size("rows") * size("rows"))).first()[0]
     others = asked.agg(F.sum(size("rows") * size("asking"))).first()[0]
