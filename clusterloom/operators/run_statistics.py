@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import finite
@@ -25,18 +25,39 @@ def paired_differences(rows: DataFrame, left: str, right: str, metric: str) -> D
     return a.join(b, on).select("a.dataset", "a.scenario", "a.seed", (F.col("l") - F.col("r")).alias("diff")).filter("diff is not null")
 
 
-def _bootstrap(groups: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
-    """Percentile interval of resampled means; a group holds one difference a seed."""
+#: A prime: hashes of a row and a draw are places below it, worked out in 64-bit integers that any engine has.
+PLACES = 2_147_483_647
+
+
+def poisson_places(most: int = 12) -> list[int]:
+    """A place from the k-th of these on stands for a count above k: the Poisson distribution of mean 1."""
+    terms = [math.exp(-1) / math.factorial(k) for k in range(most)]
+    return [int(math.fsum(terms[: k + 1]) * PLACES) for k in range(most)]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["diff"].to_numpy(dtype=float))
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([x[rng.integers(0, len(x), (min(500, draws - at), len(x)))].mean(axis=1) for at in range(0, draws, 500)])
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        sd = float(x.std(ddof=1)) if len(x) > 1 else None
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n_pairs": len(x), "mean": float(x.mean()), "sd": sd, "ci_low": lo, "ci_high": hi, "fraction_positive": float((x > 0).mean())}])
 
-    return groups.select(*keys, "diff").groupBy(*keys).applyInPandas(one, ", ".join(f"{k} string" for k in keys) + ", n_pairs bigint, mean double, sd double, ci_low double, ci_high double, fraction_positive double")
+def mixed_place(row: Column, draw: Column, seed: int) -> Column:
+    """A place from a row's number (0 to ``PLACES``) and a draw's."""
+    place = (row * 48271 + (draw + 1) * 69621 + seed) % PLACES
+    for factor in (16807, 39373):
+        place = ((place * place % PLACES) * place + place * factor + row) % PLACES
+    return place
+
+
+def _bootstrap(groups: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """Percentile interval of resampled means.
+
+    Each row is taken so many times in each draw as a hash of row and draw says (Poisson of mean 1), so a draw is a sum
+    over rows that no task needs together. Rows of one seed and difference are taken together; a draw that takes no row
+    doesn't count.
+    """
+    row = F.pmod(F.col("seed").cast("bigint") * 1_000_003 + F.floor(F.col("diff") * 1e8 + 0.5), F.lit(PLACES))
+    drawn = groups.select(*keys, "diff", row.alias("row"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    placed = drawn.withColumn("place", mixed_place(F.col("row"), F.col("draw").cast("bigint"), seed))
+    times = sum((F.col("place") >= p).cast("int") for p in poisson_places())
+    means = placed.withColumn("times", times).groupBy(*keys, "draw").agg(F.sum(F.col("times") * F.col("diff")).alias("s"), F.sum("times").alias("n")).filter("n > 0").withColumn("m", F.col("s") / F.col("n"))
+    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    plain = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("diff").alias("mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("diff")).alias("sd"), F.avg((F.col("diff") > 0).cast("double")).alias("fraction_positive"))
+    return plain.join(ends, keys, "left").select(*keys, "n_pairs", "mean", "sd", "ci_low", "ci_high", "fraction_positive")
 
 
 def paired_bootstrap(rows: DataFrame, left: str, right: str, metric: str = "ari", draws: int = 5000, seed: int = 2026) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import chebyshev, dot, entropy_term, js_term, norm, priority, seconds_between, squared_distance, total
 from clusterloom.operators import density, metrics, partitioning, rounds, run_statistics, scaling, schedule
-from clusterloom.operators.graph import shared_folder
+from clusterloom.operators.graph import materialise, shared_folder
 from clusterloom.plans import experiments, history
 from clusterloom.plans.request import Algorithm, RunRequest, algorithm_names, get_algorithm, register_algorithm, resolve_k
 from clusterloom.queries import CANON, CONT, CUST, GEO, IID, NEAR, NORMED, ORD, RULED, SCHED, START, STEP, customers, embeddings, nation_schedule, orders, query, r6, ruled
 from clusterloom.sources import points as sources
-from clusterloom.sources import sinks
+from clusterloom.sources import run_store, sinks
 
 
 def scratch(spark, name: str) -> str:
@@ -38,15 +38,19 @@ def s9_read_results(spark, d):
     return sources.read_results(spark, path).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("ari").alias("known"), F.round(F.sum(F.col("ari").cast("double")), 4).alias("total"))
 
 
-@query("SELECT o_orderstatus AS dataset, count(*)::BIGINT AS n, count(*) FILTER (o_custkey % 4 > 1)::BIGINT AS known, round(sum(CASE WHEN o_custkey % 4 > 1 THEN o_totalprice END), 2) AS total FROM orders GROUP BY 1")
+@query("""SELECT o_orderstatus AS dataset, o_orderpriority AS algorithm, CASE WHEN count(*) % 2 = 1 THEN round(avg(o_totalprice) / 1000000.0, 6) END AS ari FROM orders GROUP BY 1, 2""")
 def k1_strict_report(spark, d):
-    """Orders as one nested report with figures that aren't finite, written as one document and read back."""
+    """A nested report for each status of orders, a result for each priority, some of them not finite; each written as one document, all read as stored runs."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    bad = F.when(F.col("o_custkey") % 4 == 0, F.lit(float("nan"))).when(F.col("o_custkey") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
-    path = scratch(spark, "report")
-    sinks.append_runs(o.select(F.col("o_orderstatus").alias("dataset"), F.struct(bad.alias("ari")).alias("result")), path)
-    rows = spark.read.schema("dataset string, result struct<ari: double>").json(path)
-    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count("result.ari").alias("known"), F.round(F.sum("result.ari"), 2).alias("total"))
+    results = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice") / 1000000.0, 6).alias("mean"))
+    ari = F.when(F.col("n") % 2 == 1, F.col("mean")).when(F.col("n") % 4 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    result = F.struct(F.col("o_orderpriority").alias("algorithm"), F.lit("ok").alias("status"), ari.alias("ari"))
+    nested = results.groupBy(F.col("o_orderstatus").alias("experiment_id")).agg(F.collect_list(result).alias("results"))
+    report = materialise(nested.withColumn("request", F.struct(F.col("experiment_id").alias("dataset"))), "reports")
+    root = scratch(spark, "reports")
+    for r in report.select("experiment_id").collect():  # three
+        sinks.write_report(report.filter(F.col("experiment_id") == r.experiment_id), f"{root}/{r.experiment_id}/report.json")
+    return sources.read_history(spark, root).select("request.dataset", F.explode("results").alias("r")).select("dataset", "r.algorithm", "r.ari")
 
 
 @query("SELECT o_orderstatus AS dataset, (2 * count(*))::BIGINT AS n, count(DISTINCT o_orderkey)::BIGINT AS runs FROM orders GROUP BY 1")
@@ -63,7 +67,20 @@ def k3_append_runs(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey::VARCHAR) AS n FROM b) SELECT o_orderkey::VARCHAR AS experiment_id, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS run_id FROM r""")
 def k4_run_ids(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderpriority").alias("dataset"))
-    return sinks.run_ids(rows).select("experiment_id", "run_id")
+    return run_store.run_ids(rows).select("experiment_id", "run_id")
+
+
+@query("""WITH b AS (SELECT o_orderkey::VARCHAR AS experiment_id, v AS version, strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || o_orderstatus AS base FROM orders, (VALUES (1), (2)) t(v) WHERE v = 1 OR o_custkey % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY version, experiment_id) AS n FROM b) SELECT version, experiment_id, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS run_id FROM r""")
+def k4_run_store(spark, d):
+    """Orders as runs, appended, half of them appended again, and once more by a writer that dies before it publishes."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_orderdate").cast("string").alias("started_at"), F.col("o_orderstatus").alias("dataset"), "o_custkey")
+    root = scratch(spark, "store")
+    run_store.append(rows, root)
+    run_store.append(rows.filter("o_custkey % 2 = 0"), root)
+    run_store.stage(rows, root)
+    return run_store.read_runs(spark, root, rows.schema).select("version", "experiment_id", "run_id")
 
 
 def reports(spark, d):

@@ -640,9 +640,28 @@ def j9_paired_differences(spark, d):
     return run_statistics.paired_differences(runs(spark, d), "a", "b", "ari").withColumn("diff", r6("diff"))
 
 
-@query()
+def bootstrap_sql(pairs: str, keys: str, draws: int = 5000, seed: int = 2026) -> str:
+    """Resampled means of ``pairs`` (keys, seed, diff), with the library's hashes of row and draw."""
+    p, using = run_statistics.PLACES, f"USING ({keys})"
+    step = lambda x, factor: f"((({x} * {x} % {p}) * {x} + {x} * {factor} + row_place) % {p})"
+    times = " + ".join(f"(place >= {t})::INT" for t in run_statistics.poisson_places())
+    return f"""WITH {RUNS}, pairs AS ({pairs}),
+numbered AS (SELECT *, ((seed::BIGINT * 1000003 + floor(diff * 1e8 + 0.5)::BIGINT) % {p} + {p}) % {p} AS row_place FROM pairs),
+p0 AS (SELECT {keys}, diff, row_place, draw, (row_place * 48271 + (draw + 1) * 69621 + {seed}) % {p} AS place FROM numbered, range({draws}) d(draw)),
+p1 AS (SELECT {keys}, diff, row_place, draw, {step("place", 16807)} AS place FROM p0), p2 AS (SELECT {keys}, diff, draw, {step("place", 39373)} AS place FROM p1),
+means AS (SELECT {keys}, draw, sum(({times}) * diff) / sum({times}) AS m FROM p2 GROUP BY ALL HAVING sum({times}) > 0),
+ends AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM means GROUP BY ALL),
+plain AS (SELECT {keys}, count(*)::BIGINT AS n_pairs, avg(diff) AS mean, CASE WHEN count(*) > 1 THEN stddev_samp(diff) END AS sd, avg((diff > 0)::INT) AS fraction_positive FROM pairs GROUP BY ALL)
+SELECT {keys}, n_pairs, round(mean, 6) AS mean, round(sd, 6) AS sd, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(fraction_positive, 6) AS fraction_positive FROM plain JOIN ends {using}"""
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+@query(bootstrap_sql("SELECT a.dataset, a.scenario, a.seed, a.ari - b.ari AS diff FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.scenario = b.scenario AND a.seed = b.seed AND a.partition_fingerprint IS NOT DISTINCT FROM b.partition_fingerprint WHERE a.algorithm = 'a' AND b.algorithm = 'b'", "dataset, scenario"))
 def t2_paired_bootstrap(spark, d):
-    return run_statistics.paired_bootstrap(runs(spark, d), "a", "b", draws=1000)
+    return rounded(run_statistics.paired_bootstrap(runs(spark, d), "a", "b"), "mean", "sd", "ci_low", "ci_high", "fraction_positive")
 
 
 @query(f"WITH {RUNS} SELECT a.dataset, a.seed, round(b.ari - a.ari, 6) AS diff FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.seed = b.seed WHERE a.algorithm = 'a' AND b.algorithm = 'a' AND a.scenario = 'iid_full' AND b.scenario = 'dirichlet_01_full'")
@@ -650,9 +669,9 @@ def j10_scenario_differences(spark, d):
     return run_statistics.scenario_differences(runs(spark, d), "a", "iid_full", "dirichlet_01_full").withColumn("diff", r6("diff"))
 
 
-@query()
+@query(bootstrap_sql("SELECT a.dataset, a.seed, b.ari - a.ari AS diff FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.seed = b.seed WHERE a.algorithm = 'a' AND b.algorithm = 'a' AND a.scenario = 'iid_full' AND b.scenario = 'dirichlet_01_full'", "dataset"))
 def t3_scenario_delta(spark, d):
-    return run_statistics.scenario_delta(runs(spark, d), "a", "iid_full", "dirichlet_01_full", draws=1000)
+    return rounded(run_statistics.scenario_delta(runs(spark, d), "a", "iid_full", "dirichlet_01_full"), "mean", "sd", "ci_low", "ci_high", "fraction_positive")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_custkey % 2 = 0 THEN 'local_estimated' ELSE 'local_known' END

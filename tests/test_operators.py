@@ -11,7 +11,7 @@ from clusterloom.operators import central, density, graph, metrics, partitioning
 from clusterloom.plans import experiments, history
 from clusterloom.plans.request import RunRequest, algorithm_names, effective_params, get_algorithm
 from clusterloom.sources import points as sources
-from clusterloom.sources import sinks
+from clusterloom.sources import run_store, sinks
 
 
 @pytest.fixture(scope="module")
@@ -104,7 +104,7 @@ def test_results_and_release(spark, tmp_path):
         sinks.public_report(rows)
     assert sinks.public_report(rows.filter("experiment_id = 'e'")).columns == ["experiment_id", "dataset", "algorithm", "ari"]
     ids = spark.createDataFrame([("a", "2026-01-01 00:00:00", "d x"), ("b", "2026-01-01 00:00:00", "d x")], "experiment_id string, started_at string, dataset string")
-    assert sorted(r.run_id for r in sinks.run_ids(ids).collect()) == ["20260101_000000_d_x", "20260101_000000_d_x_2"]
+    assert sorted(r.run_id for r in run_store.run_ids(ids).collect()) == ["20260101_000000_d_x", "20260101_000000_d_x_2"]
 
 
 # Partitions and schedules
