@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +129,46 @@ def silhouette(scored: DataFrame, max_points: int = 2000, seed: int = 42, per_po
     return points.agg(F.count_distinct("cluster").alias("k"), F.count(F.lit(1)).alias("n"), F.avg("s").alias("v")).select(_defined(F.col("k"), F.col("n"), F.col("v")).alias("silhouette"))
 
 
+def silhouettes(labelled: DataFrame, max_points: int = 2000, seed: int = 42) -> DataFrame:
+    """candidate (from 0), silhouette, coverage, clusters and assigned of each place in ``labels`` (sample_id, features, labels).
+
+    Silhouettes are those of :func:`silhouette`, for all candidates from one matrix of distances; the set of rows, at most
+    ``max_points``, is broadcast. The other figures are over all rows.
+    """
+    spark = labelled.sparkSession
+    chosen = labelled.select("sample_id", "features", "labels").orderBy(priority(seed, "sample_id"), "sample_id").limit(max_points).collect()
+    counts = labelled.select(F.posexplode("labels").alias("candidate", "cluster")).groupBy("candidate").agg(
+        F.avg((F.col("cluster") >= 0).cast("double")).alias("coverage"), F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") >= 0).alias("assigned"),
+    )
+    told = spark.sparkContext.broadcast((np.array([r.features for r in chosen], dtype=float), np.array([r.labels for r in chosen], dtype=np.int64)))
+
+    def run(batches):
+        x, labels = told.value
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            d = np.sqrt(((x[ids][:, None, :] - x[None]) ** 2).sum(axis=2)) if x.shape[1] <= 8 else np.array([np.sqrt(((x[i] - x) ** 2).sum(axis=1)) for i in ids]).reshape(len(ids), len(x))
+            for c in range(labels.shape[1]):
+                mine, every = labels[ids, c], labels[:, c]
+                names = np.unique(every[every >= 0])
+                if not len(names):
+                    continue
+                member = (every[:, None] == names[None, :]).astype(float)
+                sums, sizes = d @ member, member.sum(axis=0)
+                rows = np.flatnonzero(mine >= 0)
+                own = np.searchsorted(names, mine[rows])
+                a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+                others = sums[rows] / sizes[None, :]
+                others[np.arange(len(rows)), own] = np.inf
+                b = others.min(axis=1, initial=np.inf)
+                top = np.maximum(a, b)
+                s = np.where((sizes[own] > 1) & (top > 0) & np.isfinite(top), (b - a) / np.where((top > 0) & np.isfinite(top), top, 1.0), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), pa.int32()), pa.array(mine[rows]), pa.array(s)], names=["candidate", "cluster", "s"])
+
+    points = spark.range(len(chosen), numPartitions=max(1, min(64, len(chosen) // 32))).mapInArrow(run, "candidate int, cluster bigint, s double")
+    means = points.groupBy("candidate").agg(F.count_distinct("cluster").alias("k"), F.count(F.lit(1)).alias("n"), F.avg("s").alias("v")).select("candidate", _defined(F.col("k"), F.col("n"), F.col("v")).alias("silhouette"))
+    return counts.join(means, "candidate", "left")
+
+
 def centroids(scored: DataFrame) -> DataFrame:
     """cluster, center, n of assigned rows."""
     cells = scored.filter("cluster <> -1").select("cluster", F.posexplode("features").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("x"), F.count("x").alias("n"))

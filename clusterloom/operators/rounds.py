@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import priority
+from clusterloom.operators.graph import materialise
 from clusterloom.operators.schedule import active_points
 
 
@@ -289,16 +290,67 @@ def history_table(spark, history: list[dict]) -> DataFrame:
     return rows.withColumn("shift_change", F.col("shift") - F.lag("shift").over(Window.orderBy("round")))
 
 
+#: Rows, the first by hash order, from which the starts of central k-means are drawn.
+START_ROWS = 4096
+
+
+def kmeans_starts(points: DataFrame, wanted: list[tuple[int, int]], seed: int = 42) -> list[np.ndarray]:
+    """k-means++ starts for each (k, seed), drawn from ``START_ROWS`` rows at most; repeated where there are fewer distinct ones."""
+    rows = points.select("sample_id", "features").orderBy(priority(seed, "sample_id"), "sample_id").limit(START_ROWS).collect()
+    x, out = np.array([r.features for r in rows], dtype=float), []
+    if not len(x):
+        raise ValueError("no rows")
+    for k, own in wanted:
+        rng = np.random.default_rng(own)
+        chosen = [int(rng.integers(len(x)))]
+        d2 = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            chosen.append(int(rng.choice(len(x), p=d2 / d2.sum()) if d2.sum() > 0 else rng.integers(len(x))))
+            d2 = np.minimum(d2, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        out.append(x[chosen])
+    return out
+
+
+def _statistics_of_many(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple]:
+    """(model, cluster): (weight, sums, objective) in one pass for all models."""
+    told = rows.sparkSession.sparkContext.broadcast(models)
+    d = next(iter(models.values())).shape[1]
+
+    def run(batches):
+        whole: dict[int, list] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = batch_features(batch)
+                for m, centers in told.value.items():
+                    parts = kmeans_kernel(centers)(x)
+                    whole[m] = [a + b for a, b in zip(whole[m], parts, strict=True)] if m in whole else list(parts)
+        for m, (w, s, objective) in whole.items():
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(w), pa.int32()), pa.array(range(len(w)), pa.int32()), pa.array(w), pa.array(list(s), pa.list_(pa.float64())), pa.array(objective)], names=["model", "cluster", "w", "s", "objective"])
+
+    parts = rows.select("features").mapInArrow(run, "model int, cluster int, w double, s array<double>, objective double")
+    sums = parts.groupBy("model", "cluster").agg(F.sum("w").alias("w"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"), F.sum("objective").alias("objective"))
+    return {(r.model, r.cluster): (r.w, np.array(r.s), r.objective) for r in sums.collect()}
+
+
+def kmeans_many(points: DataFrame, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """(centres, inertia) from each start; all models take a step in one pass, until no centre of theirs moves by more than ``tol``."""
+    rows = materialise(points.select("features"), "kmeans-rows")
+    centers, live = [np.array(s, dtype=float) for s in starts], set(range(len(starts)))
+    for _ in range(max_iter):
+        stats = _statistics_of_many(rows, {m: centers[m] for m in live})
+        for m in sorted(live):
+            new = np.array([stats[m, j][1] / stats[m, j][0] if stats[m, j][0] > 0 else c for j, c in enumerate(centers[m])])
+            if np.sqrt(((new - centers[m]) ** 2).sum(axis=1)).max() <= tol:
+                live.discard(m)
+            centers[m] = new
+        if not live:
+            break
+    last = _statistics_of_many(rows, dict(enumerate(centers)))
+    return [(c, float(sum(last[m, j][2] for j in range(len(c))))) for m, c in enumerate(centers)]
+
+
 def kmeans(points: DataFrame, k: int, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> ClusterResult:
-    """Central k-means: the restart of least inertia."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = points.select(array_to_vector("features").alias("features")).persist()
-    try:
-        models = [KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i).fit(rows) for i in range(n_init)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        centers, inertia = np.array(best.clusterCenters()), float(best.summary.trainingCost)
-    finally:
-        rows.unpersist()
+    """Central k-means: the restart of least inertia; all restarts are refitted together."""
+    found = kmeans_many(points, kmeans_starts(points, [(k, seed + i) for i in range(n_init)], seed), max_iter, tol)
+    centers, inertia = min(found, key=lambda f: f[1])
     return ClusterResult(assign_nearest(points, centers).drop("d2"), {"centers": centers, "inertia": inertia})

@@ -381,7 +381,7 @@ def f11_communication_bytes(spark, d):
 @query()
 def c2_kmeans(spark, d):
     points = scaling.scale_standard(embeddings(spark, d))
-    return scores(spark, rounds.kmeans(points, 10, n_init=2, max_iter=20), points)
+    return scores(spark, rounds.kmeans(points, 10), points)
 
 
 @query()
@@ -476,12 +476,12 @@ def m4_ami(spark, d):
     return metrics.ami(metrics.contingency(ruled(spark, d)))
 
 
-@query(f"""WITH {ORD}, {RULED}, s AS (SELECT * FROM ruled ORDER BY sha256('42:' || sample_id), sample_id LIMIT 400), z AS (SELECT * FROM s WHERE cluster <> -1),
+@query(f"""WITH {ORD}, {RULED}, s AS (SELECT * FROM ruled ORDER BY sha256('42:' || sample_id), sample_id LIMIT 2000), z AS (SELECT * FROM s WHERE cluster <> -1),
 p AS (SELECT a.sample_id, a.cluster, b.cluster AS oc, sum(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)) AS s, count(*) AS m FROM z a, z b GROUP BY 1, 2, 3),
 q AS (SELECT sample_id, max(CASE WHEN oc = cluster AND m > 1 THEN s / (m - 1) END) AS a, min(CASE WHEN oc <> cluster THEN s / m END) AS b FROM p GROUP BY 1)
 SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q""")
 def m5_silhouette(spark, d):
-    return metrics.silhouette(ruled(spark, d), max_points=400).select(r6("silhouette").alias("silhouette"))
+    return metrics.silhouette(ruled(spark, d)).select(r6("silhouette").alias("silhouette"))
 
 
 GEO = f"WITH {ORD}, {RULED}, z AS (SELECT * FROM ruled WHERE cluster <> -1), k AS (SELECT cluster, avg(x0) AS c0, avg(x1) AS c1, count(*) AS n FROM z GROUP BY 1)"
@@ -726,13 +726,13 @@ def u6_status_counts(spark, d):
 
 @query()
 def u1_estimate_k(spark, d):
-    k, tried = tuning.estimate_k(embeddings(spark, d), 2, 12, 3, sample=300, n_init=1)
+    k, tried = tuning.estimate_k(embeddings(spark, d))
     return spark.createDataFrame([(t["k"], t["silhouette"], t["k"] == k) for t in tried], "k int, silhouette double, chosen boolean")
 
 
 @query()
 def u2_tune_dbscan(spark, d):
-    best, tried = tuning.tune_dbscan(scaling.scale_standard(customers(spark, d)), sample=300, min_samples=(5,), quantiles=(0.5, 0.8))
+    best, tried = tuning.tune_dbscan(scaling.scale_standard(customers(spark, d)))
     return spark.createDataFrame([(t["min_samples"], t["quantile"], float(t["eps"]), t["score"], t["quantile"] == best["quantile"]) for t in tried], "min_samples int, quantile double, eps double, score double, chosen boolean")
 
 
