@@ -9,9 +9,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import euclidean, finite, priority
@@ -66,44 +65,49 @@ def external(cont: DataFrame, by: list[str] = ()) -> DataFrame:
     return m.select(*by, F.col("n").cast("bigint").alias("n"), ari.alias("ari"), nmi.alias("nmi"))
 
 
-def expected_mi(a: np.ndarray, b: np.ndarray, n: int) -> float:
-    """Expected mutual information of labelings with these margins (hypergeometric); equal pairs are worked out once."""
-    lg = np.cumsum(np.concatenate([[0.0], np.log(np.arange(1, n + 1))])) if n <= 5_000_000 else None
-    gamma = (lambda x: lg[x]) if lg is not None else np.vectorize(lambda x: math.lgamma(x + 1))
-    av, ac = np.unique(a, return_counts=True)
-    bv, bc = np.unique(b, return_counts=True)
-    out = 0.0
-    for x, nx in zip(av.tolist(), ac.tolist(), strict=True):
-        for y, ny in zip(bv.tolist(), bc.tolist(), strict=True):
-            m = np.arange(max(1, x + y - n), min(x, y) + 1)
-            p = gamma(x) + gamma(y) + gamma(n - x) + gamma(n - y) - gamma(n) - gamma(m) - gamma(x - m) - gamma(y - m) - gamma(n - x - y + m)
-            out += nx * ny * float((m / n * np.log(n * m / (x * y)) * np.exp(p)).sum())
-    return out
+#: Terms of the hypergeometric series in one range, and how many root sizes from its mean terms are more than 0 in doubles.
+SERIES, WIDE = 100_000, 40
+
+
+def log_factorial(m: Column) -> Column:
+    """Of a whole number, not negative: by Stirling's series, small ones from a table."""
+    z = m.cast("double") + 1
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    return F.when(m < 16, F.element_at(table, F.least(m, F.lit(15)).cast("int") + 1)).otherwise(series)
+
+
+def expected_mi(cont: DataFrame, by: list[str] = (), series: int = SERIES) -> DataFrame:
+    """[by,] e: the expected mutual information of labelings with the margins of ``cont`` (hypergeometric).
+
+    Pairs of different class and cluster sizes are rows; each has the terms of its series, in ranges of ``series`` terms
+    that are dealt anew. By Hoeffding's bound terms more than ``WIDE`` times the root of the lesser size from the mean are
+    0 as doubles; they are left out.
+    """
+    by = [*by, "__all"]
+    cont = cont.withColumn("__all", F.lit(0))
+    sizes = lambda side, name: cont.groupBy(*by, side).agg(F.sum("n").alias(name)).groupBy(*by, name).agg(F.count(F.lit(1)).alias(f"{name}_times"))
+    pairs = sizes("label", "x").join(sizes("cluster", "y"), by).join(cont.groupBy(*by).agg(F.sum("n").alias("n")), by)
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    mean, reach = x * (y / n), WIDE * F.sqrt(F.least(x, y).cast("double")) + 1
+    low = F.greatest(F.lit(1), x + y - n, F.floor(mean - reach))
+    high = F.least(x, y, F.ceil(mean + reach))
+    ranged = pairs.withColumn("high", high).withColumn("low", F.explode(F.when(low <= high, F.sequence(low, high, F.lit(series).cast("bigint")))))
+    dealt = ranged.repartition(*by, "x", "y", "low")
+    terms = dealt.withColumn("m", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + series - 1, "high"))))
+    m, f = F.col("m"), log_factorial
+    p = f(x) + f(y) + f(n - x) + f(n - y) - f(n) - f(m) - f(x - m) - f(y - m) - f(n - x - y + m)
+    term = F.col("x_times") * F.col("y_times") * (m / n * F.log(n / x * (m / y)) * F.exp(p))
+    return terms.groupBy(*by).agg(F.sum(term).alias("e")).drop("__all")
 
 
 def ami(cont: DataFrame, by: list[str] = ()) -> DataFrame:
-    """[by,] ami: margins of a group (classes plus clusters rows) meet in one pandas group, cells never do."""
+    """[by,] ami."""
     by = list(by)
-    mi = _margins(cont, by)
-    sizes = cont.groupBy(*by, "label").agg(F.sum("n").alias("m")).select(*by, F.lit("a").alias("side"), "m")
-    sizes = sizes.unionByName(cont.groupBy(*by, "cluster").agg(F.sum("n").alias("m")).select(*by, F.lit("b").alias("side"), "m"))
-    sizes = sizes.groupBy(*by, "side", "m").agg(F.count(F.lit(1)).alias("times"))
-    packed = sizes.groupBy(*by).agg(F.collect_list(F.struct("side", "m", "times")).alias("sizes"))
-    joined = mi.join(packed, by) if by else mi.crossJoin(packed)
-
-    @F.pandas_udf("double")
-    def emi(sizes: pd.Series) -> pd.Series:
-        def one(rows):
-            a = np.repeat([r["m"] for r in rows if r["side"] == "a"], [r["times"] for r in rows if r["side"] == "a"])
-            b = np.repeat([r["m"] for r in rows if r["side"] == "b"], [r["times"] for r in rows if r["side"] == "b"])
-            return expected_mi(a, b, int(a.sum()))
-
-        return sizes.map(one)
-
-    e = emi(F.col("sizes"))
+    mi, e = _margins(cont, by), expected_mi(cont, by)
+    joined = mi.join(e, by) if by else mi.crossJoin(e)
     value = F.try_divide(F.col("mi") - F.col("e"), (F.col("h_label") + F.col("h_cluster")) / 2 - F.col("e"))
-    scored = joined.withColumn("e", e)
-    return scored.select(*by, finite(F.when((F.col("labels") == 1) & (F.col("clusters") == 1), 1.0).otherwise(value)).alias("ami"))
+    return joined.select(*by, finite(F.when((F.col("labels") == 1) & (F.col("clusters") == 1), 1.0).otherwise(value)).alias("ami"))
 
 
 def _defined(k, n, value):
