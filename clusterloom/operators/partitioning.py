@@ -115,10 +115,14 @@ def partition_dirichlet(points: DataFrame, clients: int, alpha: float, seed: int
 
 
 def label_limited_quotas(counts: list[tuple], clients: int, labels_per_client: int, min_samples: int, attempts: int = 100) -> list[tuple]:
-    """Client i may hold consecutive classes from floor(i * classes / clients) + offset on; a class is split evenly over its clients."""
+    """Client i may hold consecutive classes from floor(i * classes / clients) + offset on; a class is split evenly over its clients.
+
+    More labels a client than there are classes mean all classes.
+    """
     k = len(counts)
-    if not 1 <= labels_per_client <= k:
-        raise ValueError(f"labels per client must lie between 1 and {k}")
+    if labels_per_client < 1:
+        raise ValueError("a client needs one label at least")
+    labels_per_client = min(labels_per_client, k)
     for offset in range(attempts):
         allowed = [{(i * k // clients + offset + j) % k for j in range(labels_per_client)} for i in range(clients)]
         quotas = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clusterloom.operators.client_models import summary, weighted_kmeans
 from clusterloom.operators.density import axial_neighbours, dense_components
 from clusterloom.operators.graph import materialise
-from clusterloom.operators.rounds import ClusterResult, assign_nearest, batch_features, fed_rounds, project_centers, public_centers
+from clusterloom.operators.rounds import ClusterResult, assign_nearest, batch_features, data_free_centers, fed_rounds, within_ball
 from clusterloom.operators.scaling import clip_l2
 from clusterloom.operators.schedule import active_points
 from clusterloom.operators.shared_neighbours import snn_peaks
@@ -99,7 +99,7 @@ def fed_rounds_dp(kind: str, points: DataFrame, k: int, rounds: int, eps: float,
     """Rounds on publicly scaled ``points`` with noisy aggregates; ``enabled=False`` is the matched control without noise."""
     d = points.select(F.max(F.size("features"))).first()[0]
     noise = dp_aggregate_config(kind, eps, delta, clip, rounds, enabled)
-    return fed_rounds(kind, clip_l2(points, clip), k, rounds=rounds, seed=seed, schedule=schedule, dp=noise, start=public_centers(k, d, seed, clip), **how)
+    return fed_rounds(kind, clip_l2(points, clip), k, rounds=rounds, seed=seed, schedule=schedule, dp=noise, start=data_free_centers(k, d, seed, clip), **how)
 
 
 def dp_prototypes(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise, clients: list[int] | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def dp_prototypes(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise,
                 continue
             s, n = noise(batch_features(batch), batch.column("n").to_numpy(zero_copy_only=False))
             good = n > noise.least
-            means = project_centers(s[good] / n[good, None], noise.bound) if good.any() else np.zeros((0, d))
+            means = within_ball(s[good] / n[good, None], noise.bound) if good.any() else np.zeros((0, d))
             yield pa.RecordBatch.from_arrays([batch.column("client_id").filter(pa.array(good)), pa.array(list(means), pa.list_(pa.float64())), pa.array(np.maximum(1.0, n[good]))], names=["client_id", "center", "weight"])
 
     return materialise(full.mapInArrow(run, "client_id int, center array<double>, weight double"), "private-prototypes")
@@ -136,7 +136,7 @@ def pad_candidates(centers: np.ndarray, weights: np.ndarray, anchors: np.ndarray
     return np.vstack([centers.reshape(-1, anchors.shape[1]), more]), np.concatenate([weights, np.ones(lack)])
 
 
-def _candidates(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise, required: int) -> DataFrame:
+def private_candidates(points: DataFrame, anchors: np.ndarray, noise: AggregateNoise, required: int) -> DataFrame:
     """id, center, weight of all clients' private prototypes, and of anchors where there are fewer than ``required``."""
     found = dp_prototypes(points, anchors, noise).withColumn("id", F.monotonically_increasing_id()).select("id", "center", "weight")
     lack, d = required - found.count(), anchors.shape[1]
@@ -153,15 +153,15 @@ def fed_server_dp(method: str, points: DataFrame, k: int, eps: float, delta: flo
     used = rounds if method == "server_kmeans" else 1
     noise = dp_aggregate_config("kmeans", eps, delta, clip, used, enabled)
     rows = clip_l2(points, clip)
-    anchors = public_centers(max(2 * k, k), d, seed, clip)
+    anchors = data_free_centers(max(2 * k, k), d, seed, clip)
     history = []
     if method == "server_kmeans":
         for turn in range(1, used + 1):
-            centers = weighted_kmeans(*summary(_candidates(active_points(rows, schedule, turn), anchors, noise, k), seed), k, seed)
+            centers = weighted_kmeans(*summary(private_candidates(active_points(rows, schedule, turn), anchors, noise, k), seed), k, seed)
             history.append({"round": turn, "shift": float(np.linalg.norm(anchors[:k] - centers)), "objective": None})
             anchors = centers
     else:
-        sent = _candidates(active_points(rows, schedule, 1), anchors, noise, k)
+        sent = private_candidates(active_points(rows, schedule, 1), anchors, noise, k)
         if method == "personalised":
             centers = weighted_kmeans(*summary(sent, seed), k, seed)
         elif method in ("snn", "nn"):
@@ -191,7 +191,7 @@ def fed_grid_density_dp(points: DataFrame, eps: float, delta: float, clip: float
     cell = F.transform(flat, lambda x: F.floor(x / cell_size).cast("int"))
     celled = rows.withColumn("cell", cell)
     noise = dp_aggregate_config("kmeans", eps / 2, delta / 2, clip, 1, enabled)
-    sent = _candidates(active_points(rows, schedule, 1), public_centers(k, d, seed, clip), noise, k)
+    sent = private_candidates(active_points(rows, schedule, 1), data_free_centers(k, d, seed, clip), noise, k)
     own = materialise(sent.select(F.col("center").alias("features")).select(cell.alias("cell")).distinct(), "private-cells")
     candidates = own.union(axial_neighbours(own).select("neighbour")).distinct()
     counts = active_points(celled, schedule, 1).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))

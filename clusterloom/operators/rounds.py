@@ -81,15 +81,19 @@ def moments_variance(points: DataFrame, schedule: DataFrame | None = None, reg:
     return np.array([max(r.q / r.n - (r.s / r.n) ** 2, reg) for r in rows])
 
 
-def public_centers(k: int, d: int, seed: int, bound: float) -> np.ndarray:
-    """Independent of the data: normal with deviation 0.6, inside the ball."""
-    return project_centers(np.random.default_rng(seed).normal(0.0, 0.6, (k, d)), bound)
+def within_ball(rows, bound: float) -> np.ndarray:
+    """Rows no longer than ``bound``: only those beyond it are drawn in. What isn't finite counts as 0."""
+    out = np.array(rows, dtype=float)
+    out[~np.isfinite(out)] = 0.0
+    length = np.sqrt(np.einsum("ij,ij->i", out, out))
+    beyond = length > bound
+    out[beyond] *= (bound / length[beyond])[:, None]
+    return out
 
 
-def project_centers(centers: np.ndarray, bound: float) -> np.ndarray:
-    c = np.nan_to_num(np.asarray(centers, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
-    size = np.linalg.norm(c, axis=1, keepdims=True)
-    return c * np.minimum(1.0, bound / np.maximum(size, 1e-12))
+def data_free_centers(k: int, d: int, seed: int, bound: float) -> np.ndarray:
+    """Centres that no row has a part in: normal around 0 with deviation 0.6, within the ball."""
+    return within_ball(0.6 * np.random.default_rng(seed).standard_normal((k, d)), bound)
 
 
 def assign_nearest(points: DataFrame, centers: np.ndarray, keep: list[str] | None = None) -> DataFrame:
@@ -243,7 +247,7 @@ def fed_rounds(
             new = np.where(reliable[:, None], s / n[:, None], centers)
             spread = np.where(reliable[:, None], np.maximum(q / n[:, None] - new**2, reg_covar), variances)
             if dp is not None:
-                new, spread = project_centers(new, dp.bound), np.clip(spread, max(reg_covar, 0.05), dp.bound**2)
+                new, spread = within_ball(new, dp.bound), np.clip(spread, max(reg_covar, 0.05), dp.bound**2)
             weights, variances = n / n.sum(), spread
         else:
             w, s, objective = _stacked(summed_statistics(rows, kmeans_kernel(centers) if kind == "kmeans" else fuzzy_kernel(centers, fuzziness), d), k)
@@ -252,7 +256,7 @@ def fed_rounds(
             reliable = w > (dp.least if dp is not None else 0.0)
             new = np.where(reliable[:, None], s / np.where(reliable, w, 1.0)[:, None], centers)
             if dp is not None:
-                new = project_centers(new, dp.bound)
+                new = within_ball(new, dp.bound)
         shift = float(np.linalg.norm(new - centers))
         centers = new
         history.append({"round": turn, "shift": shift, "objective": None if dp is not None else float(objective.sum())})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clusterloom.functions.arrays import chebyshev, dot, entropy_term, js_term, norm, priority, seconds_between, squared_distance, total
-from clusterloom.operators import density, metrics, partitioning, rounds, run_statistics, scaling, schedule
+from clusterloom.operators import density, metrics, partitioning, privacy, rounds, run_statistics, scaling, schedule
 from clusterloom.operators.graph import materialise, shared_folder
 from clusterloom.plans import experiments, history
 from clusterloom.plans.request import Algorithm, RunRequest, algorithm_names, get_algorithm, register_algorithm, resolve_k
-from clusterloom.queries import CANON, CONT, CUST, GEO, IID, NEAR, NORMED, ORD, RULED, SCHED, START, STEP, customers, embeddings, nation_schedule, orders, query, r6, ruled
+from clusterloom.queries import ORACLE_SQL, CANON, CONT, CUST, GEO, IID, NEAR, NORMED, ORD, RULED, SCHED, START, STEP, customers, embeddings, nation_schedule, orders, query, r6, ruled
 from clusterloom.sources import points as sources
 from clusterloom.sources import run_store, sinks
 
@@ -241,10 +242,10 @@ def o2_priority_top_k(spark, d):
 
 
 @query("WITH m AS (SELECT c_nationkey AS client_id, avg(c_acctbal) AS x0, c_nationkey::DOUBLE AS x1 FROM customer GROUP BY 1) SELECT client_id::INT AS client_id, round(x0 * least(1.0, 4000.0 / greatest(sqrt(x0 * x0 + x1 * x1), 1e-12)), 5) AS x0, round(x1 * least(1.0, 4000.0 / greatest(sqrt(x0 * x0 + x1 * x1), 1e-12)), 5) AS x1 FROM m")
-def i5_project_centers(spark, d):
+def i5_within_ball(spark, d):
     """Each nation's mean, projected onto a ball."""
     rows = by_nation(spark, d).groupBy("client_id").agg(F.avg(F.col("features")[0]).alias("x0"), F.avg(F.col("features")[1]).alias("x1")).orderBy("client_id").collect()
-    inside = rounds.project_centers([[r.x0, r.x1] for r in rows], 4000.0)
+    inside = rounds.within_ball([[r.x0, r.x1] for r in rows], 4000.0)
     return spark.createDataFrame([(r.client_id, round(float(a), 5), round(float(b), 5)) for r, (a, b) in zip(rows, inside, strict=True)], "client_id int, x0 double, x1 double")
 
 
@@ -404,3 +405,45 @@ def v3_user_source(spark, d):
     """A caller's own source of points, registered and loaded by its name."""
     sources.register_source("parts", lambda s, path: s.read.parquet(path).select(F.col("p_partkey").alias("sample_id"), F.array("p_retailprice").alias("features"), F.col("p_size").alias("label")))
     return sources.load_points(spark, "parts", {"path": f"{d}/part.parquet"}).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("features")[0]), 2).alias("total"))
+
+
+# Explicit radii and private prototypes
+
+
+@query(f"SELECT 0.04::DOUBLE AS eps, 'explicit' AS strategy, 5 AS min_samples, count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters, count(*) FILTER (cluster = -1) AS noise FROM ({ORACLE_SQL['c4_dbscan']})")
+def c6_explicit_radius(spark, d):
+    """A radius that is given is taken, whatever the rule would choose, and reported with the clusters that it gives."""
+    result = density.dbscan(scaling.scale_standard(customers(spark, d)), eps=0.04, min_samples=5)
+    found = result.predictions.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == -1).alias("noise"))
+    return found.select(F.lit(result.model["eps"]).alias("eps"), F.lit(result.model["strategy"]).alias("strategy"), F.lit(result.model["min_samples"]).alias("min_samples"), "clusters", "noise")
+
+
+#: Anchors of the private prototypes; no row is near the last.
+ANCHORS = ((-0.8, -0.8), (0.0, 0.0), (0.8, 0.8), (9.0, 9.0))
+PROTOTYPES = f"""WITH {ORD}, {RULED}, scaled AS (SELECT client_id, (x0 - 150000.0) / 90000.0 AS y0, (x1 - 700.0) / 400.0 AS y1 FROM ruled),
+clipped AS (SELECT client_id, y0 * f AS y0, y1 * f AS y1 FROM (SELECT *, least(1.0, 1.5 / greatest(sqrt(y0 * y0 + y1 * y1), 1e-12)) AS f FROM scaled)),
+near AS (SELECT *, [{", ".join(f"(y0 - {a}) ** 2 + (y1 - {b}) ** 2" for a, b in ANCHORS)}] AS d FROM clipped),
+proto AS (SELECT client_id, list_position(d, list_min(d)) AS anchor, avg(y0) AS c0, avg(y1) AS c1, count(*)::DOUBLE AS weight FROM near GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+def private_setting(spark, d):
+    """Orders by client on a public scale, clipped; anchors; the mechanism with its noise off, so that SQL can follow."""
+    points = scaling.clip_l2(scaling.scale_public(ruled(spark, d), [150000.0, 700.0], [90000.0, 400.0]), 1.5)
+    return points, np.array(ANCHORS), privacy.dp_aggregate_config("kmeans", 1.0, 1e-5, 1.5, 1, enabled=False)
+
+
+def flat_center(df, *keep):
+    return df.select(*keep, r6(F.col("center")[0]).alias("c0"), r6(F.col("center")[1]).alias("c1"), "weight")
+
+
+@query(f"{PROTOTYPES} SELECT client_id::INT AS client_id, round(c0, 6) AS c0, round(c1, 6) AS c1, weight FROM proto")
+def d7_prototypes(spark, d):
+    return flat_center(privacy.dp_prototypes(*private_setting(spark, d)), "client_id")
+
+
+@query(f"""{PROTOTYPES}, anchors(place, c0, c1) AS (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(ANCHORS))}),
+more AS (SELECT i % {len(ANCHORS)} AS place FROM range(40) r(i), (SELECT count(*) AS n FROM proto) WHERE i < 40 - n)
+SELECT round(c0, 6) AS c0, round(c1, 6) AS c1, weight FROM proto UNION ALL SELECT c0, c1, 1.0::DOUBLE FROM more JOIN anchors USING (place)""")
+def d8_padded_candidates(spark, d):
+    """Prototypes, and anchors in turn until there are 40 candidates."""
+    return flat_center(privacy.private_candidates(*private_setting(spark, d), 40))

@@ -128,6 +128,18 @@ def test_partition_errors(blobs):
             bad()
 
 
+def test_more_labels_than_classes_mean_all(blobs):
+    got, want = ({(r.sample_id, r.client_id) for r in partitioning.partition_label_limited(blobs, 5, n, 1).collect()} for n in (9, 3))
+    assert got == want and len(got) == 300
+
+
+def test_rows_beyond_the_ball_are_drawn_in():
+    rows = rounds.within_ball([[3.0, 4.0], [0.3, 0.4], [math.nan, math.inf], [0.0, -10.0]], 1.0)
+    assert np.allclose(rows, [[0.6, 0.8], [0.3, 0.4], [0.0, 0.0], [0.0, -1.0]])
+    centers = rounds.data_free_centers(50, 3, 2, 0.5)
+    assert np.linalg.norm(centers, axis=1).max() <= 0.5 + 1e-12 and np.array_equal(centers, rounds.data_free_centers(50, 3, 2, 0.5))
+
+
 def test_heterogeneity(spark, blobs):
     labels = blobs.select("sample_id", "label")
     pure = labels.select("sample_id", F.col("label").alias("client_id"))
@@ -287,7 +299,7 @@ def test_releases_differ_and_clip(spark, dealt):
     one, two = (privacy.dp_input(dealt, 5.0, 1e-5, 1.0) for _ in range(2))
     assert one.join(two, ["sample_id", "features"]).count() == 0 and one.count() == 300
     assert scaling.clip_l2(dealt, 2.0).select(F.max(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] <= 2.0 + 1e-9
-    anchors = privacy.public_centers(4, 2, 1, 4.0)
+    anchors = privacy.data_free_centers(4, 2, 1, 4.0)
     rows = privacy.dp_prototypes(dealt, anchors, privacy.dp_aggregate_config("kmeans", 50.0, 1e-5, 4.0, 1, False)).collect()
     assert rows and all(np.linalg.norm(r.center) <= 4 + 1e-9 and r.weight >= 1 for r in rows)
     centers, weights = privacy.pad_candidates(np.zeros((0, 2)), np.zeros(0), anchors, 6)
