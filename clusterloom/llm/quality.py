@@ -3,7 +3,9 @@
 Language references are histograms over all documents of a language: of character classes, and of its most common words.
 A document's Jensen-Shannon distances (base 2, 0 to 1) are taken to the nearest reference. It is rejected where a
 distance exceeds its threshold and the text is long enough for the histogram to mean something; base rules (few words,
-many repeated five-word windows) reject too.
+many repeated five-word windows) reject too. For words the threshold comes from the reference: the distance to it of a text
+that has none of its common words. A text nearly so far from every language, or farther, is rejected, unless its own
+language is one without a reference.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ class Rules:
     #: Thresholds of the distances, and the least characters and words at which each is used.
     max_char_distance: float = 0.3
     min_chars: int = 200
-    max_word_distance: float = 0.48
+    #: As a share of the distance that a text without any common word has.
+    max_word_share: float = 0.97
     min_word_count: int = 100
     #: Common words a reference has.
     common_words: int = 100
@@ -116,9 +119,19 @@ def _class_totals(documents: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES])
 
 
+def empty_overlap(shares: np.ndarray) -> float:
+    """The distance to a reference (its common words' shares, then the rest's) of a text without any of them."""
+    return float(js_distance(np.eye(len(shares))[-1], shares))
+
+
 def references(documents: DataFrame, rules: Rules = Rules()) -> list[tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+    """Classes, common words and shares of each large language, and last of all together unless one language is all."""
+    return [r for _, r in language_references(documents, rules)]
+
+
+def language_references(documents: DataFrame, rules: Rules = Rules()) -> list[tuple[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]]:
     """For each large language (and for all documents together, unless one language is all): shares of classes, its
-    common words, their shares and the rest's.
+    common words, their shares and the rest's, behind its name (None: all together).
 
     Counts are exact and over all documents, however rows are dealt. Only languages with ``min_language_share`` of all
     characters leave the executors, so their number is bounded.
@@ -136,17 +149,17 @@ def references(documents: DataFrame, rules: Rules = Rules()) -> list[tuple[np.nd
     own = counts.filter(F.col("lang").isin(sorted(large)))
     tops = own.withColumn("place", place).filter(F.col("place") <= rules.common_words).select("lang", "word", "n").collect()
     sums = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    groups = [(large[g], [(r.word, r.n) for r in tops if r.lang == g], sums.get(g, 0)) for g in sorted(large)]
+    groups = [(g, large[g], [(r.word, r.n) for r in tops if r.lang == g], sums.get(g, 0)) for g in sorted(large)]
     if len(large) != 1:
         together = counts.groupBy("word").agg(F.sum("n").alias("n"))
-        groups.append((whole, [(r.word, r.n) for r in together.orderBy(F.desc("n"), "word").limit(rules.common_words).collect()], counts.agg(F.sum("n")).first()[0] or 0))
+        groups.append((None, whole, [(r.word, r.n) for r in together.orderBy(F.desc("n"), "word").limit(rules.common_words).collect()], counts.agg(F.sum("n")).first()[0] or 0))
     out = []
-    for classes, best, total in groups:
+    for name, classes, best, total in groups:
         histogram = np.array([classes[c] for c in CLASSES], dtype=float)
         if total:
             best = sorted(((w.encode(), n) for w, n in best), key=lambda x: (-x[1], x[0]))
             shares = np.array([n / total for _, n in best] + [max(0.0, 1 - sum(n for _, n in best) / total)])
-            out.append((histogram / histogram.sum(), {w: i for i, (w, _) in enumerate(best)}, shares))
+            out.append((name, (histogram / histogram.sum(), {w: i for i, (w, _) in enumerate(best)}, shares)))
     return out
 
 
@@ -156,32 +169,41 @@ FIELDS = {
 }
 
 
+VERDICTS = FIELDS | {"__far": "boolean"}
+
+
 def _judge(documents: DataFrame, rules: Rules):
-    known = documents.sparkSession.sparkContext.broadcast(references(documents, rules))
+    """What judges texts (``FIELDS`` and ``__far``: the words are far from every language), and for which rows that counts."""
+    named = language_references(documents, rules)
+    known = documents.sparkSession.sparkContext.broadcast(named)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    speaks = (lang == "") | lang.isin([n for n, _ in named if n is not None])
 
     def make():
-        refs = known.value
+        refs = [r for _, r in known.value]
         class_refs = np.stack([c for c, _, _ in refs]) if refs else None
         place = {w: i for i, w in enumerate(dict.fromkeys(w for _, index, _ in refs for w in index))}
-        word_refs = [(np.array([place[w] for w in sorted(index, key=index.get)], dtype=np.int64), shares) for _, index, shares in refs]
+        word_refs = [(np.array([place[w] for w in sorted(index, key=index.get)], dtype=np.int64), shares, empty_overlap(shares)) for name, (_, index, shares) in known.value if name is not None]
 
         def distances(text, words, chars):
             by_char = by_word = None
+            far = False
             if refs and chars >= rules.min_chars:
                 counts = class_counts(text)
                 by_char = float(js_distance(counts / counts.sum(), class_refs).min())
-            if refs and len(words) >= rules.min_word_count:
+            if word_refs and len(words) >= rules.min_word_count:
                 counts = np.bincount([i for i in map(place.get, words) if i is not None], minlength=len(place))
                 best = []
-                for index, shares in word_refs:
+                for index, shares, empty in word_refs:
                     mine = np.append(counts[index], 0)
                     mine[-1] = len(words) - mine.sum()
-                    best.append(float(js_distance(mine / len(words), shares)))
-                by_word = min(best)
-            return by_char, by_word
+                    best.append((float(js_distance(mine / len(words), shares)), empty))
+                by_word = min(d for d, _ in best)
+                far = all(d > rules.max_word_share * empty for d, empty in best)
+            return by_char, by_word, far
 
         def of_texts(texts):
-            out = [[] for _ in FIELDS]
+            out = [[] for _ in VERDICTS]
             for text in texts:
                 raw = text.encode("utf-8", "surrogatepass")
                 words = raw.split()
@@ -189,35 +211,43 @@ def _judge(documents: DataFrame, rules: Rules):
                 lines = [x for x in raw.split(b"\n") if x.strip()]
                 repeats = repeated_window_words(words)
                 failed = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
-                by_char, by_word = distances(text, raw.lower().split(), len(text))
-                kept = not failed and not (by_char or 0) > rules.max_char_distance and not (by_word or 0) > rules.max_word_distance
-                row = (len(words), word_chars, sum([text.count(c) for c in SYMBOLS]), len(lines) - len(set(lines)), repeats, failed, kept, by_char, by_word)
+                by_char, by_word, far = distances(text, raw.lower().split(), len(text))
+                kept = not failed and not (by_char or 0) > rules.max_char_distance
+                row = (len(words), word_chars, sum([text.count(c) for c in SYMBOLS]), len(lines) - len(set(lines)), repeats, failed, kept, by_char, by_word, far)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return of_texts
 
-    return make
+    return make, speaks
 
 
 def quality(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the rules' figures and the verdict (``kept``) of each row.
 
     Distances are null where a text is below the guard's length or there is no reference. A null or empty text has no
-    words and fails; a null language joins those without a name; repeated rows each get their row; an empty table gives
-    no rows.
+    words and fails; a null language joins those without a name; the words of a text whose language is too small for a
+    reference are not judged; repeated rows each get their row; an empty table gives no rows.
     """
-    return map_texts(documents, _judge(documents, rules), FIELDS)
+    judge, speaks = _judge(documents, rules)
+    judged = map_texts(documents, judge, VERDICTS, keep=("doc_id", "lang"))
+    return judged.select("doc_id", *[(F.col(c) & ~(F.col("__far") & speaks)).alias(c) if c == "kept" else F.col(c) for c in FIELDS])
 
 
 def accepted(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``documents`` that the rules keep, columns as they were."""
-    judge = _judge(documents, rules)
-    verdict = list(FIELDS).index("kept")
+    judge, speaks = _judge(documents, rules)
+    at = [list(VERDICTS).index(c) for c in ("kept", "__far")]
 
     def make():
         of_texts = judge()
-        return lambda texts: [of_texts(texts)[verdict]]
 
-    return map_texts(documents, make, {"__kept": "boolean"}, keep=documents.columns, where="__kept").drop("__kept")
+        def verdicts(texts):
+            out = of_texts(texts)
+            return [out[i] for i in at]
+
+        return verdicts
+
+    judged = map_texts(documents, make, {"__kept": "boolean", "__far": "boolean"}, keep=documents.columns, where="__kept")
+    return judged.filter(~(F.col("__far") & speaks)).drop("__kept", "__far")

@@ -87,15 +87,31 @@ def test_references_are_exact_however_rows_are_dealt(spark, sf_dir):
     assert one == {r.doc_id: (r.kept, r.word_distance, r.char_distance) for r in quality.quality(docs.repartition(9)).collect()}
     # Distances and verdicts, by hand.
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert docs.select("lang").distinct().count() == len(want) - 1  # every language has a reference, the last is of all
     for i, (kept, by_word, by_char) in one.items():
         text, failed = texts[i], plain_quality(texts[i])[-1]
         words = text.encode().lower().split()
-        near = None
+        near, far = None, False
         if len(words) >= rules.min_word_count:
             n = Counter(words)
-            near = min(quality.js_distance(np.array([n[w] / len(words) for w in ww] + [1 - sum(n[w] for w in ww) / len(words)]), np.array(ws)) for _, ww, ws in want)
+            shares = lambda ws: np.array([n[w] / len(words) for w in ws] + [1 - sum(n[w] for w in ws) / len(words)])
+            apart = [(quality.js_distance(shares(ww), np.array(ws)), quality.js_distance(np.array([0.0] * len(ww) + [1.0]), np.array(ws))) for _, ww, ws in want[:-1]]
+            near, far = min(d for d, _ in apart), min(d / empty for d, empty in apart) > rules.max_word_share
         assert (by_word is None) == (near is None) and (near is None or abs(by_word - near) < 1e-9)
-        assert kept == (not failed and not (by_word or 0) > rules.max_word_distance and not (by_char or 0) > rules.max_char_distance)
+        assert kept == (not failed and not far and not (by_char or 0) > rules.max_char_distance)
+
+
+def test_random_letters_are_rejected_and_small_languages_kept(spark):
+    rng = np.random.default_rng(3)
+    common, rare = ["the", "of", "and", "to", "in"], [f"w{i}x" for i in range(400)]
+    speech = lambda: " ".join(str(rng.choice(common)) if rng.random() < 0.4 else str(rng.choice(rare)) for _ in range(300))
+    letters = lambda n: " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(n))
+    rows = [(i, speech(), "en") for i in range(600)] + [(1000, letters(400), "en"), (1001, letters(400), None), (1002, letters(400), "qq"), (1003, letters(60), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
+    # Without common words: not language; of a language that is too rare for a reference, or too short, nobody can tell.
+    assert kept == {*range(600), 1002, 1003}
+    assert {r.doc_id for r in quality.accepted(docs).collect()} == kept
 
 
 def test_odd_quality(spark, odd_documents, no_documents):
