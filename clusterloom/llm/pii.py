@@ -2,12 +2,14 @@
 
 Seeds are what the base patterns find: e-mail and IP addresses, card and phone numbers. Their left contexts (the two words
 before) are lexical patterns. Spark builds the graph of patterns and the instances (tokens with digits, and groups of
-digits) that follow them anywhere in the corpus, and scores both in turn: an instance by the trusted patterns it follows, a pattern by the
-share of all its occurrences that trusted instances follow. Patterns that end with a high score find identifiers that no
-base pattern knows; these become spans of kind ``context``.
-
-Nothing but the patterns is broadcast; a pattern needs the support of ``min_share`` of all seed occurrences, so there are
-at most ``1 / min_share`` of them, however large the corpus.
+digits) that follow them anywhere in the corpus, and scores both in turn: a pattern by the share of all its occurrences that
+trusted instances follow, an instance by the other patterns that it follows. A pattern's own score never speaks for its
+instances, so that it can't lift itself. Patterns that end with a high score find identifiers that no base pattern knows;
+these become spans of kind ``context``.
+
+Support is the number of different seeds behind a pattern, or of documents where it has any, whichever is less: what one
+document repeats, or many copies share, counts once. Nothing but the patterns is broadcast; a pattern needs the support of
+``min_share`` of all seed occurrences, so there are at most ``1 / min_share`` of them, however large the corpus.
 """
 
 from __future__ import annotations
@@ -173,32 +175,37 @@ def _instances(text: str, base: list[tuple[int, str, int]], min_digits: int) ->
 
 
 def seed_patterns(documents: DataFrame, how: Bootstrap = Bootstrap()) -> list[str]:
-    """Contexts of seeds with enough support, counted over all documents."""
+    """Contexts of seeds with enough support (different seeds, and documents), counted over all documents."""
 
     def run(batches):
-        seen: dict[str, int] = {}
+        seen: dict[tuple[str, str], list[int]] = {}
         n = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for start, _, _ in base_spans(text or ""):
+                met = set()
+                for start, _, end in base_spans(text or ""):
                     n += 1
                     context = _context(text, start)
                     if context:
-                        seen[context] = seen.get(context, 0) + 1
+                        seen.setdefault((context, sha256(text[start:end])[:32]), [0])[0] += context not in met
+                        met.add(context)
             if len(seen) > 200_000:
                 yield rows(seen)
                 seen = {}
-        seen[""] = n
+        seen["", ""] = [n]
         yield rows(seen)
 
     def rows(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+        columns = [[p for p, _ in seen], [i for _, i in seen], [n for (n,) in seen.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["pattern", "seed", "n"])
 
-    counts = written(documents.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")), "pii-contexts")
+    by_seed = documents.select("text").mapInArrow(run, "pattern string, seed string, n bigint").groupBy("pattern", "seed").agg(F.sum("n").alias("n"))
+    counts = written(by_seed.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")), "pii-contexts")
     # "" counts all seeds. It stands beside each pattern by a join of one row, so the bound holds before anything is collected.
     total = counts.filter("pattern = ''").select(F.col("n").alias("seeds"))
     least = F.greatest(F.lit(how.min_support), F.ceil(F.col("seeds") * how.min_share))
-    return sorted(r.pattern for r in counts.filter("pattern <> ''").join(F.broadcast(total)).filter(F.col("n") >= least).select("pattern").collect())
+    known = counts.filter("pattern <> ''").join(F.broadcast(total)).filter(F.least("n", "different") >= least)
+    return sorted(r.pattern for r in known.select("pattern").collect())
 
 
 def pattern_graph(documents: DataFrame, patterns: list[str], how: Bootstrap = Bootstrap()) -> DataFrame:
@@ -239,22 +246,31 @@ def pattern_graph(documents: DataFrame, patterns: list[str], how: Bootstrap = Bo
     return written(documents.select("text").mapInArrow(run, schema).groupBy("pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-graph")
 
 
-def trusted_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> list[str]:
-    """Patterns whose score stays at ``min_score`` or more after the rounds; their number is bounded as the graph's is."""
+def pattern_scores(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
+    """pattern, score (0 to 1) after ``how.rounds`` rounds.
+
+    Seeds have the trust 1. Any other instance of a pattern has the chance that not all its other patterns are wrong, so one
+    that follows a single pattern has none.
+    """
     # Never less than the instances: lower case may change a word that an instance cuts.
     total = graph.groupBy("pattern").agg(F.greatest(F.sum("n"), F.sum(F.when(F.col("instance").isNotNull(), F.col("n")))).alias("occurrences"))
-    edges = graph.filter("instance is not null").join(total, "pattern").persist()
-    instances = edges.select("pattern", "instance", "n", "occurrences", F.col("seed").cast("double").alias("trust"))
-    scores = None
-    for _ in range(how.rounds):
-        scores = instances.groupBy("pattern", "occurrences").agg((F.sum(F.col("n") * F.col("trust")) / F.col("occurrences")).alias("score"))
-        # An instance is as good as the chance that not all its patterns are wrong; seeds stay at 1.
-        doubt = F.log1p(-F.least("score", F.lit(0.999)))
-        by_instance = edges.join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(doubt))).alias("found"))
-        instances = edges.join(by_instance, "instance").select("pattern", "instance", "n", "occurrences", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust"))
-    out = sorted(r.pattern for r in scores.filter(F.col("score") >= how.min_score).select("pattern").collect())
-    edges.unpersist()
-    return out
+    edges = graph.filter("instance is not null").groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
+    edges = written(edges.join(total, "pattern"), "pii-edges")
+    told = edges.withColumn("trust", F.col("seed").cast("double"))
+    for turn in range(how.rounds):
+        scores = told.groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / F.first("occurrences")).alias("score"))
+        if turn == how.rounds - 1:
+            return scores
+        doubts = edges.join(scores.select("pattern", F.log1p(-F.least("score", F.lit(0.999))).alias("doubt")), "pattern")
+        all_doubts = doubts.groupBy("instance").agg(F.sum("doubt").alias("all_doubts"))
+        by_others = F.greatest(1 - F.exp(F.col("all_doubts") - F.col("doubt")), F.lit(0.0))
+        told = doubts.join(all_doubts, "instance").select("pattern", "n", "occurrences", F.when(F.col("seed"), 1.0).otherwise(by_others).alias("trust"))
+    raise ValueError("at least one round")
+
+
+def trusted_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> list[str]:
+    """Patterns whose score is ``min_score`` or more after the rounds; their number is bounded as the graph's is."""
+    return sorted(r.pattern for r in pattern_scores(graph, how).filter(F.col("score") >= how.min_score).select("pattern").collect())
 
 
 FIELDS = {"n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "n_context": "bigint"}

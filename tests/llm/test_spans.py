@@ -76,6 +76,60 @@ def test_contexts_that_seeds_rarely_follow_are_no_patterns(spark):
     assert pii.learned_patterns(spark.createDataFrame(rows, "doc_id bigint, text string")) == []
 
 
+def test_a_pattern_is_no_witness_for_itself(spark):
+    # Four of ten times a telephone number, else a year: years follow no other pattern, so they are none of its finds.
+    rows = [(i, f"you may reach in +1 555 010 {1000 + i} the office") for i in range(40)] + [(100 + i, f"we hope to reach in {1950 + i} the goal") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.seed_patterns(docs) == ["reach in"] and pii.learned_patterns(docs) == []
+    assert all("[CONTEXT]" not in r.text for r in pii.redact(docs).collect())
+    # Numbers that two other contexts of seeds vouch for lift a pattern over the threshold.
+    rows = [(i, f"{before} 10.1.{i}.7 x") for before in ("call from", "login at") for i in range(20)]
+    rows += [(200 + i, f"{before} user-77{i:02d} x") for i in range(4) for before in ("call from", "login at")]
+    rows += [(300 + i, f"seen on 10.2.{i}.7 x") for i in range(5)] + [(400 + i, f"seen on user-77{i:02d} x") for i in range(4)]
+    assert pii.learned_patterns(spark.createDataFrame(rows, "doc_id bigint, text string")) == ["call from", "login at", "seen on"]
+
+
+def test_support_is_of_different_seeds_in_different_documents(spark):
+    one = [(1, "write to 10.0.0.7 " * 9)]  # a document that repeats itself
+    copies = [(10 + i, "write to 10.0.0.7 now") for i in range(9)]
+    apart = [(30 + i, f"write to 10.0.0.{i} now") for i in range(3)]
+    many = [(50, " ".join(f"write to 10.0.1.{i}" for i in range(9)))]  # one document alone
+    for rows, want in ((one, []), (copies, []), (many, []), (apart, ["write to"])):
+        assert pii.seed_patterns(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
+
+
+def plain_scores(graph, rounds):
+    """Scores by the definition, pattern by pattern."""
+    everything, own = {}, {}
+    for p, i, seed, n in graph:
+        everything.setdefault(p, []).append((n, i is not None))
+        if i is not None:
+            m, s = own.setdefault(p, {}).get(i, (0, False))
+            own[p][i] = (m + n, s or seed)
+    size = {p: max(sum(n for n, _ in v), sum(n for n, is_one in v if is_one)) for p, v in everything.items()}
+    trust = {(p, i): float(s) for p in own for i, (_, s) in own[p].items()}
+    for _ in range(rounds):
+        score = {p: sum(n * trust[p, i] for i, (n, _) in own[p].items()) / size[p] for p in own}
+        for p, i in trust:
+            wrong = 1.0
+            for q in own:
+                if q != p and i in own[q]:
+                    wrong *= 1 - min(score[q], 0.999)
+            trust[p, i] = 1.0 if own[p][i][1] else 1 - wrong
+    return score
+
+
+def test_scores_are_those_of_the_definition(spark):
+    import random
+
+    draw = random.Random(5)
+    graph = [(f"p{p}", f"i{i}", s, draw.randint(1, 4)) for p in range(12) for i in range(15) for s in (True, False) if draw.random() < 0.2]
+    graph += [(f"p{p}", None, False, draw.randint(0, 6)) for p in range(12)]
+    got = {r.pattern: r.score for r in pii.pattern_scores(spark.createDataFrame(graph, "pattern string, instance string, seed boolean, n bigint")).collect()}
+    want = plain_scores(graph, 3)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_contexts_glued_to_their_identifiers(spark):
     rows = [(i, f"please write to <user{i}@mail.example> soon") for i in range(5)]
     rows += [(10 + i, f"this is version v10.0.{i}.7 of it") for i in range(5)] + [(20 + i, f"you may call tel:+49 171 23456{i}0 today") for i in range(5)]
