@@ -29,6 +29,16 @@ def by_nation(spark, d):
 # Sources and sinks
 
 
+@query("SELECT label::INT AS label, count(*)::BIGINT AS n, round(sum(embedding[1]::DOUBLE), 4) AS first_sum, round(sum(list_sum(embedding::DOUBLE[])), 4) AS all_sum FROM embeddings GROUP BY 1")
+def s4_record_files(spark, d):
+    """The embeddings written as files of fixed-length records and read in pieces."""
+    path = scratch(spark, "records")
+    sources.write_idx(embeddings(spark, d), path)
+    rows = sources.read_idx(spark, path, scale=False)
+    every = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("features")[0]), 4).alias("first_sum"), F.round(F.sum(every), 4).alias("all_sum"))
+
+
 @query("SELECT o_orderstatus AS dataset, count(*)::BIGINT AS n, count(*) FILTER (o_custkey % 3 <> 0)::BIGINT AS known, round(sum(CASE WHEN o_custkey % 3 <> 0 THEN round(o_totalprice / 1000000.0, 6) END), 4) AS total FROM orders GROUP BY 1")
 def s9_read_results(spark, d):
     """Orders as result rows, written as CSV with empty cells and read again."""

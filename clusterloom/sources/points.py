@@ -6,7 +6,6 @@ import gzip
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from clusterloom.functions.arrays import hash_uniform
 from clusterloom.operators.partitioning import hash_rank
 from clusterloom.operators.scaling import scale_unit
+from clusterloom.sources import idx
 
 _SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -119,32 +119,24 @@ def decode_idx(content: bytes) -> np.ndarray:
     return out.reshape(shape)
 
 
-def read_idx(spark: SparkSession, folder: str, scale: bool = True) -> DataFrame:
-    """Image and label files of a folder, train first; images and labels meet on (part, place)."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name = path.rsplit("/", 1)[-1].lower()
-                if "idx" not in name:
-                    continue
-                data = decode_idx(content)
-                part = 0 if "train" in name else 1
-                for at in range(0, len(data), 1000):
-                    rows = data[at : at + 1000]
-                    pixels = [r.tolist() if data.ndim == 2 else None for r in rows]
-                    labels = [None if data.ndim == 2 else int(r) for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(pixels, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["part", "place", "features", "label"])
-
-    cells = files.mapInArrow(run, "part int, place bigint, features array<double>, label int")
-    images = cells.filter("features is not null").select("part", "place", "features")
-    both = images.join(cells.filter("label is not null").select("part", "place", "label"), ["part", "place"])
-    first = images.filter("part = 0").agg(F.count(F.lit(1)).alias("n"))
-    rows = both.join(F.broadcast(first)).select((F.col("place") + F.col("part") * F.col("n")).alias("sample_id"), "features", "label")
+def read_idx(spark: SparkSession, folder: str, scale: bool = True, task_bytes: int = 16 << 20) -> DataFrame:
+    """Image and label files of a folder, train first; images and labels meet on (part, place). Files are read in pieces of
+    ``task_bytes``, so a large one is many tasks; without features nothing but the heads is read."""
+    idx.register(spark)
+    files = spark.read.format("idx").option("task_bytes", task_bytes)
+    images = files.option("rows", "features").schema("part int, place bigint, features array<double>").load(folder)
+    labels = files.option("rows", "labels").schema("part int, place bigint, label int").load(folder)
+    first = files.option("rows", "features").schema("part int").load(folder).filter("part = 0").agg(F.count(F.lit(1)).alias("n"))
+    rows = images.join(labels, ["part", "place"]).join(F.broadcast(first)).select((F.col("place") + F.col("part") * F.col("n")).alias("sample_id"), "features", "label")
     return scale_unit(rows) if scale else rows
 
 
+def write_idx(points: DataFrame, folder: str, split: str = "train", file_bytes: int = 64 << 20) -> None:
+    """features and label of ``points`` as pairs of files; none may be null, and all records have one length."""
+    idx.register(points.sparkSession)
+    points.select("features", F.col("label").cast("int").alias("label")).write.format("idx").mode("append").option("split", split).option("file_bytes", file_bytes).save(folder)
+
+
 def stratified_sample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows with the classes' shares kept (largest remainders); all rows if there are no more. Sorted by id."""
     counts = {r.label: r.n for r in points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
