@@ -72,12 +72,12 @@ def gmm(points: DataFrame, k: int, covariance_type: str = "full", reg_covar: flo
                 yield pa.RecordBatch.from_arrays([*flat, pa.array([fit]), pa.array([rows], pa.int64())], names=["n", "s", "q", "fit", "rows"])
 
         parts = points.select("features").mapInArrow(run, "n array<double>, s array<double>, q array<double>, fit double, rows bigint")
-        # Arrays are added up by place: k, k d and k d d rows.
-        cells = parts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in "nsq"])).alias("e")).select("e.what", F.posexplode("e.v").alias("pos", "x"))
+        # Arrays are added up by place: k, k d and k d d rows. One job a step.
+        every = {c: F.col(c) for c in "nsq"} | {c: F.array(F.col(c).cast("double")) for c in ("fit", "rows")}
+        cells = parts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), v.alias("v")) for c, v in every.items()])).alias("e")).select("e.what", F.posexplode("e.v").alias("pos", "x"))
         rows = cells.groupBy("what", "pos").agg(F.sum("x").alias("x")).orderBy("what", "pos").collect()
         get = lambda c: np.array([r.x for r in rows if r.what == c])
-        total = parts.agg(F.sum("fit").alias("fit"), F.sum("rows").alias("rows")).first()
-        return get("n"), get("s").reshape(k, d), get("q").reshape(k, d, d), total.fit / total.rows
+        return get("n"), get("s").reshape(k, d), get("q").reshape(k, d, d), get("fit")[0] / get("rows")[0]
 
     n, s, q, _ = sums(hard)
     history, before = [], -np.inf

@@ -325,13 +325,13 @@ def f1_fed_kmeans_line_items(spark, d):
 @query()
 def f2_fed_fuzzy_cmeans(spark, d):
     points = dealt(scaling.scale_standard(orders(spark, d)))
-    return scores(spark, rounds.fed_fuzzy_cmeans(points, 4, rounds=4), points)
+    return scores(spark, rounds.fed_fuzzy_cmeans(points, 4), points)
 
 
 @query()
 def f3_fed_gmm_diag(spark, d):
     points = dealt(scaling.scale_standard(orders(spark, d)))
-    return scores(spark, rounds.fed_gmm_diag(points, 4, rounds=4), points)
+    return scores(spark, rounds.fed_gmm_diag(points, 4), points)
 
 
 @query()
@@ -387,13 +387,13 @@ def c2_kmeans(spark, d):
 @query()
 def c3_gmm(spark, d):
     points = graph.materialise(scaling.scale_standard(orders(spark, d)), "points")
-    return scores(spark, central.gmm(points, 4, max_iter=5), points)
+    return scores(spark, central.gmm(points, 4), points)
 
 
 @query()
 def c7_agglomerative(spark, d):
     points = scaling.scale_standard(embeddings(spark, d))
-    return scores(spark, central.agglomerative(points, 10, micro=300), points)
+    return scores(spark, central.agglomerative(points, 10), points)
 
 
 # Neighbours and density
@@ -745,7 +745,7 @@ def u3_radius_candidates(spark, d):
 
 @query()
 def u4_density_sensitivity(spark, d):
-    return tuning.density_sensitivity(customers(spark, d), quantiles=(0.5,), modes=("iid",))
+    return tuning.density_sensitivity(customers(spark, d))
 
 
 @query()
