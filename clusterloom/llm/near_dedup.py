@@ -42,8 +42,8 @@ class NearDedup:
     batch: int = 16
     miss: float = 1e-7
     seed: int = 11
-    #: Ids of large buckets' members that are few enough to be broadcast.
-    broadcast_pairs: int = 20_000
+    #: Bits of the table that tells which texts a comparison can need (8 MB, whatever the input); a multiple of 32768.
+    id_bits: int = 1 << 26
     #: Rows of a bucket that are compared with each other after its hub; larger ones go through the prefix filter.
     small_bucket: int = 32
 
@@ -183,11 +183,25 @@ def _in_parts(batches, rows: int = 128):
             yield batch.slice(at, rows)
 
 
+def _texts_of(documents: DataFrame, ids: DataFrame, how: NearDedup) -> DataFrame:
+    """doc_id, text of the documents that ``ids`` (doc_id) holds, and of few others, told without a shuffle of texts.
+
+    The ids' hashes set bits in a table of at most ``id_bits`` bits, which meets the documents where they are read. A bit
+    may be shared, so what needs these ids alone still joins with them; with more ids than bits more texts pass, no fewer.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(how.id_bits))
+    bits = ids.groupBy(F.shiftright(place(), 15).alias("part")).agg(F.bitmap_construct_agg(place().bitwiseAND(F.lit(32767))).alias("bits"))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    at = place().bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.col("bits").substr(F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.expr("shiftright(__byte, __bit) & 1 = 1")
+    met = texts.withColumn("__part", F.shiftright(place(), 15)).join(F.broadcast(bits), F.col("__part") == F.col("part"))
+    return met.withColumn("__byte", byte).withColumn("__bit", at.bitwiseAND(F.lit(7)).cast("int")).filter(known).select("doc_id", "text")
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, how: NearDedup) -> DataFrame:
     """The pairs whose full sets reach the threshold; rows of one hub arrive together, so its set is made once."""
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    # Nothing is broadcast: the plan is the same at every size, and texts meet their pairs by their ids.
-    of = lambda name: texts.withColumnsRenamed({"doc_id": name, "text": f"{name}_text"})
+    of = lambda name: _texts_of(documents, pairs.select(F.col(name).alias("doc_id")), how).withColumnsRenamed({"doc_id": name, "text": f"{name}_text"})
     both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def run(batches):
@@ -254,8 +268,7 @@ def prefix_pairs(documents: DataFrame, members: DataFrame, how: NearDedup) -> Da
     pairs at all.
     """
     share = how.percent / 100
-    few = members.count() <= how.broadcast_pairs
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(members) if few else members, "doc_id")
+    texts = _texts_of(documents, members, how).join(members, "doc_id")
 
     def run(batches):
         shingle = Shingler(how.words)

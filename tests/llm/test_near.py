@@ -52,10 +52,20 @@ def test_chains_and_groups(spark):
     texts |= {100: "a b c d", 101: "A b\tc D", 102: "a b c", 103: None, 104: "", 105: " "}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     check(near_dedup.near_duplicates(docs).collect(), texts)
-    for how in (near_dedup.NearDedup(small_bucket=1), near_dedup.NearDedup(broadcast_pairs=0, small_bucket=4)):
+    for how in (near_dedup.NearDedup(small_bucket=1), near_dedup.NearDedup(id_bits=32768, small_bucket=4)):
         check(near_dedup.near_duplicates(docs, how).collect(), texts)
 
 
+def test_texts_of_some_ids(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(-500, 3000)] + [(None, "x"), (5, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(i,) for i in range(-500, 3000, 7)] + [(None,)], "doc_id bigint")
+    want = {(i, f"text {i}") for i in range(-500, 3000, 7)}
+    got = {(r.doc_id, r.text) for r in near_dedup._texts_of(docs, asked, near_dedup.NearDedup()).collect()}
+    assert got >= want and len(got) < len(want) + 10
+    assert {(r.doc_id, r.text) for r in near_dedup._texts_of(docs, asked, near_dedup.NearDedup(id_bits=32768)).collect()} >= want
+    assert near_dedup._texts_of(docs, asked.limit(0), near_dedup.NearDedup()).count() == 0
+
+
 def test_sequential_test_keeps_what_reaches_the_threshold():
     how = near_dedup.NearDedup()
     limits = near_dedup.least_matches(how)
