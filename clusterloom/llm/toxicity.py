@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,12 @@ class Training:
     min_documents: int = 6
     min_contexts: int = 6
     max_clean_share: float = 0.05
-    window: int = 16
-    windows_a_document: int = 4
+    #: Tokens of a chain (a longer text is several, end to end), chains of a step, and chains that a shard shuffles at a time.
+    chain: int = 64
+    group: int = 32
+    ahead: int = 1024
+    #: Parts of the sample that are trained side by side and averaged after each epoch.
+    shards: int = 8
     dimensions: int = 1 << 20
     epochs: int = 4
     l2: float = 1e-6
@@ -132,69 +138,126 @@ def tag(token: str, told: dict[str, bool]) -> int:
     return int(next((told[f] for f in (word, *reversed(parts)) if f in told), False))
 
 
-def training_windows(sample: DataFrame, told: dict[str, bool], how: Training) -> tuple[list[list[str]], list[list[int]]]:
-    """Token windows and their tags: in each document around its first toxic tokens, and at places drawn by its id."""
-    known = sample.sparkSession.sparkContext.broadcast(told)
+def training_chains(texts, told: dict[str, bool], size: int):
+    """(places of features by token, tags) of chains of at most ``size`` tokens, end to end over the whole of each text."""
+    tags: dict[str, int] = {}
+    for text in texts:
+        tokens = text.split()
+        for at in range(0, len(tokens), size):
+            chain = tokens[at : at + size]
+            if len(tags) > CACHE:
+                tags.clear()
+            yield chain, [tags[t] if t in tags else tags.setdefault(t, tag(t, told)) for t in chain]
 
-    def run(batches):
-        marks = known.value
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = text.split()
-                if not tokens:
-                    continue
-                draw = np.random.default_rng(zlib.crc32(str(doc_id).encode()))
-                tags = [tag(t, marks) for t in tokens]
-                hits = [i for i, y in enumerate(tags) if y][: how.windows_a_document]
-                starts = [max(0, i - int(draw.integers(how.window))) for i in hits] + [int(draw.integers(len(tokens))) for _ in range(how.windows_a_document - len(hits))]
-                out += [(tokens[s : s + how.window], tags[s : s + how.window]) for s in starts]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.list_(pa.string())), pa.array([y for _, y in out], pa.list_(pa.int32()))], names=["tokens", "tags"])
-
-    rows = sample.select("doc_id", "text").mapInArrow(run, "tokens array<string>, tags array<int>").collect()
-    rows = sorted((list(r.tokens), list(r.tags)) for r in rows)
-    return [t for t, _ in rows], [y for _, y in rows]
-
-
-def train(tokens: list[list[str]], tags: list[list[int]], how: Training) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, transitions and start weight by gradient steps (Adagrad) on the windows' conditional likelihood."""
-    weights, transition, start = np.zeros(how.dimensions), np.zeros((2, 2)), 0.0
-    sums = [np.full(how.dimensions, 1e-8), np.full((2, 2), 1e-8), 1e-8]
-    rng = np.random.default_rng(7)
-    of_token = {t: feature_places(t, how.dimensions) for row in tokens for t in row}
-    places = [[of_token[t] for t in row] for row in tokens]
-    for _ in range(how.epochs):
-        order = rng.permutation(len(tokens))
-        for at in range(0, len(order), 128):
-            group = order[at : at + 128]
-            length = max(len(tokens[i]) for i in group)
-            y = np.zeros((len(group), length), dtype=np.int64)
-            mask = np.zeros((len(group), length), dtype=bool)
-            rows, columns, hashed = [], [], []
-            for g, i in enumerate(group):
-                y[g, : len(tags[i])], mask[g, : len(tags[i])] = tags[i], True
-                for t, ps in enumerate(places[i]):
-                    rows += [g] * len(ps)
-                    columns += [t] * len(ps)
-                    hashed += ps
-            unary = np.zeros(y.shape)
-            np.add.at(unary, (rows, columns), weights[hashed])
-            p, pairs = _window_marginals(unary, transition, start, mask)
-            slope = np.where(mask, y - p, 0.0) / len(group)
-            grad = np.bincount(hashed, slope[rows, columns], minlength=how.dimensions)
-            touched = np.unique(hashed)
-            step = grad[touched] - how.l2 * weights[touched]
-            sums[0][touched] += step**2
-            weights[touched] += 0.5 * step / np.sqrt(sums[0][touched])
-            both = mask[:, 1:] & mask[:, :-1]
-            seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
-            step = (seen - pairs) / len(group) - 1e-3 * transition
-            sums[1] += step**2
-            transition += 0.2 * step / np.sqrt(sums[1])
-            step = float((y[:, 0] - p[:, 0]).mean()) - 1e-3 * start
-            sums[2] += step**2
-            start += 0.2 * step / np.sqrt(sums[2])
-    return weights, transition, start
+
+@dataclass
+class Learner:
+    """Weights and the sums of their squared slopes, which set the length of a step (Adagrad)."""
+
+    weights: np.ndarray
+    squares: np.ndarray
+    transition: np.ndarray
+    transition_squares: np.ndarray
+    start: float
+    start_square: float
+
+    @classmethod
+    def empty(cls, dimensions: int) -> Learner:
+        return cls(np.zeros(dimensions), np.full(dimensions, 1e-8), np.zeros((2, 2)), np.full((2, 2), 1e-8), 0.0, 1e-8)
+
+    def copied(self) -> Learner:
+        return Learner(*[x.copy() if isinstance(x, np.ndarray) else x for x in vars(self).values()])
+
+    def step(self, places: list[list[list[int]]], tags: list[list[int]], l2: float) -> np.ndarray:
+        """One step on the conditional likelihood of some chains; gives the places that it changed."""
+        n, length = len(tags), max(map(len, tags))
+        y = np.zeros((n, length), dtype=np.int64)
+        mask = np.zeros((n, length), dtype=bool)
+        rows, columns, hashed = [], [], []
+        for g, chain in enumerate(places):
+            y[g, : len(chain)], mask[g, : len(chain)] = tags[g], True
+            for t, ps in enumerate(chain):
+                rows += [g] * len(ps)
+                columns += [t] * len(ps)
+                hashed += ps
+        unary = np.zeros(y.shape)
+        np.add.at(unary, (rows, columns), self.weights[hashed])
+        p, pairs = _window_marginals(unary, self.transition, self.start, mask)
+        slope = np.where(mask, y - p, 0.0) / n
+        touched, at = np.unique(hashed, return_inverse=True)
+        step = np.bincount(at, slope[rows, columns]) - l2 * self.weights[touched]
+        self.squares[touched] += step**2
+        self.weights[touched] += 0.5 * step / np.sqrt(self.squares[touched])
+        both = mask[:, 1:] & mask[:, :-1]
+        seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
+        step = (seen - pairs) / n - 1e-3 * self.transition
+        self.transition_squares += step**2
+        self.transition += 0.2 * step / np.sqrt(self.transition_squares)
+        step = float((y[:, 0] - p[:, 0]).mean()) - 1e-3 * self.start
+        self.start_square += step**2
+        self.start += 0.2 * step / np.sqrt(self.start_square)
+        return touched
+
+    def rows(self, places: np.ndarray) -> pa.RecordBatch:
+        """place, weight, square; the transitions stand at -1 to -4 and the start at -5."""
+        columns = (
+            np.concatenate([places, [-1, -2, -3, -4, -5]]),
+            np.concatenate([self.weights[places], self.transition.ravel(), [self.start]]),
+            np.concatenate([self.squares[places], self.transition_squares.ravel(), [self.start_square]]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["place", "weight", "square"])
+
+    def take(self, table: pa.Table) -> None:
+        """The figures of :meth:`rows` at the places that ``table`` holds."""
+        place, weight, square = (table.column(c).to_numpy() for c in ("place", "weight", "square"))
+        own = place >= 0
+        self.weights[place[own]], self.squares[place[own]] = weight[own], square[own]
+        for p, w, q in zip(place[~own], weight[~own], square[~own], strict=True):
+            if p == -5:
+                self.start, self.start_square = float(w), float(q)
+            else:
+                self.transition.flat[-p - 1], self.transition_squares.flat[-p - 1] = w, q
+
+
+def train(sample: DataFrame, told: dict[str, bool], how: Training) -> Learner:
+    """A learner that has seen the sample's whole texts ``epochs`` times.
+
+    Documents are dealt to ``shards`` by a hash of their ids. In each epoch every shard goes on from the common weights over
+    all its tokens, and the means over the shards that changed a weight are the next common ones (iterative parameter
+    mixing). Texts stay on the executors; at most ``dimensions`` weights come back, whatever the texts' lengths.
+    """
+    context = sample.sparkSession.sparkContext
+    marks = context.broadcast(told)
+    drawn = F.xxhash64("doc_id", F.lit(how.shards))  # not the order by which the sample was taken
+    dealt = sample.select(F.pmod(drawn, F.lit(how.shards)).alias("shard"), drawn.alias("drawn"), "text").repartition(how.shards, "shard").sortWithinPartitions("shard", "drawn", "text")
+    learner = Learner.empty(how.dimensions)
+    for epoch in range(how.epochs):
+        common = context.broadcast(learner)
+
+        def run(batches, common=common, epoch=epoch):
+            known: dict[str, list[int]] = {}
+
+            def places(token):
+                if len(known) > CACHE:
+                    known.clear()
+                found = known.get(token)
+                return found if found is not None else known.setdefault(token, feature_places(token, how.dimensions))
+
+            texts = ((s, t) for batch in batches for s, t in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True))
+            for shard, rows in groupby(texts, itemgetter(0)):
+                own, rng, changed = common.value.copied(), np.random.default_rng((7, epoch, shard)), np.zeros(how.dimensions, dtype=bool)
+                chains = training_chains((t for _, t in rows), marks.value, how.chain)
+                while ahead := list(islice(chains, how.ahead)):
+                    order = rng.permutation(len(ahead))
+                    for at in range(0, len(order), how.group):
+                        group = [ahead[i] for i in order[at : at + how.group]]
+                        changed[own.step([[places(t) for t in chain] for chain, _ in group], [tags for _, tags in group], how.l2)] = True
+                yield own.rows(np.flatnonzero(changed))
+
+        mean = lambda c: (F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda x, y: x + y) / F.count(F.lit(1))).alias(c)  # noqa: E731  # in one order, so in one result
+        learner.take(dealt.select("shard", "text").mapInArrow(run, "place bigint, weight double, square double").groupBy("place").agg(mean("weight"), mean("square")).toArrow())
+        common.unpersist()
+    return learner
 
 
 def _window_marginals(unary: np.ndarray, transition: np.ndarray, start: float, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +377,8 @@ def calibrate(rows: list[tuple[float, float, int]]) -> tuple[float, float, float
 def fit(documents: DataFrame, labels: DataFrame, how: Training = Training()) -> Field:
     """The field and its calibration from labelled rows that aren't held out; without any, one that finds nothing."""
     sample = training_sample(documents, labels, how)
-    weights, transition, start = train(*training_windows(sample, told_features(sample, how), how), how)
+    learned = train(sample, told_features(sample, how), how)
+    weights, transition, start = learned.weights, learned.transition, learned.start
     field = sample.sparkSession.sparkContext.broadcast(Field(weights, transition, start, (0.0, 0.0, 0.0)))
 
     def make():
