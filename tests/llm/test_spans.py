@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -185,10 +186,66 @@ def test_literals_of_any_length_and_kind():
     assert literal('password = "' + "x" * 500 + '"') == [] and literal('password = "<' + "ab1" * 100 + '>"') == []
 
 
+def test_forms_of_assignments():
+    literal = lambda t: [t[a:b] for a, _, b in secrets.literal_spans(t)]
+    one = "Xk29fjq8zTa4"
+    for text in (
+        f'config["client_secret"] = "{one}"',
+        f'client_secret: str = "{one}"',
+        f'client_secret: Optional[dict[str, int]] = "{one}"',
+        f'A = "{one}"\nclient_credential = (A)',
+        f'client_secret = (\n  "{one}"\n)',
+        f'passphrase = os.getenv("P") or "{one}"',
+        f'passphrase = process.env.P || "{one}"',
+        f'passphrase = load(a, b, [c], d({", ".join("x" * 60)})) or "{one}"',
+        f'passphrase = None if test else "{one}"',
+        f'os.environ.setdefault("client_secret", "{one}")',
+        f'A = "{one}"\nput("client_secret", A)',
+        f'c["k"] = "{one}"\nclient_secret = c["k"]',
+        f'client_secret: {one}=\n',
+        f'signing_secret: {one}',
+    ):
+        assert literal(text) == [one], text
+    assert literal('A = "Xk29"\nclient_secret = f"{A}fjq8zTa4"') == ["Xk29", "fjq8zTa4"]
+    assert literal('client_secret = ("Xk29fjq8"\n  "zTa4Qp7L")') == ["Xk29fjq8", "zTa4Qp7L"]
+    assert literal(f'passphrase = "{one}" if x else "{one[::-1]}"') == [one, one[::-1]]
+    assert literal('encryption_key = "Xk29fjq8zTa4Qp7Lm2Zz"') == ["Xk29fjq8zTa4Qp7Lm2Zz"]
+    assert literal('authorization = "Xk29fjq8zTa4Qp7Lm2Zz"') == ["Xk29fjq8zTa4Qp7Lm2Zz"]
+    for text in ('author = "Xk29fjq8zTa4Qp7Lm2Zz"', 'keyword = "Xk29fjq8zTa4Qp7Lm2Zz"', 'pk: key = value', 'passphrase = read("Xk29fjq8zTa4")', "the key: a word or 'two' of it"):
+        assert literal(text) == [], text
+
+
+def plain_pairs(text):
+    """One assignment a line: ``name = operand + operand ...``, operands quoted literals or earlier names."""
+    import re
+
+    constants, out = {}, []
+    for line in text.split("\n"):
+        name, _, value = line.partition(" = ")
+        values = [constants.get(v) if v[0] != '"' else v[1:-1] for v in value.split(" + ")]
+        if all(v is not None for v in values):
+            constants[name] = "".join(values)
+            out.append((name, constants[name]))
+    return [(n, v) for n, v in out if re.search("secret|token|password", n)]
+
+
+def test_random_constants_are_those_of_a_plain_reading():
+    rng = random.Random(4)
+    for _ in range(300):
+        names, lines = ["a", "b", "db_token", "client_secret", "user_password"], []
+        for _ in range(rng.randint(1, 12)):
+            operands = [rng.choice(names) if rng.random() < 0.5 else '"' + "".join(rng.choices("abXY12", k=rng.randint(0, 9))) + '"' for _ in range(rng.randint(1, 3))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(operands)}")
+        text = "\n".join(lines)
+        got = [(n, v) for n, v in secrets.pairs(text) if n not in ("a", "b")]
+        want = plain_pairs(text)
+        assert [(n, v.size, v.head) for n, v in got] == [(n, len(v), v[:64]) for n, v in want], text
+
+
 def test_lexing_costs_in_proportion():
     import time
 
-    for text in ('secret = "' + '\\"' * 200_000, 'secret = """' + '"' * 200_001 + " x", 'token: "a' * 60_000):
+    for text in ('secret = "' + '\\"' * 200_000, 'secret = """' + '"' * 200_001 + " x", 'token: "a' * 60_000, 'token = (' * 100_000, 'token = a if ' * 60_000, 'token = f(x) or ' * 60_000):
         began = time.perf_counter()
         secrets.literal_spans(text)
         assert time.perf_counter() - began < 20
