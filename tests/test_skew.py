@@ -36,3 +36,15 @@ def test_start_report_counts_without_ranks(spark):
     made = rounds.init_report(rows, 3, 42)
     assert "Window" not in plan(made)
     assert sorted(tuple(r) for r in made.collect()) == [(1, 3, 96), (7, 2, 64)]
+
+
+def test_no_shuffle_by_cluster_brings_a_cluster_together(spark, no_automatic_broadcast):
+    """All rows but a few are one cluster's."""
+    rows = spark.range(300).select(F.when(F.col("id") < 290, 0).otherwise(F.col("id")).alias("cluster"), F.array(F.col("id") / 1.0, (F.col("id") % 7) / 1.0).alias("features"))
+    centers = metrics.centroids(rows)
+    whole, some = metrics.with_centers(rows, centers), metrics.with_centers(rows, centers, hubs=4)
+    assert "BroadcastHashJoin" in plan(whole) and "SortMergeJoin" not in plan(whole)
+    told = lambda df: sorted((r.cluster, tuple(r.features), tuple(r.center)) for r in df.collect())
+    assert told(whole) == told(some) == told(rows.join(centers, "cluster"))
+    small = [r for r in metrics.with_centers(rows, centers, hubs=4).filter("cluster > 0").collect()]
+    assert len(small) == 10
