@@ -48,3 +48,13 @@ def test_no_shuffle_by_cluster_brings_a_cluster_together(spark, no_automatic_bro
     assert told(whole) == told(some) == told(rows.join(centers, "cluster"))
     small = [r for r in metrics.with_centers(rows, centers, hubs=4).filter("cluster > 0").collect()]
     assert len(small) == 10
+
+
+def test_matched_control_is_scored_without_a_shuffle_by_cluster(spark, monkeypatch, no_automatic_broadcast):
+    """Three clusters of unlike sizes, as the control has them."""
+    rows = spark.range(90).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 80, 0).otherwise(F.col("id") % 3).cast("int").alias("cluster"), F.array(F.col("id") / 1.0, F.col("id") % 5 / 1.0).alias("features"))
+    made = []
+    own = metrics.with_centers
+    monkeypatch.setattr(metrics, "with_centers", lambda *a: made.append(own(*a)) or made[-1])
+    assert metrics.davies_bouldin(rows).first()[0] > 0
+    assert len(made) == 1 and "SortMergeJoin" not in plan(made[0])
