@@ -80,7 +80,8 @@ def denser_gaps(scored: DataFrame, part: int = PART) -> DataFrame:
                     both = far[s][:, None] + least_reach[None, :]
                     # Where both reaches are 0 any distance gives 0, so a block can't be excluded.
                     radius = np.where(both > 0, bound[:, None] / np.where(both > 0, both, 1.0), np.inf)
-                    ask = (own.lower(distances(x[s], pivots, "euclidean")) <= radius * (1 + 1e-9) + 1e-12) & (most[None, :] >= rho[s][:, None])
+                    to_pivots = distances(x[s], pivots, "euclidean")
+                    ask = (own.lower(to_pivots[:, owner], to_pivots.min(axis=1), np.arange(len(owner))) <= radius * (1 + 1e-9) + 1e-12) & (most[None, :] >= rho[s][:, None])
                     ask[:, block] &= parts_of[block] > 1
                     targets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ask.sum(axis=1))), pa.int32()), pa.array(np.nonzero(ask)[1], pa.int32()))
                     columns = [items.field(c)[s] for c in ("id", "features", "rho", "reach")] + [pa.array([block] * len(bound), pa.int32()), pa.array([part] * len(bound), pa.int32()), pa.array(bound), targets]

@@ -92,3 +92,17 @@ def test_cells_refuse_many_features_and_take_none(spark):
     same = points(spark, [[1.0, 2.0]] * 20)
     assert {r.cluster for r in density.dbscan(same, 0.0, 20).predictions.collect()} == {0}
     assert {r.cluster for r in density.dbscan(same, 0.0, 21).predictions.collect()} == {-1}
+
+
+def test_rings_are_no_more_than_parts_and_rows_look_at_blocks_nearby(spark):
+    """A cell a little larger than a part was cut into 16 rings, and each row was held against all of them."""
+    x = np.random.default_rng(5).random((1500, 2))
+    index = neighbours.pivot_index(points(spark, x).withColumnRenamed("sample_id", "id"), part=32)
+    cells = np.bincount(index.owner, weights=index.count).astype(int)
+    rings = np.bincount(index.owner)
+    assert (rings <= np.ceil(cells / 32) + 1).all() and rings.max() > 1
+    d = plain_distances(x, "euclidean")
+    fifth = float(np.sort(d, axis=1)[:, 4].max())
+    seen = [index.around(b, np.array([fifth]), 5) for b in range(len(index.owner))]
+    assert np.mean([len(blocks) for blocks, _ in seen]) < len(index.owner) / 2
+    assert all(b in blocks and holds > 0 for b, (blocks, holds) in enumerate(seen))
