@@ -103,7 +103,8 @@ def append(runs: DataFrame, root: str) -> int:
 
 
 def read_runs(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """All published runs with version and run_id; an empty store has no rows."""
+    """All published runs with version and run_id; an empty store has no rows. The versions, a row each, are broadcast: a
+    shuffle by folder brings all rows of an append into one task."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     versions = published(spark, root)
     if not versions:
@@ -111,5 +112,5 @@ def read_runs(spark: SparkSession, root: str, schema: T.StructType | str) -> Dat
     rows = spark.read.schema(schema).json([f"{root}/{DATA}/{folder}" for folder in versions.values()])
     named = spark.createDataFrame([(folder, version) for version, folder in versions.items()], "folder string, version int")
     folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{DATA}/([0-9a-f]+)/[^/]*$", 1)
-    own = rows.select("*", folder.alias("folder")).join(named, "folder").drop("folder").withColumn("base", run_base())
+    own = rows.select("*", folder.alias("folder")).join(F.broadcast(named), "folder").drop("folder").withColumn("base", run_base())
     return _numbered(own, [F.col("version"), F.col("experiment_id")])

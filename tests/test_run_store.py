@@ -73,3 +73,17 @@ def test_counts_follow_the_poisson_distribution(spark):
     # Rows are drawn by themselves: sums over a draw vary as sums of so many Poisson counts do.
     by_draw = drawn.groupBy("draw").agg(F.sum("times").alias("s")).agg(F.var_pop("s")).first()[0]
     assert by_draw == pytest.approx(200, rel=0.25)
+
+
+def test_no_shuffle_by_append(spark, tmp_path):
+    """All rows of an append went to the task of its folder."""
+    root = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([(str(i), "2026-01-01 00:00:00", "d") for i in range(5)], "experiment_id string, started_at string, dataset string")
+    run_store.append(rows, root)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = run_store.read_runs(spark, root, rows.schema)
+        assert "SortMergeJoin" not in read._jdf.queryExecution().executedPlan().toString()
+        assert read.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
