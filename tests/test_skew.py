@@ -1,5 +1,6 @@
 """Steps in which one class, file or cluster must not bring all rows into one task."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def test_matched_control_is_scored_without_a_shuffle_by_cluster(spark, monkeypat
     monkeypatch.setattr(metrics, "with_centers", lambda *a: made.append(own(*a)) or made[-1])
     assert metrics.davies_bouldin(rows).first()[0] > 0
     assert len(made) == 1 and "SortMergeJoin" not in plan(made[0])
+
+
+def test_rows_of_one_group_are_stepped_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, (2000, 2)) for c in (0, 5, 10)])
+    spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "sample_id bigint, features array<double>").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    dealt = rounds.spread(rows.select("features"))
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    result = rounds.kmeans(rows, 3, n_init=2)
+    assert sorted(np.round(c[0]) for c in result.model["centers"]) == [0, 5, 10]
+    labels, d2 = rounds.nearest(np.zeros((3000, 2)), np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]))
+    assert (labels == 1).all() and (d2 == 0).all()
