@@ -68,3 +68,12 @@ def test_choices_at_the_defaults(spark):
     assert k == 3 and len(tried) == 8
     best, tried = tuning.tune_dbscan(rows)
     assert len(tried) == 8 and max(t["score"] for t in tried if t["score"] is not None) == next(t["score"] for t in tried if t["eps"] == best["eps"] and t["min_samples"] == best["min_samples"])
+
+
+def test_sweep_of_few_features_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.2, (40, 2)) for c in (0, 3)])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i // 40) for i, r in enumerate(x)], "sample_id bigint, features array<double>, label int")
+    monkeypatch.setattr(tuning, "range_join", lambda *a, **k: pytest.fail("pairs of all rows"))
+    out = tuning.density_sensitivity(rows, quantiles=(0.5,))
+    assert [r.algorithm for r in out.select("algorithm").collect()] == ["dbscan", "grid_density"]
