@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterloom.llm.bpe_automaton import LAST_SETTLED, automaton, byte_characters, library
-from clusterloom.llm.common import written
+from clusterloom.llm.common import few_rows, written
 from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, give_back, joined, slices
 
 #: Fixed: how the vocabulary with word ends splits a text.
@@ -373,7 +373,9 @@ def pack(documents: DataFrame, vocabulary: str, how: Packing = Packing()) -> Dat
     A null or empty text is the separator alone; repeated rows are packed each; an empty table gives no rows. Ties of
     equal length go by a hash of the id, the id and the piece.
     """
-    table = written(pieces(documents, vocabulary, how), "pieces").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(how.parts)).cast("int"))
+    with few_rows(documents.sparkSession):
+        table = written(pieces(documents, vocabulary, how), "pieces")
+    table = table.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(how.parts)).cast("int"))
     counts = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     # One row a length: the capacity bounds them.
     plan = plan_table(solve({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, how).plan)

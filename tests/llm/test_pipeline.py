@@ -127,3 +127,38 @@ def test_stages_keep_columns_and_odd_rows(spark, odd_documents, no_documents, sf
         assert out.count() <= 12
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_documents, sf_dir).count() == 0
+
+
+def test_rows_on_their_way_to_packing_are_few(spark, monkeypatch):
+    """A task and its worker hold a batch of some MB, whatever the texts' lengths; the session's own bound comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(600, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 4000) AS text")
+    before, seen, write = spark.conf.get(key), [], packing.written
+
+    def spied(df, name):
+        seen.extend(r.n for r in docs.mapInArrow(batch_bytes, "n bigint").collect())
+        return write(df, name)
+
+    def batch_bytes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    monkeypatch.setattr(packing, "written", spied)
+    assert packing.pack(docs.limit(20), public_tokenizers.path("word_bpe_49k.json")).count() >= 20
+    assert sum(seen) > 20e6 and max(seen) < 5e6 and spark.conf.get(key) == before
+
+
+def test_stages_bound_the_rows_on_their_way(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("pii", "packing"):
+                spark.conf.set(key, "64m")
+                stage(spark, docs, sf_dir)
+                assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20, name
+    finally:
+        spark.conf.set(key, before)
