@@ -20,6 +20,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ from clusterloom.llm.common import map_texts, written
 
 _EDGES = re.compile(r"^\W+|\W+$")
 CACHE = 250_000
+#: Tokens whose weights are looked up at a time, or those of one text.
+TOKENS_AT_ONCE = 1 << 16
+#: Tokens whose word is what is left without the marks at their end; their checksums are taken side by side.
+PLAIN = r"^[A-Za-z0-9](?:[!-~]*[A-Za-z0-9])?[.,;:!?]*$"
+#: Checksums by their next byte.
+_STEPS = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], dtype=np.uint32)
 
 
 @dataclass(frozen=True)
@@ -68,8 +75,47 @@ def token_features(token: str) -> list[str]:
     return ["w:" + word, *[f"p{n}:{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n]]
 
 
+#: Checksums that go on from a feature's kind.
+_WORD, _MARK, _BIAS = (zlib.crc32(x) for x in (b"w:", b"mark", b"bias"))
+_BEGINNINGS = [(n, zlib.crc32(b"p%d:" % n)) for n in (3, 4, 5, 6)]
+
+
 def feature_places(token: str, dimensions: int) -> list[int]:
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % dimensions for f in [*token_features(token), "bias"]]
+    """Checksums of :func:`token_features` and of the bias, without making their texts."""
+    word = token.lower()
+    if not (word[:1].isalnum() and word[-1:].isalnum()):
+        word = _EDGES.sub("", word)
+    if not word:
+        return [_MARK % dimensions, _BIAS % dimensions]
+    begun = [zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), kind) for n, kind in _BEGINNINGS if len(word) > n]
+    return [c % dimensions for c in (zlib.crc32(word.encode("utf-8", "surrogatepass"), _WORD), *begun, _BIAS)]
+
+
+def _checksums(raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray, kind: bytes) -> np.ndarray:
+    """crc32 of ``kind`` and each of the byte strings, which come longest first."""
+    now = np.full(len(begin), zlib.crc32(kind) ^ 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(int(sizes[0]) if len(sizes) else 0):
+        alive = int(np.searchsorted(-sizes, -i, side="left"))
+        part = now[:alive]
+        now[:alive] = _STEPS[(part ^ raw[begin[:alive] + i]) & 255] ^ (part >> 8)
+    return now ^ np.uint32(0xFFFFFFFF)
+
+
+def plain_weights(tokens: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The weights of tokens like :data:`PLAIN`, summed over :func:`feature_places` in their order."""
+    words = pc.ascii_rtrim(pc.ascii_lower(tokens), characters=".,;:!?")
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_buffer(), dtype=np.uint8)
+    order = np.argsort(-sizes, kind="stable")
+    begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    total = weights[_checksums(raw, begin, sizes, b"w:") % len(weights)]
+    for n in (3, 4, 5, 6):
+        longer = int(np.searchsorted(-sizes, -n, side="left"))
+        total[:longer] += weights[_checksums(raw, begin[:longer], np.full(longer, n), b"p%d:" % n) % len(weights)]
+    total += weights[zlib.crc32(b"bias") % len(weights)]
+    out = np.empty(len(total))
+    out[order] = total
+    return out
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, how: Training) -> DataFrame:
@@ -334,23 +380,47 @@ class Tagger:
     def __init__(self, field: Field):
         self.field = field
         self.known: dict[str, float] = {}
+        # Single figures come faster from here than from an array.
+        self.single = memoryview(field.weights)
 
-    def _weight(self, token: str) -> float:
+    def _learn(self, tokens: list[str]) -> None:
+        """Remembers the weights of tokens that are not known."""
         if len(self.known) >= CACHE:
             self.known.clear()
-        found = self.known[token] = float(self.field.weights[feature_places(token, len(self.field.weights))].sum())
-        return found
+        weights = self.field.weights
+        ascii_ones = [t for t in tokens if t.isascii()]
+        column = pa.array(ascii_ones, pa.string())
+        plain = pc.match_substring_regex(column, PLAIN)
+        found = column.filter(plain)
+        self.known.update(zip(found.to_pylist(), plain_weights(found, weights).tolist(), strict=True))
+        for token in tokens:
+            if token not in self.known:
+                total = 0.0
+                for place in feature_places(token, len(weights)):
+                    total += self.single[place]
+                self.known[token] = total
+
+    def _unary(self, tokens: list[str]) -> np.ndarray:
+        unary = np.array(list(map(self.known.get, tokens)), dtype=float)  # NaN where it isn't known
+        if len(holes := np.flatnonzero(np.isnan(unary))):
+            missing = [tokens[i] for i in holes.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            unary[holes] = list(map(self.known.__getitem__, missing))
+        return unary
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        get, weight = self.known.get, self._weight
-        unary, sizes = [], []
+        unary, sizes, ahead = [], [], []
         for text in texts:
             tokens = text.split()
             sizes.append(len(tokens))
-            unary += [w if (w := get(t)) is not None else weight(t) for t in tokens]
+            ahead += tokens
+            if len(ahead) >= TOKENS_AT_ONCE:
+                unary.append(self._unary(ahead))
+                ahead = []
+        unary.append(self._unary(ahead))
         ends = np.cumsum(sizes)
         starts = np.array([e - s for e, s in zip(ends, sizes, strict=True) if s], dtype=np.int64)
-        return np.split(marginals(np.array(unary, dtype=float), starts, self.field.transition, self.field.start), ends[:-1]) if texts else []
+        return np.split(marginals(np.concatenate(unary), starts, self.field.transition, self.field.start), ends[:-1]) if texts else []
 
 
 def evidence(p: np.ndarray) -> tuple[float, float]:

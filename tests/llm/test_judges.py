@@ -241,3 +241,22 @@ def test_licenses_beside_unusual_line_ends(spark):
     for i, text in enumerate(texts):
         assert (rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels, rows[i].labels, rows[i].score) == plain_licenses(text)
     assert (rows[0].first_word, rows[0].last_word) == (0, 3)
+
+
+def test_places_of_features_are_checksums_of_their_texts():
+    tokens = ["Word,", "x", "abc", "abcd!?", "1a-b_c9.", "_a_", "...", "Ünïcödes.", "naïve", "İstanbul", "ΣΑΣ", "a\x00b", "日本語テキスト、", "don't", "«quoted»", "(a)", "a~b", "abcdefghijk;:"]
+    for token in tokens:
+        assert toxicity.feature_places(token, 1 << 20) == [zlib.crc32(f.encode()) % (1 << 20) for f in [*toxicity.token_features(token), "bias"]]
+    weights = np.random.default_rng(3).normal(size=1 << 12)
+    tagger = toxicity.Tagger(toxicity.Field(weights, np.zeros((2, 2)), 0.0, (0.0, 0.0, 0.0)))
+    wanted = [weights[toxicity.feature_places(t, 1 << 12)].sum() for t in tokens]
+    assert tagger._unary(tokens).tolist() == wanted
+    assert tagger._unary(tokens[::-1]).tolist() == wanted[::-1]
+
+
+def test_tokens_with_a_plain_word_are_weighed_side_by_side(monkeypatch):
+    # One by one, they took most of the time of a pass over all documents.
+    monkeypatch.setattr(toxicity, "feature_places", lambda token, dimensions: 1 / 0)
+    tagger = toxicity.Tagger(toxicity.Field(np.ones(1 << 12), np.zeros((2, 2)), 0.0, (0.0, 0.0, 0.0)))
+    assert tagger._unary(["Plain", "words,", "of", "it", "abcdefg", "it"]).tolist() == [4.0, 4.0, 2.0, 2.0, 6.0, 2.0]
+    assert list(map(len, tagger(["plain words", "", "again words"]))) == [2, 0, 2]
