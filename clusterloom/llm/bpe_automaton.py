@@ -36,6 +36,9 @@ from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, held, joined
 #: Fixed: how byte-level vocabularies split a text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Strings whose pieces are a word and one mark at most, whatever the vocabulary's pattern.
+PLAIN = r"^ ?[A-Za-z]+[.,;:!?]?$"
+
 #: Stands for the mark of a word's end; no byte of a text has this value.
 WORD_END = 255
 
@@ -206,20 +209,39 @@ class Automaton:
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces (split off beforehand, none empty) in turn, and the number of ids of each."""
-        if len(pieces) > PIECES:
-            parts = [self.encode_pieces(pieces[a : a + PIECES]) for a in range(0, len(pieces), PIECES)]
+        raw = [p.encode("utf-8", "surrogatepass") + self.end for p in pieces]
+        return self.encode_symbols(np.frombuffer(b"".join(raw), dtype=np.uint8), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+
+    def encode_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_pieces` for strings like :data:`PLAIN`, whose pieces are the word and the mark behind it; the
+        numbers of ids are those of each string."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        joint = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")
+        symbols, ends = np.frombuffer(joint[0].as_buffer(), dtype=np.uint8), np.cumsum(sizes)
+        marked = symbols[ends - 1] < ord("A")
+        pieces = np.repeat(sizes - marked, 1 + marked)
+        first = np.cumsum(1 + marked) - 1 - marked
+        pieces[first[marked] + 1] = 1
+        if self.end:
+            symbols = np.insert(symbols, np.cumsum(pieces), WORD_END)
+            pieces = pieces + 1
+        ids, n = self.encode_symbols(symbols, pieces)
+        return ids, np.add.reduceat(n, first) if len(first) else n
+
+    def encode_symbols(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_pieces`, by the symbols of all pieces end to end and the number of symbols of each."""
+        ends = np.cumsum(sizes)
+        if len(sizes) > PIECES:
+            cuts = np.arange(PIECES, len(sizes), PIECES)
+            parts = [self.encode_symbols(*part) for part in zip(np.split(symbols, ends[cuts - 1]), np.split(sizes, cuts), strict=True)]
             return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
         if len(self.meaning) > STATES:
             self._empty()
-        raw = [p.encode("utf-8", "surrogatepass") + self.end for p in pieces]
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        symbols = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        ends = np.cumsum(sizes)
         order = np.argsort(-sizes, kind="stable")
         begin, longest = (ends - sizes)[order], sizes[order]
         states = np.zeros(len(symbols), dtype=np.int32)
-        now = np.zeros(len(raw), dtype=np.int32)
-        i, alive = 0, len(raw)
+        now = np.zeros(len(sizes), dtype=np.int32)
+        i, alive = 0, len(sizes)
         while alive > FEW:
             at = begin[:alive] + i
             now = states[at] = self._step(now[:alive], symbols[at])

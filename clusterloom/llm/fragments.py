@@ -60,14 +60,19 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         at = stop
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(code of every fragment, first fragment of each text and the end, distinct fragments)."""
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(code of what stands between spaces, first code of each text and the end, the distinct chunks)."""
     parts = pc.split_pattern(texts, " ")
     numbered = pc.dictionary_encode(parts.flatten())
     offsets = parts.offsets.to_numpy().astype(np.int64)
     offsets = offsets - (offsets[0] if len(offsets) else 0)
-    codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    inner = numbered.dictionary.to_pylist()
+    return numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, numbered.dictionary
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code of every fragment, first fragment of each text and the end, distinct fragments)."""
+    codes, offsets, chunks = chunks_of(texts)
+    inner = chunks.to_pylist()
     # A text's first fragment has no space in front: it gets a number of its own.
     heads = offsets[:-1]
     names = [inner[i] for i in codes[heads].tolist()]

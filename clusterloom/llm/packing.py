@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.bpe_automaton import LAST_SETTLED, automaton, byte_characters, library
+from clusterloom.llm.bpe_automaton import LAST_SETTLED, PLAIN, automaton, byte_characters, library
 from clusterloom.llm.common import few_rows, written
-from clusterloom.llm.fragments import LONG_TEXT, Remembered, cut, give_back, joined, slices
+from clusterloom.llm.fragments import LONG_TEXT, Remembered, chunks_of, give_back, joined, slices
 
 #: Fixed: how the vocabulary with word ends splits a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,9 +49,10 @@ class Packing:
 
 
 class WordEncoder:
-    """Texts to little-endian 32-bit token ids, by remembering what lies between white space.
+    """Texts to little-endian 32-bit token ids, by what lies between white space.
 
-    Pieces never hold white space, so a chunk between spaces is encoded alone. Texts with special strings go through the
+    Pieces never hold white space, so a chunk between spaces is encoded alone: plain words of a slice side by side, and
+    what else there is is remembered. Texts with special strings go through the
     library.
     """
 
@@ -100,8 +101,16 @@ class WordEncoder:
         whole = pc.binary_length(texts).to_numpy(zero_copy_only=False) > LONG_TEXT
         for mark in self.marks:
             whole = whole | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        codes, offsets, chunks = cut(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " "))
-        out = joined(pa.array(self.remembered(chunks), pa.binary()), codes, offsets, b"").to_pylist()
+        codes, offsets, chunks = chunks_of(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " "))
+        # Plain words are read side by side, which takes less time than to remember them.
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        ids, n = self.machine.encode_plain(pc.ascii_lower(chunks.filter(plain)))
+        ends = np.concatenate([[0], np.cumsum(n) * 4]).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+        values = pa.concat_arrays([values, pa.array(self.remembered(chunks.filter(pc.invert(plain)).to_pylist()), pa.binary())])
+        first = plain.to_numpy(zero_copy_only=False).astype(bool)
+        place = np.where(first, np.cumsum(first) - 1, len(n) + np.cumsum(~first) - 1)
+        out = joined(values, place[codes], offsets, b"").to_pylist()
         for i in np.flatnonzero(whole).tolist():
             out[i] = self.alone(texts[i].as_py())
         return out

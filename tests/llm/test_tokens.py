@@ -120,3 +120,27 @@ def test_ids_round_trip(spark):
     docs = spark.createDataFrame([(1, "Hello <|endoftext|> wörld  x"), (2, "")], "doc_id bigint, text string")
     back = bpe_automaton.decode(bpe_automaton.encode(docs, BYTE), BYTE, text="again").collect()
     assert all(r.text == r.again for r in back)
+
+
+def test_plain_words_are_packed_side_by_side_and_not_remembered():
+    # Remembering them one by one took most of the time; there are more different words than a worker can remember.
+    packed = WordEncoder(WORD)
+    texts = ["Some plain words, and. more", "", " ", "Word word WORD!", "naïve 12 it's x-y, Σας", "two\nlines  apart", "a" * 300 + ";", "!", ".,"]
+    asked = []
+    remembered = packed.remembered
+    packed.remembered = lambda chunks: asked.extend(chunks) or remembered(chunks)
+    want = [b"".join(i.to_bytes(4, "little") for i in WORDS.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert packed(pa.array(texts)) == want
+    assert sorted(asked) == sorted({"", "naïve", "12", "it's", "x-y,", "Σας", "!", ".,"})
+    assert packed(pa.array(texts[:1])) == want[:1] and packed(pa.array([""])) == [b""] and packed(pa.array(["12"])) == [packed.alone("12")]
+    assert packed(pa.array(texts)[3:5]) == want[3:5]
+
+
+def test_more_pieces_than_are_read_at_once(monkeypatch):
+    machine = bpe_automaton.automaton(BYTE)
+    words = [" some", "plain,", "words.", " a", "x?"] * 3
+    one = [machine.encode_pieces([p for p in (w.rstrip(".,?"), w[len(w.rstrip(".,?")) :]) if p])[0].tolist() for w in words]
+    for size in (200_000, 4, 1):
+        monkeypatch.setattr(bpe_automaton, "PIECES", size)
+        ids, n = machine.encode_plain(pa.array(words))
+        assert ids.tolist() == sum(one, []) and n.tolist() == list(map(len, one))
