@@ -1,8 +1,8 @@
 """Operator 2: token counts by a map-side two-tier lookup.
 
 First tier: a compact table from the most frequent pre-tokens of the corpus to their numbers of tokens, broadcast
-(``FREQUENT`` entries at most, whatever the corpus). Second tier, for what that table lacks: the worker's own cache, filled by
-encoding the misses of a slice of rows at once. Pre-tokens are never shuffled: the frequent ones are found by a summary
+(``FREQUENT`` entries at most, whatever the corpus). Second tier, for what that table lacks: the misses of a slice of rows
+are encoded at once, and the worker's own cache keeps those that are more than a plain word, which take longer. Pre-tokens are never shuffled: the frequent ones are found by a summary
 of bounded size in each task, over all documents, and only these summaries are added up. The table makes counting fast;
 counts don't depend on it.
 """
@@ -10,6 +10,8 @@ counts don't depend on it.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.bpe_automaton import Splitter, TextEncoder
+from clusterloom.llm.bpe_automaton import PLAIN, Splitter, TextEncoder
 from clusterloom.llm.common import map_batches
 from clusterloom.llm.fragments import Remembered, cut, slices
 
@@ -30,20 +32,24 @@ COUNTERS = 200_000
 def frequent_pre_tokens(documents: DataFrame, vocabulary: str, size: int = FREQUENT, counters: int = COUNTERS) -> list[str]:
     """The most frequent pre-tokens of all texts, ties by the pre-token.
 
-    Each task counts with at most ``counters`` counters and hands on its ``size`` largest.
+    Each task counts fragments with at most ``counters`` counters, splits them when it has met all and hands on its ``size``
+    largest pre-tokens.
     """
 
     def run(batches):
-        seen: Counter = Counter()
+        met: dict[str, int] = {}
         split = Splitter(vocabulary)
         for batch in batches:
             for _, texts in slices(batch):
                 codes, _, fragments = cut(texts)
-                for fragment, n in zip(fragments, np.bincount(codes, minlength=len(fragments)).tolist(), strict=True):
-                    for piece in split.of_fragment(fragment) or ():
-                        seen[piece] += n
-                if len(seen) > counters:
-                    seen = Counter(dict(seen.most_common(counters // 2)))
+                n = np.bincount(codes, minlength=len(fragments)).tolist()
+                met.update(zip(fragments, map(add, map(met.get, fragments, repeat(0)), n), strict=True))
+                if len(met) > counters:
+                    met = dict(sorted(met.items(), key=itemgetter(1), reverse=True)[: counters // 2])
+        seen: Counter = Counter()
+        for fragment, n in met.items():
+            for piece in split.of_fragment(fragment) or ():
+                seen[piece] += n
         top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre", "n"])
 
@@ -77,10 +83,13 @@ def token_counts(documents: DataFrame, vocabulary: str, limit: int = 1024, frequ
             whole = encode.splitter.whole(texts)
             codes, offsets, fragments = cut(pc.if_else(pa.array(whole), "", texts))
             found = list(map(first_tier.get, fragments))
-            misses = [i for i, n in enumerate(found) if n is None]
-            for i, n in zip(misses, second_tier([fragments[i] for i in misses]), strict=True):
-                found[i] = n
-            n = np.array(found, dtype=np.int64)
+            misses = np.array([i for i, n in enumerate(found) if n is None], dtype=np.int64)
+            n = np.array([0 if n is None else n for n in found], dtype=np.int64)
+            lacking = pa.array([fragments[i] for i in misses.tolist()], pa.string())
+            plain = pc.match_substring_regex(lacking, PLAIN)
+            first = plain.to_numpy(zero_copy_only=False).astype(bool)
+            n[misses[first]] = encode.machine.encode_plain(lacking.filter(plain))[1]
+            n[misses[~first]] = second_tier(lacking.filter(pc.invert(plain)).to_pylist())
             n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             whole = whole | (np.logical_or.reduceat(n[codes] < 0, offsets[:-1]) & (n_bytes > 0))
             n_tokens = np.where(n_bytes > 0, np.add.reduceat(n[codes], offsets[:-1]), 0)

@@ -144,3 +144,26 @@ def test_more_pieces_than_are_read_at_once(monkeypatch):
         monkeypatch.setattr(bpe_automaton, "PIECES", size)
         ids, n = machine.encode_plain(pa.array(words))
         assert ids.tolist() == sum(one, []) and n.tolist() == list(map(len, one))
+
+
+def test_fragments_are_split_once_a_task(monkeypatch):
+    # Every slice split its fragments anew.
+    class Task:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise StopIteration
+
+    task, asked = Task(), []
+    try:
+        token_counts.frequent_pre_tokens(task, BYTE, size=3)
+    except StopIteration:
+        pass
+    of_fragment = bpe_automaton.Splitter.of_fragment
+    monkeypatch.setattr(bpe_automaton.Splitter, "of_fragment", lambda self, f: asked.append(f) or of_fragment(self, f))
+    batch = pa.RecordBatch.from_arrays([pa.array(["b a, a, c", None, " a, a 12x"])], names=["text"])
+    (out,) = task.run(iter([batch, batch]))
+    assert sorted(asked) == sorted(set(asked))
+    assert out.to_pylist() == [{"pre": " a", "n": 8}, {"pre": ",", "n": 6}, {"pre": " 12", "n": 2}]
