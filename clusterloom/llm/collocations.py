@@ -8,7 +8,9 @@ comes after their first. Three passes over the documents, each with sums that ar
    the tasks as a table of bits of fixed size (``BITS``, whatever the corpus): a pair that shares a place with a frequent
    one stays, which costs work, but no rare one can push out a frequent one. So cuts never change a count that matters.
 3. Every place in a piece gives the longest run that begins there. Runs of full length are the graph's edges; shorter
-   ones begin too near to the end of their piece and are its corrections. Both are summed.
+   ones begin too near to the end of their piece and are its corrections. Both are summed. Frequent runs are met by every
+   task, so what tasks hand on grows with runs times tasks; this pass reads the splits in no more tasks than keep all
+   cores busy, or than ``WORDS_A_TASK`` asks for.
 
 The count of a shorter phrase is the flow out of its node, the sum of the edges that begin with it, plus the corrections
 that begin with it. A node whose whole flow goes into one longer phrase, or comes out of one, lies on a unary path and is
@@ -44,6 +46,8 @@ BITS = 1 << 27
 LEVELS = 3
 #: Runs that a task adds up before it hands them on.
 RUNS_HELD = 200_000
+#: Words for each task of the last pass, where that makes more tasks than there are cores.
+WORDS_A_TASK = 1 << 24
 #: Places of one bitmap as Spark's functions make them.
 BITMAP = 32768
 
@@ -152,10 +156,15 @@ def told(counts: DataFrame, least: int, bits: int = BITS) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(table[: bits // 8])
 
 
-def runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFrame:
+def gathered(documents: DataFrame, n: int, words_a_task: int = WORDS_A_TASK) -> DataFrame:
+    """``documents``, of ``n`` words, in as many tasks as there are cores, or in more of ``words_a_task`` words each; without a shuffle."""
+    return documents.coalesce(max(1, documents.sparkSession.sparkContext.defaultParallelism, n // words_a_task))
+
+
+def task_runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFrame:
     """lang, run (two words or more, space-joined), n: for every place the longest run that begins there.
 
-    A task adds up what it meets, ``RUNS_HELD`` runs at a time.
+    A task adds up what it meets, ``RUNS_HELD`` runs at a time; sums of other tasks are rows of their own.
     """
 
     def of_pieces(p: Pieces) -> Iterator[tuple[tuple[str, str], int]]:
@@ -193,7 +202,7 @@ def runs(documents: DataFrame, tables: list[Broadcast], longest: int) -> DataFra
             give_back()
         yield out(seen)
 
-    return documents.select("lang", "text").mapInArrow(run, "lang string, run string, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    return documents.select("lang", "text").mapInArrow(run, "lang string, run string, n bigint")
 
 
 def phrase_counts(edges: DataFrame, least: int) -> DataFrame:
@@ -240,7 +249,9 @@ def collocations(documents: DataFrame, least: int = 100, longest: int = 5, first
     tables = [told(hashed(frequent), least, bits)]
     for _ in range(1, min(levels, longest)):
         tables.append(told(run_counts(documents, tables), least, bits))
-    phrases = written(phrase_counts(runs(documents, tables, longest), least), "phrases")
+    n = words.agg(F.sum("n")).first()[0] or 0
+    edges = task_runs(gathered(documents, n), tables, longest).groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    phrases = written(phrase_counts(edges, least), "phrases")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = phrases.join(on_unary_paths(phrases), ["lang", "words"], "left_anti")
     by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

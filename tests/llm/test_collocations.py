@@ -77,3 +77,17 @@ def test_bits_tell_what_was_put_in(hashes, power):
     for h in hashes:
         table[(h % size) >> 3] |= 1 << (h % size & 7)
     assert collocations.has(table, np.array(hashes, dtype=np.uint64)).all()
+
+
+def test_splits_share_the_tasks_that_add_up_runs(spark):
+    """Rows that tasks hand on are runs times tasks; more splits of the same words make no more of them."""
+    cores = spark.sparkContext.defaultParallelism
+    # Splits with the same words each, as all tasks of a large corpus meet its frequent phrases.
+    many = spark.range(0, 6 * cores * 4, 1, 6 * cores).selectExpr("'en' AS lang", "'a b c d e f g h' AS text")
+    tables = [collocations.told(collocations.hashed(collocations.word_counts(many)), 1)]
+    n = 8 * many.count()
+    handed = collocations.task_runs(collocations.gathered(many, n), tables, 5).collect()
+    assert len(handed) == 7 * cores and sum(r.n for r in handed) == 7 * many.count()
+    # Enough words for a task each: splits stay as they are.
+    assert collocations.task_runs(collocations.gathered(many, n, 8), tables, 5).count() == 7 * 6 * cores
+    assert found(collocations.collocations(many, 2)) == plain([("en", r.text) for r in many.collect()], 2, 5, 2000)
