@@ -75,6 +75,17 @@ def test_cells_against_all_pairs(spark, metric, width, eps, least):
     assert got == plain_clusters(x, eps, least, metric)
 
 
+@pytest.mark.parametrize(("metric", "width"), [("euclidean", 2), ("chebyshev", 3)])
+def test_cells_of_many_radii_against_all_pairs(spark, metric, width):
+    """Points on both sides of block borders, and in more blocks than one for each radius."""
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.random((200, width)) * 2 - 1, np.round(rng.random((100, width)), 1), np.zeros((30, width))])
+    radii = [0.02, 0.11, 0.25]
+    rows = cell_graph.clusters_many(points(spark, x), radii, 5, metric, part=8).collect()
+    for c, eps in enumerate(radii):
+        assert {r.sample_id: r.component for r in rows if r.candidate == c} == plain_clusters(x, eps, 5, metric)
+
+
 def test_cells_that_only_inner_rows_link(spark):
     """The outermost rows of two cells are far from each other, so that the full test must find the link."""
     side = 1 / np.sqrt(2)

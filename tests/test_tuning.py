@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clusterloom.operators import density, metrics, rounds, tuning
+from clusterloom.operators import density, metrics, partitioning, rounds, scaling, tuning
 
 
 def points(spark, x):
@@ -77,3 +77,46 @@ def test_sweep_of_few_features_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(tuning, "range_join", lambda *a, **k: pytest.fail("pairs of all rows"))
     out = tuning.density_sensitivity(rows, quantiles=(0.5,))
     assert [r.algorithm for r in out.select("algorithm").collect()] == ["dbscan", "grid_density"]
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_sweep_of_all_radii_together_is_that_of_each(spark, width):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, s, (60, width)) for c, s in ((0, 0.2), (3, 0.4), (5, 1.0))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i // 60) for i, r in enumerate(x)], "sample_id bigint, features array<double>, label int")
+    quantiles = (0.2, 0.5, 0.8)
+    got = tuning.density_sensitivity(rows, quantiles=quantiles).collect()
+    standard, unit = scaling.scale_standard(rows), scaling.scale_minmax(rows)
+    dealt = unit.join(partitioning.make_partition(unit, "iid", 5, 42), "sample_id")
+    radii = [density.radius_candidates(standard, 5, list(quantiles)), density.radius_candidates(unit, 5, list(quantiles), "chebyshev")]
+    alone = [density.dbscan(standard, r, 5).predictions.select("sample_id", "cluster").join(standard, "sample_id") for r in radii[0]]
+    alone += [density.fed_grid_density(dealt, r, 5).predictions.select("sample_id", "cluster").join(unit, "sample_id") for r in radii[1]]
+    assert [(r.algorithm, r.partition, r.quantile, r.radius) for r in got] == [(a, p, q, pytest.approx(r)) for (a, p), own in zip((("dbscan", "local"), ("grid_density", "iid")), radii, strict=True) for q, r in zip(quantiles, own, strict=True)]
+    for r, scored in zip(got, alone, strict=True):
+        want = metrics.label_diagnostics(scored, 3).crossJoin(metrics.external(metrics.contingency(scored)).select("ari", "nmi")).crossJoin(metrics.silhouette(scored).withColumnRenamed("silhouette", "silhouette_own_space")).first().asDict()
+        assert {k: r[k] for k in want} == {k: v if v is None or isinstance(v, str | bool) else pytest.approx(v) for k, v in want.items()}
+
+
+def test_more_radii_take_no_more_jobs(spark):
+    """Each radius was clustered by itself: 969 jobs over 1500 rows."""
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(rng.random((150, 2)))], "sample_id bigint, features array<double>, label int")
+
+    def jobs(quantiles):
+        group = f"sweep-{len(quantiles)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert len(tuning.density_sensitivity(rows, quantiles=quantiles).collect()) == 2 * len(quantiles)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert 0 < jobs(tuning.QUANTILES) < 2 * jobs((0.5,))
+
+
+def test_sweep_of_copies_has_cells_of_the_least_size(spark):
+    """Rows with five copies or more have radii of the machine's epsilon, whose cells pass 32 bits."""
+    x = np.random.default_rng(13).random((20, 2))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i % 20]], i % 2) for i in range(120)], "sample_id bigint, features array<double>, label int")
+    for r in tuning.density_sensitivity(rows, quantiles=(0.2, 0.8)).collect():
+        assert r.radius == np.finfo(float).eps and (r.clusters_found, r.assigned_count, r.noise_fraction) == (20, 120, 0.0)
